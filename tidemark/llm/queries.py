@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import fingerprints, warc
 
 QUERIES = {
+    "op2_warc_revisits": warc.op2_warc_revisits,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc_revisits": """
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(h) >= 100 AND page_id > first_id THEN first_id END AS refers_to, url
+        FROM (SELECT page_id, url, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)""",
+}
