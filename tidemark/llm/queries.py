@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, warc
+from . import byte_bpe, fingerprints, packing, tokens, warc
 
 QUERIES = {
+    "op1_training_order": tokens.op1_training_order,
     "op2_warc_revisits": warc.op2_warc_revisits,
+    "op4_packing": packing.op4_packing,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
