@@ -10,6 +10,8 @@ from .common import table, written
 
 #: Flagged keys up to this count (16 MB of longs) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: The key of rows without an id.
+NO_ID = -(2**63)
 
 
 def canonical(text: Column) -> Column:
@@ -59,12 +61,14 @@ def following(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame, near: DataFrame) -> DataFrame:
     """docs with edited: the last quarter of each text replaced by the start of the next one.
 
-    ``docs``: key, text, n. The text crosses the network once, and of the next text only as much as is used.
+    ``docs``: key, text. The text crosses the network once, as both joins read one exchange, and of the next text only as
+    much as is used.
     """
-    here = docs.join(near, "key")
+    here = docs.join(near.hint("merge"), "key")
     starts = here.groupBy(F.col("prev_key").alias("key")).agg(F.min_by(F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")), F.xxhash64("text")).alias("start"))
-    q = F.floor(F.col("n") / 4).cast("int")
-    return docs.join(starts, "key", "left").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - q), F.coalesce(F.substring("start", F.lit(1), q), F.lit(""))))
+    n = F.length("text")
+    q = F.floor(n / 4).cast("int")
+    return docs.join(starts.hint("merge"), "key", "left").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.coalesce(F.substring("start", F.lit(1), q), F.lit(""))))
 
 
 def fingerprint_report(docs: DataFrame, hashed: Callable[[Column], Column] = wide_hash) -> DataFrame:
@@ -75,10 +79,10 @@ def fingerprint_report(docs: DataFrame, hashed: Callable[[Column], Column] = wid
     digest knows nothing between. Null text: empty. Repeated ids: each row keeps its own, and as a neighbour that one counts
     whose text hashes least. A null id sorts first. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text"))
-    near = written(following(docs.select("key", "n")), "following")
-    both = edited(docs, near).select("key", "doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"), F.xxhash64("text").alias("t"))
-    found = written(both.select("key", "doc_id", "n", "edited_sha256", "t", hashed(F.col("canon")).alias("h"), hashed(F.col("edited_canon")).alias("eh")), "digests")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    near = written(following(docs.select("key", F.length("text").alias("n"))), "following")
+    both = edited(docs, near).select("key", F.length("text").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"), F.xxhash64("text").alias("t"))
+    found = written(both.select("key", "n", "edited_sha256", "t", hashed(F.col("canon")).alias("h"), hashed(F.col("edited_canon")).alias("eh")), "digests")
 
     sides = found.select("key", "t", F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("h").alias("h")), F.struct(F.lit(True).alias("edit"), F.col("eh").alias("h")))).alias("s")).select("key", "t", "s.*")
     shared = sides.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
@@ -88,7 +92,7 @@ def fingerprint_report(docs: DataFrame, hashed: Callable[[Column], Column] = wid
         found = found.withColumns({"h": F.concat("h", F.coalesce("s", F.lit(""))), "eh": F.concat("eh", F.coalesce("es", F.lit("")))})
     after = near.select("key", "next_key").join(found.groupBy(F.col("key").alias("next_key")).agg(F.min_by("h", "t").alias("nh")), "next_key")
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    return found.join(after.select("key", "nh"), "key").select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), like("h", "eh").alias("near_edited"), like("h", "nh").alias("near_next"))
+    return found.join(after.select("key", "nh"), "key").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), like("h", "eh").alias("near_edited"), like("h", "nh").alias("near_next"))
 
 
 def _unequal(docs: DataFrame, near: DataFrame, shared: DataFrame) -> DataFrame:
