@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, packing, tokens, warc
+from . import byte_bpe, compression, fingerprints, packing, rules, simhash, tokens, warc
 
 QUERIES = {
     "op1_training_order": tokens.op1_training_order,
     "op2_warc_revisits": warc.op2_warc_revisits,
     "op4_packing": packing.op4_packing,
+    "op5_quality_rules": rules.op5_quality_rules,
+    "op7_simhash_components": simhash.op7_simhash_components,
+    "op8_compression_classifier": compression.op8_compression_classifier,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
