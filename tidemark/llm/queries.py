@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, compression, fingerprints, packing, rules, simhash, tokens, warc
+from . import byte_bpe, compression, fingerprints, packing, rules, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_training_order": tokens.op1_training_order,
     "op2_warc_revisits": warc.op2_warc_revisits,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": rules.op5_quality_rules,
     "op7_simhash_components": simhash.op7_simhash_components,
