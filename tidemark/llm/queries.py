@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, compression, fingerprints, packing, rules, simhash, substrings, tokens, warc
+from . import byte_bpe, compression, fingerprints, html, packing, rules, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_training_order": tokens.op1_training_order,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op6_main_text": html.op6_main_text,
     "op7_simhash_components": simhash.op7_simhash_components,
     "op8_compression_classifier": compression.op8_compression_classifier,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
