@@ -121,10 +121,11 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     meta = written(meta.select("b", "ranks").join(F.broadcast(shifts), "b"), "meta")
 
     order = [F.col(c).asc_nulls_first() for c in ("doc_id", "tail_crc", "doc_tokens")]
-    rows = rows.join(meta, "b").withColumn("rank", F.row_number().over(Window.partitionBy("b", "tail_length").orderBy(*order)) - 1)
-    rows = rows.withColumn("x", F.col("ranks")[F.col("tail_length")]).withColumn("rank", F.col("rank") + F.col("x.before")).withColumn("left", F.when(F.col("rank") >= F.col("x.used"), F.col("tail_length")).otherwise(0))
+    rows = rows.join(meta.hint("merge"), "b").withColumn("x", F.col("ranks")[F.col("tail_length")]).drop("ranks")  # before any sort
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("b", "tail_length").orderBy(*order)) - 1)
+    rows = rows.withColumn("rank", F.col("rank") + F.col("x.before")).withColumn("left", F.when(F.col("rank") >= F.col("x.used"), F.col("tail_length")).otherwise(0))
     run = Window.partitionBy("b").orderBy("tail_length", *order, "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"full_at": F.col("full_before") + F.sum(F.size("crcs")).over(run) - F.size("crcs"), "rest_at": F.col("rest_before") + F.sum("left").over(run) - F.col("left")}).drop("ranks", "x")
+    rows = rows.withColumns({"full_at": F.col("full_before") + F.sum(F.size("crcs")).over(run) - F.size("crcs"), "rest_at": F.col("rest_before") + F.sum("left").over(run) - F.col("left")}).drop("x")
 
     piece = lambda start, length, crc, seq, at: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), crc.cast("long").alias("ids_crc32"), seq.cast("long").alias("sequence_id"), at.cast("long").alias("offset"))
     w, length, tail_start = F.lit(window), F.col("tail_length"), F.size("crcs") * window
