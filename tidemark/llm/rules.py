@@ -180,6 +180,12 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
+def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
+    """Rules from ``rows`` labelled documents at most; only their texts are counted."""
+    some = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return fit(counted(docs.join(F.broadcast(some), "doc_id", "left_semi"), "doc_id"), labels, rows)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept for each row of ``docs``. The texts are read once; what follows uses the counts."""
     counts = written(counted(docs, "doc_id"), "counts")

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import scratch, shuffle_partitions, table, text_bytes, written
 
@@ -136,35 +136,54 @@ def _group(row: pd.DataFrame) -> tuple[int, np.ndarray, Words]:
     return int(g), np.frombuffer(keys, "<i8"), Words([raw[a:b] for a, b in zip([0, *ends], ends)])
 
 
+def _rest(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("key", "text")]
+
+
+def _table_bytes(batches: list[pa.RecordBatch]) -> bytes | None:
+    """Columns that aren't looked at, as they travel with a group."""
+    if not batches or not batches[0].num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for x in batches:
+            out.write_batch(x)
+    return sink.getvalue().to_pybytes()
+
+
 def grouped(docs: DataFrame, buckets: int) -> DataFrame:
-    """g, keys, lengths and texts: a row for about GROUP_BYTES of ``docs`` (key, text as bytes), packed, in buckets by g.
+    """g, keys, lengths, texts and rest: a row for about GROUP_BYTES of ``docs`` (key, text as bytes, others), packed, in
+    buckets by g.
 
     Groups are cut from the tasks that read ``docs``, so no text is shuffled, and bucketed, so that no later step shuffles
     them either.
     """
     spark = docs.sparkSession
-    schema = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
+    schema = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, keys, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+        g, keys, texts, rest, size = TaskContext.get().partitionId() << 24, [], [], [], 0
 
         def row() -> pa.RecordBatch:
             packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.RecordBatch.from_pylist([{"g": g, "keys": np.array(keys, "<i8").tobytes(), "lengths": np.array([*map(len, texts)], "<i8").tobytes(), "texts": packed}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"g": g, "keys": np.array(keys, "<i8").tobytes(), "lengths": np.array([*map(len, texts)], "<i8").tobytes(), "texts": packed, "rest": _table_bytes(rest)}], schema=schema)
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
+            others, first = batch.select(batch.schema.names[2:]), 0
+            for i, (key, text) in enumerate(zip(batch.column(0), batch.column(1))):
                 keys.append(key.as_py())
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if size >= GROUP_BYTES:
+                    rest.append(others.slice(first, i + 1 - first))
                     yield row()
-                    g, keys, texts, size = g + 1, [], [], 0
+                    g, keys, texts, rest, size, first = g + 1, [], [], [], 0, i + 1
+            rest.append(others.slice(first))
         if keys:
             yield row()
 
     name, path = f"groups_{uuid.uuid4().hex}", scratch(spark, "groups")
-    docs.select("key", "text").mapInArrow(run, "g long, keys binary, lengths binary, texts binary").write.bucketBy(buckets, "g").option("path", path).saveAsTable(name)
+    docs.select("key", "text", *_rest(docs)).mapInArrow(run, "g long, keys binary, lengths binary, texts binary, rest binary").write.bucketBy(buckets, "g").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -190,7 +209,8 @@ NONE = np.int64(2**63 - 1)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, kept (what earlier documents leave of it), n_words, n_removed for each row of ``docs`` (key, text as bytes).
+    """key, kept (what earlier documents leave of it), n_words, n_removed and all other columns for each row of ``docs``
+    (key, text as bytes, others).
 
     Documents are cut into groups of about GROUP_BYTES, and the hashes' range into homes; a task holds one of either. An
     anchor block has half a window's words: any window holds a whole block of those that start at multiples of that.
@@ -300,7 +320,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def keep(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         columns = ["key", "kept", "n_words", "n_removed"]
         if left.empty:
-            return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([], columns=[*columns, *rest])
         _, keys, words = _group(left)
         local, outer = told[told["kind"] < 2], told[told["kind"] == 2]
         at = candidates(words, keys, local)
@@ -319,14 +339,20 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             stay = np.flatnonzero(~gone[lo:hi]) + lo
             text = b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())])
             rows.append((key, text, hi - lo, hi - lo - len(stay)))
-        return pd.DataFrame(rows, columns=columns)
+        out = pd.DataFrame(rows, columns=columns)
+        if rest:
+            others = pa.ipc.open_stream(left["rest"].iloc[0]).read_all().to_pandas(types_mapper=pd.ArrowDtype)
+            out[rest] = others[rest]
+        return out
 
+    rest = _rest(docs)
+    schema = T.StructType([*T._parse_datatype_string("key long, kept binary, n_words long, n_removed long"), *docs.select(*rest).schema])
     sent = groups.groupBy("g").applyInPandas(send, "home int, g long, kind int, blob binary")
     told = written(sent.groupBy("home").applyInPandas(answer, "g long, kind int, blob binary"), "answers")
     around = groups.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(extend, "home int, g long, blob binary")
     settled = written(around.groupBy("home").applyInPandas(settle, "g long, blob binary"), "settled")
     told = told.unionByName(settled.withColumn("kind", F.lit(2)))
-    return groups.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(keep, "key long, kept binary, n_words long, n_removed long")
+    return groups.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(keep, schema)
 
 
 def _hashes(words: Words, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,15 +380,15 @@ def _place(h: np.ndarray, more: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 NO_ID = -(2**63)
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, kept (text), n_words and n_removed for each row of ``docs`` (doc_id, text).
+def deduplicated(docs: DataFrame, window: int = WINDOW, carry: str | None = None) -> DataFrame:
+    """doc_id, kept (text), n_words, n_removed and the column ``carry`` for each row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null texts have no words. Rows of one doc_id don't count as earlier than each other, and a null id
     is smaller than any. An empty table gives no rows. Other columns are ignored.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return repeats(keyed, window).select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *([carry] if carry else []))
+    return repeats(keyed, window).select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed", *([carry] if carry else []))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
