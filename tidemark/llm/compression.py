@@ -16,7 +16,7 @@ from .common import table
 #: Labelled rows of either class that a fit reads, and the longest text among them in bytes: the fit's bound.
 FIT_ROWS, FIT_BYTES = 3000, 100_000
 #: A dictionary's bytes, and the pieces that a text is compressed in: in a long text without pieces, its own words would do the dictionary's work.
-DICTIONARY_BYTES, PIECE, LEVEL = 524_288, 2048, 3
+DICTIONARY_BYTES, PIECE, LEVEL = 524_288, 2048, 12
 THRESHOLD = 0.7
 
 
@@ -72,33 +72,35 @@ def difference(text: bytes, good: bytes, bad: bytes) -> float:
     return (b - g) / (b + g) if b + g else 0.0
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (x, y), by Newton's method with a slight pull to a flat curve."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through weighted (x, y), by Newton's method with a slight pull to a flat curve."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w + np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-3 * np.diag([1e-3, 1.0]), a.T @ (y - p) - 1e-3 * w * [1e-3, 1.0])
+        w = w + np.linalg.solve((a.T * (weight * p * (1 - p))) @ a + 1e-3 * np.diag([1e-3, 1.0]), a.T @ (weight * (y - p)) - 1e-3 * w * [1e-3, 1.0])
     return float(w[0]), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on ``rows`` labelled documents of either class at most, none held out: half make the dictionaries, half the curve.
 
-    Rows are taken by a hash of doc_id. Without labels of both classes every score is the share of label 1, or a half.
+    Rows are taken by a hash of doc_id, and the curve weighs either class as often as it is labelled. Without labels of both classes every score is the share of label 1, or a half.
     """
     labelled = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    often = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = [labelled.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids
     found = docs.join(chosen, "doc_id").where(F.octet_length("text").between(1, FIT_BYTES)).select("doc_id", "quality", "text").collect()
     found = sorted({(r["doc_id"], r["quality"]): r["text"].encode() for r in found}.items(), key=lambda r: r[0])
     classes = [[x for (_, q), x in found if q == c] for c in (0, 1)]
-    share = len(classes[1]) / len(found) if found else 0.5
+    share = often.get(1, 0) / max(1, sum(often.values())) if often else 0.5
     if not all(len(c) >= 4 for c in classes):
         return Model(b"", b"", 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     good, bad = dictionaries(classes[1][::2], classes[0][::2])
     rest = [(difference(x, good, bad), q) for q, c in enumerate(classes) for x in c[1::2]]
-    slope, offset = calibrate(np.array([d for d, _ in rest]), np.array([q for _, q in rest], float))
+    y = np.array([q for _, q in rest])
+    slope, offset = calibrate(np.array([d for d, _ in rest]), y.astype(float), np.array([often[q] / (y == q).sum() for q in y]) * len(y) / sum(often.values()))
     return Model(good, bad, slope, offset)
 
 
