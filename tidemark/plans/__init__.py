@@ -1,6 +1,6 @@
 """Queries by name: what runs on Spark, and the same in DuckDB SQL."""
 
-from . import primitives
+from . import domain, primitives
 from .fixtures import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "primitives"]
+__all__ = ["QUERIES", "SQL", "domain", "primitives"]

@@ -49,7 +49,7 @@ class Tables:
 
     @cached_property
     def consensus(self) -> DataFrame:
-        return self.lineitem.select(F.col("l_suppkey").alias("ticker"), F.year("l_shipdate").alias("fy"), F.quarter("l_shipdate").alias("q"), F.to_date("l_shipdate").alias("at"), F.when(F.col("l_orderkey") % 2 == 0, "A").otherwise("B").alias("source"), F.col("l_extendedprice").alias("sales"), F.when(F.col("l_orderkey") % 3 > 0, F.col("l_extendedprice") / 10).alias("profit"), *ROW)
+        return self.lineitem.select(F.col("l_suppkey").alias("ticker"), F.year("l_shipdate").alias("fy"), F.quarter("l_shipdate").alias("q"), F.to_date("l_shipdate").alias("dated"), F.when(F.col("l_orderkey") % 2 == 0, "A").otherwise("B").alias("source"), F.col("l_extendedprice").alias("sales"), F.when(F.col("l_orderkey") % 3 > 0, F.col("l_extendedprice") / 10).alias("profit"), *ROW)
 
     @cached_property
     def fin_quarters(self) -> DataFrame:
@@ -97,7 +97,7 @@ CTES = {
     "bars10": _bars_sql("l_suppkey % 10"),
     "market": f"SELECT {_DAY} AS d, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY 1",
     "calendar": f"SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT {_DAY} AS d FROM lineitem)",
-    "consensus": f"SELECT l_suppkey AS ticker, year(l_shipdate) AS fy, quarter(l_shipdate) AS q, {_DAY} AS at, CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS source, l_extendedprice AS sales, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice / 10 END AS profit, {_ROW_SQL} FROM lineitem",
+    "consensus": f"SELECT l_suppkey AS ticker, year(l_shipdate) AS fy, quarter(l_shipdate) AS q, {_DAY} AS dated, CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS source, l_extendedprice AS sales, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice / 10 END AS profit, {_ROW_SQL} FROM lineitem",
     "fin_quarters": f"SELECT l_suppkey AS ticker, year(l_shipdate) AS fy, quarter(l_shipdate) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS own, max({_DAY}) AS disclosed FROM lineitem GROUP BY 1, 2, 3",
     "fin_first": "SELECT ticker, fy, CASE WHEN n = 4 THEN 'FY' ELSE n || 'Q' END AS q, n, disclosed, CAST(sum(own) OVER (PARTITION BY ticker, fy ORDER BY n) AS DOUBLE) AS sales FROM fin_quarters",
     "fin_cum": "SELECT * FROM fin_first UNION ALL SELECT ticker, fy, q, n, disclosed + 5, sales * 1.01 FROM fin_first WHERE (ticker + n) % 7 = 0",
