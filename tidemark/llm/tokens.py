@@ -9,10 +9,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, table, written
+from .common import batched, scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
@@ -74,15 +75,16 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """part, row, doc_id, record: the documents of each task, each closed by END, cut into sequences of SEQUENCE tokens.
+    """part, row, record (compressed): the documents of each task, each closed by END, cut into sequences of SEQUENCE tokens.
 
-    Only the last sequence of a task is shorter. doc_id is that of its first token's document. Write the result before use:
-    part and row are the task's and the place in it.
+    Only the last sequence of a task is shorter. part and row are the task's number and the place in it, the same in each
+    attempt, as a task's files are.
     """
-    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("record", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row = encoder().encode, TaskContext.get().partitionId(), 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         ids, owners = np.zeros(0, "<u2"), np.zeros(0, "<i8")
 
         def cut(last: bool) -> pa.RecordBatch:
@@ -94,7 +96,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 records[k]["doc_id"], records[k]["length"], records[k]["ids"][: len(own)] = owners[k * SEQUENCE], len(own), own
             ids, owners = ids[n * SEQUENCE :], owners[n * SEQUENCE :]
             row += n
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.arange(row - n, row)), pa.array(records["doc_id"]), pa.array([x.tobytes()[:-1] for x in records], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.arange(row - n, row)), pa.array([squeeze(x.tobytes()[:-1]) for x in records], pa.binary())], schema=schema)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
@@ -105,55 +107,68 @@ def sequences(docs: DataFrame) -> DataFrame:
         if len(ids):
             yield cut(True)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "part int, row long, doc_id long, record binary")
+    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "part int, row long, record binary")
 
 
-def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> int:
-    """Write the sequences of ``docs`` in a keyed global order as shards under ``path``; returns how many there are.
+def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> None:
+    """Write the sequences of ``docs`` in a keyed global order as shards under ``path``, SHARD_ROWS each or so.
 
-    Slot s is row s % shard_rows of the file in shard=s // shard_rows, RECORD.itemsize bytes each, so that a reader seeks
-    to any slot and resumes there. Sequences are numbered by task and row: the offsets are one number for each task.
+    A sequence's number is its task's, times more than any task can have, plus its place there. So numbers need no count of
+    the sequences, which nothing else would need, either, and texts are encoded once. The permutation of all numbers gives
+    the slots; equal ranges of slots are the shards. Row r of shard s is the sequence at position (rows of earlier shards)
+    + r, RECORD.itemsize bytes each, so a reader seeks to any position by the files' lengths alone and resumes there.
     """
-    rows = written(sequences(docs), "sequences")
-    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts, n = {}, 0
-    for part in sorted(counts):
-        starts[part], n = n, n + counts[part]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
+    most = (size["bytes"] + size["docs"]) // SEQUENCE + 1  # a token has a byte at least
+    rows = sequences(docs)
+    n = rows.rdd.getNumPartitions() * most
+    shards = max(1, size["bytes"] // (2 * SEQUENCE * shard_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, row = batch.column("part").to_numpy(), batch.column("row").to_numpy()
-            slots = feistel(np.array([starts[p] for p in part], np.int64) + row, n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column("record")], names=["slot", "record"])
+            slots = feistel(batch.column("part").to_numpy().astype(np.int64) * most + batch.column("row").to_numpy(), n, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // -(-n // shards)), batch.column("record")], names=["slot", "shard", "record"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                some = batch.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([expand(x.as_py()) for x in some.column(2)], pa.binary())], names=["slot", "shard", "record"])
 
-    placed = rows.mapInArrow(place, "slot long, record binary").withColumn("shard", F.expr(f"slot div {shard_rows}"))
-    placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
-    return n
+    placed = rows.mapInArrow(place, "slot long, shard long, record binary")
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(unpack, "slot long, shard long, record binary")  # records travel compressed
+    dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
 
 
-def read_training_order(spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """slot, doc_id, length, ids (bytes of the ids that count) from the shards under ``path``."""
-    schema = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+def read_training_order(spark: SparkSession, path: str) -> DataFrame:
+    """position, doc_id, length, ids (bytes of the ids that count) from the shards under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
+    sizes = files.select(shard.alias("shard"), F.expr(f"length div {RECORD.itemsize}").alias("rows")).collect()  # a row for each file
+    starts, n = {}, 0
+    for r in sorted(sizes):
+        starts[r["shard"]], n = n, n + r["rows"]
+    schema = pa.schema([("position", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard, records = int(name.rpartition("shard=")[2].split("/")[0]), np.frombuffer(content.as_buffer(), RECORD)
+            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                records = np.frombuffer(content.as_buffer(), RECORD)
                 for k in range(0, len(records), 500):
                     some = records[k : k + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard * shard_rows + np.arange(k, k + len(some))), pa.array(some["doc_id"].copy()), pa.array(some["length"].astype("i8")), pa.array([x["ids"][: x["length"]].tobytes() for x in some], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(starts[number] + np.arange(k, k + len(some))), pa.array(some["doc_id"].copy()), pa.array(some["length"].astype("i8")), pa.array([x["ids"][: x["length"]].tobytes() for x in some], pa.binary())], schema=schema)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, "slot long, doc_id long, length long, ids binary")
+    return files.select(shard.alias("shard"), "content").mapInArrow(run, "position long, doc_id long, length long, ids binary")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as sequences in training order, written as shards and read back: slot, doc_id, length, ids_crc32.
+    """All documents as sequences in training order, written as shards and read back: position, doc_id (of the document that
+    the first token is of), length, ids_crc32.
 
     Null and empty texts are END alone. A null doc_id is -1 in a record. Repeated rows are kept each. An empty table gives
     no shards and no rows.
     """
     path = scratch(spark, "training-order")
-    docs = table(spark, sf_dir, "documents")
-    if not write_training_order(docs, path):
-        return spark.createDataFrame([], "slot long, doc_id long, length long, ids_crc32 long")
-    return read_training_order(spark, path).select("slot", "doc_id", "length", F.crc32("ids").alias("ids_crc32"))
+    write_training_order(table(spark, sf_dir, "documents"), path)
+    return read_training_order(spark, path).select("position", "doc_id", "length", F.crc32("ids").alias("ids_crc32"))
