@@ -27,8 +27,7 @@ def asof_join(
     both = x.unionByName(r, allowMissingColumns=True)
     side = F.col("_side").desc() if strict else F.col("_side").asc()  # at equal times: who comes first
     at = F.col("_at").asc() if back else F.col("_at").desc()
-    within = F.col("_order").asc() if back else F.col("_order").desc()
-    w = Window.partitionBy(*keys).orderBy(at, side, within).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(at, side, F.col("_order").asc()).rowsBetween(Window.unboundedPreceding, 0)
     match = F.when(F.col("_at").isNotNull(), F.last("_r", ignorenulls=True).over(w))
     out = both.withColumn("_m", match).where("_side = 1").select("_l.*", *(F.col(f"_m.{c}").alias(prefix + c) for c in payload))
     if tolerance is not None:

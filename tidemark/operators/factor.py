@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.maths import normal_tail, ratio
+from ..functions.maths import correlation, normal_tail, ratio
 from .windows import cross_rank, over
 
 
@@ -32,7 +32,7 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 10)
     """n, ic (Spearman's rank correlation, ties averaged), Pearson's r and p (normal) by group; null under ``least`` pairs."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     x = cross_rank(cross_rank(x, by, a, "_ra"), by, b, "_rb")
-    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("ic"), F.corr(a, b).alias("pearson")).where(F.col("n") >= least)
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("ic"), correlation(a, b).alias("pearson")).where(F.col("n") >= least)
     return g.withColumn("p", normal_tail(F.col("ic") * F.sqrt(F.col("n") - 1)))
 
 

@@ -11,7 +11,11 @@ from ..operators.windows import latest_by, over, top_n
 from .fixtures import ROW, query, rounded
 
 c = F.col
-W = over(["ticker"], ["d"])
+
+
+def w():
+    return over(["ticker"], ["d"])
+
 _ROW_DESC = "l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_quantity DESC"
 
 
@@ -144,7 +148,7 @@ query("d51_sector_weekly", _sector_week, _WEEKLY + "SELECT sector, week, round(a
 # Events and backtests
 query("d14_event_study", lambda t: rounded(backtest.event_study(t.corp_events, t.bars, (5, 20), (1, 5)), 5), "WITH p AS (SELECT ticker, d, close, volume, close / lag(close, 5) OVER w - 1 AS b5, close / lag(close, 20) OVER w - 1 AS b20, lead(close, 1) OVER w / close - 1 AS a1, lead(close, 5) OVER w / close - 1 AS a5, avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS vr FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)) SELECT e.ticker, e.event_d, p.d, round(close, 5) AS close, round(volume, 5) AS volume, round(b5, 5) AS b5, round(b20, 5) AS b20, round(a1, 5) AS a1, round(a5, 5) AS a5, round(vr, 5) AS volume_ratio FROM corp_events e ASOF LEFT JOIN p ON p.ticker = e.ticker AND e.event_d >= p.d")
 query("d15_abnormal_returns", lambda t: rounded(backtest.abnormal_returns(t.corp_events, t.bars, t.market, (20, 60)).select("ticker", "event_d", "d", "car20", "car60"), 5), "WITH m AS (SELECT d, lead(close, 20) OVER (ORDER BY d) / close - 1 AS m20, lead(close, 60) OVER (ORDER BY d) / close - 1 AS m60 FROM market), p AS (SELECT b.ticker, b.d, lead(close, 20) OVER w / close - 1 - m20 AS c20, lead(close, 60) OVER w / close - 1 - m60 AS c60 FROM bars b JOIN m ON m.d = b.d WINDOW w AS (PARTITION BY ticker ORDER BY b.d)) SELECT e.ticker, e.event_d, p.d, round(c20, 5) AS car20, round(c60, 5) AS car60 FROM corp_events e ASOF LEFT JOIN p ON p.ticker = e.ticker AND e.event_d >= p.d")
-query("d22_detection_grid", lambda t: rounded(t.bars10.withColumn("score", F.max("volume").over(W.rowsBetween(-30, -1))).withColumn("hit", c("ticker") % 2 == 0).crossJoin(F.broadcast(t.spark.createDataFrame([(60.0,), (90.0,), (120.0,)], "th double"))).groupBy("th").agg(F.avg(F.when(c("hit"), (c("score") >= c("th")).cast("double"))).alias("tpr"), F.avg(F.when(~c("hit"), (c("score") >= c("th")).cast("double"))).alias("fpr")), 5), "WITH x AS (SELECT ticker % 2 = 0 AS hit, max(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS score FROM bars10) SELECT th, round(avg(CASE WHEN hit THEN CASE WHEN score >= th THEN 1.0 WHEN score < th THEN 0.0 END END), 5) AS tpr, round(avg(CASE WHEN NOT hit THEN CASE WHEN score >= th THEN 1.0 WHEN score < th THEN 0.0 END END), 5) AS fpr FROM x, (VALUES (60.0::DOUBLE), (90.0), (120.0)) v(th) GROUP BY 1")
+query("d22_detection_grid", lambda t: rounded(t.bars10.withColumn("score", F.max("volume").over(w().rowsBetween(-30, -1))).withColumn("hit", c("ticker") % 2 == 0).crossJoin(F.broadcast(t.spark.createDataFrame([(60.0,), (90.0,), (120.0,)], "th double"))).groupBy("th").agg(F.avg(F.when(c("hit"), (c("score") >= c("th")).cast("double"))).alias("tpr"), F.avg(F.when(~c("hit"), (c("score") >= c("th")).cast("double"))).alias("fpr")), 5), "WITH x AS (SELECT ticker % 2 = 0 AS hit, max(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS score FROM bars10) SELECT th, round(avg(CASE WHEN hit THEN CASE WHEN score >= th THEN 1.0 WHEN score < th THEN 0.0 END END), 5) AS tpr, round(avg(CASE WHEN NOT hit THEN CASE WHEN score >= th THEN 1.0 WHEN score < th THEN 0.0 END END), 5) AS fpr FROM x, (VALUES (60.0::DOUBLE), (90.0), (120.0)) v(th) GROUP BY 1")
 query("d41_net_stages", lambda t: rounded(backtest.net_stages(t.market.withColumn("r", F.coalesce(c("close") / F.lag("close").over(Window.orderBy("d")) - 1, F.lit(0.0))).withColumn("turnover", F.lit(0.5)), "r", "turnover", 0.001, 0.02, 0.2).select("d", "gross", "net", "after_tax")), "WITH x AS (SELECT d, coalesce(close / lag(close) OVER (ORDER BY d) - 1, 0) AS r FROM market), y AS (SELECT d, r, r - 0.5 * 0.001 - 0.02 / 252 AS net FROM x) SELECT d, round(r, 6) AS gross, round(net, 6) AS net, round(CASE WHEN net > 0 THEN net * 0.8 ELSE net END, 6) AS after_tax FROM y")
 query("d42_paper_profit", lambda t: rounded(backtest.paper_profit(touches(t).select("ticker", "d", "side"), t.bars10, 1e5), 2), _TOUCH + ", pp AS (SELECT g.d, 1e5 * CASE WHEN side = 'SHORT' THEN -(b.close / b.open - 1) ELSE b.close / b.open - 1 END AS p FROM sig g JOIN bars10 b ON b.ticker = g.ticker AND b.d = g.d), yy AS (SELECT d, sum(p) AS profit, count(*) AS trades FROM pp GROUP BY 1) SELECT d, round(profit, 2) AS profit, trades, round(sum(profit) OVER (ORDER BY d), 2) AS cumulative FROM yy")
 query("d43_overlapping_holds", lambda t: rounded(backtest.overlapping_holds(t.bars, "volume", 0.2, 20), 5), "WITH q AS (SELECT *, quantile_cont(volume, 0.8) OVER (PARTITION BY d) AS cut FROM bars), x AS (SELECT d, max(CASE WHEN volume >= cut THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS held, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS r FROM q) SELECT d, round(avg(r), 5) AS r, count(*) AS names FROM x WHERE held = 1 AND r IS NOT NULL GROUP BY 1")
@@ -177,11 +181,11 @@ query("m1_spearman", lambda t: rounded(factor.spearman(backtest.own_forward_retu
 query("m4_rank_sum", lambda t: rounded(factor.rank_sum_test(t.orders.withColumn("urgent", c("o_orderpriority") == "1-URGENT"), ["o_orderstatus"], "o_totalprice", "urgent"), 4), "WITH r AS (SELECT o_orderstatus, o_orderpriority = '1-URGENT' AS g, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2 AS r FROM orders), s AS (SELECT o_orderstatus, sum(r) FILTER (g) AS rs, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM r GROUP BY 1) SELECT o_orderstatus, n1, n2, round(rs - n1 * (n1 + 1) / 2, 4) AS u, round((rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 4) AS z FROM s")
 query("m11_lift", lambda t: rounded(factor.lift_at(t.bars10.withColumn("label", c("close") > c("open")).withColumn("s", c("volume") + c("ticker") / 100 + F.datediff("d", F.lit("1990-01-01").cast("date")) / 1e6), ["ticker"], "s", "label", (0.05, 0.2)), 5), "WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY volume + ticker / 100 + (d - DATE '1990-01-01') / 1e6 DESC) AS rk, count(*) OVER (PARTITION BY ticker) AS n, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY ticker) AS base, CASE WHEN close > open THEN 1.0 ELSE 0.0 END AS y FROM bars10) SELECT ticker, share, count(*) AS n, round(avg(y) / nullif(max(base), 0), 5) AS lift FROM x, (VALUES (0.05::DOUBLE), (0.2)) v(share) WHERE rk <= greatest(1, floor(n * share)) GROUP BY ALL")
 query("t5_d82_positions", lambda t: factor.long_short(t.bars.select("ticker", "d", "volume"), "d", "volume", 3, "ticker"), "SELECT ticker, d, volume, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY volume DESC, ticker) <= 3 THEN 'LONG' WHEN row_number() OVER (PARTITION BY d ORDER BY volume, ticker) <= 3 THEN 'SHORT' ELSE 'NONE' END AS position FROM bars")
-query("d21_a21_factors", lambda t: rounded(factor.equal_weight_factors(t.bars.join(F.broadcast(t.master.select("ticker", "sector", "size")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(W))).where("r is not null"), "d", "r", ["sector", "size"]).select("ticker", "d", "mkt", "f_sector", "f_size"), 5), "WITH x AS (SELECT b.ticker, d, sector, size, ln(close / lag(close) OVER (PARTITION BY b.ticker ORDER BY d)) AS r FROM bars b JOIN master USING (ticker) QUALIFY r IS NOT NULL) SELECT ticker, d, round(avg(r) OVER (PARTITION BY d), 5) AS mkt, round(avg(r) OVER (PARTITION BY d, sector) - avg(r) OVER (PARTITION BY d), 5) AS f_sector, round(avg(r) OVER (PARTITION BY d, size) - avg(r) OVER (PARTITION BY d), 5) AS f_size FROM x")
+query("d21_a21_factors", lambda t: rounded(factor.equal_weight_factors(t.bars.join(F.broadcast(t.master.select("ticker", "sector", "size")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null"), "d", "r", ["sector", "size"]).select("ticker", "d", "mkt", "f_sector", "f_size"), 5), "WITH x AS (SELECT b.ticker, d, sector, size, ln(close / lag(close) OVER (PARTITION BY b.ticker ORDER BY d)) AS r FROM bars b JOIN master USING (ticker) QUALIFY r IS NOT NULL) SELECT ticker, d, round(avg(r) OVER (PARTITION BY d), 5) AS mkt, round(avg(r) OVER (PARTITION BY d, sector) - avg(r) OVER (PARTITION BY d), 5) AS f_sector, round(avg(r) OVER (PARTITION BY d, size) - avg(r) OVER (PARTITION BY d), 5) AS f_size FROM x")
 
 
 def _residuals(t):
-    x = t.bars.withColumn("r", F.log(c("close") / F.lag("close").over(W))).where("r is not null").withColumn("mkt", F.avg("r").over(over(["d"]))).withColumn("y", F.year("d"))
+    x = t.bars.withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null").withColumn("mkt", F.avg("r").over(over(["d"]))).withColumn("y", F.year("d"))
     return rounded(factor.factor_residuals(x.select("ticker", "d", "y", "r", "mkt"), ["mkt"], "r", ["ticker", "y"]).select("ticker", "d", "residual", "r_squared"), 5)
 
 
@@ -199,7 +203,7 @@ query("d52_lag_correlation", lambda t: rounded(factor.lag_correlation(t.bars10,
 
 
 def _kill(t):
-    daily = factor.spearman(t.bars.withColumn("f1", F.log(F.lead("close").over(W) / c("close"))), ["d"], "volume", "f1", 5).select("d", "ic")
+    daily = factor.spearman(t.bars.withColumn("f1", F.log(F.lead("close").over(w()) / c("close"))), ["d"], "volume", "f1", 5).select("d", "ic")
     return rounded(factor.kill_switch(daily, "d", "ic", 20, 0.0).select("d", "rolling_ic", "killed", "switched"), 5)
 
 
@@ -223,7 +227,7 @@ query("d35_pairs", lambda t: t.customer.groupBy("c_nationkey").agg(F.min("c_cust
 
 # Scores
 query("d29_d30_d78_classes", lambda t: rounded(scoring.accuracy(backtest.own_forward_returns(t.bars10, (1,)).withColumn("s", (c("volume") % 7) - 3), "s", "f1"), 5), "WITH x AS (SELECT volume % 7 - 3 AS s, lead(close) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS r FROM bars10), y AS (SELECT *, CASE WHEN s >= 2 THEN 'UP' WHEN s <= -2 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted, CASE WHEN r > 0.02 THEN 'UP' WHEN r < -0.02 THEN 'DOWN' WHEN r IS NOT NULL THEN 'NEUTRAL' END AS actual FROM x) SELECT predicted, count(*) AS n, round(avg(CASE WHEN predicted = actual THEN 1.0 WHEN actual IS NOT NULL THEN 0.0 END), 5) AS hit_rate, round(avg(r), 5) AS mean, round(median(r), 5) AS median FROM y GROUP BY 1")
-query("d70_reaction", lambda t: rounded(asof_join(t.corp_events.withColumn("intraday", c("ticker") % 2 == 0), t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close").over(W)) - 1).alias("same"), (ratio(F.lead("close").over(W), c("close")) - 1).alias("next")), ["ticker"], "event_d", "d").select("ticker", "event_d", F.when(c("intraday"), c("r_same")).otherwise(c("r_next")).alias("reaction"))), "WITH p AS (SELECT ticker, d, close / lag(close) OVER w - 1 AS same, lead(close) OVER w / close - 1 AS nxt FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)) SELECT e.ticker, e.event_d, round(CASE WHEN e.ticker % 2 = 0 THEN same ELSE nxt END, 6) AS reaction FROM corp_events e ASOF LEFT JOIN p ON p.ticker = e.ticker AND e.event_d >= p.d")
+query("d70_reaction", lambda t: rounded(asof_join(t.corp_events.withColumn("intraday", c("ticker") % 2 == 0), t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close").over(w())) - 1).alias("same"), (ratio(F.lead("close").over(w()), c("close")) - 1).alias("next")), ["ticker"], "event_d", "d").select("ticker", "event_d", F.when(c("intraday"), c("r_same")).otherwise(c("r_next")).alias("reaction"))), "WITH p AS (SELECT ticker, d, close / lag(close) OVER w - 1 AS same, lead(close) OVER w / close - 1 AS nxt FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)) SELECT e.ticker, e.event_d, round(CASE WHEN e.ticker % 2 = 0 THEN same ELSE nxt END, 6) AS reaction FROM corp_events e ASOF LEFT JOIN p ON p.ticker = e.ticker AND e.event_d >= p.d")
 query("d62_reconciliation", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(c("l_tax") == 0, "NODATA").when(F.least(*(F.abs(c("l_discount") * k - c("l_tax")) for k in (1, 10, 100))) < 0.005, "OK").otherwise("NG").alias("status")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0 THEN 'NODATA' WHEN least(abs(l_discount * 1 - l_tax), abs(l_discount * 10 - l_tax), abs(l_discount * 100 - l_tax)) < 0.005 THEN 'OK' ELSE 'NG' END AS status FROM lineitem")
 query("d79_exclusions", lambda t: t.customer.join(t.orders.where("o_orderstatus = 'P' and o_orderpriority not like '5%'").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority NOT LIKE '5%')")
 query("d81_flatten", lambda t: t.events.select("event_id", F.explode_outer(F.from_json("props", "map<string,string>")).alias("key", "value")), "SELECT event_id, u.key, json_extract_string(props, '$.' || u.key) AS value FROM events, LATERAL (SELECT unnest(json_keys(props)) AS key) u")

@@ -14,7 +14,11 @@ from ..sources.tables import duplicates, first_nonempty, replaced, update_from,
 from .fixtures import query, rounded
 
 c = F.col
-W = over(["ticker"], ["d"])
+
+
+def w():
+    return over(["ticker"], ["d"])
+
 
 # Sources and sinks
 query("s3_parameters", lambda t: t.spark.sql("SELECT l_returnflag, count(*) AS n FROM {li} WHERE l_quantity >= :least AND array_contains(:modes, l_returnflag) GROUP BY 1", args={"least": 10, "modes": F.array(F.lit("A"), F.lit("N"))}, li=t.lineitem), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 10 AND l_returnflag IN ('A', 'N') GROUP BY 1")
@@ -55,9 +59,9 @@ query("j6_window_join", lambda t: rounded(window_join(t.corp_events, t.bars.sele
 _ASOF = "SELECT e.ticker, e.event_d, {pick}(b.d) AS r_d, round(arg_{pick}(b.close, b.d), 6) AS r_close FROM corp_events e LEFT JOIN bars b ON b.ticker = e.ticker AND b.d {op} e.event_d{more} GROUP BY 1, 2"
 for _name, _direction, _strict, _op, _pick in (("j8_asof_backward", "backward", False, "<=", "max"), ("j9_asof_strict", "backward", True, "<", "max"), ("j10_asof_forward", "forward", True, ">", "min")):
     query(_name, lambda t, d=_direction, s=_strict: rounded(asof_join(t.corp_events, t.bars.select("ticker", "d", "close"), ["ticker"], "event_d", "d", direction=d, strict=s, tolerance=F.abs(F.datediff("r_d", "event_d")) <= 7 if d == "forward" else None)), _ASOF.format(op=_op, pick=_pick, more=" AND b.d <= e.event_d + 7" if _direction == "forward" else ""))
-query("j11_offset_rows", lambda t: rounded(t.bars.select("ticker", "d", F.lag("close", 3).over(W).alias("before"), F.lead("close", 3).over(W).alias("after"))), "SELECT ticker, d, round(lag(close, 3) OVER w, 6) AS before, round(lead(close, 3) OVER w, 6) AS after FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
+query("j11_offset_rows", lambda t: rounded(t.bars.select("ticker", "d", F.lag("close", 3).over(w()).alias("before"), F.lead("close", 3).over(w()).alias("after"))), "SELECT ticker, d, round(lag(close, 3) OVER w, 6) AS before, round(lead(close, 3) OVER w, 6) AS after FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
 query("j12_j13_semi_anti", lambda t: t.customer.join(t.orders.where("o_orderstatus = 'P'"), c("c_custkey") == c("o_custkey"), "left_semi").join(t.orders.where("o_orderpriority like '1%'").select(c("o_custkey").alias("k")), c("c_custkey") == c("k"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
-query("j16_row_range_mean", lambda t: rounded(t.bars.select("ticker", "d", F.avg("volume").over(W.rowsBetween(-20, -1)).alias("mean20"))), "SELECT ticker, d, round(avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS mean20 FROM bars")
+query("j16_row_range_mean", lambda t: rounded(t.bars.select("ticker", "d", F.avg("volume").over(w().rowsBetween(-20, -1)).alias("mean20"))), "SELECT ticker, d, round(avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS mean20 FROM bars")
 query("j17_latest_by_max", lambda t: rounded(t.bars.groupBy("ticker").agg(F.max("d").alias("d"), F.max_by("close", "d").alias("close"))), "SELECT ticker, max(d) AS d, round(arg_max(close, d), 6) AS close FROM bars GROUP BY 1")
 
 
@@ -90,20 +94,20 @@ query("a24_argmax_row", lambda t: t.bars.groupBy("ticker").agg(F.max_by(F.struct
 
 # Windows
 query("w1_latest_revision", lambda t: rounded(latest_by(t.fin_cum, ["ticker", "fy", "q"], [c("disclosed").desc(), c("sales").desc()]), 2), "SELECT ticker, fy, q, n, disclosed, round(sales, 2) AS sales FROM fin_cum QUALIFY row_number() OVER (PARTITION BY ticker, fy, q ORDER BY disclosed DESC, sales DESC) = 1")
-query("w4_w7_moving", lambda t: rounded(t.bars.select("ticker", "d", F.avg("close").over(W.rowsBetween(-19, 0)).alias("ma"), F.max("high").over(W.rowsBetween(-19, 0)).alias("hi"), F.min("low").over(W.rowsBetween(-19, 0)).alias("lo"), F.max("high").over(W.rowsBetween(1, 20)).alias("ahead"), F.stddev_samp("close").over(W.rowsBetween(-19, 0)).alias("sd"), F.count("*").over(W.rowsBetween(-19, 0)).alias("n")), 5), "SELECT ticker, d, round(avg(close) OVER w, 5) AS ma, round(max(high) OVER w, 5) AS hi, round(min(low) OVER w, 5) AS lo, round(max(high) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), 5) AS ahead, round(stddev_samp(close) OVER w, 5) AS sd, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING)")
+query("w4_w7_moving", lambda t: rounded(t.bars.select("ticker", "d", F.avg("close").over(w().rowsBetween(-19, 0)).alias("ma"), F.max("high").over(w().rowsBetween(-19, 0)).alias("hi"), F.min("low").over(w().rowsBetween(-19, 0)).alias("lo"), F.max("high").over(w().rowsBetween(1, 20)).alias("ahead"), F.stddev_samp("close").over(w().rowsBetween(-19, 0)).alias("sd"), F.count("*").over(w().rowsBetween(-19, 0)).alias("n")), 5), "SELECT ticker, d, round(avg(close) OVER w, 5) AS ma, round(max(high) OVER w, 5) AS hi, round(min(low) OVER w, 5) AS lo, round(max(high) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), 5) AS ahead, round(stddev_samp(close) OVER w, 5) AS sd, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING)")
 query("w8_anchored_sum", lambda t: t.bars.select("ticker", "d", F.sum("volume").over(Window.partitionBy("ticker", F.date_trunc("week", "d")).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("volume")), "SELECT ticker, d, sum(volume) OVER (PARTITION BY ticker, date_trunc('week', d) ORDER BY d ROWS UNBOUNDED PRECEDING) AS volume FROM bars")
 query("w11_nearest_two_sides", lambda t: t.corp_events.join(t.bars.select("ticker", "d"), "ticker").where("d <> event_d").withColumn("side", F.when(c("d") < c("event_d"), "PREV").otherwise("AFTER")).withColumn("k", F.row_number().over(Window.partitionBy("ticker", "event_d", "side").orderBy(F.abs(F.datediff("d", "event_d"))))).where("k <= 2").select("ticker", "event_d", "side", "k", "d"), "SELECT ticker, event_d, CASE WHEN d < event_d THEN 'PREV' ELSE 'AFTER' END AS side, CAST(row_number() OVER (PARTITION BY ticker, event_d, d < event_d ORDER BY abs(d - event_d)) AS INTEGER) AS k, d FROM corp_events JOIN bars USING (ticker) WHERE d <> event_d QUALIFY k <= 2")
 query("w12_revision_number", lambda t: t.fin_cum.select("ticker", "fy", "q", "disclosed", F.row_number().over(over(["ticker", "fy", "q"], ["disclosed", "sales"])).alias("revision")), "SELECT ticker, fy, q, disclosed, CAST(row_number() OVER (PARTITION BY ticker, fy, q ORDER BY disclosed, sales) AS INTEGER) AS revision FROM fin_cum")
-query("w13_rolling_rank", lambda t: rounded(t.bars10.select("ticker", "d", rolling_rank("volume", W, 60).alias("rank"))), "SELECT ticker, d, CASE WHEN len(h) >= 60 THEN round((len(list_filter(h, lambda x: x < volume)) + (len(list_filter(h, lambda x: x = volume)) + 1) / 2) / len(h), 6) END AS rank FROM (SELECT ticker, d, volume, list(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 59 PRECEDING) AS h FROM bars10)")
+query("w13_rolling_rank", lambda t: rounded(t.bars10.select("ticker", "d", rolling_rank("volume", w(), 60).alias("rank"))), "SELECT ticker, d, CASE WHEN len(h) >= 60 THEN round((len(list_filter(h, lambda x: x < volume)) + (len(list_filter(h, lambda x: x = volume)) + 1) / 2) / len(h), 6) END AS rank FROM (SELECT ticker, d, volume, list(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 59 PRECEDING) AS h FROM bars10)")
 query("w14_cross_rank", lambda t: rounded(cross_rank(t.bars.select("ticker", "d", "volume"), ["d"], "volume", "rank")), "SELECT ticker, d, volume, round((rank() OVER (PARTITION BY d ORDER BY volume) + (count(*) OVER (PARTITION BY d, volume) - 1) / 2) / count(*) OVER (PARTITION BY d), 6) AS rank FROM bars")
-query("w15_rolling_median", lambda t: rounded(t.bars10.select("ticker", "d", rolling_median("close", W, 21).alias("m"))), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 21 THEN round(median(close) OVER w, 6) END AS m FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 20 PRECEDING)")
-query("w16_rolling_correlation", lambda t: rounded(t.bars10.select("ticker", "d", rolling(F.corr("close", "volume"), c("close"), W, 30).alias("r")), 5), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 30 THEN round(corr(close, volume) OVER w, 5) END AS r FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING)")
+query("w15_rolling_median", lambda t: rounded(t.bars10.select("ticker", "d", rolling_median("close", w(), 21).alias("m"))), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 21 THEN round(median(close) OVER w, 6) END AS m FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 20 PRECEDING)")
+query("w16_rolling_correlation", lambda t: rounded(t.bars10.select("ticker", "d", rolling(F.corr("close", "volume"), c("close"), w(), 30).alias("r")), 5), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 30 THEN round(corr(close, volume) OVER w, 5) END AS r FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING)")
 query("w17_streak", lambda t: streak(t.bars.select("ticker", "d", "volume"), ["ticker"], ["d"], c("volume") > 25, "run"), "WITH x AS (SELECT ticker, d, volume, volume > 25 AS f, sum(CASE WHEN volume > 25 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY d) AS g FROM bars) SELECT ticker, d, volume, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, g ORDER BY d) AS BIGINT) AS run FROM x")
-query("w19_returns", lambda t: rounded(t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close", 5).over(W)) - 1).alias("r5"), F.log(c("close") / F.lag("close").over(W)).alias("log_r"))), "SELECT ticker, d, round(close / nullif(lag(close, 5) OVER w, 0) - 1, 6) AS r5, round(ln(close / lag(close) OVER w), 6) AS log_r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
-query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars10.select("ticker").distinct())).join(t.bars10.where("ticker < 3").select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", W, 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars10) k LEFT JOIN (SELECT * FROM bars10 WHERE ticker < 3) b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
+query("w19_returns", lambda t: rounded(t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close", 5).over(w())) - 1).alias("r5"), F.log(c("close") / F.lag("close").over(w())).alias("log_r"))), "SELECT ticker, d, round(close / nullif(lag(close, 5) OVER w, 0) - 1, 6) AS r5, round(ln(close / lag(close) OVER w), 6) AS log_r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
+query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars10.select("ticker").distinct())).join(t.bars10.where("ticker < 3").select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", w(), 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars10) k LEFT JOIN (SELECT * FROM bars10 WHERE ticker < 3) b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
 query("w21_drawdown", lambda t: rounded(t.bars10.select("ticker", "d", "close").withColumn("dd", drawdown("close", ["ticker"], ["d"]))), "SELECT ticker, d, round(close, 6) AS close, round(close / max(close) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING) - 1, 6) AS dd FROM bars10")
-query("w22_trailing_hit_rate", lambda t: rounded(t.bars10.withColumn("win", (c("close") > c("open")).cast("double")).select("ticker", "d", F.when(F.count("win").over(W.rowsBetween(-20, -1)) == 20, F.avg("win").over(W.rowsBetween(-20, -1))).alias("rate"))), "SELECT ticker, d, CASE WHEN count(*) OVER w = 20 THEN round(avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS rate FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
-query("w25_w26_counts", lambda t: t.bars.select("ticker", "d", (F.row_number().over(W) - 1).alias("i"), F.count("*").over(over(["d"])).alias("names")), "SELECT ticker, d, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY d) AS names FROM bars")
+query("w22_trailing_hit_rate", lambda t: rounded(t.bars10.withColumn("win", (c("close") > c("open")).cast("double")).select("ticker", "d", F.when(F.count("win").over(w().rowsBetween(-20, -1)) == 20, F.avg("win").over(w().rowsBetween(-20, -1))).alias("rate"))), "SELECT ticker, d, CASE WHEN count(*) OVER w = 20 THEN round(avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS rate FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+query("w25_w26_counts", lambda t: t.bars.select("ticker", "d", (F.row_number().over(w()) - 1).alias("i"), F.count("*").over(over(["d"])).alias("names")), "SELECT ticker, d, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY d) AS names FROM bars")
 query("w31_competition_rank", lambda t: t.orders.select("o_custkey", "o_orderkey", F.rank().over(Window.partitionBy("o_custkey").orderBy(F.to_date("o_orderdate").desc())).alias("rank")), "SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC) AS INTEGER) AS rank FROM orders")
 
 # Order, top rows, sets

@@ -13,7 +13,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], encoding: str = "UTF-8", undisclosed: str = "*****") -> DataFrame:
     """A CSV with a header: ``columns`` maps its names to (name, type). What isn't of the type, as the mark of undisclosed
-    figures, is null."""
+    figures, is null. Charsets beyond the few that Spark allows by default, such as MS932, need its setting for the JVM's."""
+    if not encoding.upper().startswith(("UTF", "ISO-8859-1", "US-ASCII")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.option("header", "true").option("encoding", encoding).csv(path)
     return raw.select(*(F.nullif(F.trim(f"`{old}`"), F.lit(undisclosed)).try_cast(kind).alias(new) for old, (new, kind) in columns.items()))
 
