@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table, written
+from .common import batched, table, written
 from .tokens import encoder
 
 WINDOW, END = 1024, 0
@@ -50,15 +50,18 @@ def nonnegative_least_squares(combos: np.ndarray, hist: np.ndarray, sweeps: int
 
 
 def plan(hist: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
-    """(lengths, repeats) that use no more pieces than there are: the solution is rounded, and cut where pieces run out."""
-    combos, left, found = combinations(hist, window), hist.astype(int).copy(), []
+    """(lengths, repeats) that use no more pieces than there are: the solution rounded, cut where pieces run out, and then
+    greedily repeated on the residuals."""
+    combos, left = combinations(hist, window), hist.astype(int).copy()
     x = nonnegative_least_squares(combos, hist)
-    for k in np.argsort(-x, kind="stable"):
-        lengths, m = np.unique(combos[k][combos[k] > 0], return_counts=True)
-        n = int(min(round(x[k]), *(left[lengths] // m)))
-        if n > 0:
+    repeats = np.zeros(len(combos), int)
+    for wanted in (np.round(x), np.full(len(x), np.inf)):  # the solution first, then as often as what is left allows
+        for k in np.argsort(-x, kind="stable"):
+            lengths, m = np.unique(combos[k][combos[k] > 0], return_counts=True)
+            n = int(min(wanted[k], *(left[lengths] // m)))
             left[lengths] -= n * m
-            found.append((sorted(combos[k][combos[k] > 0].tolist(), reverse=True), n))
+            repeats[k] += n
+    found = [(sorted(combos[k][combos[k] > 0].tolist(), reverse=True), int(repeats[k])) for k in np.flatnonzero(repeats)]
     return found
 
 
@@ -77,7 +80,7 @@ def tokenised(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 tails = [x[4 * window * n :] for x, n in zip(ids, full)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array([len(x) // 4 for x in tails], pa.int32()), pa.array([zlib.crc32(x) for x in tails], pa.int64())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, tail_length int, tail_crc long")
+    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, tail_length int, tail_crc long")
 
 
 def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
