@@ -13,7 +13,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Encoded pre-tokens that a worker keeps; beyond that it starts anew. Results don't depend on it.
@@ -116,7 +116,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, ids: bool = True) -> DataFr
                 done = [own.encode(x.as_py() or "") for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(done if ids else [None] * len(done), pa.binary()), pa.array([len(x) // 4 for x in done], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in done]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in done])], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes and rows of a batch that goes to a Python worker: batches are held on both sides, and texts can be long.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of no more than BATCH_BYTES and BATCH_ROWS to Python from now on."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

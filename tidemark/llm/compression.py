@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import batched, table
 
 #: Labelled rows of either class that a fit reads, and the longest text among them in bytes: the fit's bound.
 FIT_ROWS, FIT_BYTES = 3000, 100_000
@@ -117,7 +117,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             score = 1 / (1 + np.exp(-np.clip(m.slope * d + m.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype("i4"))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, out)
+    return batched(docs).mapInArrow(run, out)
 
 
 def op8_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import batched, table
 from .sample_pages import MARK, sample_page
 
 #: Sample pages that the model is trained on, boosting rounds and depth.
@@ -326,7 +326,7 @@ def extracted(pages: DataFrame, trees: Trees) -> DataFrame:
                 texts = main_texts([x or "" for x in part.column(2).to_pylist()], sent.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return batched(pages).selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import batched, table, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -62,7 +62,7 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
             counts = np.array([text_counts(x.as_py()) for x in batch.column(len(keep))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in counts.T)], names=[*keep, *COUNTS])
 
-    return docs.mapInArrow(run, schema)
+    return batched(docs).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import batched, table, written
 from .components import connected_components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -47,7 +47,7 @@ def fingerprinted(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFr
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(len(keep))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    return docs.mapInArrow(run, schema)
+    return batched(docs).mapInArrow(run, schema)
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, top: int = 63, used: int = 0) -> tuple[np.ndarray, np.ndarray]:

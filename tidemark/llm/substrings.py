@@ -13,7 +13,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import scratch, shuffle_partitions, table, text_bytes, written
+from .common import batched, scratch, shuffle_partitions, table, text_bytes, written
 
 WINDOW = 50
 #: Bytes of text that a group of documents holds about, and hashes that a home looks after about.
@@ -183,7 +183,7 @@ def grouped(docs: DataFrame, buckets: int) -> DataFrame:
             yield row()
 
     name, path = f"groups_{uuid.uuid4().hex}", scratch(spark, "groups")
-    docs.select("key", "text", *_rest(docs)).mapInArrow(run, "g long, keys binary, lengths binary, texts binary, rest binary").write.bucketBy(buckets, "g").option("path", path).saveAsTable(name)
+    batched(docs).select("key", "text", *_rest(docs)).mapInArrow(run, "g long, keys binary, lengths binary, texts binary, rest binary").write.bucketBy(buckets, "g").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import scratch, table, written
+from .common import batched, scratch, table, written
 
 #: Payloads under this many bytes always stay responses: a revisit record would be no shorter.
 MIN_BYTES = 100
@@ -55,7 +55,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for k in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=_ARROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(scan, _SCAN)
+    return batched(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)).select("content").mapInArrow(scan, _SCAN)
 
 
 _ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.binary() if t == "binary" else pa.string()) for n, t in (x.split() for x in _SCAN.split(", "))])
