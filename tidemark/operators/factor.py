@@ -62,7 +62,7 @@ def kill_switch(daily: DataFrame, at: str, ic: str, window: int, threshold: floa
 
 def factor_residuals(panel: DataFrame, factors: Sequence[str], r: str, group: Sequence[str], least: int = 30) -> DataFrame:
     """Residuals of ordinary least squares of ``r`` on ``factors`` by group: one small group's rows go to a worker at once."""
-    schema = panel.withColumns({"residual": F.lit(0.0), "r_squared": F.lit(0.0)}).schema
+    schema = panel.withColumns({n: F.lit(None).cast("double") for n in ("residual", "r_squared")}).schema
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.copy()

@@ -1,6 +1,6 @@
 """Queries by name: what runs on Spark, and the same in DuckDB SQL."""
 
-from . import domain, primitives, texts
+from . import domain, primitives, research, texts
 from .fixtures import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "domain", "primitives", "texts"]
+__all__ = ["QUERIES", "SQL", "domain", "primitives", "research", "texts"]
