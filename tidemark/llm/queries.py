@@ -22,4 +22,11 @@ ORACLE_SQL = {
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN strlen(h) >= 100 AND page_id > first_id THEN first_id END AS refers_to, url
         FROM (SELECT page_id, url, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)""",
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i : i + 49], ' ')) END AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u),
+        f AS (SELECT h, min(doc_id) AS first_id FROM p WHERE h IS NOT NULL GROUP BY h),
+        r AS (SELECT p.doc_id, i, word, max(CASE WHEN first_id < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY i ROWS 49 PRECEDING) AS gone FROM p LEFT JOIN f USING (h)),
+        k AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }
