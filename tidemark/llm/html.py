@@ -17,7 +17,7 @@ from .common import batched, table
 from .sample_pages import MARK, sample_page
 
 #: Sample pages that the model is trained on, boosting rounds and depth.
-PAGES, ROUNDS, DEPTH = 4000, 50, 5
+PAGES, ROUNDS, DEPTH = 6000, 60, 5
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -202,7 +202,10 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     hot = np.eye(len(_TAGS) + 1)[tag]
     own = bits([h for p in pages for h in p.hints], len(_HINTS))
     above = bits([h for p in pages for h in p.above], len(_ABOVE) + len(_HINTS))
-    return np.column_stack([*x, hot, own, above]), parents, ends, root
+    # in one number, as trees would need many splits for it: a tag or name that hints at boilerplate, here or above
+    boiler = hot[:, [_GROUP[t] for t in ("nav", "header", "footer", "aside", "form", "button", "dialog")]].sum(axis=1) + own[:, :-1].sum(axis=1)
+    over = above[:, :5].sum(axis=1) + above[:, len(_ABOVE) : -1].sum(axis=1)
+    return np.column_stack([*x, boiler, over, boiler + over, hot, own, above]), parents, ends, root
 
 
 @dataclass(frozen=True)
@@ -277,13 +280,13 @@ def _flat(root, weight: float) -> list[tuple[int, float, int, int, float]]:
     return out
 
 
-#: What it costs to drop a node whose parent is kept: most parts of a main text are main text.
-SWITCH = 0.9
+#: What is added to a node's margin if its parent is kept: most parts of a main text are main text.
+SWITCH = 1.0
 
 
 def decode(margin: np.ndarray, parents: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Which nodes to keep so that the margins' sum is greatest, less ``switch`` for each node dropped under a kept one, if
-    what is dropped is dropped with all below it.
+    """Which nodes to keep so that the margins' sum is greatest, with ``switch`` for each node kept under a kept one, if what
+    is dropped is dropped with all below it.
 
     From the leaves up, the best of a subtree is the greater of keeping its root, with the best of each child, and
     dropping everything; from the root down, a node is kept if it is so in its subtree and its parent is kept.
@@ -293,10 +296,10 @@ def decode(margin: np.ndarray, parents: np.ndarray, ends: np.ndarray, switch: fl
     dropped = (-(sums[ends] - sums[:n])).tolist()
     best, kept, up = margin.tolist(), [False] * n, parents.tolist()
     for i in range(n - 1, -1, -1):
-        rest = dropped[i] - switch * (up[i] >= 0)
-        kept[i] = best[i] > rest or up[i] < 0  # the root stands for the page
+        own = best[i] + switch
+        kept[i] = own > dropped[i] or up[i] < 0  # the root stands for the page
         if up[i] >= 0:
-            best[up[i]] += best[i] if kept[i] else rest
+            best[up[i]] += own if kept[i] else dropped[i]
     for i in range(n):
         kept[i] = kept[i] and (up[i] < 0 or kept[up[i]])
     return np.array(kept)

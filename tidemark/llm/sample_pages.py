@@ -8,6 +8,8 @@ import random
 MARK = "data-k"
 
 _MAIN = ["content", "main-content", "post", "entry-content", "article-body", "story", "post-body", "text", "page-content", "articleBody"]
+#: Names of wrappers and main parts that hint at something else.
+_MISLEADING = ["has-sidebar", "two column", "top-story", "post tag-news", "no-comments", "main-column", "single more", "content-side", "page-top", "with-ads", "article-header-less"]
 _BOILER = {
     "nav": ["nav", "navbar", "main-menu", "navigation", "breadcrumb", "breadcrumbs", "site-menu", "pagination", "toc", "pager"],
     "head": ["header", "site-header", "masthead", "top-bar", "topbar", "page-header", "branding"],
@@ -66,6 +68,8 @@ class _Page:
         }[kind]()
         tag = {"nav": ["nav", "nav", "div", "ul"], "head": ["header", "header", "div"], "foot": ["footer", "footer", "div"], "side": ["aside", "aside", "div"], "form": ["form", "form", "div"], "comment": ["section", "div", "ol", "div"], "ad": ["div", "div", "aside", "ins", "section"], "notice": ["div", "div", "section", "dialog"]}.get(kind, ["div", "section", "div"])
         tag = r.choice(tag)
+        if tag != "ul" and r.random() < 0.15:
+            inner = r.choice([self.words(1, 4), self.sentence(), f"<p>{self.sentence()}</p>"])
         plain = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.55
         attr = "" if plain else self.named(names, always=tag not in ("nav", "header", "footer", "form", "ul"))
         if kind == "form" and tag == "div":
@@ -100,8 +104,8 @@ class _Page:
         blocks = [self.block() for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14]))]
         if r.random() < 0.7:
             blocks.insert(0, f'<h1 {MARK}="1">{self.words(1, 12)}</h1>')
-        if r.random() < 0.15:  # a few words alone, under a heading that repeats them
-            text = r.choice([self.sentence(), self.words(1, 6).capitalize() + "."])
+        if r.random() < 0.2:  # a few words alone, under a heading that repeats them
+            text = r.choice([self.sentence(), self.words(1, 6).capitalize() + ".", self.words(1, 3).capitalize() + "."])
             blocks = [f'<h1 {MARK}="1">{text}</h1>', f'<p {MARK}="1">{r.choice(["", "<b>"])}{text}{r.choice(["", "<br>", "</p>"])}']
         for kind, p in (("ad", 0.25), ("form", 0.1), ("more", 0.15), ("social", 0.2), ("comment", 0.12), ("notice", 0.08), ("side", 0.06)):
             if r.random() < p:
@@ -112,17 +116,20 @@ class _Page:
         inner = "".join(blocks)
         tag = r.choice(["article", "article", "main", "div", "div", "section", "td", ""])
         if tag:
-            attr = self.named(_MAIN) if tag in ("div", "section", "td") else r.choice(["", self.named(_MAIN)])
+            attr = f' class="{r.choice(_MISLEADING)}"' if r.random() < 0.08 else self.named(_MAIN) if tag in ("div", "section", "td") else r.choice(["", self.named(_MAIN)])
             inner = f"<{tag}{attr}>{inner}</{tag}>"
             if tag == "td":
-                inner = f"<table><tr>{inner}</tr></table>"
+                cells = [f"<td{self.named(_BOILER[k], always=True)}>{r.choice([self.links(1, 6), self.words(1, 5)])}</td>" for k in r.choices(["nav", "side", "ad"], k=r.randint(0, 2))]
+                at = r.randint(0, len(cells))
+                inner = f"<table><tr>{''.join(cells[:at])}{inner}{''.join(cells[at:])}</tr></table>"
         for _ in range(r.choice([0, 0, 1, 2])):
-            inner = f"<div{self.named(['wrapper', 'container', 'page', 'row', 'col', 'main', 'inner'])}>{inner}</div>"
+            names = _MISLEADING if r.random() < 0.12 else ["wrapper", "container", "page", "row", "col", "main", "inner"]
+            inner = f"<div{self.named(names)}>{inner}</div>"
         before = [self.boiler(k) for k, p in (("head", 0.5), ("nav", 0.75), ("notice", 0.3), ("ad", 0.5), ("form", 0.15), ("side", 0.15), ("social", 0.1)) if r.random() < p]
         after = [self.boiler(k) for k, p in (("social", 0.15), ("comment", 0.3), ("more", 0.3), ("side", 0.3), ("ad", 0.2), ("form", 0.15), ("notice", 0.15), ("foot", 0.8)) if r.random() < p]
         if r.random() < 0.3:
             r.shuffle(before)
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{inner}{''.join(after)}" + r.choice(["</body></html>", "</body></html>", ""])
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{self.named(_MISLEADING) if r.random() < 0.06 else ''}>{''.join(before)}{inner}{''.join(after)}" + r.choice(["</body></html>", "</body></html>", ""])
 
 
 def sample_page(seed: int) -> str:
