@@ -381,3 +381,19 @@ def test_digests_compare_bytes_where_hashes_collide(spark, odd):
 def test_fingerprint_path_has_no_python(spark, data):
     plan = QUERIES["op10_fingerprints"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_without_an_id(spark, labels):
+    """Each operator keeps them and says what it says of others."""
+    docs = spark.createDataFrame([(None, PASSAGE), (None, None), (4, PASSAGE), (4, "some other words")], "doc_id long, text string")
+    path = scratch(spark, "order")
+    tokens.write_training_order(docs.where("doc_id is null"), path)
+    assert {r.doc_id for r in tokens.read_training_order(spark, path).collect()} == {-1}
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.deduplicated(docs).collect()) == [(0, 0), (0, 0), (4, 0), (4, 70)]
+    assert packing.packed(docs).where("doc_id is null").agg(F.sum("length")).first()[0] == len(tokenised(PASSAGE)) + 2
+    assert rules.judged(docs, labels).where("doc_id is null").count() == 2
+    assert [r.component_id for r in simhash.near_components(docs).where("doc_id is null").orderBy("component_id").collect()] == [None, 4]
+    assert compression.scored(docs, compression.fit(docs, labels)).count() == 4
+    assert byte_bpe.encoded(docs).where("doc_id is null").count() == 2
+    rows = fingerprints.fingerprint_report(docs).collect()
+    assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 2
