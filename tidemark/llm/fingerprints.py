@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import table, written
 
-#: Flagged keys up to this count (16 MB of longs) are broadcast; more are joined by a shuffle.
+#: Flagged keys up to this count (pairs of longs, 32 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: The key of rows without an id.
 NO_ID = -(2**63)
@@ -87,7 +87,7 @@ def fingerprint_report(docs: DataFrame, hashed: Callable[[Column], Column] = wid
     sides = found.select("key", "t", F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("h").alias("h")), F.struct(F.lit(True).alias("edit"), F.col("eh").alias("h")))).alias("s")).select("key", "t", "s.*")
     shared = sides.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
     shared = written(sides.join(shared, "h", "left_semi"), "shared")  # rows of buckets with more than one member
-    if not (bad := _unequal(docs, near, shared)).isEmpty():
+    if not (bad := _unequal(docs, near, shared, hashed)).isEmpty():
         found = found.join(bad.where("not edit").select("key", "t", F.col("suffix").alias("s")), ["key", "t"], "left").join(bad.where("edit").select("key", "t", F.col("suffix").alias("es")), ["key", "t"], "left")
         found = found.withColumns({"h": F.concat("h", F.coalesce("s", F.lit(""))), "eh": F.concat("eh", F.coalesce("es", F.lit("")))})
     after = near.select("key", "next_key").join(found.groupBy(F.col("key").alias("next_key")).agg(F.min_by("h", "t").alias("nh")), "next_key")
@@ -95,16 +95,16 @@ def fingerprint_report(docs: DataFrame, hashed: Callable[[Column], Column] = wid
     return found.join(after.select("key", "nh"), "key").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), like("h", "eh").alias("near_edited"), like("h", "nh").alias("near_next"))
 
 
-def _unequal(docs: DataFrame, near: DataFrame, shared: DataFrame) -> DataFrame:
+def _unequal(docs: DataFrame, near: DataFrame, shared: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
     """key, t, edit, suffix of the rows in ``shared`` whose bucket holds different canonical bytes: compared byte by byte."""
     few = shared.count() <= BROADCAST_KEYS
     small = F.broadcast if few else lambda df: df
     edits = shared.where("edit").select("key").distinct()
     wanted = shared.select("key").union(near.join(small(edits), "key", "left_semi").select(F.col("next_key").alias("key"))).distinct()
     some = docs.join(small(wanted), "key", "left_semi").withColumn("t", F.xxhash64("text"))
-    plain = some.join(small(shared.where("not edit").select("key", "t", "h").distinct()), ["key", "t"]).select("key", "t", F.lit(False).alias("edit"), "h", canonical(F.col("text")).alias("canon"))
-    changed = edited(some, near).join(small(shared.where("edit").select("key", "t", "h").distinct()), ["key", "t"]).select("key", "t", F.lit(True).alias("edit"), "h", canonical(F.col("edited")).alias("canon"))
-    canon = plain.unionByName(changed)
+    plain = some.join(small(shared.where("not edit").select("key", "t").distinct()), ["key", "t"]).select("key", "t", F.lit(False).alias("edit"), canonical(F.col("text")).alias("canon"))
+    changed = edited(some, near).join(small(shared.where("edit").select("key", "t").distinct()), ["key", "t"]).select("key", "t", F.lit(True).alias("edit"), canonical(F.col("edited")).alias("canon"))
+    canon = plain.unionByName(changed).withColumn("h", hashed(F.col("canon")))
     bad = written(canon.groupBy("h").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("h"), "unequal")
     if bad.isEmpty():
         return canon.select("key", "t", "edit", F.lit("").alias("suffix")).limit(0)
