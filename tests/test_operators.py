@@ -34,6 +34,9 @@ def test_asof(spark, left, right, strict, forward):
         ok = [(u, v) for v, (kk, u) in enumerate(right) if kk == k and ((u > t or u == t and not strict) if forward else (u < t or u == t and not strict))]
         want = (None, None) if not ok else (max(x for x in ok if x[0] == min(u for u, _ in ok)) if forward else max(ok))
         assert got[i] == want
+    if not forward:
+        dealt = asof_join(a, b, ["k"], "t", "u", strict=strict, order=["v"], bucket=lambda at: F.floor(at / 4))
+        assert {r.i: (r.r_u, r.r_v) for r in dealt.collect()} == got
 
 
 def test_asof_does_not_look_ahead(spark):

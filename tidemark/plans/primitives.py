@@ -59,6 +59,7 @@ query("j6_window_join", lambda t: rounded(window_join(t.corp_events, t.bars.sele
 _ASOF = "SELECT e.ticker, e.event_d, {pick}(b.d) AS r_d, round(arg_{pick}(b.close, b.d), 6) AS r_close FROM corp_events e LEFT JOIN bars b ON b.ticker = e.ticker AND b.d {op} e.event_d{more} GROUP BY 1, 2"
 for _name, _direction, _strict, _op, _pick in (("j8_asof_backward", "backward", False, "<=", "max"), ("j9_asof_strict", "backward", True, "<", "max"), ("j10_asof_forward", "forward", True, ">", "min")):
     query(_name, lambda t, d=_direction, s=_strict: rounded(asof_join(t.corp_events, t.bars.select("ticker", "d", "close"), ["ticker"], "event_d", "d", direction=d, strict=s, tolerance=F.abs(F.datediff("r_d", "event_d")) <= 7 if d == "forward" else None)), _ASOF.format(op=_op, pick=_pick, more=" AND b.d <= e.event_d + 7" if _direction == "forward" else ""))
+query("j8_asof_bucketed", lambda t: rounded(asof_join(t.corp_events, t.bars.select("ticker", "d", "close"), ["ticker"], "event_d", "d", bucket=lambda at: F.trunc(at, "year"))), _ASOF.format(op="<=", pick="max", more=""))
 query("j11_offset_rows", lambda t: rounded(t.bars.select("ticker", "d", F.lag("close", 3).over(w()).alias("before"), F.lead("close", 3).over(w()).alias("after"))), "SELECT ticker, d, round(lag(close, 3) OVER w, 6) AS before, round(lead(close, 3) OVER w, 6) AS after FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
 query("j12_j13_semi_anti", lambda t: t.customer.join(t.orders.where("o_orderstatus = 'P'"), c("c_custkey") == c("o_custkey"), "left_semi").join(t.orders.where("o_orderpriority like '1%'").select(c("o_custkey").alias("k")), c("c_custkey") == c("k"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 query("j16_row_range_mean", lambda t: rounded(t.bars.select("ticker", "d", F.avg("volume").over(w().rowsBetween(-20, -1)).alias("mean20"))), "SELECT ticker, d, round(avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS mean20 FROM bars")
