@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression, packing, rules, simhash, substrings
+from tidemark.llm import compression, near_sets, packing, rules, substrings
 from tidemark.llm.common import table, written
 
-#: Bits that near-duplicates may differ in here. Copies with a shared fifth-word shingle set of 0.8 differ in up to nine
-#: bits, most in two to six; from five bits on, one link in five joins texts of a lower similarity.
-NEAR_BITS = 4
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep. Rules are learned from labelled rows of the corpus."""
@@ -27,8 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows without a doc_id stay."""
-    found = written(simhash.near_components(docs, budget=NEAR_BITS), "components")
+    """Of each group of near-duplicates the document with the smallest doc_id; rows without a doc_id stay.
+
+    Documents are linked if their five-word shingles have a Jaccard similarity of 0.8 or more. No budget of SimHash bits says
+    that, so the sets themselves are joined.
+    """
+    found = written(near_sets.near_components(docs), "components")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()  # grows with the corpus: never broadcast
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
