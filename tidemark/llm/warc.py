@@ -76,14 +76,14 @@ def _records(archive: bytes, payloads: bool) -> Iterator[dict]:
 
 
 def resolve_revisits(headers: DataFrame, order: Column, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """record_id and refers_to for each record that repeats the payload of one that comes first in ``order``.
+    """record_id, payload_digest and refers_to for each record that repeats the payload of one that comes first in ``order``.
 
     Headers alone are shuffled by digest, and summed up before that, so that a payload with very many copies is one row a task.
     """
     heads = headers.where(F.col("payload_bytes") >= min_bytes).select("record_id", "payload_digest", order.alias("rank"))
     first = heads.groupBy("payload_digest").agg(F.min("rank").alias("first_rank"), F.min_by("record_id", "rank").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    again = heads.join(first, "payload_digest").where("rank > first_rank or (rank is null and first_rank is not null)")
-    return again.select("record_id", "refers_to").distinct()
+    again = heads.join(first, "payload_digest").where("rank > first_rank")
+    return again.select("record_id", "payload_digest", "refers_to").distinct()
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -94,9 +94,9 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def deduplicated(spark: SparkSession, path: str, out: str) -> None:
     """Read the archives under ``path`` and write them under ``out`` with revisit records, all with fresh headers."""
-    again = written(resolve_revisits(read_archives(spark, path, payloads=False), F.col("record_id").cast("long")), "revisits").withColumn("id", F.col("record_id")).drop("record_id")
+    again = written(resolve_revisits(read_archives(spark, path, payloads=False), F.col("record_id").cast("long")), "revisits").select(F.col("record_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to")
     records = read_archives(spark, path).drop("refers_to")
-    joined = records.join(again, records.record_id == again.id, "left").drop("id")
+    joined = records.join(again, (records.record_id == again.id) & (records.payload_digest == again.digest), "left").drop("id", "digest")
     write_archives(joined.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")), out)
 
 
