@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_sets
@@ -39,17 +40,37 @@ def components_brute(docs):
 
 
 def test_stage_against_all_pairs(spark):
+    """The stage takes no document that all pairs wouldn't, and at least nine in ten of those that they would."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     want = components_brute([(r.doc_id, r.text) for r in docs.collect()])
-    assert sum(c < i for i, c in want.items()) > 20
+    gone = {i for i, c in want.items() if c < i}
+    assert len(gone) > 20
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    assert kept == {c for c in want.values()}
+    assert len(gone - kept) >= 0.9 * len(gone) and not want.keys() - gone - kept
+
+
+def test_stage_finds_edited_copies(spark):
+    """300 texts of a word list with its own frequencies, and of each a copy with so many words changed that four fifths are shared."""
+    r = np.random.default_rng(11)
+    docs = []
+    for k in range(300):
+        words = [f"w{x}" for x in r.zipf(1.3, 300) % 5000]
+        copy = list(words)
+        for at in r.choice(60, 6, replace=False) * 5:
+            copy[at] = f"new{at}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    want = components_brute(docs)
+    gone = {i for i, c in want.items() if c < i}
+    assert len(gone) == 300
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert len(gone - kept) >= 270 and not want.keys() - gone - kept
 
 
-@pytest.mark.parametrize("leaders", [1, 3])
-def test_groups_of_copies(spark, monkeypatch, leaders):
+@pytest.mark.parametrize("leaders, part", [(1, 500), (3, 500), (0, 20)])
+def test_groups_of_copies(spark, monkeypatch, leaders, part):
     """Many copies of one text, some of them similar through others only, and texts that share a passage and no more."""
     monkeypatch.setattr(near_sets, "LEADERS", leaders)
+    monkeypatch.setattr(near_sets, "PART", part)
     r = np.random.default_rng(5)
     base, docs = [f"w{k}" for k in range(120)], []
     for k in range(60):
@@ -61,11 +82,14 @@ def test_groups_of_copies(spark, monkeypatch, leaders):
     docs += [(200 + k, " ".join(f"chain{j}" for j in range(3 * k, 3 * k + 60))) for k in range(12)]
     want = components_brute(docs)
     assert len(set(want.values())) > 10
-    got = near_sets.near_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = near_sets.near_components(spark.createDataFrame(docs, "doc_id long, text string").withColumn("block", F.lit(7)))
     assert {x.doc_id: x.component_id for x in got.collect()} == want
+    apart = near_sets.near_components(spark.createDataFrame(docs, "doc_id long, text string").withColumn("block", F.col("doc_id")))
+    assert all(x.component_id == min(i for i, t in docs if sets_brute(t) == sets_brute(docs_of[x.doc_id])) for docs_of in [dict(docs)] for x in apart.collect())
 
 
 def test_odd_rows(spark, odd, none):  # noqa: F811
+    odd, none = (x.withColumn("block", F.lit(1)) for x in (odd, none))  # noqa: F811
     rows = [(x.doc_id, x.component_id) for x in near_sets.near_components(odd).collect()]
     assert len(rows) == 14 and {c for i, c in rows if i in (2, 3, 4)} == {2} and {c for i, c in rows if i in (1, 8, 13)} == {1}
     assert near_sets.near_components(none).count() == 0

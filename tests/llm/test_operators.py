@@ -289,21 +289,50 @@ def test_fingerprints_and_components(spark, data, odd, none):
     assert {i: f for i, (f, _) in got.items()} == dict(fps)
     assert {i: c for i, (_, c) in got.items()} == components_brute(fps)
     rows = simhash.near_components(odd).collect()
-    of = {(r.doc_id, r.fp): r.component_id for r in rows}
+    of = {(r.doc_id, r.fps[0]): r.component_id for r in rows}
     assert len(rows) == 14 and {c for (i, _), c in of.items() if i in (2, 3, 4)} == {2} and {c for (i, _), c in of.items() if i in (1, 8, 13)} == {1}
     assert simhash.near_components(none).count() == 0
 
 
 @pytest.mark.parametrize("rows", [4096, 8])
-@pytest.mark.parametrize("budget", [1, 2, 4])
+@pytest.mark.parametrize("budget", [1, 2, 5])
 def test_trie_join(spark, monkeypatch, rows, budget):
+    """Links connect what the pairs within the budget do, of either kind, however node pairs are split, and are few."""
     monkeypatch.setattr(simhash, "PAIR_ROWS", rows)
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 6, dtype=np.uint64)
-    values = {int(b) for b in base} | {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in r.integers(0, 64, (12, 2))} | {0, 2**64 - 1, 3}
-    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
-    got = {frozenset((x.u % 2**64, x.v % 2**64)) for x in simhash.near_links(df, budget).collect()}
-    assert got == {frozenset(p) for p in itertools.combinations(values, 2) if (p[0] ^ p[1]).bit_count() <= budget}
+    near = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in r.integers(0, 64, (12, 2))}
+    kinds = [{int(b) for b in base} | near | {0, 2**64 - 1, 3}, {*range(40), 2**63, *(int(x) for x in r.integers(0, 2**63, 30))}]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    number = {x: i for i, x in enumerate((k, v) for k, values in enumerate(kinds) for v in values)}
+    df = spark.createDataFrame([(k, signed(v), (i, k)) for (k, v), i in number.items()], "kind int, fp long, node struct<id: long, tie: long>")
+    links = [(x.u.id, x.v.id) for x in simhash.near_links(df, budget).collect()]
+    assert joined_brute(number.values(), links) == joined_brute(number.values(), [(number[k, a], number[k, b]) for k, values in enumerate(kinds) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= budget])
+    if rows > len(number):
+        assert len(links) <= (budget + 1) * len(number)  # a star for each trie, not all pairs
+
+
+def test_trie_pairs():
+    r = np.random.default_rng(8)
+    values = np.unique(np.concatenate([r.integers(0, 2**63, 60, dtype=np.uint64), np.uint64(7) << np.uint64(40) ^ r.integers(0, 2**12, 90, dtype=np.uint64)]))
+    for budget in (0, 2, 6):
+        found = [x for i, j in simhash.trie_pairs(values, [[0, len(values), 0, len(values), 0, 63]], budget) for x in zip(i.tolist(), j.tolist())]
+        want = {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if (int(values[i]) ^ int(values[j])).bit_count() <= budget}
+        assert len(found) == len(want) and set(found) == want
+
+
+def joined_brute(nodes, links):
+    up = {i: i for i in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in up}
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on this machine alone may lack it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_tidemark_dir", None)
         if where is None:
             where = spark._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -33,6 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete what written() wrote for ``df``; nothing that is still to run may read it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of one key from which on it is joined by a broadcast: of n rows, at most n / HOT_ROWS keys are.
+HOT_ROWS = 100_000
+
+
+def joined(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` inner joined to ``named``, which has each ``key`` once and with it ``n``, how many of ``rows`` have it.
+
+    A key of many rows isn't dealt to one task: such keys, of which there are few, are broadcast, and only others shuffled.
+    """
+    hot = F.broadcast(named.where(F.col(n) > HOT_ROWS).drop(n))
+    rest = rows.join(hot.select(key), key, "left_anti").join(named.where(F.col(n) <= HOT_ROWS).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

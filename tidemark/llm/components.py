@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges, last = written(_small_star(_large_star(edges)), "edges"), edges
+        dropped(last)
         now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(xxhash64(v, u) % 1000003)").alias("s")).first()
         if now == before:
             return edges

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: a lossless set-similarity join, exact counts, and components."""
+"""The exact check of near-duplicates: a lossless set-similarity join of word shingles within given blocks, and components."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import batched, written
+from .common import batched, joined, written
 from .components import connected_components
 
 #: Words of a shingle; texts of no more words are one shingle.
@@ -21,6 +21,8 @@ SHARED, SIZES = 9, 4
 SMALL = 64
 #: Groups of one key up to this size are compared pair by pair at once, larger ones with a leader first, so many times.
 ALL_PAIRS, LEADERS = 8, 3
+#: Nodes of a part of a group that is compared pair by pair.
+PART = 500
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -81,25 +83,32 @@ def _digest(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _rows(docs: DataFrame, make, column: str) -> DataFrame:
-    """doc_id, node (a digest of the set of shingles), n (its size) and ``make`` of the set as ``column``."""
-    names = ["doc_id", "node", "n", column]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _rows(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, block, node (a digest of the set of shingles), n (its size) and, of ``whole`` sets, items for each row of ``docs``
+    (doc_id, block, text)."""
+    kind = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, made = [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py())
-                nodes.append(_digest(found))
-                sizes.append(len(found))
-                made.append(make(found).view(np.int64))
-            ends = np.cumsum([0, *map(len, made)])
-            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(made) if made else np.array([], np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=names)
+            found = [shingles(text.as_py()) for text in batch.column(2)]
+            out = [*batch.columns[:2], pa.array([*map(_digest, found)], pa.int64()), pa.array([*map(len, found)], pa.int64())]
+            if whole:
+                out.append(pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "block", "node", "n", "items"][: len(out)])
 
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return batched(texts).mapInArrow(run, f"doc_id {kind}, node long, n long, {column} array<long>")
+    texts = docs.select("doc_id", "block", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return batched(texts).mapInArrow(run, f"{kind}, node long, n long" + ", items array<long>" * whole)
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """node and its keys for each row of ``sets`` (node, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [keys(x.values.to_numpy().view(np.uint64)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return batched(sets.select("node", "items")).mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -110,45 +119,60 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(SHARED * F.size(F.array_intersect("u_items", "v_items")) >= SIZES * total).select("u", "v")
 
 
+def _pairs(groups: DataFrame) -> DataFrame:
+    """a and b for every two different nodes of a key. Groups are cut into parts, and a task has the pairs of two parts."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / PART))
+    cells = groups.select("key", F.struct("node", "n", "component").alias("x"), F.pmod(F.xxhash64("node", F.lit(11)), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "x")
+    a, b = cells.select("key", "lo", "hi", F.col("own").alias("own_a"), F.col("x").alias("a")), cells.select("key", "lo", "hi", F.col("own").alias("own_b"), F.col("x").alias("b"))
+    return a.join(b, ["key", "lo", "hi"]).where("a.node < b.node and (lo = hi or own_a <> own_b)").select("a", "b")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id for each row of ``docs`` (doc_id, text) that has a doc_id.
+    """doc_id and component_id for each row of ``docs`` (doc_id, text, block) that has a doc_id.
 
-    Texts are linked if their different shingles have a Jaccard similarity of 4/5 or more; component_id is the least doc_id
-    that links reach. Texts without words, null ones too, are alike. Repeated rows stay.
+    Texts of one block are linked if their different shingles have a Jaccard similarity of 4/5 or more; component_id is the
+    least doc_id that links reach. Texts without words, null ones too, are alike, and equal sets are, whatever their blocks.
+    Repeated rows stay; an empty table gives no rows.
 
-    Equal sets are one node. Nodes that share a key are compared, unless links between others join them already: in each
-    group of a key all with the least first, which settles groups of copies without a pair for every two of them, and at
-    last whoever is in different components still. No pair that could be linked is left out.
+    Equal sets are one node. In a block of few nodes all are compared; in others those that share a key, unless links between
+    others join them already: in each group of a key all with the least first, which settles groups of copies without a pair
+    for every two of them, and at last whoever is in different components still. No pair that could be linked is left out.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = written(_rows(docs, lambda x: x[:0], "none").drop("none"), "nodes")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "nodes")
-    key = Window.partitionBy("key")
-    # the keys go to the network as they come; keys of the same nodes are one group after that, as copies share most of theirs
-    keyed = _rows(docs, keys, "keys").select(F.explode("keys").alias("key"), "node").repartition("key").dropDuplicates(["key", "node"])
-    members = F.xxhash64(F.count("*").over(key), F.expr("bit_xor(xxhash64(node)) over (partition by key)"), F.expr("bit_xor(xxhash64(node, 7)) over (partition by key)"))
-    shared = keyed.withColumn("rows", F.count("*").over(key)).withColumn("members", members).where("rows > 1").select(F.col("members").alias("key"), "node").distinct()
-    groups = written(written(shared, "shared").join(nodes.select("node", "n"), "node").select("key", "node", "n"), "groups")
-    ids = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
-    sets = written(_rows(docs.join(ids.hint("merge"), "doc_id", "left_semi"), lambda x: x, "items").select("node", "items"), "sets")
+    docs = docs.where("doc_id is not null").select("doc_id", "text", "block")
+    rows = written(_rows(docs, False), "sets")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("block").alias("block"), F.count("*").alias("rows")), "nodes")
+    blocks = written(nodes.groupBy("block").agg(F.count("*").alias("members")).where("members > 1"), "blocks")
+    some = written(joined(nodes.select("node", "doc_id", "n", "block"), blocks.withColumn("rows", F.col("members")), "block", "rows"), "some")
+    ids = some.select("doc_id").distinct()
+    sets = written(_rows(docs.join(ids.hint("merge"), "doc_id", "left_semi"), True).dropDuplicates(["node"]).join(some.select("node", "members", F.col("block").alias("own")), "node").select("node", "own", "members", "items"), "items")
+    # nodes of a key are one group with those of other keys that the same nodes share, as copies share most of theirs
+    large = sets.where(F.col("members") > ALL_PAIRS)
+    keyed = _keyed(large).join(large.select("node", "own"), "node").select(F.xxhash64("key", "own").alias("key"), "node")
+    keyed = keyed.union(sets.where(F.col("members") <= ALL_PAIRS).select(F.xxhash64("own").alias("key"), "node")).repartition("key").dropDuplicates(["key", "node"])
+    keyed = written(keyed, "keys")
+    alike = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y")).where("rows > 1")
+    alike = alike.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows")
+    groups = written(joined(keyed, alike, "key", "rows").join(some.select("node", "n"), "node").select("key", "node", "n"), "groups")
     links = component = None
     rest = groups.withColumn("component", F.col("node"))
     for k in range(LEADERS + 1):
-        sized = rest.withColumn("rows", F.count("*").over(key)).withColumn("least", F.min("component").over(key)).withColumn("most", F.max("component").over(key)).where("least < most")
-        rest = written(sized.select("key", "node", "n", "component", "rows", F.min(F.struct("node", "n", "component")).over(key).alias("first")), "rest")
-        few = F.col("rows") <= (ALL_PAIRS if k < LEADERS else 1 << 62)
+        sized = rest.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "n", "component")).alias("first")).where("least < most")
+        rest = written(joined(rest, sized.select("key", "first", "rows", F.col("rows").alias("size")), "key", "rows"), "rest")
+        few = F.col("size") <= (ALL_PAIRS if k < LEADERS else 1 << 62)
         small, large = rest.where(few), rest.where(~few)
         if rest.isEmpty():
             break
-        a, b = (small.select("key", F.struct("node", "n", "component").alias(x)) for x in "ab")
-        pairs = a.join(b, "key").where("a.node < b.node").select("a", "b").union(large.select(F.col("first").alias("a"), F.struct("node", "n", "component").alias("b")).where("a.node < b.node"))
+        pairs = _pairs(small).union(large.select(F.col("first").alias("a"), F.struct("node", "n", "component").alias("b")).where("a.node < b.node"))
         pairs = pairs.where("a.component <> b.component and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
         new = written(similar(written(pairs, "pairs"), sets), "links")
         links = new if links is None else links.union(new)
         component = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("least"))
         left = large.where("node <> first.node").select("key", "node", "n")
         rest = left.join(component, "node", "left").select("key", "node", "n", F.coalesce("least", "node").alias("component"))
-    named = rows.select("doc_id", "node")
-    named = named.join(component, "node", "left").select("doc_id", F.coalesce("least", "node").alias("component")) if component is not None else named.select("doc_id", F.col("node").alias("component"))
+    named = nodes.select("node", "doc_id", "rows")
+    named = named.join(component, "node", "left").select("node", "doc_id", "rows", F.coalesce("least", "node").alias("component")) if component is not None else named.withColumn("component", F.col("node"))
     named = written(named, "named")
-    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+    least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = written(joined(named.select("node", "rows", "component"), least, "component").select("node", "rows", "component_id"), "components")
+    return joined(rows.select("doc_id", "node"), named, "node", "rows").select("doc_id", "component_id")
