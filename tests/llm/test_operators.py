@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import random
 import re
 import unicodedata
 import zlib
@@ -375,6 +376,30 @@ def test_byte_bpe(spark, odd, none):
         byte_bpe.model_proto({b"a": 0, b"b": 2})
 
 
+def test_byte_bpe_of_every_block():
+    """Random code points of all blocks, those among them of which Unicode versions differ, between contractions and white space."""
+    own = byte_bpe.codec(byte_bpe.VOCABULARY)
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(byte_bpe.VOCABULARY), special_tokens={})
+    r, changed, some = random.Random(3), [*byte_bpe._differing()], [32, 9, 10, 0xA0, 0x85, 0x1C, 0x2003, 39, 115, 82, 0x17F, 97, 49, 0xB2, 0x4E00]
+    for k in range(4000):
+        block = r.randrange(0x1100) * 256
+        pick = [lambda: r.randrange(0x110000), lambda: block + r.randrange(256), lambda: r.choice(changed or some), lambda: r.choice(some)]
+        points = [r.choice([pick[k % 4], pick[3]])() for _ in range(r.randint(1, 40))]
+        text = "".join(chr(x) for x in points if not 0xD800 <= x < 0xE000)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
+        assert own.decode(own.encode(text)) == text.encode()
+
+
+def test_byte_bpe_of_a_whole_table(spark):
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(byte_bpe.VOCABULARY), special_tokens={})
+    folder = "/root/testdata/sf0.1"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op9_byte_bpe"](spark, folder).collect()}
+    assert got.keys() == texts(folder).keys()
+    for i, text in texts(folder).items():
+        ids = np.asarray(theirs.encode_ordinary(text), "<u4")
+        assert got[i] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 # 10
 def canonical(x):
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()).split())

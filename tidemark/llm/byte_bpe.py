@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,6 +64,38 @@ def model_proto(vocabulary: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
+def _members(pattern: str) -> set[str]:
+    """The characters that ``pattern`` matches in the Unicode tables of tiktoken's pattern matcher."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return {*bytes(probe.encode_ordinary(_EVERY)).decode()}  # what isn't matched gets no ids
+
+
+_EVERY = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+#: The classes that the pattern tells apart, and for each a character of it that no alternative names; all others: "!".
+_CLASSES = {r"\p{L}": "a", r"\p{N}": "1", r"\s": "\u2003"}
+
+
+@lru_cache(1)
+def _differing() -> dict[int, str]:
+    """Code points that regex and tiktoken put into different classes, as their Unicode versions differ, with a stand-in of
+    tiktoken's class."""
+    import regex
+
+    theirs = {c: _members(c) for c in _CLASSES}
+    changed = {x for c in _CLASSES for x in theirs[c] ^ {*regex.findall(c, _EVERY)}}
+    return {ord(x): next((sample for c, sample in _CLASSES.items() if x in theirs[c]), "!") for x in changed}
+
+
+def _any_of(points: Iterable[int]) -> str:
+    """A pattern for one character of ``points``, as ranges."""
+    points = sorted(points)
+    first = [x for x, before in zip(points, [-2, *points]) if x != before + 1]
+    last = [x for x, after in zip(points, [*points[1:], -2]) if after != x + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last)) + "]" if points else r"(?!)"
+
+
 class Codec(dict):
     """Pre-tokens to their ids as bytes; what isn't kept is encoded by the model."""
 
@@ -72,7 +105,9 @@ class Codec(dict):
 
         vocabulary = ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(vocabulary))
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        pattern, self.stand_in = regex.compile(public_tokenizers.PATTERN), _differing()
+        self.findall, self.finditer = pattern.findall, pattern.finditer
+        self.changed = re.compile(_any_of(self.stand_in)).search
         self.chars = dict(enumerate(byte_chars()))
         self.tokens = sorted(vocabulary, key=vocabulary.__getitem__)
         self.whole = {x: struct.pack("<I", i) for x, i in vocabulary.items()}
@@ -87,6 +122,12 @@ class Codec(dict):
         self[word] = found
         return found
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens as tiktoken finds them: characters of a class that differs there are read as their stand-ins."""
+        if not self.changed(text):
+            return self.findall(text)
+        return [text[slice(*m.span())] for m in self.finditer(text.translate(self.stand_in))]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, self.split(text)))
