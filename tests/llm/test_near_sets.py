@@ -66,10 +66,10 @@ def test_stage_finds_edited_copies(spark):
     assert len(gone - kept) >= 270 and not want.keys() - gone - kept
 
 
-@pytest.mark.parametrize("leaders, part", [(1, 500), (3, 500), (0, 20)])
-def test_groups_of_copies(spark, monkeypatch, leaders, part):
+@pytest.mark.parametrize("few, part", [(8, 1 << 19), (0, 1500), (1000, 400)])
+def test_groups_of_copies(spark, monkeypatch, few, part):
     """Many copies of one text, some of them similar through others only, and texts that share a passage and no more."""
-    monkeypatch.setattr(near_sets, "LEADERS", leaders)
+    monkeypatch.setattr(near_sets, "FEW", few)
     monkeypatch.setattr(near_sets, "PART", part)
     r = np.random.default_rng(5)
     base, docs = [f"w{k}" for k in range(120)], []

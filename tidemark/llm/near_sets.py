@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batched, joined, written
+from .common import batched, joined, shuffle_partitions, written
 from .components import connected_components
 
 #: Words of a shingle; texts of no more words are one shingle.
@@ -19,10 +19,8 @@ SHINGLE, SEED = 5, 42
 SHARED, SIZES = 9, 4
 #: Classes of sizes up to this many shingles are keyed by single shingles instead of parts.
 SMALL = 64
-#: Groups of one key up to this size are compared pair by pair at once, larger ones with a leader first, so many times.
-ALL_PAIRS, LEADERS = 8, 3
-#: Nodes of a part of a group that is compared pair by pair.
-PART = 500
+#: Blocks of so few nodes are compared whole, without keys; and the hashes of a part of what is compared.
+FEW, PART = 8, 1 << 17
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -111,21 +109,61 @@ def _keyed(sets: DataFrame) -> DataFrame:
     return batched(sets.select("node", "items")).mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose ``sets`` (node, items) have a similarity of 4/5 or more."""
-    at = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
-    both = pairs.join(at("u"), "u").join(at("v"), "v")
-    total = F.size("u_items") + F.size("v_items")
-    return both.where(SHARED * F.size(F.array_intersect("u_items", "v_items")) >= SIZES * total).select("u", "v")
+def linked(items: list[np.ndarray], sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set of sorted hashes the least place of the sets that similarities of 4/5 or more connect it with.
 
+    ``sides``: only sets of different sides are compared. Pairs that are connected already aren't, nor those whose sizes
+    differ too much; what two sets share is counted on bits, one for each hash that more than one set has.
+    """
+    n, label = np.array([len(x) for x in items]), np.arange(len(items))
+    _, back, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    bit = np.cumsum(often > 1) - 1
+    words = int((often > 1).sum()) // 64 + 1
+    bits = np.zeros((len(items), words * 64), bool)
+    shared = often[back] > 1
+    bits[np.repeat(np.arange(len(items)), n)[shared], bit[back[shared]]] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    order = np.argsort(n, kind="stable")
+    last = np.searchsorted(n[order], n * 5 // 4, side="right")
+    for at, i in enumerate(order.tolist()):
+        others = order[at + 1 : last[i]]
+        if sides is not None:
+            others = others[sides[others] != sides[i]]
+        while len(others := others[label[others] != label[i]]):
+            some, others = others[: max(1, 4_000_000 // words)], others[max(1, 4_000_000 // words) :]
+            both = np.bitwise_count(bits[i] & bits[some]).sum(axis=1, dtype=np.int64)
+            for k in some[SHARED * both >= SIZES * (n[i] + n[some])].tolist():
+                lo, hi = sorted((int(label[i]), int(label[k])))
+                if lo < hi:
+                    label[label == hi] = lo
+    return label
+
+
+def _compared(cells: DataFrame, tasks: int) -> DataFrame:
+    """u and v, nodes that connect what similar sets of one cell (block, lo, hi) do; of a cell of two parts, sets of different ones."""
+    key = ["block", "lo", "hi"]
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """a and b for every two different nodes of a key. Groups are cut into parts, and a task has the pairs of two parts."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / PART))
-    cells = groups.select("key", F.struct("node", "n", "component").alias("x"), F.pmod(F.xxhash64("node", F.lit(11)), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "x")
-    a, b = cells.select("key", "lo", "hi", F.col("own").alias("own_a"), F.col("x").alias("a")), cells.select("key", "lo", "hi", F.col("own").alias("own_b"), F.col("x").alias("b"))
-    return a.join(b, ["key", "lo", "hi"]).where("a.node < b.node and (lo = hi or own_a <> own_b)").select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*key, "own", "node")]
+            for i, (*now, own, node) in enumerate(zip(*columns)):
+                if now != cell:
+                    yield from links(cell, held)
+                    cell, held = now, []
+                held.append((own, node, batch.column(5)[i].values.to_numpy().view(np.uint64)))
+        yield from links(cell, held)
+
+    def links(cell: list | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        own, nodes, items = (list(x) for x in zip(*held))
+        label = linked(items, None if cell[1] == cell[2] else np.array(own))
+        at, nodes = np.flatnonzero(label != np.arange(len(label))), np.array(nodes)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], names=["u", "v"])
+
+    return batched(cells).repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -135,44 +173,35 @@ def near_components(docs: DataFrame) -> DataFrame:
     least doc_id that links reach. Texts without words, null ones too, are alike, and equal sets are, whatever their blocks.
     Repeated rows stay; an empty table gives no rows.
 
-    Equal sets are one node. In a block of few nodes all are compared; in others those that share a key, unless links between
-    others join them already: in each group of a key all with the least first, which settles groups of copies without a pair
-    for every two of them, and at last whoever is in different components still. No pair that could be linked is left out.
+    Equal sets are one node. A block is first cut into what shares keys, as sets without a common key can't be linked, and
+    what is left together is compared: in one task if it is small, else cut into parts of a bounded number of hashes, each
+    two parts in one task. Rows are nodes and stars of links, never pairs of a group, and no link is left out.
     """
+    spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select("doc_id", "text", "block")
     rows = written(_rows(docs, False), "sets")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("block").alias("block"), F.count("*").alias("rows")), "nodes")
     blocks = written(nodes.groupBy("block").agg(F.count("*").alias("members")).where("members > 1"), "blocks")
     some = written(joined(nodes.select("node", "doc_id", "n", "block"), blocks.withColumn("rows", F.col("members")), "block", "rows"), "some")
     ids = some.select("doc_id").distinct()
-    sets = written(_rows(docs.join(ids.hint("merge"), "doc_id", "left_semi"), True).dropDuplicates(["node"]).join(some.select("node", "members", F.col("block").alias("own")), "node").select("node", "own", "members", "items"), "items")
-    # nodes of a key are one group with those of other keys that the same nodes share, as copies share most of theirs
-    large = sets.where(F.col("members") > ALL_PAIRS)
-    keyed = _keyed(large).join(large.select("node", "own"), "node").select(F.xxhash64("key", "own").alias("key"), "node")
-    keyed = keyed.union(sets.where(F.col("members") <= ALL_PAIRS).select(F.xxhash64("own").alias("key"), "node")).repartition("key").dropDuplicates(["key", "node"])
-    keyed = written(keyed, "keys")
-    alike = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y")).where("rows > 1")
-    alike = alike.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows")
-    groups = written(joined(keyed, alike, "key", "rows").join(some.select("node", "n"), "node").select("key", "node", "n"), "groups")
-    links = component = None
-    rest = groups.withColumn("component", F.col("node"))
-    for k in range(LEADERS + 1):
-        sized = rest.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "n", "component")).alias("first")).where("least < most")
-        rest = written(joined(rest, sized.select("key", "first", "rows", F.col("rows").alias("size")), "key", "rows"), "rest")
-        few = F.col("size") <= (ALL_PAIRS if k < LEADERS else 1 << 62)
-        small, large = rest.where(few), rest.where(~few)
-        if rest.isEmpty():
-            break
-        pairs = _pairs(small).union(large.select(F.col("first").alias("a"), F.struct("node", "n", "component").alias("b")).where("a.node < b.node"))
-        pairs = pairs.where("a.component <> b.component and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        new = written(similar(written(pairs, "pairs"), sets), "links")
-        links = new if links is None else links.union(new)
-        component = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("least"))
-        left = large.where("node <> first.node").select("key", "node", "n")
-        rest = left.join(component, "node", "left").select("key", "node", "n", F.coalesce("least", "node").alias("component"))
-    named = nodes.select("node", "doc_id", "rows")
-    named = named.join(component, "node", "left").select("node", "doc_id", "rows", F.coalesce("least", "node").alias("component")) if component is not None else named.withColumn("component", F.col("node"))
-    named = written(named, "named")
+    sets = _rows(docs.join(ids.hint("merge"), "doc_id", "left_semi"), True).select("node", "items").dropDuplicates(["node"])
+    sets = written(sets.join(some.select("node", "n", "members", F.col("block").alias("own")), "node"), "items")
+
+    small = F.col("members") <= FEW
+    keyed = _keyed(sets.where(~small)).join(sets.where(~small).select("node", "own"), "node").select(F.xxhash64("key", "own").alias("key"), "node")
+    keyed = written(keyed.union(sets.where(small).select(F.xxhash64("own").alias("key"), "node")), "keys")
+    first = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1")
+    near = connected_components(joined(keyed, written(first, "first"), "key").select(F.col("node").alias("u"), "v"))
+    named = written(sets.join(near.select(F.col("u").alias("node"), F.col("v").alias("block")), "node", "left").select("node", "n", F.coalesce("block", "node").alias("block")), "blocks")
+    sized = named.groupBy("block").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PART).alias("parts")).where("members > 1")
+    parted = written(joined(named, sized, "block", "members"), "parts")
+    cells = sets.select("node", "items").join(parted, "node").select("node", "items", "block", F.pmod(F.xxhash64("node", F.lit(11)), "parts").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "items")
+    cells = cells.where("lo = hi or own = lo or own = hi")
+    volume = parted.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0)).alias("n")).first()["n"]
+    links = _compared(cells, max(shuffle_partitions(spark), -(-volume // (4 * PART))))
+    component = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("least"))
+    named = written(nodes.join(component, "node", "left").select("node", "doc_id", "rows", F.coalesce("least", "node").alias("component")), "named")
     least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
     named = written(joined(named.select("node", "rows", "component"), least, "component").select("node", "rows", "component_id"), "components")
     return joined(rows.select("doc_id", "node"), named, "node", "rows").select("doc_id", "component_id")
