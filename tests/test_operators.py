@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.functions.maths import change, clip, first_nonzero, greatest_or_null, kelly, ratio
+from tidemark.operators import joins, models, vectors, windows
 from tidemark.operators.asof import asof_join
 from tidemark.operators.backtest import scorecard
 from tidemark.operators.calendar import era_year, month_of
@@ -116,3 +119,49 @@ def test_split_text(text):
     parts = split_text(text, 40, 10)
     assert all(0 < len(p) <= 40 for p in parts)
     assert {*"".join(text.split())} <= {*"".join("".join(parts).split())} or not text.strip()
+
+
+def test_spread_ranks_and_quantiles(spark):
+    r = np.random.default_rng(2)
+    rows = [(g, float(v) if v < 90 else None) for g, v in zip("aab" * 300, r.integers(0, 100, 900))] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("id", F.monotonically_increasing_id())
+    a, b = ({x.id: x.p and round(x.p, 9) for x in f(df, ["g"], "v", "p").collect()} for f in (windows.cross_rank, windows.spread_rank))
+    assert a == b and len(a) == 901
+    known = [v for _, v in rows if v is not None]
+    shares = (0, 0.005, 0.37, 0.5, 0.995, 1)
+    assert np.allclose(windows.exact_quantiles(df, "v", shares).first()[0], np.quantile(known, shares))
+    assert windows.spread_rank(df.limit(0), ["g"], "v", "p").count() == 0
+
+
+def test_vector_search_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 37)
+    x = np.array(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").select("embedding").toPandas()["embedding"].tolist(), float)
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").repartition(3)
+    q = rows.where("vec_id % 20 = 0")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = {i: 1 - unit @ unit[i] for i in range(0, len(x), 20)}
+    got = vectors.nearest(q, rows, "vec_id", "embedding", k=10).groupBy("query").agg(F.array_sort(F.collect_list("neighbour")).alias("n")).collect()
+    assert {g["query"]: g["n"] for g in got} == {i: sorted(np.lexsort((np.arange(len(x)), d))[:10].tolist()) for i, d in far.items()}
+    near = vectors.nearest(q, rows, "vec_id", "embedding", most=0.5).select("query", "neighbour").collect()
+    assert {(a, b) for a, b in near} == {(i, int(j)) for i, d in far.items() for j in np.flatnonzero(d <= 0.5)}
+    found = plans.QUERIES["k10_vector_index"](spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == 10 * len(far) and sum(f.exact for f in found) >= 0.9 * len(found)
+
+
+def test_similar_texts(spark):
+    """Of each queried item the nearest others, by the angle of hashed tf-idf vectors, here worked out from all pairs."""
+    x = models.text_features(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text"), "text").select("item_id", "tfidf").collect()
+    v = {r.item_id: r.tfidf.toArray() for r in x}
+    cosine = lambda a, b: float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    got = plans.QUERIES["m8_text_similarity"](spark, "/root/testdata/sf0.001").collect()
+    assert {g["query"] for g in got} == {i for i in v if i % 20 == 0}
+    for i in {g["query"] for g in got}:
+        best = sorted((cosine(v[i], v[j]) for j in v if j != i), reverse=True)[:3]
+        assert np.allclose(sorted((g["similarity"] for g in got if g["query"] == i), reverse=True), best, atol=1e-5)
+
+
+def test_pairs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART", 3)
+    df = spark.createDataFrame([(g, i) for g, n in (("x", 11), ("y", 1), ("z", 4)) for i in range(n)] + [("z", 1)], "g string, i long")
+    got = [tuple(r) for r in joins.group_pairs(df, ["g"], "i").collect()]
+    assert sorted(got) == [(g, a, b) for g, n in (("x", 11), ("z", 4)) for a in range(n) for b in range(a + 1, n)]

@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.maths import cosine_distance
 from .joins import provenance
 from .windows import over
 
@@ -102,10 +101,12 @@ def theme_hits(rows: DataFrame, key: str, text: str, all_of: Sequence[str]) -> D
     return rows.where(held).groupBy(key).agg(F.count("*").alias("hits"), F.max(F.length(text)).alias("longest"))
 
 
-def vector_hits(rows: DataFrame, key: str, vector: str, query: DataFrame, query_vector: str, most: float) -> DataFrame:
-    """Keys by the least cosine distance to any of the query vectors, up to ``most``. Queries are a few rows."""
-    x = rows.crossJoin(F.broadcast(query.select(F.col(query_vector).alias("_q"))))
-    return x.groupBy(key).agg(F.min(cosine_distance(F.col(vector), F.col("_q"))).alias("distance")).where(F.col("distance") <= most)
+def mentions(rows: DataFrame, text: str, names: DataFrame, word: str, name: str) -> DataFrame:
+    """rows with ``name`` for each of ``names`` (a dimension table) whose ``word`` the lower-cased text contains: the list of
+    names goes along as one row, and each text is looked through where it is."""
+    all_ = names.agg(F.collect_list(F.struct(F.col(word).alias("word"), F.col(name).alias("name"))).alias("_names"))
+    x = rows.withColumn("_lower", F.lower(text)).crossJoin(F.broadcast(all_))
+    return x.withColumn(name, F.explode(F.filter("_names", lambda k: F.contains(F.col("_lower"), k["word"]))["name"])).drop("_lower", "_names")
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame, key: str) -> DataFrame:

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import correlation, normal_tail, ratio
-from .windows import cross_rank, over
+from .windows import cross_rank, exact_quantiles, over, spread_rank
 
 
 def quantile_buckets(df: DataFrame, by: Sequence[str], value: str, n: int, out: str) -> DataFrame:
     """Bucket 1..n by interpolated quantile edges, closed to the right; equal edges count once. Not ntile, which splits by rows."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / n) for i in range(n + 1))))).alias("_edges"))
+    shares = [i / n for i in range(n + 1)]
+    edges = df.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q")) if by else exact_quantiles(df, value, shares)
+    edges = edges.withColumn("_edges", F.array_distinct("_q")).drop("_q")
     x = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row of edges
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     return x.withColumn(out, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter(inner, lambda e: e < F.col(value))))).drop("_edges")
@@ -23,23 +25,26 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], value: str, n: int, out:
 def trimmed(df: DataFrame, columns: Sequence[str], lo: float, hi: float) -> DataFrame:
     """Rows within the [lo, hi] quantiles of each column, one column after another: later bounds are those of what is left."""
     for c in columns:
-        q = df.agg(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+        q = exact_quantiles(df, c, (lo, hi))
         df = df.crossJoin(F.broadcast(q)).where((F.col(c) >= F.col("_q")[0]) & (F.col(c) <= F.col("_q")[1])).drop("_q")
     return df
 
 
-def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 10) -> DataFrame:
-    """n, ic (Spearman's rank correlation, ties averaged), Pearson's r and p (normal) by group; null under ``least`` pairs."""
+def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 10, few: bool = False) -> DataFrame:
+    """n, ic (Spearman's rank correlation, ties averaged), Pearson's r and p (normal) by group; null under ``least`` pairs.
+
+    few: there are only some groups, each too large for one task's sort."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    x = cross_rank(cross_rank(x, by, a, "_ra"), by, b, "_rb")
+    ranked = spread_rank if few else cross_rank
+    x = ranked(ranked(x, by, a, "_ra"), by, b, "_rb")
     g = x.groupBy(*by).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("ic"), correlation(a, b).alias("pearson")).where(F.col("n") >= least)
     return g.withColumn("p", normal_tail(F.col("ic") * F.sqrt(F.col("n") - 1)))
 
 
 def rank_sum_test(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
     """Mann-Whitney's U of rows with ``group`` true against the others, and z by the normal approximation."""
-    x = cross_rank(df.where(F.col(value).isNotNull()), by, value, "_p").withColumn("_r", F.col("_p") * F.count("*").over(over(by)))
-    g = x.groupBy(*by).agg(F.sum(F.when(F.col(group), F.col("_r"))).alias("ranks"), F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n2"))
+    x = spread_rank(df.where(F.col(value).isNotNull()), by, value, "_p")
+    g = x.groupBy(*by).agg((F.sum(F.when(F.col(group), F.col("_p"))) * F.count("*")).alias("ranks"), F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n2"))
     u = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2
     mid, sd = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
     return g.withColumn("u", u).withColumn("z", ratio(u - mid, sd)).drop("ranks")
@@ -89,7 +94,7 @@ def lag_correlation(df: DataFrame, keys: Sequence[str], at: str, a: str, b: str,
     """Rank correlation of ``a`` with ``b`` lag rows later, for each lag with enough pairs."""
     x = df.withColumns({f"_b{k}": F.lead(b, k).over(over(keys, [at])) for k in lags})
     x = x.select(F.col(a).alias("_x"), F.inline(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_b{k}").alias("_y")) for k in lags))))
-    return spearman(x, ["lag"], "_x", "_y", least).select("lag", "n", "ic")
+    return spearman(x, ["lag"], "_x", "_y", least, few=True).select("lag", "n", "ic")
 
 
 def lead_lag_signals(returns: DataFrame, at: str, leaders: Sequence[str], followers: Sequence[str], window: int = 60, shrink: float = 0.9, factors: int = 3) -> DataFrame:

@@ -6,7 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .asof import asof_join
+
 Names = Sequence[str]
+#: Items of a part of a group whose pairs are made.
+PART = 1000
 
 
 def prioritised(primary: DataFrame, fallback: DataFrame, keys: Names, only_fallback: Names = ()) -> DataFrame:
@@ -33,9 +37,29 @@ def window_join(events: DataFrame, panel: DataFrame, keys: Names, event_at: str,
 
 
 def group_pairs(df: DataFrame, group: Names, item: str) -> DataFrame:
-    """a < b for each two items of a group."""
-    one = df.select(*group, F.col(item).alias("a")).distinct()
-    return one.join(df.select(*group, F.col(item).alias("b")).distinct(), list(group)).where("a < b")
+    """a < b for each two items of a group. Groups are cut into parts of PART items or so; a task has the pairs of two parts."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / PART))
+    items = df.select(*group, item).distinct()
+    items = items.join(items.groupBy(*group).agg(F.count("*").alias("_n")), list(group))
+    cells = items.select(*group, item, F.pmod(F.xxhash64(item), parts).alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_other"))
+    cells = cells.select(*group, item, "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    a, b = (cells.select(*group, "_lo", "_hi", F.col("_own").alias(f"_{x}"), F.col(item).alias(x)) for x in "ab")
+    return a.join(b, [*group, "_lo", "_hi"]).where("a < b and (_lo = _hi or _a <> _b)").select(*group, "a", "b")
+
+
+def nearest_two_sides(events: DataFrame, panel: DataFrame, key: str, event_at: str, at: str, k: int) -> DataFrame:
+    """key, event_at, side, k, at: the ``k`` nearest times of the event's key before it (PREV) and after it (AFTER).
+
+    Each panel row brings the k - 1 times next to it along, so one as-of join for each side finds all: an event is never
+    joined to all rows of its key.
+    """
+    out = None
+    for side, direction, near in (("PREV", "backward", F.lag), ("AFTER", "forward", F.lead)):
+        times = F.array(F.col(at), *(near(at, i).over(Window.partitionBy(key).orderBy(at)) for i in range(1, k)))
+        found = asof_join(events, panel.select(key, at, times.alias("_times")), [key], event_at, at, direction=direction, strict=True)
+        one = found.select(key, event_at, F.lit(side).alias("side"), F.posexplode("r__times").alias("k", at)).where(F.col(at).isNotNull()).withColumn("k", F.col("k") + 1)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def leader_pairs(df: DataFrame, group: Names, item: str) -> DataFrame:

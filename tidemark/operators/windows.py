@@ -49,6 +49,47 @@ def cross_rank(df: DataFrame, by: Names, value: str, out: str, least: int = 1) -
     return df.withColumn(out, F.when(F.col(value).isNotNull() & (n >= least), (rank + (ties - 1) / 2) / n))
 
 
+#: Pieces that a group's values are cut into by spread_rank() and exact_quantiles().
+PIECES = 200
+
+
+def _pieces(df: DataFrame, by: Names, value: str) -> DataFrame:
+    """df with _piece, which grows with ``value``: how many of the group's approximate quantiles are less. Null without a value."""
+    edges = df.groupBy(*by).agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], 10_000).alias("_edges"))
+    x = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))  # a row for each group, of which there are few
+    return x.withColumn("_piece", F.when(F.col(value).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(value))))).drop("_edges")
+
+
+def _before(x: DataFrame, by: Names) -> DataFrame:
+    """by, _piece, _here (rows of the piece), _before (rows of the group's earlier ones) and _all; PIECES rows for each group."""
+    counts = x.where(F.col("_piece").isNotNull()).groupBy(*by, "_piece").agg(F.count("*").alias("_here"))
+    w = over(by, ["_piece"], (Window.unboundedPreceding, -1)) if by else Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = over(by) if by else Window.partitionBy()
+    return counts.withColumns({"_before": F.coalesce(F.sum("_here").over(w), F.lit(0)), "_all": F.sum("_here").over(all_)})
+
+
+def spread_rank(df: DataFrame, by: Names, value: str, out: str) -> DataFrame:
+    """cross_rank() for few and large groups, null keys left out: a group is cut at its approximate quantiles, ranks are taken
+    within pieces, and the rows of earlier pieces are added, so that no task sorts a whole group. Exact, as equal values
+    are in one piece."""
+    x = _pieces(df, by, value)
+    rank = F.rank().over(over([*by, "_piece"], [value])) + (F.count(value).over(over([*by, "_piece", value])) - 1) / 2
+    done = x.withColumn("_rank", rank).join(F.broadcast(_before(x, by)), [*by, "_piece"], "left")
+    return done.withColumn(out, F.when(F.col(value).isNotNull(), (F.col("_rank") + F.col("_before")) / F.col("_all"))).drop("_piece", "_rank", "_here", "_before", "_all")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Names) -> DataFrame:
+    """One row with _q, the interpolated quantiles of a whole column: only the pieces that hold the wanted places are sorted."""
+    x = _pieces(df.select(value), [], value)
+    places = _before(x, [])
+    at = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_all") - 1) * F.lit(float(s))).alias("at")) for i, s in enumerate(shares)))
+    ends = places.select("_piece", "_here", "_before", F.explode(at).alias("q")).select("_piece", "_here", "_before", "q.i", (F.col("q.at") - F.floor("q.at")).alias("part"), F.explode(F.array(F.struct(F.floor("q.at").alias("place"), F.lit(False).alias("up")), F.struct(F.ceil("q.at").alias("place"), F.lit(True).alias("up")))).alias("e"))
+    ends = ends.where((F.col("e.place") >= F.col("_before")) & (F.col("e.place") < F.col("_before") + F.col("_here")))
+    wanted = x.join(F.broadcast(ends.select("_piece", "_before").distinct()), "_piece").withColumn("_at", F.col("_before") + F.row_number().over(over(["_piece"], [value])) - 1)
+    found = wanted.join(F.broadcast(ends.select("i", "part", F.col("e.place").alias("_at"), "e.up")), "_at").groupBy("i", "part").agg(F.max(F.when(~F.col("up"), F.col(value))).alias("lo"), F.max(F.when(F.col("up"), F.col(value))).alias("hi"))
+    return found.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("v")))), lambda q: q["v"]).alias("_q"))
+
+
 def streak(df: DataFrame, keys: Names, order: Names, flag: Column, out: str) -> DataFrame:
     """How many rows in a row, this one included, ``flag`` has been true; 0 where it isn't or is null."""
     held = F.coalesce(flag, F.lit(False))

@@ -39,7 +39,7 @@ _STANDALONE = """WITH r AS (SELECT * FROM fin_cum QUALIFY row_number() OVER (PAR
 query("d3_standalone_quarters", lambda t: rounded(_standalone(t), 4), _STANDALONE + "SELECT ticker, fy, q, n, disclosed, round(sales, 4) AS sales FROM s")
 query("d4_latest_disclosure", lambda t: latest_by(t.fin_cum, ["ticker"], [c("disclosed").desc(), c("n").desc(), c("sales").desc()]).select("ticker", "disclosed", "q", F.when(c("q") == "FY", c("fy") + 1).otherwise(c("fy")).alias("current_fy")), "SELECT ticker, disclosed, q, CASE WHEN q = 'FY' THEN fy + 1 ELSE fy END AS current_fy FROM fin_cum QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY disclosed DESC, n DESC, sales DESC) = 1")
 query("d12_growth", lambda t: rounded(fundamentals.growth_features(_standalone(t).select("ticker", "fy", "q", "sales"), ["ticker"], "fy", "q", "sales")), _STANDALONE + ", g AS (SELECT *, lag(sales) OVER (PARTITION BY ticker, q ORDER BY fy) AS ago, lag(sales) OVER (PARTITION BY ticker ORDER BY fy, q) AS bef FROM s) SELECT ticker, fy, q, round(sales, 6) AS sales, CASE WHEN ago <> 0 THEN round(least(greatest((sales - ago) / abs(ago), -5), 5), 6) END AS yoy, CASE WHEN bef <> 0 THEN round(least(greatest((sales - bef) / abs(bef), -5), 5), 6) END AS qoq, coalesce(sales > 0 AND ago < 0, false) AS turnaround FROM g")
-query("d13_feature_attach", lambda t: rounded(asof_join(t.bars.where("dayofmonth(d) = 15").select("ticker", "d"), t.fin_cum.where("disclosed is not null").groupBy("ticker", "disclosed").agg(F.max("sales").alias("sales")), ["ticker"], "d", "disclosed"), 4), "WITH f AS (SELECT ticker, disclosed, max(sales) AS sales FROM fin_cum GROUP BY 1, 2) SELECT b.ticker, b.d, max(disclosed) AS r_disclosed, round(arg_max(sales, disclosed), 4) AS r_sales FROM (SELECT ticker, d FROM bars WHERE day(d) = 15) b LEFT JOIN f ON f.ticker = b.ticker AND f.disclosed <= b.d GROUP BY 1, 2")
+query("d13_feature_attach", lambda t: rounded(asof_join(t.bars.select("ticker", "d"), t.fin_cum.where("disclosed is not null").groupBy("ticker", "disclosed").agg(F.max("sales").alias("sales")), ["ticker"], "d", "disclosed"), 4), "WITH f AS (SELECT ticker, disclosed, max(sales) AS sales FROM fin_cum GROUP BY 1, 2) SELECT b.ticker, b.d, max(disclosed) AS r_disclosed, round(arg_max(sales, disclosed), 4) AS r_sales FROM (SELECT ticker, d FROM bars) b LEFT JOIN f ON f.ticker = b.ticker AND f.disclosed <= b.d GROUP BY 1, 2")
 query("d31_prior_flag", lambda t: fundamentals.first_flag(t.orders.select(c("o_orderkey"), c("o_custkey").alias("k"), F.to_date("o_orderdate").alias("at")), t.orders.where("o_orderpriority like '1%'").select(c("o_custkey").alias("k"), F.to_date("o_orderdate").alias("at")), ["k"], "at", "flag"), "SELECT o_orderkey, o_custkey AS k, CAST(o_orderdate AS DATE) AS at, coalesce(CAST(o_orderdate AS DATE) >= m, false) AS flag FROM orders LEFT JOIN (SELECT o_custkey AS k2, min(CAST(o_orderdate AS DATE)) AS m FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) ON k2 = o_custkey")
 query("d32_clipped_ratio", lambda t: rounded(t.fin_quarters.withColumn("g", change(c("own").cast("double"), F.lag("own").over(over(["ticker"], ["fy", "n"])).cast("double"), 5)).select("ticker", "fy", "n", "g")), "SELECT ticker, fy, n, CASE WHEN p <> 0 THEN round(least(greatest((own - p) / abs(p), -5), 5), 6) END AS g FROM (SELECT ticker, fy, n, CAST(own AS DOUBLE) AS own, CAST(lag(own) OVER (PARTITION BY ticker ORDER BY fy, n) AS DOUBLE) AS p FROM fin_quarters)")
 query("d64_announcements", lambda t: fundamentals.announcement_calendar(t.fin_cum.select("ticker", "fy", "q", c("disclosed").alias("dated")), t.fin_cum.select("ticker", "fy", "q", F.date_add("disclosed", 1).alias("dated")), ["ticker", "fy", "q"], "dated"), "SELECT *, CAST(row_number() OVER (PARTITION BY ticker, fy, q, record_type ORDER BY dated) AS INTEGER) AS revision FROM (SELECT ticker, fy, q, disclosed AS dated, 'S' AS record_type FROM fin_cum UNION SELECT ticker, fy, q, disclosed + 1, 'A' FROM fin_cum)")
@@ -222,7 +222,7 @@ def _owner_kind():
 
 query("d25_owner_features", lambda t: rounded(ownership.owner_features(t.holders, ["company"], "json", _owner_kind(), 200), 5), f"WITH h AS (SELECT *, {_TYPES} AS kind FROM holder_list), k AS (SELECT name, count(DISTINCT company) >= 200 AS famous FROM h WHERE kind = 'INDIVIDUAL' GROUP BY 1) SELECT company, arg_min(CASE WHEN kind NOT IN ('TRUST_BANK', 'UNKNOWN') THEN name END, CASE WHEN kind NOT IN ('TRUST_BANK', 'UNKNOWN') THEN rn END) AS real_top, count(*) FILTER (kind IN ('INDIVIDUAL', 'ASSET_MGMT')) AS owners, round(coalesce(sum(ratio) FILTER (kind IN ('INDIVIDUAL', 'ASSET_MGMT')), 0), 5) AS owner_ratio, coalesce(bool_or(famous), false) AS famous FROM h LEFT JOIN k USING (name) GROUP BY 1")
 query("d26_name_types", lambda t: t.supplier.select("s_suppkey", ownership.name_type(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Ｍａｓｔｅｒ Trust Bank", "State Street Nominee", "Alpha Capital", "Beta Insurance Co.", "Taro Yamada", "Gamma Holdings", "42"))), (c("s_suppkey") % 7 + 1).cast("int")), F.lit("")), ownership.RULES).alias("kind")), "SELECT s_suppkey, ['TRUST_BANK', 'CUSTODIAN', 'ASSET_MGMT', 'INSURANCE', 'INDIVIDUAL', 'COMPANY', 'UNKNOWN'][CAST(s_suppkey % 7 AS INTEGER) + 1] AS kind FROM supplier")
-query("d77_single_company_names", lambda t: rounded(ownership.single_company_names(t.holders.where("company < 30"), ["company"], "json")), "SELECT name, min(company) AS company, round(max(ratio), 6) AS ratio FROM holder_list WHERE company < 30 GROUP BY 1 HAVING count(DISTINCT company) = 1")
+query("d77_single_company_names", lambda t: rounded(ownership.single_company_names(t.order_holders, ["company"], "json")), "SELECT name, min(company) AS company, round(max(ratio), 6) AS ratio FROM order_list GROUP BY 1 HAVING count(DISTINCT company) = 1")
 query("d35_pairs", lambda t: t.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("leader")).join(t.customer, "c_nationkey").where("leader <> c_custkey").groupBy("leader").agg(F.count("*").alias("followers")), "SELECT leader, count(*) AS followers FROM (SELECT c_nationkey, min(c_custkey) AS leader FROM customer GROUP BY 1) JOIN customer USING (c_nationkey) WHERE leader <> c_custkey GROUP BY 1")
 
 # Scores

@@ -74,12 +74,20 @@ class Tables:
 
     @cached_property
     def holders(self) -> DataFrame:
-        x = self.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("q"))
-        x = x.withColumn("rn", F.row_number().over(over(["l_partkey"], [F.col("q").desc(), F.col("l_suppkey")]))).where("rn <= 10")
+        return self._holders("l_suppkey", "Supplier#")
+
+    @cached_property
+    def order_holders(self) -> DataFrame:
+        """Orders hold parts: most of them few, and some one alone."""
+        return self._holders("l_orderkey", "Order#")
+
+    def _holders(self, holder: str, prefix: str) -> DataFrame:
+        x = self.lineitem.groupBy("l_partkey", holder).agg(F.sum("l_quantity").cast("long").alias("q"))
+        x = x.withColumn("rn", F.row_number().over(over(["l_partkey"], [F.col("q").desc(), F.col(holder)]))).where("rn <= 10")
         x = x.withColumn("total", F.sum("q").over(over(["l_partkey"])))
-        item = F.struct("rn", F.col("l_suppkey").alias("s"), (F.col("q") / F.col("total")).alias("ratio"))
+        item = F.struct("rn", F.col(holder).alias("s"), (F.col("q") / F.col("total")).alias("ratio"))
         x = x.groupBy(F.col("l_partkey").alias("company")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        return x.select("company", F.to_json(F.transform("items", lambda i: F.struct(F.concat(F.lit("Supplier#"), i["s"].cast("string")).alias("name"), F.round(i["ratio"] + nudge(6), 6).alias("ratio")))).alias("json"))
+        return x.select("company", F.to_json(F.transform("items", lambda i: F.struct(F.concat(F.lit(prefix), i["s"].cast("string")).alias("name"), F.round(i["ratio"] + nudge(6), 6).alias("ratio")))).alias("json"))
 
 
 _ROW_SQL = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
@@ -104,6 +112,8 @@ CTES = {
     "corp_events": f"SELECT DISTINCT l_suppkey AS ticker, {_DAY} AS event_d FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48",
     "master": "SELECT s_suppkey AS ticker, s_name AS name, n_name AS sector, r_name AS area, CASE WHEN s_acctbal > 5000 THEN 'L' WHEN s_acctbal > 0 THEN 'M' ELSE 'S' END AS size, s_acctbal AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "holder_rows": "SELECT l_partkey AS company, l_suppkey AS s, q, row_number() OVER (PARTITION BY l_partkey ORDER BY q DESC, l_suppkey) AS rn FROM (SELECT l_partkey, l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)",
+    "order_rows": "SELECT l_partkey AS company, l_orderkey AS s, q, row_number() OVER (PARTITION BY l_partkey ORDER BY q DESC, l_orderkey) AS rn FROM (SELECT l_partkey, l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)",
+    "order_list": "SELECT company, 'Order#' || s AS name, s, rn, round(q / sum(q) OVER (PARTITION BY company), 6) AS ratio FROM order_rows WHERE rn <= 10",
     "holder_list": "SELECT company, 'Supplier#' || s AS name, s, rn, round(q / sum(q) OVER (PARTITION BY company), 6) AS ratio FROM holder_rows WHERE rn <= 10",
 }
 

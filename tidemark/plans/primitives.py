@@ -8,7 +8,7 @@ from ..functions.maths import change, clip, first_nonzero, kelly, labelled_coale
 from ..operators.asof import asof_join
 from ..operators.calendar import era_year, fiscal_roll, in_session, month_of, on_or_before, shift_days
 from ..operators.factor import trimmed
-from ..operators.joins import fuzzy_match, group_pairs, leader_pairs, nearest_interval, prioritised, provenance, window_join
+from ..operators.joins import fuzzy_match, group_pairs, leader_pairs, nearest_interval, nearest_two_sides, prioritised, provenance, window_join
 from ..operators.windows import cross_rank, drawdown, forward_fill, latest_by, near_triggers, over, rolling, rolling_median, rolling_rank, streak, top_n
 from ..sources.tables import duplicates, first_nonempty, replaced, update_from, upsert, with_fallback
 from .fixtures import query, rounded
@@ -68,17 +68,17 @@ query("j17_latest_by_max", lambda t: rounded(t.bars.groupBy("ticker").agg(F.max(
 
 def _intervals(t):
     spans = t.corp_events.groupBy("ticker").agg(F.min("event_d").alias("lo0"), F.max("event_d").alias("hi0")).select("ticker", F.inline(F.array(F.struct(c("lo0").alias("lo"), F.date_add("lo0", 300).alias("hi"), F.lit("early").alias("label")), F.struct(F.date_sub("hi0", 300).alias("lo"), c("hi0").alias("hi"), F.lit("late").alias("label"))))).where("label = 'early' or lo > date'1996-01-01'")
-    points = t.bars.where("dayofmonth(d) = 1").select("ticker", "d")
+    points = t.bars.select("ticker", "d")
     return nearest_interval(points, spans, "ticker", "d", "lo", "hi", "label")
 
 
 query("j19_interval_lookup", _intervals, """WITH b AS (SELECT ticker, min(event_d) AS lo0, max(event_d) AS hi0 FROM corp_events GROUP BY 1), s AS (SELECT ticker, lo0 AS lo, lo0 + 300 AS hi, 'early' AS label FROM b UNION ALL SELECT ticker, hi0 - 300, hi0, 'late' FROM b WHERE hi0 - 300 > DATE '1996-01-01'),
-    j AS (SELECT p.ticker, p.d, label, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN 1 WHEN lo > d THEN 2 END AS k, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN d - hi WHEN lo > d THEN lo - d END AS far FROM (SELECT ticker, d FROM bars WHERE day(d) = 1) p LEFT JOIN s USING (ticker))
+    j AS (SELECT p.ticker, p.d, label, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN 1 WHEN lo > d THEN 2 END AS k, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN d - hi WHEN lo > d THEN lo - d END AS far FROM (SELECT ticker, d FROM bars) p LEFT JOIN s USING (ticker))
     SELECT ticker, d, first(label ORDER BY k, far, label) AS label, CAST(min(k) AS INTEGER) AS match_kind FROM j GROUP BY 1, 2""")
 query("j20_group_pairs", lambda t: group_pairs(t.supplier, ["s_nationkey"], "s_suppkey"), "SELECT a.s_nationkey, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 query("j21_sibling_pairs", lambda t: leader_pairs(t.supplier, ["s_nationkey"], "s_suppkey"), "WITH m AS (SELECT s_nationkey, min(s_suppkey) AS l FROM supplier GROUP BY 1), d AS (SELECT l AS leader, s_suppkey AS follower, s_nationkey FROM supplier JOIN m USING (s_nationkey) WHERE l <> s_suppkey) SELECT leader, follower, 'direct' AS kind FROM d UNION ALL SELECT a.follower, b.follower, 'sibling' FROM d a JOIN d b USING (s_nationkey) WHERE a.follower <> b.follower")
 query("j22_fuzzy", lambda t: rounded(fuzzy_match(t.nation.select("n_name"), t.nation.select(F.concat(c("n_name"), F.lit(" x")).alias("target")), "n_name", "target", F.substring("n_name", 1, 1), F.substring("target", 1, 1), 0.5)), "WITH s AS (SELECT a.n_name, b.n_name || ' x' AS target, regexp_replace(lower(a.n_name), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(b.n_name || ' x'), '[^a-z0-9]', '', 'g') AS q FROM nation a JOIN nation b ON a.n_name[1] = b.n_name[1]) SELECT n_name, arg_max(target, 1 - levenshtein(p, q) / greatest(length(p), length(q))) AS match, round(max(1 - levenshtein(p, q) / greatest(length(p), length(q))), 6) AS score FROM s WHERE 1 - levenshtein(p, q) / greatest(length(p), length(q)) >= 0.5 GROUP BY 1")
-query("j23_unnest", lambda t: t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("i", "line")), "SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS i, u.line FROM (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 3) AS l FROM documents), LATERAL (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i) u")
+query("j23_unnest", lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")), "SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS i, u.line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i) u")
 
 # Aggregates
 query("a1_a6_aggregates", lambda t: rounded(t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("disc"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(c("l_quantity") > 40).alias("large"), F.stddev_samp("l_quantity").alias("sd"), F.bool_or(c("l_discount") > 0.09).alias("deep"), F.min("l_partkey").alias("any_part"))), "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS q, round(avg(l_discount), 6) AS disc, round(min(l_tax), 6) AS lo, round(max(l_tax), 6) AS hi, count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (l_quantity > 40) AS large, round(stddev_samp(l_quantity), 6) AS sd, bool_or(l_discount > 0.09) AS deep, min(l_partkey) AS any_part FROM lineitem GROUP BY 1, 2")
@@ -97,7 +97,7 @@ query("a24_argmax_row", lambda t: t.bars.groupBy("ticker").agg(F.max_by(F.struct
 query("w1_latest_revision", lambda t: rounded(latest_by(t.fin_cum, ["ticker", "fy", "q"], [c("disclosed").desc(), c("sales").desc()]), 2), "SELECT ticker, fy, q, n, disclosed, round(sales, 2) AS sales FROM fin_cum QUALIFY row_number() OVER (PARTITION BY ticker, fy, q ORDER BY disclosed DESC, sales DESC) = 1")
 query("w4_w7_moving", lambda t: rounded(t.bars.select("ticker", "d", F.avg("close").over(w().rowsBetween(-19, 0)).alias("ma"), F.max("high").over(w().rowsBetween(-19, 0)).alias("hi"), F.min("low").over(w().rowsBetween(-19, 0)).alias("lo"), F.max("high").over(w().rowsBetween(1, 20)).alias("ahead"), F.stddev_samp("close").over(w().rowsBetween(-19, 0)).alias("sd"), F.count("*").over(w().rowsBetween(-19, 0)).alias("n")), 5), "SELECT ticker, d, round(avg(close) OVER w, 5) AS ma, round(max(high) OVER w, 5) AS hi, round(min(low) OVER w, 5) AS lo, round(max(high) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), 5) AS ahead, round(stddev_samp(close) OVER w, 5) AS sd, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING)")
 query("w8_anchored_sum", lambda t: t.bars.select("ticker", "d", F.sum("volume").over(Window.partitionBy("ticker", F.date_trunc("week", "d")).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("volume")), "SELECT ticker, d, sum(volume) OVER (PARTITION BY ticker, date_trunc('week', d) ORDER BY d ROWS UNBOUNDED PRECEDING) AS volume FROM bars")
-query("w11_nearest_two_sides", lambda t: t.corp_events.join(t.bars.select("ticker", "d"), "ticker").where("d <> event_d").withColumn("side", F.when(c("d") < c("event_d"), "PREV").otherwise("AFTER")).withColumn("k", F.row_number().over(Window.partitionBy("ticker", "event_d", "side").orderBy(F.abs(F.datediff("d", "event_d"))))).where("k <= 2").select("ticker", "event_d", "side", "k", "d"), "SELECT ticker, event_d, CASE WHEN d < event_d THEN 'PREV' ELSE 'AFTER' END AS side, CAST(row_number() OVER (PARTITION BY ticker, event_d, d < event_d ORDER BY abs(d - event_d)) AS INTEGER) AS k, d FROM corp_events JOIN bars USING (ticker) WHERE d <> event_d QUALIFY k <= 2")
+query("w11_nearest_two_sides", lambda t: nearest_two_sides(t.corp_events, t.bars.select("ticker", "d"), "ticker", "event_d", "d", 2), "SELECT ticker, event_d, CASE WHEN d < event_d THEN 'PREV' ELSE 'AFTER' END AS side, CAST(row_number() OVER (PARTITION BY ticker, event_d, d < event_d ORDER BY abs(d - event_d)) AS INTEGER) AS k, d FROM corp_events JOIN bars USING (ticker) WHERE d <> event_d QUALIFY k <= 2")
 query("w12_revision_number", lambda t: t.fin_cum.select("ticker", "fy", "q", "disclosed", F.row_number().over(over(["ticker", "fy", "q"], ["disclosed", "sales"])).alias("revision")), "SELECT ticker, fy, q, disclosed, CAST(row_number() OVER (PARTITION BY ticker, fy, q ORDER BY disclosed, sales) AS INTEGER) AS revision FROM fin_cum")
 query("w13_rolling_rank", lambda t: rounded(t.bars10.select("ticker", "d", rolling_rank("volume", w(), 60).alias("rank"))), "SELECT ticker, d, CASE WHEN len(h) >= 60 THEN round((len(list_filter(h, lambda x: x < volume)) + (len(list_filter(h, lambda x: x = volume)) + 1) / 2) / len(h), 6) END AS rank FROM (SELECT ticker, d, volume, list(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 59 PRECEDING) AS h FROM bars10)")
 query("w14_cross_rank", lambda t: rounded(cross_rank(t.bars.select("ticker", "d", "volume"), ["d"], "volume", "rank")), "SELECT ticker, d, volume, round((rank() OVER (PARTITION BY d ORDER BY volume) + (count(*) OVER (PARTITION BY d, volume) - 1) / 2) / count(*) OVER (PARTITION BY d), 6) AS rank FROM bars")
@@ -105,7 +105,7 @@ query("w15_rolling_median", lambda t: rounded(t.bars10.select("ticker", "d", rol
 query("w16_rolling_correlation", lambda t: rounded(t.bars10.select("ticker", "d", rolling(F.corr("close", "volume"), c("close"), w(), 30).alias("r")), 5), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 30 THEN round(corr(close, volume) OVER w, 5) END AS r FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING)")
 query("w17_streak", lambda t: streak(t.bars.select("ticker", "d", "volume"), ["ticker"], ["d"], c("volume") > 25, "run"), "WITH x AS (SELECT ticker, d, volume, volume > 25 AS f, sum(CASE WHEN volume > 25 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY d) AS g FROM bars) SELECT ticker, d, volume, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, g ORDER BY d) AS BIGINT) AS run FROM x")
 query("w19_returns", lambda t: rounded(t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close", 5).over(w())) - 1).alias("r5"), F.log(c("close") / F.lag("close").over(w())).alias("log_r"))), "SELECT ticker, d, round(close / nullif(lag(close, 5) OVER w, 0) - 1, 6) AS r5, round(ln(close / lag(close) OVER w), 6) AS log_r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
-query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars10.select("ticker").distinct())).join(t.bars10.where("ticker < 3").select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", w(), 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars10) k LEFT JOIN (SELECT * FROM bars10 WHERE ticker < 3) b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
+query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars10.select("ticker").distinct())).join(t.bars10.select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", w(), 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars10) k LEFT JOIN bars10 b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
 query("w21_drawdown", lambda t: rounded(t.bars10.select("ticker", "d", "close").withColumn("dd", drawdown("close", ["ticker"], ["d"]))), "SELECT ticker, d, round(close, 6) AS close, round(close / max(close) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING) - 1, 6) AS dd FROM bars10")
 query("w22_trailing_hit_rate", lambda t: rounded(t.bars10.withColumn("win", (c("close") > c("open")).cast("double")).select("ticker", "d", F.when(F.count("win").over(w().rowsBetween(-20, -1)) == 20, F.avg("win").over(w().rowsBetween(-20, -1))).alias("rate"))), "SELECT ticker, d, CASE WHEN count(*) OVER w = 20 THEN round(avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS rate FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 query("w25_w26_counts", lambda t: t.bars.select("ticker", "d", (F.row_number().over(w()) - 1).alias("i"), F.count("*").over(over(["d"])).alias("names")), "SELECT ticker, d, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY d) AS names FROM bars")

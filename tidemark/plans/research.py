@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.maths import clip, ratio
-from ..operators import backtest, factor, models, screens, technicals
+from ..operators import backtest, factor, models, screens, technicals, vectors
 from ..operators.asof import asof_join
 from ..operators.windows import latest_by, over, top_n
 from ..sources import facts, tables
@@ -145,11 +146,12 @@ query("st8_st9_k13_resumed_stream", _resumed, "SELECT event_id, round(value, 6)
 
 # Learned models and iterative studies: no SQL
 def _index(t):
-    """Recall of ten neighbours in half of the lists, for every twentieth vector."""
-    indexed, model = models.vector_index(t.embeddings, "embedding", 8)
+    """Ten neighbours of every twentieth vector by the index, and whether the exact search finds each, too."""
+    indexed, model = vectors.vector_index(t.embeddings, "embedding")
     q = t.embeddings.where("vec_id % 20 = 0")
-    near, all_ = (models.probe(indexed, model, q, "embedding", "vec_id", n, 10).select("query", "neighbour") for n in (6, 8))
-    return near.join(all_, ["query", "neighbour"], "left_semi").agg((F.count("*") / 10).alias("found")).crossJoin(q.agg(F.count("*").alias("queries"))).select((c("found") / c("queries")).alias("recall"), "queries")
+    near = vectors.probe(indexed, model, q, "embedding", "vec_id", max(2, -(-3 * len(model.clusterCenters()) // 4)), 10)
+    exact = vectors.nearest(q, t.embeddings, "vec_id", "embedding", k=10).select("query", "neighbour", F.lit(True).alias("exact"))
+    return rounded(near.join(exact, ["query", "neighbour"], "left").na.fill(False, ["exact"]), 5)
 
 
 query("k10_vector_index", _index)
@@ -186,5 +188,12 @@ def _clusters(t):
 
 
 query("d48_clusters", _clusters)
-query("m8_text_similarity", lambda t: models.text_features(t.benchmark.select(c("item_id").alias("doc_id"), "text"), "text").select("doc_id", F.length("text").alias("n")))
+def _similar_texts(t):
+    """The three nearest items of every twentieth one, by the angle of their tf-idf vectors of character n-grams."""
+    x = models.text_features(t.benchmark.select("item_id", "text"), "text").select("item_id", vector_to_array("tfidf").alias("v"))
+    near = vectors.nearest(x.where("item_id % 20 = 0"), x, "item_id", "v", k=4).where("query <> neighbour")
+    return rounded(near.select("query", "neighbour", (1 - c("distance")).alias("similarity")), 5)
+
+
+query("m8_text_similarity", _similar_texts)
 query("a9_latest_prices", lambda t: rounded(latest_by(t.bars, ["ticker"], [c("d").desc()]).select("ticker", "d", "close"), 5), "SELECT ticker, max(d) AS d, round(arg_max(close, d), 5) AS close FROM bars GROUP BY 1")

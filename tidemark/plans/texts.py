@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import documents as docs
+from ..operators import documents as docs, vectors
 from ..operators.scoring import earnings_score, late_filing_score, outcome, return_class, score_class
 from ..sources import tables
 from ..streaming import monitor
@@ -17,9 +17,11 @@ c = F.col
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new path in the folder that the cluster shares, or one of this machine where none is set, as in tests."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares; only a session on this machine alone may lack one."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and t.spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or f'file://{tempfile.gettempdir()}/tidemark'}/{name}-{uuid.uuid4().hex}"
 
 
 # Documents
@@ -29,11 +31,11 @@ query("v2_recursive_chunks", lambda t: docs.chunks(t.documents, "doc_id", "text"
 
 
 def _sections(t):
-    x = docs.fixed_chunks(t.documents.where("doc_id % 3 = 0"), "doc_id", "text", 400, 0)
+    x = docs.fixed_chunks(t.documents, "doc_id", "text", 400, 0)
     return docs.sections(x, "doc_id", r"([A-Z][a-z]{8,})").select("doc_id", "chunk_index", "section")
 
 
-_SECTIONS = "WITH k AS (SELECT doc_id, i::INTEGER AS chunk_index, substr(text, (i * 400 + 1)::BIGINT, 400) AS ch FROM (SELECT doc_id, text, greatest(ceil(length(text) / 400), 1)::BIGINT AS n FROM documents WHERE length(text) > 0 AND doc_id % 3 = 0), LATERAL (SELECT unnest(range(n)) AS i) u), s AS (SELECT doc_id, chunk_index, last_value(nullif(regexp_extract(ch, '([A-Z][a-z]{8,})', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS section FROM k) "
+_SECTIONS = "WITH k AS (SELECT doc_id, i::INTEGER AS chunk_index, substr(text, (i * 400 + 1)::BIGINT, 400) AS ch FROM (SELECT doc_id, text, greatest(ceil(length(text) / 400), 1)::BIGINT AS n FROM documents WHERE length(text) > 0), LATERAL (SELECT unnest(range(n)) AS i) u), s AS (SELECT doc_id, chunk_index, last_value(nullif(regexp_extract(ch, '([A-Z][a-z]{8,})', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS section FROM k) "
 query("v3_x7_sections", _sections, _SECTIONS + "SELECT * FROM s")
 query("v4_section_filter", lambda t: docs.section_filter(_sections(t), "doc_id", ["Nothing"], 0.5, ["Ofanthering"]).groupBy("doc_id").agg(F.count("*").alias("n")), _SECTIONS + "SELECT doc_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY chunk_index) AS i, count(*) OVER (PARTITION BY doc_id, section) AS m FROM s) WHERE coalesce(section <> 'Nothing', true) AND (coalesce(section <> 'Ofanthering', true) OR i <= greatest(1, floor(m * 0.5))) GROUP BY 1")
 query("v5_line_counts", lambda t: t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("pages"), F.regexp_count("text", F.lit(r"\d")).alias("digits")), "SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS pages, len(regexp_extract_all(text, '[0-9]'))::INTEGER AS digits FROM documents")
@@ -43,17 +45,17 @@ query("v8_theme_search", lambda t: docs.theme_hits(t.documents, "source", "text"
 
 
 def _vector_hits(t, most):
-    q = t.embeddings.join(t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")), "vec_id", "left_semi").select(c("embedding").alias("q"))
-    return docs.vector_hits(t.embeddings, "vec_id", "embedding", q, "q", most)
+    near = vectors.nearest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", most=most)
+    return near.groupBy(c("neighbour").alias("vec_id")).agg(F.min("distance").alias("distance"))
 
 
-_VECTOR = "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), h AS (SELECT vec_id, min(1 - list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)) / (sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_dot_product(list_transform(q, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE))))) AS distance FROM embeddings, q GROUP BY 1 HAVING distance <= {most}) "
+_VECTOR = "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id % 20 = 0), h AS (SELECT vec_id, min(1 - list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)) / (sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_dot_product(list_transform(q, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE))))) AS distance FROM embeddings, q GROUP BY 1 HAVING distance <= {most}) "
 query("v9_f14_vector_search", lambda t: rounded(_vector_hits(t, 0.8), 5), _VECTOR.format(most=0.8) + "SELECT vec_id, round(distance, 5) AS distance FROM h")
 query("v10_hybrid", lambda t: docs.hybrid(t.documents.where(c("text").rlike("License")).select(c("doc_id").alias("vec_id"), F.lit(1).alias("hits")), _vector_hits(t, 0.8), "vec_id").select("vec_id", "hit_type", "type_order"), _VECTOR.format(most=0.8) + ", k AS (SELECT doc_id AS vec_id FROM documents WHERE regexp_matches(text, 'License')) SELECT vec_id, CASE WHEN a AND b THEN 'BOTH' WHEN a THEN 'KEYWORD_ONLY' ELSE 'VECTOR_ONLY' END AS hit_type, CASE WHEN a AND b THEN 0 WHEN b AND a IS NULL THEN 1 ELSE 2 END AS type_order FROM (SELECT vec_id, true AS a FROM k) FULL JOIN (SELECT vec_id, true AS b FROM h) USING (vec_id)")
 query("v11_theme_evolution", lambda t: docs.theme_evolution(t.events.withColumn("period", F.when(F.dayofmonth("ts") <= 10, "prior").when(F.dayofmonth("ts") <= 20, "mid").otherwise("recent")).groupBy("user_id", "period").agg(F.count("*").alias("n")), "user_id", "period", "n"), "WITH x AS (SELECT user_id, count(*) FILTER (day(ts) <= 10) AS prior, count(*) FILTER (day(ts) BETWEEN 11 AND 20) AS mid, count(*) FILTER (day(ts) > 20) AS recent FROM events GROUP BY 1) SELECT user_id, prior, mid, recent, concat_ws('+', CASE WHEN prior = 0 AND mid = 0 AND recent > 0 THEN 'new' END, CASE WHEN recent > mid AND mid >= prior AND mid > 0 THEN 'rising' END, CASE WHEN recent < mid AND mid > 0 THEN 'fading' END, CASE WHEN prior > 0 AND mid = 0 AND recent > 0 THEN 'revived' END) AS signals FROM x")
 query("v12_reconstruct", lambda t: docs.reconstruct(docs.fixed_chunks(t.documents, "doc_id", "text", 400, 0), "doc_id").select("doc_id", "n_chunks", F.sha2("text", 256).alias("digest")), "SELECT doc_id, greatest(ceil(length(text) / 400), 1)::BIGINT AS n_chunks, sha256(text) AS digest FROM documents WHERE length(text) > 0")
 query("v13_quality_gate", lambda t: rounded(t.documents.select("doc_id", docs.quality_ratio(c("text")).alias("ratio")), 5), r"SELECT doc_id, round(length(regexp_replace(text, '[^\p{L}\p{N}\p{P}\s]', '', 'g')) / nullif(length(text), 0), 5) AS ratio FROM documents")
-query("v15_mentions", lambda t: t.documents.join(F.broadcast(t.nation.select(F.lower(F.substring("n_name", 1, 3)).alias("k"), "n_name")), F.contains(F.lower("text"), c("k"))).groupBy("n_name").agg(F.count("*").alias("n")), "SELECT n_name, count(*) AS n FROM documents JOIN nation ON contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY 1")
+query("v15_mentions", lambda t: docs.mentions(t.documents, "text", t.nation.select(F.lower(F.substring("n_name", 1, 3)).alias("k"), "n_name"), "k", "n_name").groupBy("n_name").agg(F.count("*").alias("n")), "SELECT n_name, count(*) AS n FROM documents JOIN nation ON contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY 1")
 query("v14_s13_html_tables", lambda t: t.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).alias("items"), F.element_at(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), 1), 1).alias("heading")), "SELECT page_id, len(regexp_extract_all(html, '<li>'))::INTEGER AS items, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)[1] AS heading FROM pages")
 
 
@@ -61,14 +63,14 @@ query("v14_s13_html_tables", lambda t: t.pages.select("page_id", F.regexp_count(
 def _features(t):
     k = c("l_orderkey") % 11
     num = lambda a, b: ((c("l_partkey") * a + c("l_suppkey") * b) % 41 - 20) / 20.0
-    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_partkey", F.element_at(F.array(F.lit("1Q"), F.lit("2Q"), F.lit("3Q"), F.lit("FY")), (c("l_orderkey") % 4 + 1).cast("int")).alias("quarter"), F.abs(num(1, 3)).alias("progress"), num(3, 1).alias("revision"), F.when(k > 2, num(5, 2)).alias("consensus_ordinary"), F.when(k > 4, num(2, 7)).alias("consensus_net"), num(7, 1).alias("qoq"), F.when(k > 1, num(1, 9)).alias("yoy"), num(9, 4).alias("eps_change"), num(4, 9).alias("op_change"), num(6, 5).alias("growth_gap"), num(8, 3).alias("dividend_change"), F.abs(num(3, 8)).alias("achievement"), (c("l_quantity") / 2).alias("per"), num(5, 6).alias("growth"), (k == 1).alias("selloff"), (k == 2).alias("special_dividend"), (k == 3).alias("buyback"), (k == 4).alias("split"), (k == 5).alias("low_profit"), (k == 6).alias("turnaround"), (k == 7).alias("undisclosed_next"), c("l_extendedprice").alias("market_cap"))
+    return t.lineitem.select("l_orderkey", "l_partkey", F.element_at(F.array(F.lit("1Q"), F.lit("2Q"), F.lit("3Q"), F.lit("FY")), (c("l_orderkey") % 4 + 1).cast("int")).alias("quarter"), F.abs(num(1, 3)).alias("progress"), num(3, 1).alias("revision"), F.when(k > 2, num(5, 2)).alias("consensus_ordinary"), F.when(k > 4, num(2, 7)).alias("consensus_net"), num(7, 1).alias("qoq"), F.when(k > 1, num(1, 9)).alias("yoy"), num(9, 4).alias("eps_change"), num(4, 9).alias("op_change"), num(6, 5).alias("growth_gap"), num(8, 3).alias("dividend_change"), F.abs(num(3, 8)).alias("achievement"), (c("l_quantity") / 2).alias("per"), num(5, 6).alias("growth"), (k == 1).alias("selloff"), (k == 2).alias("special_dividend"), (k == 3).alias("buyback"), (k == 4).alias("split"), (k == 5).alias("low_profit"), (k == 6).alias("turnaround"), (k == 7).alias("undisclosed_next"), c("l_extendedprice").alias("market_cap"))
 
 
 def _score_sql() -> str:
     num = lambda a, b: f"((l_partkey * {a} + l_suppkey * {b}) % 41 - 20) / 20.0::DOUBLE"
     step = lambda x, *s: "CASE " + " ".join(f"WHEN {x} {o} {b} THEN {p}" for o, b, p in s) + " ELSE 0 END"
     peg = step("(per / nullif(growth * 100, 0))", ("<", 0.5, 2), ("<", 1, 1), (">", 10, -3), (">", 5, -2), (">", 2, -1))
-    return f"""WITH f AS (SELECT l_orderkey, l_partkey, l_orderkey % 11 AS k, ['1Q', '2Q', '3Q', 'FY'][(l_orderkey % 4 + 1)::INTEGER] AS quarter, abs({num(1, 3)}) AS progress, {num(3, 1)} AS revision, CASE WHEN l_orderkey % 11 > 2 THEN {num(5, 2)} END AS co, CASE WHEN l_orderkey % 11 > 4 THEN {num(2, 7)} END AS cn, {num(7, 1)} AS qoq, CASE WHEN l_orderkey % 11 > 1 THEN {num(1, 9)} END AS yoy, {num(9, 4)} AS eps0, {num(4, 9)} AS op, {num(6, 5)} AS gap, {num(8, 3)} AS dv, abs({num(3, 8)}) AS ach, l_quantity / 2 AS per, {num(5, 6)} AS growth, l_extendedprice AS cap FROM lineitem WHERE l_linenumber = 1),
+    return f"""WITH f AS (SELECT l_orderkey, l_partkey, l_orderkey % 11 AS k, ['1Q', '2Q', '3Q', 'FY'][(l_orderkey % 4 + 1)::INTEGER] AS quarter, abs({num(1, 3)}) AS progress, {num(3, 1)} AS revision, CASE WHEN l_orderkey % 11 > 2 THEN {num(5, 2)} END AS co, CASE WHEN l_orderkey % 11 > 4 THEN {num(2, 7)} END AS cn, {num(7, 1)} AS qoq, CASE WHEN l_orderkey % 11 > 1 THEN {num(1, 9)} END AS yoy, {num(9, 4)} AS eps0, {num(4, 9)} AS op, {num(6, 5)} AS gap, {num(8, 3)} AS dv, abs({num(3, 8)}) AS ach, l_quantity / 2 AS per, {num(5, 6)} AS growth, l_extendedprice AS cap FROM lineitem),
     g AS (SELECT *, CASE WHEN k <> 4 THEN eps0 END AS eps, CASE WHEN abs(cn) > coalesce(abs(co), -1) THEN cn ELSE co END AS dev, progress / CASE quarter WHEN '1Q' THEN 0.25 WHEN '2Q' THEN 0.5 WHEN '3Q' THEN 0.75 END AS pr FROM f),
     s AS (SELECT *, {step('pr', ('>', 1.2, 1), ('<', 0.8, -1))} + {step('revision', ('>', 0.001, 1), ('<', -0.001, -1))} + {step('dev', ('>', 0.1, 3), ('>', 0.05, 2), ('>', 0, 1), ('<', -0.3, -5), ('<', -0.2, -4), ('<', -0.1, -3), ('<', -0.05, -2), ('<', 0, -1))} + CASE WHEN k = 7 AND cap >= 3000 THEN -1 ELSE 0 END + CASE k WHEN 1 THEN -2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END + CASE WHEN k <> 4 THEN {step('dv', ('<', -0.2, -3), ('<', -0.05, -2), ('>', 0.05, 1))} ELSE 0 END + CASE WHEN k <> 5 THEN {step('qoq', ('>', 0.5, 1), ('<', -0.5, -2))} ELSE 0 END + CASE WHEN quarter = 'FY' THEN {step('ach', ('<', 0.65, -2), ('<', 0.8, -1))} ELSE 0 END AS direct,
         CASE WHEN quarter = 'FY' THEN {step('eps', ('>', 0.1, 2), ('<', -0.1, -2))} + CASE WHEN eps IS NULL OR sign(eps) = sign(op) THEN {step('op', ('>', 0.1, 1), ('<', -0.1, -1))} ELSE 0 END + CASE WHEN k <> 5 THEN {step('gap', ('>', 0.2, 1), ('<', -0.2, -1))} ELSE 0 END + CASE WHEN k <> 4 AND growth > 0 THEN {peg} ELSE 0 END ELSE 0 END AS guidance,
@@ -77,7 +79,7 @@ def _score_sql() -> str:
 
 
 query("d28_x2_earnings_score", lambda t: earnings_score(_features(t)).select("l_orderkey", "l_partkey", "score", score_class(c("score")).alias("class")), _score_sql())
-query("d56_x3_late_filing", lambda t: late_filing_score(t.lineitem.where("l_linenumber = 2").select("l_orderkey", "l_partkey", (c("l_quantity") / 40).alias("pbr"), (c("l_discount") * 7).alias("cash_share"), (c("l_tax") * 8).alias("parent_share"), (c("l_partkey") % 50).alias("late_days"), (c("l_suppkey") % 2 == 0).alias("repeated"))).select("l_orderkey", "l_partkey", "score", F.array_join("reasons", "+").alias("reasons")), "WITH x AS (SELECT l_orderkey, l_partkey, CASE WHEN l_quantity / 40 < 0.7 THEN 2 WHEN l_quantity / 40 < 1 THEN 1 END AS a, CASE WHEN l_discount * 7 > 0.5 THEN 2 WHEN l_discount * 7 > 0.3 THEN 1 END AS b, CASE WHEN l_tax * 8 > 0.5 THEN 3 WHEN l_tax * 8 > 0.3 THEN 1 END AS p, CASE WHEN l_partkey % 50 >= 30 THEN 2 WHEN l_partkey % 50 >= 7 THEN 1 END AS l, CASE WHEN l_suppkey % 2 = 0 THEN 1 END AS r FROM lineitem WHERE l_linenumber = 2) SELECT l_orderkey, l_partkey, coalesce(a, 0) + coalesce(b, 0) + coalesce(p, 0) + coalesce(l, 0) + coalesce(r, 0) AS score, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'cheap' END, CASE WHEN b IS NOT NULL THEN 'cash' END, CASE WHEN p IS NOT NULL THEN 'parent' END, CASE WHEN l IS NOT NULL THEN 'late' END, CASE WHEN r IS NOT NULL THEN 'again' END) AS reasons FROM x")
+query("d56_x3_late_filing", lambda t: late_filing_score(t.lineitem.select("l_orderkey", "l_partkey", (c("l_quantity") / 40).alias("pbr"), (c("l_discount") * 7).alias("cash_share"), (c("l_tax") * 8).alias("parent_share"), (c("l_partkey") % 50).alias("late_days"), (c("l_suppkey") % 2 == 0).alias("repeated"))).select("l_orderkey", "l_partkey", "score", F.array_join("reasons", "+").alias("reasons")), "WITH x AS (SELECT l_orderkey, l_partkey, CASE WHEN l_quantity / 40 < 0.7 THEN 2 WHEN l_quantity / 40 < 1 THEN 1 END AS a, CASE WHEN l_discount * 7 > 0.5 THEN 2 WHEN l_discount * 7 > 0.3 THEN 1 END AS b, CASE WHEN l_tax * 8 > 0.5 THEN 3 WHEN l_tax * 8 > 0.3 THEN 1 END AS p, CASE WHEN l_partkey % 50 >= 30 THEN 2 WHEN l_partkey % 50 >= 7 THEN 1 END AS l, CASE WHEN l_suppkey % 2 = 0 THEN 1 END AS r FROM lineitem) SELECT l_orderkey, l_partkey, coalesce(a, 0) + coalesce(b, 0) + coalesce(p, 0) + coalesce(l, 0) + coalesce(r, 0) AS score, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'cheap' END, CASE WHEN b IS NOT NULL THEN 'cash' END, CASE WHEN p IS NOT NULL THEN 'parent' END, CASE WHEN l IS NOT NULL THEN 'late' END, CASE WHEN r IS NOT NULL THEN 'again' END) AS reasons FROM x")
 query("d78_outcomes", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", outcome(score_class(c("l_quantity") % 7 - 3), return_class(F.when(c("l_tax") > 0.01, c("l_discount") - 0.05))).alias("outcome")), "WITH x AS (SELECT *, CASE WHEN l_quantity % 7 - 3 >= 2 THEN 'UP' WHEN l_quantity % 7 - 3 <= -2 THEN 'DOWN' ELSE 'NEUTRAL' END AS p, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_discount - 0.05 > 0.02 THEN 'UP' WHEN l_discount - 0.05 < -0.02 THEN 'DOWN' ELSE 'NEUTRAL' END END AS a FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a IS NULL THEN 'check' WHEN p = 'NEUTRAL' THEN 'neutral' WHEN p = a THEN 'hit' ELSE 'miss' END AS outcome FROM x")
 
 
