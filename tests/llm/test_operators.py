@@ -174,10 +174,11 @@ def dedup_brute(docs, width=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [(4 << 20, 1 << 20), (1 << 13, 1 << 9)])
+@pytest.mark.parametrize("sizes", [(4 << 20, 1 << 20, 1 << 10), (1 << 13, 1 << 9, 1), (1 << 12, 1 << 14, 1)])
 def test_substrings(spark, data, odd, none, monkeypatch, sizes):
-    monkeypatch.setattr(substrings, "GROUP_BYTES", sizes[0])
-    monkeypatch.setattr(substrings, "HOME_HASHES", sizes[1])
+    """One group and home, many of each, and senders of many groups."""
+    for name, value in zip(("GROUP_BYTES", "HOME_HASHES", "SENT"), sizes):
+        monkeypatch.setattr(substrings, name, value)
     plain = lambda df: sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in df.collect())
     assert plain(substrings.deduplicated(odd)) == dedup_brute([(i, t) for i, t, _ in ODD])
     assert plain(substrings.deduplicated(table(spark, data, "documents"))) == dedup_brute(texts(data).items())
@@ -185,10 +186,27 @@ def test_substrings(spark, data, odd, none, monkeypatch, sizes):
     assert {r.row.source for r in substrings.deduplicated(odd.withColumn("row", F.struct("source")), carry="row").collect()} == {"a", "b", "c", None}
 
 
+def test_routes_stay_linear():
+    """Rows and bytes for a hash, as senders pack them for homes, from some GB to 100 TB of text."""
+    r, rows, took = np.random.default_rng(1), [], []
+    for size in (5 * 10**9, 10**12, 10**13, 10**14):
+        sender, homes = substrings.routes(size)
+        hashes = sender // substrings.WORD_BYTES
+        rows.append(homes / hashes)
+        bits = (size // 150).bit_length() + 12
+        own = r.integers(0, (1 << bits) // homes, hashes // homes, dtype=np.uint64)  # what a sender has for one home
+        took.append(len(substrings._pack(np.unique(own) << np.uint64(64 - bits))) / len(own))
+    assert max(rows) <= 1.01 / substrings.SENT and max(took) < 1.6 * took[0] < 5.5
+    assert substrings.routes(10**13)[0] < 300 << 20
+
+
 def test_word_hashes_do_not_depend_on_place():
     a, b = substrings.Words([b"one two three four", b""]), substrings.Words([b"zero", b"\tone  two\nthree four "])
-    assert a.windows(3, 0)[0] == b.windows(3, 0)[1] and a.hashes[1][0] == b.hashes[1][1] and a.hashes[0][0] != a.hashes[0][1]
+    assert a.windows(3)[0] == b.windows(3)[1] and a.hash[0] == b.hash[1] and a.hash[0] != a.hash[1]
     assert [x.tolist() for x in (a.first, b.first)] == [[0, 4, 4], [0, 1, 5]]
+    x, y = (substrings._digests(w, 3, np.array(at)) for w, at in ((a, [0, 1]), (b, [1, 2])))
+    want = [hashlib.blake2b(t, digest_size=16).digest() for t in (b"one two three", b"two three four")]
+    assert np.column_stack(x).tobytes() == np.column_stack(y).tobytes() == b"".join(want)
 
 
 # 5

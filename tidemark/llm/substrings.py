@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import batched, scratch, shuffle_partitions, table, text_bytes, written
 
 WINDOW = 50
-#: Bytes of text that a group of documents holds about, and hashes that a home looks after about.
-GROUP_BYTES, HOME_HASHES = 4 << 20, 1 << 20
+#: Bytes of text that a group of documents holds about, hashes that a home looks after about, bytes of a word about, and
+#: hashes that a sender has for each home at least, on average.
+GROUP_BYTES, HOME_HASHES, WORD_BYTES, SENT = 4 << 20, 1 << 20, 6, 1 << 10
 
 _U = np.uint64
 
@@ -44,13 +47,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(32)
 
 
-#: Odd bases and byte values of two independent polynomial hashes.
+#: Odd bases of the polynomial hashes of words and of windows, and the bytes' values.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTES = [np.random.default_rng(k).integers(1, 2**63, 256, dtype=np.uint64) for k in (101, 202)]
+_BYTES = np.random.default_rng(101).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def routes(size: int) -> tuple[int, int]:
+    """Bytes of text of a sender, and homes, for ``size`` bytes of text.
+
+    Each sender has something for each home, so that what is sent is a row for every two of them. With few hashes in a row
+    rows would be as many as hashes, and grow with the square of the data. Therefore senders and homes both grow with the
+    root of the data where HOME_HASHES would leave a sender less than SENT hashes for a home: the rows stay under one for
+    SENT hashes. At 10 TB a sender has 250 MB of text.
+    """
+    hashes = max(1, size // WORD_BYTES)
+    most = max(HOME_HASHES, math.isqrt(SENT * hashes))
+    return max(GROUP_BYTES, most * WORD_BYTES), max(1, -(-hashes // most))
 
 
 class Words:
-    """The words of some documents: where each starts and ends in the joined bytes, its document, and two hashes of it."""
+    """The words of some documents: where each starts and ends in the joined bytes, its document, and a hash of it."""
 
     def __init__(self, texts: list[bytes]):
         self.bytes = b" ".join(texts) + b" "
@@ -61,7 +77,7 @@ class Words:
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])  # of each document, its first word
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hashes = [self._words(raw, b, v) for b, v in zip(_BASES, _BYTES)]
+        self.hash = self._words(raw, _BASES[0], _BYTES)
 
     def _words(self, raw: np.ndarray, base: int, values: np.ndarray) -> np.ndarray:
         """By pieces, as there is a power for each byte; a word longer than a piece has a piece of its own."""
@@ -76,13 +92,13 @@ class Words:
             at = to
         return out
 
-    def windows(self, width: int, which: int) -> np.ndarray:
+    def windows(self, width: int) -> np.ndarray:
         """A hash of the ``width`` words from each word on, whatever document they are in."""
-        h = self.hashes[which]
+        h = self.hash
         n = len(h) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        up, down = _odd_powers(_BASES[1 - which], len(h))
+        up, down = _odd_powers(_BASES[1], len(h))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down, dtype=np.uint64)])
         return _mix((sums[width:] - sums[:n]) * up[:n])
 
@@ -129,11 +145,11 @@ def _least(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], values[first]
 
 
-def _group(row: pd.DataFrame) -> tuple[int, np.ndarray, Words]:
-    """The number, keys and words of a group's row."""
-    g, keys, lengths, packed = row[["g", "keys", "lengths", "texts"]].iloc[0]
-    raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
-    return int(g), np.frombuffer(keys, "<i8"), Words([raw[a:b] for a, b in zip([0, *ends], ends)])
+def _groups(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, Words]]:
+    """The keys and words of each group of a sender, one at a time."""
+    for keys, lengths, packed in zip(rows["keys"], rows["lengths"], rows["texts"]):
+        raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
+        yield np.frombuffer(keys, "<i8"), Words([raw[a:b] for a, b in zip([0, *ends], ends)])
 
 
 def _rest(docs: DataFrame) -> list[str]:
@@ -151,18 +167,18 @@ def _table_bytes(batches: list[pa.RecordBatch]) -> bytes | None:
     return sink.getvalue().to_pybytes()
 
 
-def grouped(docs: DataFrame, buckets: int) -> DataFrame:
+def grouped(docs: DataFrame, buckets: int, sender_bytes: int = GROUP_BYTES) -> DataFrame:
     """g, keys, lengths, texts and rest: a row for about GROUP_BYTES of ``docs`` (key, text as bytes, others), packed, in
-    buckets by g.
+    buckets by g, the sender: groups that follow one another, of about ``sender_bytes``.
 
     Groups are cut from the tasks that read ``docs``, so no text is shuffled, and bucketed, so that no later step shuffles
-    them either.
+    them either. The catalog forgets the table as soon as its plan is known; its files are in the shared folder.
     """
     spark = docs.sparkSession
     schema = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, keys, texts, rest, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        g, keys, texts, rest, size, sent = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
@@ -177,21 +193,26 @@ def grouped(docs: DataFrame, buckets: int) -> DataFrame:
                 if size >= GROUP_BYTES:
                     rest.append(others.slice(first, i + 1 - first))
                     yield row()
-                    g, keys, texts, rest, size, first = g + 1, [], [], [], 0, i + 1
+                    sent += size
+                    if sent >= sender_bytes:
+                        g, sent = g + 1, 0
+                    keys, texts, rest, size, first = [], [], [], 0, i + 1
             rest.append(others.slice(first))
         if keys:
             yield row()
 
     name, path = f"groups_{uuid.uuid4().hex}", scratch(spark, "groups")
     batched(docs).select("key", "text", *_rest(docs)).mapInArrow(run, "g long, keys binary, lengths binary, texts binary, rest binary").write.bucketBy(buckets, "g").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 class _Probes:
     """What both passes over a group need: its rolling block windows, and its own anchor blocks."""
 
     def __init__(self, words: Words, block: int, bits: int):
-        self.hash = words.windows(block, 0) >> _U(64 - bits) << _U(64 - bits)
+        self.hash = words.windows(block) >> _U(64 - bits) << _U(64 - bits)
         self.whole = words.whole(block)
         place = np.arange(len(self.hash)) - words.first[words.doc[: len(self.hash)]]
         self.anchor = self.whole & (place % block == 0)
@@ -212,33 +233,39 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, kept (what earlier documents leave of it), n_words, n_removed and all other columns for each row of ``docs``
     (key, text as bytes, others).
 
-    Documents are cut into groups of about GROUP_BYTES, and the hashes' range into homes; a task holds one of either. An
-    anchor block has half a window's words: any window holds a whole block of those that start at multiples of that.
-
-    1. Each group sends each home one packed set of the hashes of its rolling windows of a block's words (the probes) and
-       one of its anchor blocks with their least documents. Where a home finds another group's anchor for a probe, it answers with
-       the least document of that; and it tells an anchor's group if another group's probe hit it. Hits within a group stay
-       there. Of common passages there is one entry for each group, however many documents have them.
-    2. Hits are extended: all windows around a hit, and around an anchor that was hit, go to their homes as 96 bits with
-       their least document, and those that another group has with a smaller document come back. Truncated hashes in step 1
-       can only add windows to step 2, whose hashes decide.
-    3. The removed words of a document are those of its windows that an earlier document has.
+    Documents are cut into senders, and the hashes' range into homes, as routes() says; a task holds one of either, and of a
+    sender the words of one group of about GROUP_BYTES. An anchor block has half a window's words: any window holds a whole
+    block of those that start at multiples of that.
+
+    1. Each sender sends each home one packed set of the hashes of its rolling windows of a block's words (the probes) and
+       one of its anchor blocks with their least documents. Where a home finds another sender's anchor for a probe, it answers
+       with the least document of that; and it tells an anchor's sender if another one's probe hit it. Hits within a sender
+       stay there. Of common passages there is one entry for each sender, however many documents have them.
+    2. Hits are extended: all windows around a hit, and around an anchor that was hit, go to their homes as 128 bits of
+       BLAKE2b over their words with their least document, and those that another sender has with a smaller document come
+       back. Truncated hashes in step 1 can only add windows to step 2, whose digests decide: windows of one digest have the
+       same words, as nobody can make or meet two texts of one such digest.
+    3. The removed words of a document are those of its windows that an earlier document has: where windows overlap, the
+       whole maximal repeat.
 
     The texts are written once, in buckets by group, and never shuffled.
     """
     block = (window + 1) // 2
     size = text_bytes(docs)
-    homes = max(1, -(-size // (6 * HOME_HASHES)))  # a word takes six bytes or so
-    bits = min(64, max(1, size // (6 * block)).bit_length() + 12)
-    groups = grouped(docs, max(shuffle_partitions(docs.sparkSession), min(20_000, -(-size // GROUP_BYTES))))
+    sender_bytes, homes = routes(size)
+    bits = min(64, max(1, size // (WORD_BYTES * block)).bit_length() + 12)
+    groups = grouped(docs, max(shuffle_partitions(docs.sparkSession), min(20_000, -(-size // sender_bytes))), sender_bytes)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, keys, words = _group(pdf)
-        rows, probes = [], _Probes(words, block, bits)
-        found = np.unique(probes.hash[probes.whole])
+        g, rows, found, anchors = int(pdf["g"].iloc[0]), [], [], []
+        for keys, words in _groups(pdf):
+            probes = _Probes(words, block, bits)
+            found.append(np.unique(probes.hash[probes.whole]))
+            at = np.flatnonzero(probes.anchor)
+            anchors.append(_least(probes.hash[at], keys[words.doc[at]]))
+        found = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
         rows += [(home, g, 1, _pack(found[s])) for home, s in _ranges(found, homes)]
-        at = np.flatnonzero(probes.anchor)
-        found, least = _least(probes.hash[at], keys[words.doc[at]])
+        found, least = _least(*(np.concatenate(x) for x in zip(*anchors)))
         rows += [(home, g, 0, _pack(found[s], least[s])) for home, s in _ranges(found, homes)]
         return pd.DataFrame(rows, columns=["home", "g", "kind", "blob"])
 
@@ -278,37 +305,41 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((g, 0, _pack(keys[at])))
         return pd.DataFrame(rows, columns=["g", "kind", "blob"])
 
-    def candidates(words: Words, keys: np.ndarray, told: pd.DataFrame) -> np.ndarray:
-        """Where windows start that may repeat, or be repeated."""
-        probes = _Probes(words, block, bits)
-        owner = keys[words.doc[: len(probes.hash)]]
+    def candidates(left: pd.DataFrame, told: pd.DataFrame) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
+        """Keys and words of each group of a sender, and where windows start that may repeat, or be repeated."""
         outer = [_unpack(b, "<i8") for k, b in zip(told["kind"], told["blob"]) if k == 1]
-        least = np.full(len(probes.hash), NONE)
-        at = np.flatnonzero(probes.anchor)
-        own, own_least = _least(probes.hash[at], owner[at])
-        for hashes, docs_ in ((own, own_least), _least(np.concatenate([x for x, _ in outer]), np.concatenate([x for _, x in outer])) if outer else (own[:0], own_least[:0])):
-            there, where = _lookup(hashes, probes.hash)
-            least[there] = np.minimum(least[there], docs_[where[there]])
-        hit = probes.whole & (least < owner)
-        shared = [_unpack(b)[0] for k, b in zip(told["kind"], told["blob"]) if k == 0]
-        shared = np.unique(np.concatenate([*shared, probes.hash[hit]]))
-        mark = hit | probes.anchor & _lookup(shared, probes.hash)[0]
-        whole = words.whole(window)
-        n = len(whole)
-        sums = np.concatenate([[0], np.cumsum(mark)])
-        return np.flatnonzero(whole & (sums[np.arange(n) + window - block + 1] > sums[:n])) if n else np.zeros(0, int)
+        known = _least(*(np.concatenate(x) for x in zip(*outer))) if outer else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b)[0] for k, b in zip(told["kind"], told["blob"]) if k == 0)]))
+        if len(left) > 1:  # hits between the groups of a sender, which no home sees
+            own = []
+            for keys, words in _groups(left):
+                probes = _Probes(words, block, bits)
+                at = np.flatnonzero(probes.anchor)
+                own.append(_least(probes.hash[at], keys[words.doc[at]]))
+            own = _least(*(np.concatenate(x) for x in zip(*own)))
+            known = _least(*(np.concatenate(x) for x in zip(known, own)))
+            hit = [probes.hash[_hits(probes, keys, words, known)] for keys, words in _groups(left) for probes in [_Probes(words, block, bits)]]
+            shared = np.unique(np.concatenate([shared, *hit]))
+        for keys, words in _groups(left):
+            probes = _Probes(words, block, bits)
+            at = np.flatnonzero(probes.anchor)
+            hit = _hits(probes, keys, words, known, _least(probes.hash[at], keys[words.doc[at]]))
+            mark = hit | probes.anchor & _lookup(np.unique(np.concatenate([shared, probes.hash[hit]])), probes.hash)[0]
+            whole = words.whole(window)
+            n = len(whole)
+            sums = np.concatenate([[0], np.cumsum(mark)])
+            yield keys, words, np.flatnonzero(whole & (sums[np.arange(n) + window - block + 1] > sums[:n])) if n else np.zeros(0, int)
 
     def extend(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame([], columns=["home", "g", "blob"])
-        g, keys, words = _group(left)
-        at = candidates(words, keys, told)
-        h, more, least = _distinct(*_hashes(words, window, at), keys[words.doc[at]])
-        return pd.DataFrame([(home, g, _pack(h[s], more[s], least[s])) for home, s in _ranges(h, homes)], columns=["home", "g", "blob"])
+        parts = [_distinct(*_digests(words, window, at), keys[words.doc[at]]) for keys, words, at in candidates(left, told)]
+        h, more, least = _distinct(*(np.concatenate(x) for x in zip(*parts))) if len(parts) > 1 else parts[0]
+        return pd.DataFrame([(home, int(left["g"].iloc[0]), _pack(h[s], more[s], least[s])) for home, s in _ranges(h, homes)], columns=["home", "g", "blob"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each group, the windows that another group has with a smaller document than it has itself."""
-        parts = [_unpack(b, "<u4", "<i8") for b in pdf["blob"]]
+        parts = [_unpack(b, "<u8", "<i8") for b in pdf["blob"]]
         h, more, least = _distinct(*(np.concatenate(x) for x in zip(*parts)))
         rows = []
         for g, (a, b, d) in zip(pdf["g"], parts):
@@ -321,27 +352,29 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns = ["key", "kept", "n_words", "n_removed"]
         if left.empty:
             return pd.DataFrame([], columns=[*columns, *rest])
-        _, keys, words = _group(left)
-        local, outer = told[told["kind"] < 2], told[told["kind"] == 2]
-        at = candidates(words, keys, local)
-        removed = np.zeros(len(words.start) + 1, np.int64)
-        if len(at):
-            (a, b), owner = _hashes(words, window, at), keys[words.doc[at]]
-            parts = [(a, b, owner), *(_unpack(x, "<u4", "<i8") for x in outer["blob"])]
-            h, more, least = _distinct(*(np.concatenate(x) for x in zip(*parts)))
-            again = at[least[_place(h, more, a, b)] < owner]
-            np.add.at(removed, again, 1)
-            np.add.at(removed, again + window, -1)
-        gone = np.cumsum(removed)[:-1] > 0
-        raw, rows = words.bytes, []
-        for i, key in enumerate(keys):
-            lo, hi = words.first[i], words.first[i + 1]
-            stay = np.flatnonzero(~gone[lo:hi]) + lo
-            text = b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())])
-            rows.append((key, text, hi - lo, hi - lo - len(stay)))
+        local = told[told["kind"] < 2]
+        parts = [_unpack(x, "<u8", "<i8") for x in told.loc[told["kind"] == 2, "blob"]]
+        if len(left) > 1:  # windows that groups of a sender have in common are known to none of them alone
+            parts += [_distinct(*_digests(words, window, at), keys[words.doc[at]]) for keys, words, at in candidates(left, local)]
+        known, rows = _distinct(*(np.concatenate(x) for x in zip(*parts))) if parts else None, []
+        for keys, words, at in candidates(left, local):
+            removed = np.zeros(len(words.start) + 1, np.int64)
+            if len(at):
+                (a, b), owner = _digests(words, window, at), keys[words.doc[at]]
+                own = (a, b, owner)
+                h, more, least = _distinct(*(np.concatenate(x) for x in zip(own, known)) if known else own)
+                again = at[least[_place(h, more, a, b)] < owner]
+                np.add.at(removed, again, 1)
+                np.add.at(removed, again + window, -1)
+            gone, raw = np.cumsum(removed)[:-1] > 0, words.bytes
+            for i, key in enumerate(keys):
+                lo, hi = words.first[i], words.first[i + 1]
+                stay = np.flatnonzero(~gone[lo:hi]) + lo
+                text = b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())])
+                rows.append((key, text, hi - lo, hi - lo - len(stay)))
         out = pd.DataFrame(rows, columns=columns)
         if rest:
-            others = pa.ipc.open_stream(left["rest"].iloc[0]).read_all().to_pandas(types_mapper=pd.ArrowDtype)
+            others = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in left["rest"]]).to_pandas(types_mapper=pd.ArrowDtype)
             out[rest] = others[rest]
         return out
 
@@ -355,9 +388,30 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return groups.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(keep, schema)
 
 
-def _hashes(words: Words, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of each window that starts at one of ``at``."""
-    return words.windows(window, 0)[at], (words.windows(window, 1)[at] >> _U(32)).astype(np.uint32)
+def _hits(probes: _Probes, keys: np.ndarray, words: Words, *known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which rolling windows an anchor of an earlier document among ``known`` (hashes, least documents) has."""
+    least = np.full(len(probes.hash), NONE)
+    for hashes, docs in known:
+        there, where = _lookup(hashes, probes.hash)
+        least[there] = np.minimum(least[there], docs[where[there]])
+    return probes.whole & (least < keys[words.doc[: len(probes.hash)]])
+
+
+def _digests(words: Words, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words, parted by one space, of each window that starts at one of ``at``, as two halves."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    used = np.zeros(len(words.start) + 1, np.int64)
+    np.add.at(used, at, 1)
+    np.add.at(used, at + window, -1)
+    used = np.flatnonzero(np.cumsum(used)[:-1] > 0)
+    sizes = words.end[used] - words.start[used] + 1
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    plain = b" ".join([words.bytes[s:e] for s, e in zip(words.start[used].tolist(), words.end[used].tolist())])
+    first = np.searchsorted(used, at)
+    made = b"".join([blake2b(plain[s:e], digest_size=16).digest() for s, e in zip(edge[first].tolist(), (edge[first + window] - 1).tolist())])
+    halves = np.frombuffer(made, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _distinct(h: np.ndarray, more: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
