@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batched, joined, shuffle_partitions, written
 from .components import connected_components
+from .simhash import centres
 
 #: Words of a shingle; texts of no more words are one shingle.
 SHINGLE, SEED = 5, 42
@@ -158,10 +159,11 @@ def _compared(cells: DataFrame, tasks: int) -> DataFrame:
         if len(held) < 2:
             return
         own, nodes, items = (list(x) for x in zip(*held))
-        label = linked(items, None if cell[1] == cell[2] else np.array(own))
-        at, nodes = np.flatnonzero(label != np.arange(len(label))), np.array(nodes)
+        nodes = np.array(nodes)
+        centre = centres(linked(items, None if cell[1] == cell[2] else np.array(own)), nodes)
+        at = np.flatnonzero(centre != np.arange(len(nodes)))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[centre[at]])], names=["u", "v"])
 
     return batched(cells).repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 

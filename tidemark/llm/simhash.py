@@ -140,6 +140,16 @@ def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def centres(label: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """For each place the one of its set that comes first in ``order`` (the last key first): the same node in every task that
+    finds the same set, so that their stars are equal rows."""
+    first = np.lexsort((*order, label))
+    sets, start, back = np.unique(label[first], return_index=True, return_inverse=True)
+    out = np.empty(len(label), np.int64)
+    out[first] = first[start][back]
+    return out
+
+
 def _rotate(c: Column, by: int) -> Column:
     return F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by)) if by else c
 
@@ -221,9 +231,10 @@ def _joined(rows: DataFrame, key: list[str], budget: int, tasks: int) -> DataFra
         label = np.arange(len(rows))
         for i, j in trie_pairs(np.ascontiguousarray(rows[:, wide + 1]).view(np.uint64), np.concatenate(pairs), budget):
             label = _united(label, i, j)
-        at = np.flatnonzero(label != np.arange(len(rows)))
+        centre = centres(label, rows[:, -1], rows[:, -2])
+        at = np.flatnonzero(centre != np.arange(len(rows)))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[x, c]) for x in (at, label[at]) for c in (-2, -1)], names=["u_id", "u_tie", "v_id", "v_tie"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[x, c]) for x in (at, centre[at]) for c in (-2, -1)], names=["u_id", "u_tie", "v_id", "v_tie"])
 
     flat = rows.select(*key, "side", "x", F.col("node.id").alias("id"), F.col("node.tie").alias("tie"))
     order = [*key, "side", F.col("x").bitwiseXOR(F.lit(-(2**63)))]
