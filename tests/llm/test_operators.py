@@ -16,11 +16,12 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import byte_bpe, components, compression, fingerprints, html, packing, rules, simhash, substrings, tokens, warc
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import running_totals, scratch, table
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 from tidemark.llm.sample_pages import sample_page
 
@@ -469,3 +470,40 @@ def test_rows_without_an_id(spark, labels):
     assert byte_bpe.encoded(docs).where("doc_id is null").count() == 2
     rows = fingerprints.fingerprint_report(docs).collect()
     assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 2
+
+
+def test_running_totals(spark):
+    r = np.random.default_rng(4)
+    rows = [(g, i, int(x)) for g in "ab" for i, x in zip(r.permutation(90)[:70].tolist(), r.integers(0, 9, 70))]
+    got = running_totals(spark.createDataFrame(rows, "g string, i long, x long"), "i", ["x"], 10, ("g",)).collect()
+    assert len(got) == 140 and all(y.before_x == sum(x for g, i, x in rows if g == y.g and i < y.i) for y in got)
+    none = running_totals(spark.createDataFrame([(3, 4), (90, 1)], "i long, x long"), "i", ["x"], 10)
+    assert {(y.i, y.before_x) for y in none.collect()} == {(3, 0), (90, 4)}
+
+
+def test_rules_judge_unseen_rows(spark):
+    """Learned from two thirds of the labels, judged on the others."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    list_ = rules.learned(docs, labels.where("doc_id % 3 > 0"))
+    judged = rules.counted(docs.join(labels.where("doc_id % 3 = 0"), "doc_id"), "doc_id", "quality").where(~rules.base_failed()).withColumn("kept", rules.verdict(list_)).collect()
+    assert len(judged) > 50 and sum(r.kept == (r.quality == 1) for r in judged) >= 0.95 * len(judged)
+
+
+def test_scores_against_plain_zstandard(spark, odd, labels):
+    """Every score is the curve of the normalised difference of sizes over all pieces of the whole text."""
+    folder = "/root/testdata/sf0.001"
+    model = compression.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    assert model.good and model.bad and model.slope > 0
+    packers = [zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    for row in compression.scored(odd.select("doc_id", "text"), model).collect():
+        raw = (row.text or "").encode()
+        g, b = (sum(len(p.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)) for p in packers)
+        d = (b - g) / (b + g) if raw else 0.0
+        assert abs(row.score - 1 / (1 + np.exp(-(model.slope * d + model.offset)))) < 1e-9 and row.predicted == (row.score >= 0.7)
+
+
+def test_excerpts_reach_both_ends(spark):
+    texts_ = ["short", "x" * 16384, "a" * 2048 + "m" * 500_000 + "z" * 2048]
+    got = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, text string").orderBy("i").select(compression.excerpt(F.col("text")).alias("e")).collect()]
+    assert got[:2] == texts_[:2] and len(got[2]) == 8 * 2048 + 7 and got[2].startswith("a" * 2048) and got[2].endswith("z" * 2048)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The words of a text: runs of anything but ASCII white space. bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +58,26 @@ def joined(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFra
     return rows.join(hot, key).unionByName(rest)
 
 
+def hashed_share(df: DataFrame, key: str, rows: int, of: int) -> DataFrame:
+    """About ``rows`` of the ``of`` rows of ``df``, by a hash of ``key``: a filter, so nothing is sorted or sent for the others."""
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(min(1.0, rows / max(1, of)) * (1 << 40)))
+
+
+def running_totals(df: DataFrame, at: str, values: list[str], width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with before_v for each v of ``values``: its sum over the rows of ``by`` with a smaller ``at``, which is from 0 to about width ** 2.
+
+    Rows are dealt out by ``width`` neighbours, and only the sums of those, ``width`` rows for each of ``by``, are in one window.
+    """
+    near, none = F.floor(F.col(at) / width), (Window.unboundedPreceding, -1)
+    df = df.withColumn("_near", near)
+    sums = df.groupBy(*by, "_near").agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    w = Window.partitionBy(*by).orderBy("_near").rowsBetween(*none)
+    sums = sums.select(*by, "_near", *(F.coalesce(F.sum(f"_{v}").over(w), F.lit(0)).alias(f"_{v}") for v in values))
+    own = Window.partitionBy(*by, "_near").orderBy(at).rowsBetween(*none)
+    df = df.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values}).join(sums, [*by, "_near"])
+    return df.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"_{v}") for v in values}).drop("_near", *(f"_{v}" for v in values))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batched, table, written
+from .common import batched, hashed_share, table, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
-#: Labelled rows that a list is learned from, at most.
+#: Labelled rows that a list is learned from, about.
 FIT_ROWS = 20_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct", "longest_run")
@@ -156,13 +156,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 
 
 def fit(counts: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from ``rows`` labelled rows at most, taken by a hash of doc_id; without labels of both classes there are no rules.
+    """Learn from ``rows`` labelled ids or so, taken by a hash of doc_id; without labels of both classes there are no rules.
 
-    Rows that fail the base rules are left out: they are rejected anyway.
+    Rows that fail the base rules are left out: they are rejected anyway. Of rows of one id and the same counts one counts.
+    Only what is taken goes to the driver.
     """
     labels = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    x = counts.where(~base_failed()).join(labels, "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in features().items()))
-    got = x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    labels = hashed_share(labels, "doc_id", rows, labels.count())
+    x = counts.where(~base_failed()).join(labels, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), "quality", *(c.alias(n) for n, c in features().items()))
+    got = x.distinct().toPandas().sort_values(["h", *features()]).reset_index(drop=True)
     bad = got["quality"].to_numpy(int) == 0
     if not bad.any() or bad.all():
         return []
@@ -181,9 +183,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Rules from ``rows`` labelled documents at most; only their texts are counted."""
-    some = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return fit(counted(docs.join(F.broadcast(some), "doc_id", "left_semi"), "doc_id"), labels, rows)
+    """Rules from ``rows`` labelled documents or so; only their texts are counted."""
+    some = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
+    some = hashed_share(some, "doc_id", rows, some.count())
+    return fit(counted(docs.join(F.broadcast(some), "doc_id", "left_semi"), "doc_id"), labels, rows)  # about ``rows`` ids
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
