@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batched, table
+from .common import batched, hashed_share, table
 
-#: Labelled rows of either class that a fit reads, and the longest text among them in bytes: the fit's bound.
-FIT_ROWS, FIT_BYTES = 3000, 100_000
+#: Labelled rows of either class that a fit reads, about, and the pieces of PIECE characters that it takes from a longer text,
+#: evenly spread over it: the fit's bound.
+FIT_ROWS, FIT_PIECES = 3000, 8
 #: A dictionary's bytes, and the pieces that a text is compressed in: in a long text without pieces, its own words would do the dictionary's work.
 DICTIONARY_BYTES, PIECE, LEVEL = 524_288, 2048, 12
 THRESHOLD = 0.7
@@ -82,16 +83,23 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, st
     return float(w[0]), float(w[1])
 
 
+def excerpt(text: Column) -> Column:
+    """Texts of up to FIT_PIECES * PIECE characters whole, of longer ones so many pieces of PIECE, from the start to the end."""
+    step = (F.length(text) - PIECE) / (FIT_PIECES - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(PIECE)))
+    return F.when(F.length(text) <= FIT_PIECES * PIECE, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on ``rows`` labelled documents of either class at most, none held out: half make the dictionaries, half the curve.
+    """Fit on ``rows`` labelled documents of either class or so, none held out: half make the dictionaries, half the curve.
 
-    Rows are taken by a hash of doc_id, and the curve weighs either class as often as it is labelled. Without labels of both classes every score is the share of label 1, or a half.
+    Rows are taken by a hash of doc_id, of long texts excerpts that executors cut, and the curve weighs either class as often as it is labelled. Without labels of both classes every score is the share of label 1, or a half.
     """
     labelled = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     often = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    chosen = [labelled.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids
-    found = docs.join(chosen, "doc_id").where(F.octet_length("text").between(1, FIT_BYTES)).select("doc_id", "quality", "text").collect()
+    chosen = [hashed_share(labelled.where(F.col("quality") == q), "doc_id", rows, often.get(q, 0)) for q in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # about 2 * rows ids
+    found = docs.join(chosen, "doc_id").where(F.length("text") > 0).select("doc_id", "quality", excerpt(F.col("text")).alias("text")).collect()
     found = sorted({(r["doc_id"], r["quality"]): r["text"].encode() for r in found}.items(), key=lambda r: r[0])
     classes = [[x for (_, q), x in found if q == c] for c in (0, 1)]
     share = often.get(1, 0) / max(1, sum(often.values())) if often else 0.5
