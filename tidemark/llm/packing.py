@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import batched, table, written
+from .common import batched, running_totals, table, written
 from .tokens import encoder
 
 WINDOW, END = 1024, 0
@@ -89,14 +90,17 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A document's full windows are sequences of their own. The tails, whose lengths make a histogram of ``window`` numbers,
     fill windows by the planned combinations: the r-th tail of a length takes that length's r-th place. What is left over
     is laid end to end and cut at the windows' ends, so at most one sequence is padded. Ranks and running sums are taken
-    within buckets of doc_id and shifted by sums over buckets; no task sees all rows.
+    within buckets of some 2000 rows and shifted by sums over earlier buckets, which are summed up by neighbours first: no task
+    sees all rows, and none sees all buckets.
 
     Null and empty texts are the closing id alone. Repeated rows are packed each. An empty table gives no rows. Other
     columns are ignored.
     """
     rows = written(tokenised(docs, window), "tokenised")
     buckets = max(1, rows.count() // BUCKET_ROWS)
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "tail_crc"), F.lit(buckets)))
+    width = math.isqrt(buckets) + 1
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "tail_crc", file, "_metadata.row_index"), F.lit(buckets)))  # repeated rows, too, are spread
 
     counts = rows.groupBy("b", "tail_length").agg(F.count("*").alias("n"), F.sum(F.size("crcs")).alias("full"))
     counts = written(counts, "counts")
@@ -116,12 +120,11 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     used_by = spark.createDataFrame([(i, int(n)) for i, n in enumerate(used)], "tail_length int, used long")
     full = counts.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("n")).first()["n"]
 
-    counts = counts.join(F.broadcast(used_by), "tail_length").withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("tail_length").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = running_totals(counts, "b", ["n"], width, ("tail_length",)).withColumnRenamed("before_n", "before").join(F.broadcast(used_by), "tail_length")  # 1024 rows
     over = F.greatest(F.lit(0), F.col("before") + F.col("n") - F.greatest("before", "used")) * F.col("tail_length")
     meta = counts.groupBy("b").agg(F.sum("full").alias("full"), F.sum(over).alias("rest"), F.map_from_entries(F.collect_list(F.struct("tail_length", F.struct("before", "used").alias("x")))).alias("ranks"))
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    shifts = meta.select("b", F.coalesce(F.sum("full").over(earlier), F.lit(0)).alias("full_before"), F.coalesce(F.sum("rest").over(earlier), F.lit(0)).alias("rest_before"))
-    meta = written(meta.select("b", "ranks").join(F.broadcast(shifts), "b"), "meta")
+    meta = running_totals(meta, "b", ["full", "rest"], width)
+    meta = written(meta.select("b", "ranks", F.col("before_full").alias("full_before"), F.col("before_rest").alias("rest_before")), "meta")
 
     order = [F.col(c).asc_nulls_first() for c in ("doc_id", "tail_crc", "doc_tokens")]
     rows = rows.join(meta.hint("merge"), "b").withColumn("x", F.col("ranks")[F.col("tail_length")]).drop("ranks")  # before any sort
