@@ -19,15 +19,21 @@ from .sample_pages import MARK, sample_page
 #: Sample pages that the model is trained on, boosting rounds and depth.
 PAGES, ROUNDS, DEPTH = 6000, 60, 5
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: A tag without "<" inside; one with it in a quoted value, which is looked for in so many characters; one with unpaired quotes.
+#: No scan goes beyond the next "<" or LONG characters, so that time grows with the page alone, however it is broken.
+_STRICT = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")
+_LOOSE = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+LONG = 2000
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements whose content is no text of the page.
-_SKIPPED = frozenset("script style template noscript iframe svg math object canvas audio video map head title".split())
+#: Elements whose content is no text of the page, and those of them whose content is no markup and goes on until their end tag.
+_SKIPPED = frozenset("script style template noscript iframe svg object canvas audio video map title".split())
+_RAW = frozenset("script style noscript iframe title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; those with a name of their own are nodes, but part no words.
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder semantics".split())
 _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open element that a start tag closes, and the elements at which the search for it ends.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -47,49 +53,72 @@ _COUNTS = ("chars", "linked", "marks", "controls", "copyright", "in_p")
 _CONTROLS = frozenset("input button select textarea label option".split())
 
 
+def _markup(source: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """start, end, whether it closes, lower-case name (None: a comment or the like) and attributes of each piece of markup."""
+    at = 0
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(source)
+            yield at, end, False, None, ""
+        elif source[at + 1 : at + 2] in ("!", "?") or source.startswith("</", at) and not source[at + 2 : at + 3].isalpha():
+            end = source.find(">", at) + 1 or len(source)
+            if end == len(source) and not source.endswith(">"):
+                return  # no more markup ends
+            yield at, end, False, None, ""
+        elif m := _STRICT.match(source, at) or _LOOSE.match(source, at, at + LONG) or _BROKEN.match(source, at):
+            end = m.end()
+            yield at, end, bool(m[1]), m[2].lower(), m[3]
+        else:
+            end = at + 1
+        at = end
+
+
 class Page:
     """The nodes of a page in document order, and its text as (node, piece) in that order; blocks are parted by a space."""
 
-    __slots__ = ("tags", "parents", "hints", "above", "marked", "counts", "pieces")
+    __slots__ = ("tags", "parents", "hints", "above", "marked", "counts", "pieces", "stack", "places")
 
     def __init__(self, source: str):
         self.tags, self.parents, self.hints, self.above, self.marked = ["html"], [-1], [0], [0], [False]
         self.counts = [[0] * len(_COUNTS)]
         self.pieces: list[tuple[int, str]] = []
-        stack, at, linked = [0], 0, False
-        for m in _TAG.finditer(source):
-            if m.start() < at:
+        self.stack, self.places = [0], {"html": [0]}  # open nodes, and by tag where in the stack they are
+        at, linked, endless = 0, False, set()
+        for start, end, close, tag, attributes in _markup(source):
+            if start < at:
                 continue
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()], linked)
-            at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
+            if start > at:
+                self._text(self.stack[-1], source[at:start], linked)
+            at = end
+            if tag is None or tag == "head":  # a head has no text but that of skipped elements, and its end tag may be left out
                 continue
-            tag, attributes = tag.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
+            if close:
                 if tag == "a":
                     linked = False
                 if tag in _INLINE:
-                    if self.tags[stack[-1]] == tag and len(stack) > 1:
-                        stack.pop()
+                    if self.tags[self.stack[-1]] == tag and len(self.stack) > 1:
+                        self._pop(len(self.stack) - 1)
                     continue
-                self._space(stack[-1])
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        del stack[k:]
-                        linked = False
-                        break
+                self._space(self.stack[-1])
+                if (k := self._last({tag})) > 0:
+                    self._pop(k)
+                    linked = False
                 continue
             if tag in _SKIPPED:
-                if not attributes.endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                if not attributes.endswith("/") and tag not in endless:
+                    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                    if found:
+                        at = found.end()
+                    elif tag in _RAW:
+                        at = len(source)
+                    else:
+                        endless.add(tag)  # an element that isn't closed skips nothing
                 continue
             if tag in _CONTROLS:
-                self.counts[stack[-1]][3] += 1
+                self.counts[self.stack[-1]][3] += 1
             if tag == "br" or tag == "hr":
-                self._space(stack[-1])
+                self._space(self.stack[-1])
             if tag == "a":
                 linked = True
             if tag in _VOID:
@@ -107,13 +136,14 @@ class Page:
                     continue
             else:
                 linked = False
-                self._space(stack[-1])
+                self._space(self.stack[-1])
                 if tag in _CLOSES_P:
-                    self._close(stack, {"p"}, {"button", "td", "th", "table"})
+                    self._close({"p"}, {"button", "td", "th", "table"})
                 elif tag in _CLOSES:
-                    self._close(stack, *_CLOSES[tag])
-            up = stack[-1]
-            stack.append(len(self.tags))
+                    self._close(*_CLOSES[tag])
+            up = self.stack[-1]
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(len(self.tags))
             self.tags.append(tag)
             self.parents.append(up)
             self.hints.append(hint)
@@ -121,17 +151,22 @@ class Page:
             self.marked.append(MARK in attributes)
             self.counts.append([0] * len(_COUNTS))
         if at < len(source):
-            self._text(stack[-1], source[at:], linked)
+            self._text(self.stack[-1], source[at:], linked)
+
+    def _last(self, tags: set[str]) -> int:
+        """Where in the stack the innermost open node of ``tags`` is, 0 if none is."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _pop(self, k: int) -> None:
+        for node in reversed(self.stack[k:]):
+            self.places[self.tags[node]].pop()
+        del self.stack[k:]
 
-    def _close(self, stack: list[int], what: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] in until:
+    def _close(self, what: set[str], until: set[str]) -> None:
+        while (k := self._last(what)) > self._last(until):
+            self._pop(k)
+            if what == {"p"} or len(what) == 2:
                 return
-            if self.tags[stack[k]] in what:
-                del stack[k:]
-                if what == {"p"} or len(what) == 2:
-                    return
-                return self._close(stack, what, until)
 
     def _space(self, node: int) -> None:
         self.pieces.append((node, " "))
