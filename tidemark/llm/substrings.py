@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -62,7 +62,8 @@ def routes(size: int) -> tuple[int, int]:
     """
     hashes = max(1, size // WORD_BYTES)
     most = max(HOME_HASHES, math.isqrt(SENT * hashes))
-    return max(GROUP_BYTES, most * WORD_BYTES), max(1, -(-hashes // most))
+    homes = max(1, -(-hashes // most))
+    return GROUP_BYTES if homes * SENT * WORD_BYTES <= GROUP_BYTES else max(GROUP_BYTES, most * WORD_BYTES), homes
 
 
 class Words:
@@ -77,10 +78,11 @@ class Words:
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])  # of each document, its first word
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hash = self._words(raw, _BASES[0], _BYTES)
 
-    def _words(self, raw: np.ndarray, base: int, values: np.ndarray) -> np.ndarray:
-        """By pieces, as there is a power for each byte; a word longer than a piece has a piece of its own."""
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each word: by pieces, as there is a power for each byte; a word longer than a piece has a piece of its own."""
+        raw, base, values = np.frombuffer(self.bytes, np.uint8), _BASES[0], _BYTES
         out, n, at = np.zeros(len(self.start), np.uint64), len(self.start), 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + (1 << 19), side="right")))
@@ -308,23 +310,24 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def candidates(left: pd.DataFrame, told: pd.DataFrame) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
         """Keys and words of each group of a sender, and where windows start that may repeat, or be repeated."""
         outer = [_unpack(b, "<i8") for k, b in zip(told["kind"], told["blob"]) if k == 1]
-        known = _least(*(np.concatenate(x) for x in zip(*outer))) if outer else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b)[0] for k, b in zip(told["kind"], told["blob"]) if k == 0)]))
-        if len(left) > 1:  # hits between the groups of a sender, which no home sees
-            own = []
-            for keys, words in _groups(left):
-                probes = _Probes(words, block, bits)
-                at = np.flatnonzero(probes.anchor)
-                own.append(_least(probes.hash[at], keys[words.doc[at]]))
-            own = _least(*(np.concatenate(x) for x in zip(*own)))
-            known = _least(*(np.concatenate(x) for x in zip(known, own)))
-            hit = [probes.hash[_hits(probes, keys, words, known)] for keys, words in _groups(left) for probes in [_Probes(words, block, bits)]]
-            shared = np.unique(np.concatenate([shared, *hit]))
+        shared = [_unpack(b)[0] for k, b in zip(told["kind"], told["blob"]) if k == 0]
+        groups, alone = [], len(left) == 1  # of more groups only the hashes are held, ten bytes a word, and their texts read again
         for keys, words in _groups(left):
             probes = _Probes(words, block, bits)
             at = np.flatnonzero(probes.anchor)
-            hit = _hits(probes, keys, words, known, _least(probes.hash[at], keys[words.doc[at]]))
-            mark = hit | probes.anchor & _lookup(np.unique(np.concatenate([shared, probes.hash[hit]])), probes.hash)[0]
+            outer.append(_least(probes.hash[at], keys[words.doc[at]]))
+            groups.append((keys, np.diff(words.first), probes, words if alone else None))
+        known, hits = _least(*(np.concatenate(x) for x in zip(*outer))), []
+        for keys, sizes, probes, _ in groups:
+            there, where = _lookup(known[0], probes.hash)
+            hit = np.zeros(len(probes.hash), bool)
+            hit[there] = known[1][where[there]] < np.repeat(keys, sizes)[: len(there)][there]
+            hits.append(hit & probes.whole)
+            shared.append(np.unique(probes.hash[hits[-1]]))
+        shared = np.unique(np.concatenate(shared))
+        for (keys, _, probes, words), hit, again in zip(groups, hits, [(None, None)] if alone else _groups(left)):
+            words = words or again[1]
+            mark = hit | probes.anchor & _lookup(shared, probes.hash)[0]
             whole = words.whole(window)
             n = len(whole)
             sums = np.concatenate([[0], np.cumsum(mark)])
@@ -352,20 +355,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns = ["key", "kept", "n_words", "n_removed"]
         if left.empty:
             return pd.DataFrame([], columns=[*columns, *rest])
-        local = told[told["kind"] < 2]
-        parts = [_unpack(x, "<u8", "<i8") for x in told.loc[told["kind"] == 2, "blob"]]
-        if len(left) > 1:  # windows that groups of a sender have in common are known to none of them alone
-            parts += [_distinct(*_digests(words, window, at), keys[words.doc[at]]) for keys, words, at in candidates(left, local)]
-        known, rows = _distinct(*(np.concatenate(x) for x in zip(*parts))) if parts else None, []
-        for keys, words, at in candidates(left, local):
+        found, own = [], None
+        for keys, own, at in candidates(left, told[told["kind"] < 2]):
+            found.append((keys, at, *_digests(own, window, at), keys[own.doc[at]]))
+        parts = [(a, b, owner) for *_, a, b, owner in found] + [_unpack(x, "<u8", "<i8") for x in told.loc[told["kind"] == 2, "blob"]]
+        h, more, least = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        rows = []
+        for (keys, at, a, b, owner), words in zip(found, [own] if len(left) == 1 else (x for _, x in _groups(left))):
             removed = np.zeros(len(words.start) + 1, np.int64)
-            if len(at):
-                (a, b), owner = _digests(words, window, at), keys[words.doc[at]]
-                own = (a, b, owner)
-                h, more, least = _distinct(*(np.concatenate(x) for x in zip(own, known)) if known else own)
-                again = at[least[_place(h, more, a, b)] < owner]
-                np.add.at(removed, again, 1)
-                np.add.at(removed, again + window, -1)
+            again = at[least[_place(h, more, a, b)] < owner]
+            np.add.at(removed, again, 1)
+            np.add.at(removed, again + window, -1)
             gone, raw = np.cumsum(removed)[:-1] > 0, words.bytes
             for i, key in enumerate(keys):
                 lo, hi = words.first[i], words.first[i + 1]
@@ -388,15 +388,6 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return groups.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(keep, schema)
 
 
-def _hits(probes: _Probes, keys: np.ndarray, words: Words, *known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which rolling windows an anchor of an earlier document among ``known`` (hashes, least documents) has."""
-    least = np.full(len(probes.hash), NONE)
-    for hashes, docs in known:
-        there, where = _lookup(hashes, probes.hash)
-        least[there] = np.minimum(least[there], docs[where[there]])
-    return probes.whole & (least < keys[words.doc[: len(probes.hash)]])
-
-
 def _digests(words: Words, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of the words, parted by one space, of each window that starts at one of ``at``, as two halves."""
     if not len(at):
