@@ -40,6 +40,29 @@ def event_study(events: DataFrame, panel: DataFrame, back: tuple[int, ...], ahea
     return asof_join(events, wide, ["ticker"], "event_d", "d", prefix="")
 
 
+def with_benchmark(study: DataFrame, market: DataFrame, back: tuple[int, ...], ahead: tuple[int, ...]) -> DataFrame:
+    """An event study with the market's returns over its own days before (m_b<k>) and after (m_a<k>) each anchor day."""
+    w = Window.orderBy("d")  # a row for each day
+    m = market.select("d", *((ratio(F.col("close"), F.lag("close", k).over(w)) - 1).alias(f"m_b{k}") for k in back), *((ratio(F.lead("close", k).over(w), F.col("close")) - 1).alias(f"m_a{k}") for k in ahead))
+    return study.join(F.broadcast(m), "d", "left")
+
+
+def split_summary(returns: DataFrame, at: str, cut: Column, values: list[str]) -> DataFrame:
+    """sample (train before ``cut``, test from there on), value, n, mean, win_rate, t of each of ``values``: what was chosen on
+    one is seen on the other."""
+    x = returns.select(F.when(F.col(at) < cut, "train").otherwise("test").alias("sample"), F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).alias("r")) for v in values))).alias("x")).select("sample", "x.*")
+    g = x.where("r is not null").groupBy("sample", "value").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.stddev_samp("r").alias("_sd"))
+    return g.withColumn("t", ratio(F.col("mean"), F.col("_sd") / F.sqrt("n"))).drop("_sd")
+
+
+def event_shorts(events: DataFrame, panel: DataFrame, hold: int, cost: float) -> DataFrame:
+    """Shorts sold at the open of the ticker's row after each event and bought back at the close ``hold`` rows after that one."""
+    w = over(["ticker"], ["d"])
+    wide = panel.select("ticker", "d", F.lead("open", 1).over(w).alias("entry"), F.lead("close", 1 + hold).over(w).alias("exit"))
+    x = asof_join(events, wide, ["ticker"], "event_d", "d", prefix="")
+    return x.withColumn("net", -(ratio(F.col("exit"), F.col("entry")) - 1) - cost).where("net is not null")
+
+
 def abnormal_returns(events: DataFrame, panel: DataFrame, market: DataFrame, holds: tuple[int, ...]) -> DataFrame:
     """car<h>: the ticker's return over its next h rows less the market's over its own next h days."""
     own = panel.select("ticker", "d", *((ratio(F.lead("close", h).over(over(["ticker"], ["d"])), F.col("close")) - 1).alias(f"_o{h}") for h in holds))

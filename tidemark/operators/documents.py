@@ -121,3 +121,10 @@ def theme_evolution(counts: DataFrame, key: str, period: str, n: str) -> DataFra
     c = F.col
     signals = {"new": (c("prior") == 0) & (c("mid") == 0) & (c("recent") > 0), "rising": (c("recent") > c("mid")) & (c("mid") >= c("prior")) & (c("mid") > 0), "fading": (c("recent") < c("mid")) & (c("mid") > 0), "revived": (c("prior") > 0) & (c("mid") == 0) & (c("recent") > 0)}
     return x.withColumn("signals", F.concat_ws("+", *(F.when(v, F.lit(k)) for k, v in signals.items())))
+
+
+def page_items(pages: DataFrame, key: str, html: str, tag: str = "ul", row: str = "li") -> DataFrame:
+    """key, list, item, text: the rows of each list (or, by ``tag`` and ``row``, table) of a page in order, markup left out."""
+    inside = lambda c, name: F.regexp_extract_all(c, F.lit(f"(?s)<{name}>(.*?)</{name}>"), 1)
+    lists = pages.select(key, F.posexplode(inside(F.col(html), tag)).alias("list", "_l"))
+    return lists.select(key, "list", F.posexplode(inside(F.col("_l"), row)).alias("item", "_t")).select(key, "list", "item", F.trim(F.regexp_replace("_t", "<[^>]*>", "")).alias("text"))

@@ -110,3 +110,18 @@ def month_alerts(values: DataFrame, key: str, month: str, value: str, bound: flo
     before = F.last(value, ignorenulls=True).over(over([key], [month], (-10_000, -1)))
     x = values.withColumn("reference", before)
     return x.withColumn("status", F.when(F.col("reference").isNull(), "NEW").when(F.abs(change(F.col(value), F.col("reference"))) > bound, "ALERT").otherwise("OK"))
+
+
+def reconciled(rows: DataFrame, own: str, other: str, scale: Column, offset: Column) -> DataFrame:
+    """rows with status: ``own`` (a text) times ``scale`` plus ``offset`` against ``other`` (a text) at the places that it shows.
+
+    NON_NUMERIC: the own value is no number. NODATA: there is no other number. OK: rounded, cut off or rounded up to the
+    other's places, it is the other. Else NG, with diff.
+    """
+    mine = F.col(own).try_cast("double") * scale + offset
+    theirs = F.col(other).try_cast("double")
+    unit = F.pow(F.lit(10.0), F.length(F.regexp_extract(other, r"\.([0-9]+)$", 1)))
+    near = lambda x: F.abs(x / unit - theirs) < 1e-9
+    shown = near(F.round(mine * unit)) | near(F.floor(mine * unit + 1e-9)) | near(F.ceil(mine * unit - 1e-9))
+    status = F.when(mine.isNull(), "NON_NUMERIC").when(theirs.isNull(), "NODATA").when(shown, "OK").otherwise("NG")
+    return rows.withColumns({"status": status, "diff": F.when(status == "OK", 0.0).otherwise(mine - theirs)})

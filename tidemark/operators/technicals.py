@@ -131,6 +131,36 @@ def sma_timing(panel: DataFrame, n: int = 200) -> DataFrame:
     return x.withColumns({"distance": ratio(F.col("close"), F.col("sma")) - 1, "above": F.col("close") > F.col("sma")})
 
 
+def timing_stance(panel: DataFrame, assets: list, inverted: list, n: int = 200) -> DataFrame:
+    """d, buys, stance: how many of ``assets`` (tickers) are above their mean of n closes, those ``inverted``, such as yields,
+    below it, on days when all have one."""
+    x = sma_timing(panel.where(F.col("ticker").isin(assets)), n).where("sma is not null")
+    buy = F.when(F.col("ticker").isin(inverted), F.col("close") < F.col("sma")).otherwise(F.col("above"))
+    g = x.groupBy("d").agg(F.count_if(buy).alias("buys"), F.count("*").alias("_n")).where(F.col("_n") == len(assets)).drop("_n")
+    return g.withColumn("stance", F.when(F.col("buys") >= 4, "on").when(F.col("buys") >= 3, "rather on").when(F.col("buys") >= 2, "neutral").otherwise("off"))
+
+
+def tail_risk(days: DataFrame, high: str, low: str, mood: str, high_share: float, low_share: float, mood_from: float) -> DataFrame:
+    """days with conditions (how many of three hold) and signal (all do): ``high`` in its top, ``low`` in its bottom, ``mood`` from a
+    fixed value on. Gaps are filled from before. There is a row for each day."""
+    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    x = days.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in (high, low, mood)})
+    edges = x.agg(F.percentile(high, high_share).alias("_hi"), F.percentile(low, low_share).alias("_lo"))
+    x = x.crossJoin(F.broadcast(edges))
+    held = [F.coalesce(c, F.lit(False)).cast("int") for c in (F.col(high) >= F.col("_hi"), F.col(low) <= F.col("_lo"), F.col(mood) >= mood_from)]
+    x = x.withColumn("conditions", held[0] + held[1] + held[2])
+    return x.withColumn("signal", F.col("conditions") == 3).drop("_hi", "_lo")
+
+
+def sector_excess(panel: DataFrame, market: DataFrame, sectors: DataFrame, n: int) -> DataFrame:
+    """d, sector, excess, label: the mean return over n rows of a sector's tickers less the market's over its own, and what to do."""
+    x = panel.select("ticker", "d", (ratio(F.col("close"), F.lag("close", n).over(w())) - 1).alias("_r")).where("_r is not null").join(F.broadcast(sectors), "ticker")
+    m = market.select("d", (ratio(F.col("close"), F.lag("close", n).over(Window.orderBy("d"))) - 1).alias("_m"))
+    g = x.groupBy("d", "sector").agg(F.avg("_r").alias("_r")).join(F.broadcast(m), "d").where("_m is not null")
+    g = g.select("d", "sector", (100 * (F.col("_r") - F.col("_m"))).alias("excess"))
+    return g.withColumn("label", F.when(F.col("excess") > 1, "BUY").when(F.col("excess") < -1, "SELL").otherwise("FLAT"))
+
+
 def regime(market: DataFrame, a: Column, b: Column) -> DataFrame:
     """Shares of four phases from two scores in [-1, 1]: products of logistic curves, made to add up to 1."""
     up, right = sigmoid(3 * a), sigmoid(3 * b)

@@ -180,7 +180,7 @@ query("d54_quantile_table", lambda t: rounded(factor.quantile_buckets(backtest.o
 query("m1_spearman", lambda t: rounded(factor.spearman(backtest.own_forward_returns(t.bars, (5,)), ["ticker"], "volume", "f5").select("ticker", "n", "ic", "pearson"), 5), "WITH x AS (SELECT ticker, volume, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f FROM bars QUALIFY f IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY volume) + (count(*) OVER (PARTITION BY ticker, volume) - 1) / 2 AS a, rank() OVER (PARTITION BY ticker ORDER BY f) + (count(*) OVER (PARTITION BY ticker, f) - 1) / 2 AS b FROM x) SELECT ticker, count(*) AS n, round(corr(a, b), 5) AS ic, round(corr(volume, f), 5) AS pearson FROM r GROUP BY 1 HAVING count(*) >= 10")
 query("m4_rank_sum", lambda t: rounded(factor.rank_sum_test(t.orders.withColumn("urgent", c("o_orderpriority") == "1-URGENT"), ["o_orderstatus"], "o_totalprice", "urgent"), 4), "WITH r AS (SELECT o_orderstatus, o_orderpriority = '1-URGENT' AS g, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2 AS r FROM orders), s AS (SELECT o_orderstatus, sum(r) FILTER (g) AS rs, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM r GROUP BY 1) SELECT o_orderstatus, n1, n2, round(rs - n1 * (n1 + 1) / 2, 4) AS u, round((rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 4) AS z FROM s")
 query("m11_lift", lambda t: rounded(factor.lift_at(t.bars10.withColumn("label", c("close") > c("open")).withColumn("s", c("volume") + c("ticker") / 100 + F.datediff("d", F.lit("1990-01-01").cast("date")) / 1e6), ["ticker"], "s", "label", (0.05, 0.2)), 5), "WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY volume + ticker / 100 + (d - DATE '1990-01-01') / 1e6 DESC) AS rk, count(*) OVER (PARTITION BY ticker) AS n, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY ticker) AS base, CASE WHEN close > open THEN 1.0 ELSE 0.0 END AS y FROM bars10) SELECT ticker, share, count(*) AS n, round(avg(y) / nullif(max(base), 0), 5) AS lift FROM x, (VALUES (0.05::DOUBLE), (0.2)) v(share) WHERE rk <= greatest(1, floor(n * share)) GROUP BY ALL")
-query("t5_d82_positions", lambda t: factor.long_short(t.bars.select("ticker", "d", "volume"), "d", "volume", 3, "ticker"), "SELECT ticker, d, volume, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY volume DESC, ticker) <= 3 THEN 'LONG' WHEN row_number() OVER (PARTITION BY d ORDER BY volume, ticker) <= 3 THEN 'SHORT' ELSE 'NONE' END AS position FROM bars")
+query("t5_long_short", lambda t: factor.long_short(t.bars.select("ticker", "d", "volume"), "d", "volume", 3, "ticker"), "SELECT ticker, d, volume, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY volume DESC, ticker) <= 3 THEN 'LONG' WHEN row_number() OVER (PARTITION BY d ORDER BY volume, ticker) <= 3 THEN 'SHORT' ELSE 'NONE' END AS position FROM bars")
 query("d21_a21_factors", lambda t: rounded(factor.equal_weight_factors(t.bars.join(F.broadcast(t.master.select("ticker", "sector", "size")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null"), "d", "r", ["sector", "size"]).select("ticker", "d", "mkt", "f_sector", "f_size"), 5), "WITH x AS (SELECT b.ticker, d, sector, size, ln(close / lag(close) OVER (PARTITION BY b.ticker ORDER BY d)) AS r FROM bars b JOIN master USING (ticker) QUALIFY r IS NOT NULL) SELECT ticker, d, round(avg(r) OVER (PARTITION BY d), 5) AS mkt, round(avg(r) OVER (PARTITION BY d, sector) - avg(r) OVER (PARTITION BY d), 5) AS f_sector, round(avg(r) OVER (PARTITION BY d, size) - avg(r) OVER (PARTITION BY d), 5) AS f_size FROM x")
 
 

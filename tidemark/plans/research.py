@@ -164,7 +164,7 @@ def _lead_lag(t):
 
 
 query("d39_m7_lead_lag", _lead_lag)
-query("d53_m5_prewhitened", lambda t: rounded(models.prewhitened(technicals.weekly_closes(t.bars10).where("r is not null").select("ticker", "week", F.log1p("r").alias("r")), ["ticker"], "week", "r", 2).groupBy("ticker").agg(F.count("innovation").alias("n"), F.avg("innovation").alias("mean")), 5))
+query("d53_prewhitened", lambda t: rounded(models.prewhitened(technicals.weekly_closes(t.bars10).where("r is not null").select("ticker", "week", F.log1p("r").alias("r")), ["ticker"], "week", "r", 2).groupBy("ticker").agg(F.count("innovation").alias("n"), F.avg("innovation").alias("mean")), 5))
 
 
 def _model_rows(t):
@@ -181,13 +181,6 @@ query("m9_forest_walk_forward", lambda t: _walk(t, "forest"))
 query("m10_boosted_walk_forward", lambda t: _walk(t, "boosted"))
 
 
-def _clusters(t):
-    x = t.bars.withColumn("m", F.trunc("d", "year")).groupBy("ticker").pivot("m").agg(F.avg(F.log("close"))).na.fill(0.0)
-    x = x.select("ticker", *(c(f"`{n}`").alias(f"y{i}") for i, n in enumerate(x.columns[1:])))
-    return models.clusters(x, x.columns[1:], 4, 2).groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-query("d48_clusters", _clusters)
 def _similar_texts(t):
     """The three nearest items of every twentieth one, by the angle of their tf-idf vectors of character n-grams."""
     x = models.text_features(t.benchmark.select("item_id", "text"), "text").select("item_id", vector_to_array("tfidf").alias("v"))
