@@ -86,22 +86,39 @@ def kill_switch(daily: DataFrame, at: str, ic: str, window: int, threshold: floa
 
 
 def factor_residuals(panel: DataFrame, factors: Sequence[str], r: str, group: Sequence[str], least: int = 30) -> DataFrame:
-    """Residuals of ordinary least squares of ``r`` on ``factors`` by group: one small group's rows go to a worker at once."""
-    schema = panel.withColumns({n: F.lit(None).cast("double") for n in ("residual", "r_squared")}).schema
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.copy()
-        pdf["residual"], pdf["r_squared"] = np.nan, np.nan
-        rows = pdf[[r, *factors]].notna().all(axis=1).to_numpy()
-        if rows.sum() >= least:
-            a = np.column_stack([np.ones(rows.sum()), *(pdf.loc[rows, f].to_numpy(float) for f in factors)])
-            y = pdf.loc[rows, r].to_numpy(float)
-            e = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-            pdf.loc[rows, "residual"] = e
-            pdf.loc[rows, "r_squared"] = 1 - (e @ e) / max(((y - y.mean()) ** 2).sum(), 1e-300)
-        return pdf
-
-    return panel.groupBy(*group).applyInPandas(fit, schema).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("residual", "r_squared")})
+    """panel with residual and r_squared of ordinary least squares of ``r`` on a constant and ``factors`` by group.
+
+    Sums of products are aggregates, so a group may have any number of rows; one small matrix for each group goes to Python,
+    and residuals are taken where the rows are. Null for groups under ``least`` complete rows, for incomplete rows, and where
+    a group's key is null.
+    """
+    terms = [F.lit(1.0), *(F.col(f).cast("double") for f in factors), F.col(r).cast("double")]
+    whole = F.lit(True)
+    for name in (*factors, r):
+        whole = whole & F.col(name).isNotNull()
+    size = len(terms)
+    shift = panel.where(whole).groupBy(*group).agg(F.count("*").alias("_n"), F.array(*(F.sum(x * y) for x in terms for y in terms)).alias("_m"))
+    schema = shift.drop("_n", "_m").withColumns({"_beta": F.lit(None).cast("array<double>"), "_r2": F.lit(None).cast("double")}).schema
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            betas, shares = [], []
+            for n, m in zip(pdf["_n"], pdf["_m"]):
+                beta, share = None, None
+                if n >= least:
+                    m = np.asarray(m, float).reshape(size, size)
+                    beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+                    left, all_ = m[-1, -1] - beta @ m[:-1, -1], m[-1, -1] - m[0, -1] ** 2 / n
+                    share = 1 - left / all_ if all_ > 0 else None
+                betas.append(beta)
+                shares.append(share)
+            yield pdf.drop(columns=["_n", "_m"]).assign(_beta=betas, _r2=pd.Series(shares, index=pdf.index, dtype="float64"))
+
+    fitted = F.lit(0.0)
+    for i, x in enumerate(terms[:-1]):
+        fitted = fitted + F.col("_beta")[i] * x
+    done = panel.join(shift.mapInPandas(solve, schema), list(group), "left")
+    return done.withColumns({"residual": F.when(whole, F.col(r) - fitted), "r_squared": F.nanvl("_r2", F.lit(None).cast("double"))}).select(*panel.columns, "residual", "r_squared")
 
 
 def equal_weight_factors(panel: DataFrame, at: str, r: str, groups: Sequence[str]) -> DataFrame:
