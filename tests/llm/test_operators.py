@@ -87,6 +87,40 @@ def test_training_order(spark, odd, none):
     assert tokens.read_training_order(spark, empty).count() == 0
 
 
+def feistel_brute(x, n, key):
+    """One number at a time, in plain integers."""
+    bits = max(n - 1, 1).bit_length()
+    half = max(1, (bits + 1) // 2)
+    mask, whole = (1 << half) - 1, 2**64 - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(tokens.FEISTEL_ROUNDS):
+            y = (right + key + r * 0x9E3779B97F4A7C15 & whole) * 0xBF58476D1CE4E5B9 & whole
+            y = (y ^ y >> 31) * 0x94D049BB133111EB & whole
+            left, right = right, left ^ (y ^ y >> 29) & mask
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("shard_rows", [1, 4, 100])
+def test_training_order_is_the_permutation(spark, data, shard_rows):
+    """Sequences are read in the order of their slots, worked out one by one, whatever the shards."""
+    docs = table(spark, data, "documents").repartition(5, "doc_id")
+    path = scratch(spark, "order")
+    tokens.write_training_order(docs, path, key=99, shard_rows=shard_rows)
+    rows = tokens.sequences(docs)
+    most = tokens.numbering(docs)[1]
+    n = rows.rdd.getNumPartitions() * most
+    slots = {}
+    for r in rows.collect():
+        record = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.record) + b"\n", tokens.RECORD)[0]
+        slots[feistel_brute(r.part * most + r.row, n, 99)] = (int(record["doc_id"]), record["ids"][: record["length"]].tobytes())
+    got = tokens.read_training_order(spark, path).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(slots)))
+    assert [(r.doc_id, bytes(r.ids)) for r in got] == [slots[k] for k in sorted(slots)]
+
+
 def check_packing(rows, docs, window=1024):
     by_doc = collections.defaultdict(list)
     for r in rows:

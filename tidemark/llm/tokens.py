@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batched, scratch, table
+from .common import batched, running_totals, scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
@@ -53,7 +54,7 @@ def encoder(path: str = TOKENIZER, rank_path: str = RANKS) -> Encoder:
 SEQUENCE, END = 1024, 50256
 #: A record of a shard: the first token's doc_id, the tokens that count, ids; then a line feed from the text sink.
 RECORD = np.dtype([("doc_id", "<i8"), ("length", "<u2"), ("ids", "<u2", (SEQUENCE,)), ("end", "u1")])
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 FEISTEL_ROUNDS = 6
 
 
@@ -110,6 +111,12 @@ def sequences(docs: DataFrame) -> DataFrame:
     return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "part int, row long, record binary")
 
 
+def numbering(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and how many sequences a task can have at most."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
+    return size["bytes"], (size["bytes"] + size["docs"]) // SEQUENCE + 1  # a token has a byte at least
+
+
 def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> None:
     """Write the sequences of ``docs`` in a keyed global order as shards under ``path``, SHARD_ROWS each or so.
 
@@ -118,11 +125,10 @@ def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows
     the slots; equal ranges of slots are the shards. Row r of shard s is the sequence at position (rows of earlier shards)
     + r, RECORD.itemsize bytes each, so a reader seeks to any position by the files' lengths alone and resumes there.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
-    most = (size["bytes"] + size["docs"]) // SEQUENCE + 1  # a token has a byte at least
     rows = sequences(docs)
+    size, most = numbering(docs)
     n = rows.rdd.getNumPartitions() * most
-    shards = max(1, size["bytes"] // (2 * SEQUENCE * shard_rows))
+    shards = max(1, size // (2 * SEQUENCE * shard_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,21 +151,20 @@ def read_training_order(spark: SparkSession, path: str) -> DataFrame:
     """position, doc_id, length, ids (bytes of the ids that count) from the shards under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    sizes = files.select(shard.alias("shard"), F.expr(f"length div {RECORD.itemsize}").alias("rows")).collect()  # a row for each file
-    starts, n = {}, 0
-    for r in sorted(sizes):
-        starts[r["shard"]], n = n, n + r["rows"]
+    sizes = files.select(shard.alias("shard"), F.expr(f"length div {RECORD.itemsize}").alias("rows"))
+    width = math.isqrt(sizes.agg(F.coalesce(F.max("shard"), F.lit(0)).alias("n")).first()["n"]) + 1
+    starts = F.broadcast(running_totals(sizes, "shard", ["rows"], width).select("shard", F.col("before_rows").alias("start")))  # a row for each shard
     schema = pa.schema([("position", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 records = np.frombuffer(content.as_buffer(), RECORD)
                 for k in range(0, len(records), 500):
                     some = records[k : k + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(starts[number] + np.arange(k, k + len(some))), pa.array(some["doc_id"].copy()), pa.array(some["length"].astype("i8")), pa.array([x["ids"][: x["length"]].tobytes() for x in some], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(k, k + len(some))), pa.array(some["doc_id"].copy()), pa.array(some["length"].astype("i8")), pa.array([x["ids"][: x["length"]].tobytes() for x in some], pa.binary())], schema=schema)
 
-    return files.select(shard.alias("shard"), "content").mapInArrow(run, "position long, doc_id long, length long, ids binary")
+    return files.select(shard.alias("shard"), "content").join(starts, "shard").select("start", "content").mapInArrow(run, "position long, doc_id long, length long, ids binary")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
