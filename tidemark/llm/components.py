@@ -14,10 +14,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the least of its neighbours and itself."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Link each node's larger neighbours to the least of its neighbours and itself. ``edges``: u > v.
+
+    That least is the node itself unless it is some edge's u, so the least of a component, to which very many may be
+    linked, finds no partner in the join: its rows go on as they are, and may be split at will.
+    """
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
