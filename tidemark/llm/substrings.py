@@ -256,7 +256,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = text_bytes(docs)
     sender_bytes, homes = routes(size)
     bits = min(64, max(1, size // (WORD_BYTES * block)).bit_length() + 12)
-    groups = grouped(docs, max(shuffle_partitions(docs.sparkSession), min(20_000, -(-size // sender_bytes))), sender_bytes)
+    groups = grouped(docs, max(shuffle_partitions(docs.sparkSession), min(20_000, -(-size // (4 * sender_bytes)))), sender_bytes)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         g, rows, found, anchors = int(pdf["g"].iloc[0]), [], [], []
