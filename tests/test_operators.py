@@ -160,6 +160,23 @@ def test_similar_texts(spark):
         assert np.allclose(sorted((g["similarity"] for g in got if g["query"] == i), reverse=True), best, atol=1e-5)
 
 
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 30)), max_size=12), st.lists(st.tuples(st.integers(0, 1), st.integers(0, 30)), max_size=12), st.booleans(), st.booleans())
+def test_asof_in_buckets(spark, left, right, strict, forward):
+    a = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(left)], "k int, t int, i int")
+    b = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(right)], "k int, t int, v int")
+    plain, spread = (asof_join(a, b, ["k"], "t", "t", direction="forward" if forward else "backward", strict=strict, order=["v"], bucket=f) for f in (None, lambda at: F.floor(at / 5)))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, spread.collect()))
+
+
+def test_equal_names_match_across_blocks(spark):
+    a = spark.createDataFrame([("alpha",), ("(Beta) Ltd",), ("gamma",), ("??",)], "a string")
+    b = spark.createDataFrame([("Alpha",), ("beta ltd",), ("Gama",), ("gxmmb",), ("!!",)], "b string")
+    first = lambda c: F.substring(c, 1, 1)
+    got = {r.a: (r.match, r.score) for r in joins.fuzzy_match(a, b, "a", "b", first("a"), F.lower(first("b")), 0.5).collect()}
+    assert got == {"alpha": ("Alpha", 1.0), "(Beta) Ltd": ("beta ltd", 1.0), "gamma": ("Gama", 0.8), "??": (None, None)}
+
+
 def test_pairs_of_parts(spark, monkeypatch):
     monkeypatch.setattr(joins, "PART", 3)
     df = spark.createDataFrame([(g, i) for g, n in (("x", 11), ("y", 1), ("z", 4)) for i in range(n)] + [("z", 1)], "g string, i long")

@@ -21,11 +21,9 @@ def asof_join(
 
     bucket: for keys that hold a large part of all rows, a function that never falls as time grows, such as the month.
     Keys are then dealt out by bucket, too, and each bucket's last right row is carried on by a table with a row for each
-    key and bucket. Backward joins only.
+    key and bucket (forward: the first one of the buckets after it).
     """
     back = direction == "backward"
-    if bucket is not None and not back:
-        raise ValueError("buckets are for backward joins")
     payload = [c for c in right.columns if c not in keys]
     r = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*payload).alias("_r"), F.struct(*(F.col(c) for c in order), F.lit(0)).alias("_order"))
     row = F.struct(*left.columns)
@@ -39,7 +37,7 @@ def asof_join(
         parts.append("_bucket")
     w = Window.partitionBy(*parts).orderBy(at, side, F.col("_order").asc()).rowsBetween(Window.unboundedPreceding, 0)
     match = F.when(F.col("_at").isNotNull(), F.last("_r", ignorenulls=True).over(w))
-    both = both.withColumn("_m", match).where("_side = 1") if bucket is None else _carried(both.withColumn("_m", match), parts)
+    both = both.withColumn("_m", match).where("_side = 1") if bucket is None else _carried(both.withColumn("_m", match), parts, back)
     out = both.select("_l.*", *(F.col(f"_m.{c}").alias(prefix + c) for c in payload))
     if tolerance is not None:
         ok = F.coalesce(tolerance, F.lit(False))
@@ -48,11 +46,13 @@ def asof_join(
     return out
 
 
-def _carried(both: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """Left rows; those without a match in their bucket get the last right row of the buckets before it."""
+def _carried(both: DataFrame, parts: Sequence[str], back: bool) -> DataFrame:
+    """Left rows; those without a match in their bucket get the last right row of the buckets before it, or the first of those after."""
     *keys, b = parts
-    last = both.groupBy(*parts).agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_at", "_order"))).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    right = both.where("_side = 0").groupBy(*parts, "_at").agg(F.max_by("_r", "_order").alias("_r"))
+    last = right.groupBy(*parts).agg((F.max_by if back else F.min_by)("_r", "_at").alias("_last"))
+    last = both.where("_side = 1").select(*parts).distinct().unionByName(last, allowMissingColumns=True).groupBy(*parts).agg(F.first("_last", ignorenulls=True).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(F.col(b).asc() if back else F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).select(*(F.col(p).alias(f"_k{i}") for i, p in enumerate(parts)), "_carry")
     same = F.lit(True)
     for i, p in enumerate(parts):

@@ -90,16 +90,19 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, target: str, block: Column, other_block: Column, least: float) -> DataFrame:
-    """Each left row with the best right row: an equal normalised name, else the most similar one of its block from ``least`` on.
+    """Each left row with the best right row: an equal normalised name, whatever its block, else the most similar one of its block
+    from ``least`` on.
 
-    Blocks keep it an equi-join; ties go to the smaller target. Rows without a match have nulls.
+    Both are equi-joins; of equal names the smallest target counts. Rows without a match have nulls, and names without a
+    letter or digit match nothing exactly.
     """
     clean = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     x = left.withColumns({"_block": block, "_name": clean(F.col(name))})
     y = right.select(F.col(target), clean(F.col(target)).alias("_target"), other_block.alias("_block"))
-    scored = x.join(y, "_block").withColumn("score", similarity(F.col("_name"), F.col("_target"))).where(F.col("score") >= least)
+    exact = x.where(F.col("_name") != "").join(y.drop("_block"), F.col("_name") == F.col("_target")).groupBy(name).agg(F.min(target).alias("match")).withColumn("score", F.lit(1.0))
+    scored = x.join(exact.select(name), name, "left_anti").join(y, "_block").withColumn("score", similarity(F.col("_name"), F.col("_target"))).where(F.col("score") >= least)
     best = scored.groupBy(name).agg(F.max_by(target, F.struct("score", F.expr(f"-xxhash64({target})"))).alias("match"), F.max("score").alias("score"))
-    return left.join(best, name, "left")
+    return left.join(best.unionByName(exact), name, "left")
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, lo: str, hi: str, value: str) -> DataFrame:

@@ -27,32 +27,43 @@ def enriched(events: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def tumbling(events: DataFrame, size: str = "1 day", delay: str | None = None) -> DataFrame:
-    """n and total by event_type and window; with ``delay``, late events up to it are waited for."""
+    """n and total by event_type and window; with ``delay``, late events up to it are waited for and windows are forgotten then.
+
+    Without it no window is ever closed: for batches, and streams that end.
+    """
     x = events.withWatermark("ts", delay) if delay else events
     return x.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day") -> DataFrame:
-    return events.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", delay: str | None = None) -> DataFrame:
+    """n by event_type and overlapping window; ``delay`` as in tumbling()."""
+    x = events.withWatermark("ts", delay) if delay else events
+    return x.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def bursts(events: DataFrame, gap: str = "6 hours", delay: str | None = None) -> DataFrame:
-    """Sessions of a user: events with gaps under ``gap``."""
+    """Sessions of a user: events with gaps under ``gap``; ``delay`` as in tumbling()."""
     x = events.withWatermark("ts", delay) if delay else events
     return x.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").alias("start"), "n", "total")
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """user_id, n and total so far after each batch, kept in state by user."""
+def running_totals(events: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """user_id, n and total so far after each batch, kept in state by user; a user without events for ``quiet_ms`` is forgotten
+    and starts anew, so that state is bounded by the users of that time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if quiet_ms:
+            state.setTimeoutDuration(quiet_ms)
         n, total = state.get if state.exists else (0, 0.0)
         for f in frames:
             n, total = n + len(f), total + float(f["value"].sum())
         state.update((n, total))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout if quiet_ms else GroupStateTimeout.NoTimeout)
 
 
 def matched_within(left: DataFrame, right: DataFrame, minutes: int, delay: str = "1 day") -> DataFrame:
