@@ -161,4 +161,6 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, ids: bool = True) -> DataFr
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids, and the digests of nothing. A null doc_id stays null; repeated rows are encoded each;
+    texts of any length are whole; an empty table gives no rows; other columns are ignored."""
     return encoded(table(spark, sf_dir, "documents"), ids=False).drop("ids")

@@ -112,4 +112,6 @@ def _unequal(docs: DataFrame, near: DataFrame, shared: DataFrame, hashed: Callab
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text: empty. Repeated ids: each row keeps its own, and as a neighbour that one counts whose text hashes least. A
+    null id sorts first. A single document is its own neighbour; an empty table gives no rows; other columns are ignored."""
     return fingerprint_report(table(spark, sf_dir, "documents"))

@@ -368,4 +368,6 @@ def extracted(pages: DataFrame, trees: Trees) -> DataFrame:
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty html give an empty text; null page_id and url stay null; repeated rows stay; pages of any length are read
+    whole, in time that grows with the length; an empty table gives no rows; other columns are ignored."""
     return extracted(table(spark, sf_dir, "pages"), train(spark))

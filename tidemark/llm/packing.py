@@ -149,4 +149,6 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are the closing id alone. Repeated rows and rows without an id are packed each; ties in order are
+    broken by the files' rows. Long texts are cut into windows; an empty table gives no rows; other columns are ignored."""
     return packed(table(spark, sf_dir, "documents"))

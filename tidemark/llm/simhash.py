@@ -277,4 +277,6 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the fingerprint zero. Rows without an id link like others and are never a component's name;
+    repeated rows stay, and share a component; an empty table gives no rows; other columns are ignored."""
     return near_components(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")

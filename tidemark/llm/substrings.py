@@ -437,4 +437,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, carry: str | None = None
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words. Rows of one doc_id remove nothing from each other, a null id is smaller than any, and
+    ties don't arise: repeated rows stay with all their words. Texts of any length are whole; an empty table gives no rows;
+    other columns are ignored."""
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
