@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import byte_bpe, components, compression, fingerprints, html, packing, rules, simhash, substrings, tokens, warc
-from tidemark.llm.common import running_totals, scratch, table
+from tidemark.llm.common import batched, running_totals, scratch, shared_dir, table
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 from tidemark.llm.sample_pages import sample_page
 
@@ -541,3 +541,53 @@ def test_excerpts_reach_both_ends(spark):
     texts_ = ["short", "x" * 16384, "a" * 2048 + "m" * 500_000 + "z" * 2048]
     got = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, text string").orderBy("i").select(compression.excerpt(F.col("text")).alias("e")).collect()]
     assert got[:2] == texts_[:2] and len(got[2]) == 8 * 2048 + 7 and got[2].startswith("a" * 2048) and got[2].endswith("z" * 2048)
+
+
+def test_a_sessions_own_batch_sizes_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "77")
+    assert batched(spark.range(3)).count() == 3 and spark.conf.get(name) == "77"
+    spark.conf.unset(name)
+    batched(spark.range(3))
+    assert spark.conf.get(name) == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    if before:
+        spark.conf.set(name, before)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+
+
+def test_without_labels_every_score_is_a_half(spark, odd, labels):
+    for none in (labels.limit(0), labels.withColumn("quality", F.lit(None).cast("int"))):
+        got = compression.scored(odd.select("doc_id", "text"), compression.fit(odd, none)).collect()
+        assert len(got) == 14 and {round(r.score, 6) for r in got} == {0.5} and {r.predicted for r in got} == {0}
+        assert rules.learned(odd, none) == []
+
+
+def test_ties_and_hot_rows_are_packed(spark, monkeypatch):
+    """Rows that are the same in everything, with and without an id, over many buckets."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    rows = [(5, PASSAGE)] * 40 + [(None, "a b c")] * 40 + [(k, f"text {k} " * (k * 9)) for k in range(60)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.length for r in got) == sum(len(tokenised(t)) + 1 for _, t in rows)
+    by_sequence = collections.defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(sum(n for _, n in p) < 1024 for p in by_sequence.values()) <= 1

@@ -87,10 +87,13 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """``df``, whose session sends batches of no more than BATCH_BYTES and BATCH_ROWS to Python from now on."""
+    """``df``, for a Python step. Spark reads the sizes of its batches from the session when a plan runs, so they are set there,
+    unless the session has sizes of its own: those stay."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    own = conf.getAll
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if name not in own:
+            conf.set(name, str(value))
     return df
 
 
