@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batched, joined, shuffle_partitions, written
+from .common import ascending, batched, joined, shuffle_partitions, written
 from .components import connected_components
 from .simhash import centres
 
@@ -31,7 +31,7 @@ def shingles(text: bytes) -> np.ndarray:
     words, join = text.lower().split(), b" ".join
     if len(words) <= SHINGLE:
         return np.array([xxh64_intdigest(join(words), SEED)] if words else [], np.uint64)
-    return np.unique(np.fromiter((xxh64_intdigest(join(x), SEED) for x in zip(*(words[k:] for k in range(SHINGLE)))), np.uint64, len(words) - SHINGLE + 1))
+    return ascending(np.fromiter((xxh64_intdigest(join(x), SEED) for x in zip(*(words[k:] for k in range(SHINGLE)))), np.uint64, len(words) - SHINGLE + 1))
 
 
 def _bounds(most: int = 1 << 32) -> np.ndarray:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import batched, scratch, shuffle_partitions, table, text_bytes, written
+from .common import ascending, batched, scratch, shuffle_partitions, table, text_bytes, written
 
 WINDOW = 50
 #: Bytes of text that a group of documents holds about, hashes that a home looks after about, bytes of a word about, and
@@ -262,10 +262,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         g, rows, found, anchors = int(pdf["g"].iloc[0]), [], [], []
         for keys, words in _groups(pdf):
             probes = _Probes(words, block, bits)
-            found.append(np.unique(probes.hash[probes.whole]))
+            found.append(ascending(probes.hash[probes.whole]))
             at = np.flatnonzero(probes.anchor)
             anchors.append(_least(probes.hash[at], keys[words.doc[at]]))
-        found = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        found = ascending(np.concatenate(found)) if len(found) > 1 else found[0]
         rows += [(home, g, 1, _pack(found[s])) for home, s in _ranges(found, homes)]
         found, least = _least(*(np.concatenate(x) for x in zip(*anchors)))
         rows += [(home, g, 0, _pack(found[s], least[s])) for home, s in _ranges(found, homes)]
@@ -301,7 +301,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if known.any():
                     rows.append((g, 1, _pack(keys[at][known], least[known])))
         for g in dict.fromkeys(x[0] for x in blocks):
-            at = np.unique(slot[own == g])
+            at = ascending(slot[own == g])
             at = at[(hits[at] > 1) | (hits[at] == 1) & (one[at] != g)]
             if len(at):
                 rows.append((g, 0, _pack(keys[at])))
@@ -323,8 +323,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             hit = np.zeros(len(probes.hash), bool)
             hit[there] = known[1][where[there]] < np.repeat(keys, sizes)[: len(there)][there]
             hits.append(hit & probes.whole)
-            shared.append(np.unique(probes.hash[hits[-1]]))
-        shared = np.unique(np.concatenate(shared))
+            shared.append(probes.hash[hits[-1]])
+        shared = ascending(np.concatenate(shared))
         for (keys, _, probes, words), hit, again in zip(groups, hits, [(None, None)] if alone else _groups(left)):
             words = words or again[1]
             mark = hit | probes.anchor & _lookup(shared, probes.hash)[0]
