@@ -1,5 +1,7 @@
 """Studies that SQL can't express, against numpy, and edge cases of series operators."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from tidemark.operators import models, screens, series, technicals
 from tidemark.plans import studies
 from tidemark.plans.fixtures import Tables
 from tidemark.plans.research import _model_rows
+from tidemark.streaming import monitor
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -124,3 +127,35 @@ def test_walk_forward_sees_no_later_rows(spark):
     scored = models.walk_forward(spark.createDataFrame(rows, "y int, f double, label double"), "y", ["f"], "label", [2001, 2002, 2003], "forest").toPandas()
     right = (scored["score"] > 0.5) == (scored["label"] == 1)
     assert right[scored["y"] == 2001].all() and not right[scored["y"] == 2002].any()
+
+
+def test_retries_wait_longer_each_time():
+    waits, left = [], [3]
+
+    def job():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError
+
+    assert monitor.run_retrying(job, wait=2, longest=5, sleep=waits.append) == 3 and waits == [2, 4, 5]
+    left[0] = 9
+    with pytest.raises(OSError):
+        monitor.run_retrying(job, tries=2, sleep=waits.append)
+
+
+def test_factor_movers(spark):
+    got = plans.QUERIES["d50_factor_movers"](spark, FOLDER).toPandas()
+    x = plans.QUERIES["d47_three_factors"](spark, FOLDER).toPandas()
+    x["residual"] += x["alpha"]
+    x = x[(x["d"] >= dt.date(2001, 1, 1)) & x["residual"].notna()].groupby("ticker")[["residual", "r"]].sum()
+    want = x.reindex(x["residual"].abs().sort_values(ascending=False).index[:20])
+    got = got.set_index("ticker")
+    assert set(got.index) == set(want.index) and len(got) == 20 and np.allclose(got.loc[want.index, ["own", "total"]], want[["residual", "r"]], atol=2e-5)
+
+
+def test_depth_is_chosen_on_earlier_rows(spark):
+    """An exclusive or needs two levels: the shallow candidate loses on the last earlier year."""
+    r = np.random.default_rng(1)
+    rows = [(y, float(a), float(b), float(a ^ b)) for y in range(2000, 2004) for a, b in r.integers(0, 2, (150, 2))]
+    got = models.tuned_walk_forward(spark.createDataFrame(rows, "y int, a double, b double, label double"), "y", ["a", "b"], "label", [2002, 2003, 2004], depths=(1, 3)).toPandas()
+    assert set(got["depth"]) == {3} and ((got["score"] > 0.5) == (got["label"] == 1)).all() and len(got) == 300

@@ -86,7 +86,7 @@ def kill_switch(daily: DataFrame, at: str, ic: str, window: int, threshold: floa
 
 
 def factor_residuals(panel: DataFrame, factors: Sequence[str], r: str, group: Sequence[str], least: int = 30) -> DataFrame:
-    """panel with residual and r_squared of ordinary least squares of ``r`` on a constant and ``factors`` by group.
+    """panel with alpha (the constant), residual and r_squared of ordinary least squares of ``r`` on a constant and ``factors`` by group.
 
     Sums of products are aggregates, so a group may have any number of rows; one small matrix for each group goes to Python,
     and residuals are taken where the rows are. Null for groups under ``least`` complete rows, for incomplete rows, and where
@@ -118,7 +118,7 @@ def factor_residuals(panel: DataFrame, factors: Sequence[str], r: str, group: Se
     for i, x in enumerate(terms[:-1]):
         fitted = fitted + F.col("_beta")[i] * x
     done = panel.join(shift.mapInPandas(solve, schema), list(group), "left")
-    return done.withColumns({"residual": F.when(whole, F.col(r) - fitted), "r_squared": F.nanvl("_r2", F.lit(None).cast("double"))}).select(*panel.columns, "residual", "r_squared")
+    return done.withColumns({"alpha": F.col("_beta")[0], "residual": F.when(whole, F.col(r) - fitted), "r_squared": F.nanvl("_r2", F.lit(None).cast("double"))}).select(*panel.columns, "alpha", "residual", "r_squared")
 
 
 def equal_weight_factors(panel: DataFrame, at: str, r: str, groups: Sequence[str]) -> DataFrame:

@@ -141,6 +141,26 @@ def _resumed(t):
     return rounded(t.spark.read.parquet(out), 6)
 
 
+def _retried(t):
+    """A stream that fails after its first batch and once before its second, and is run again."""
+    path, out, state, runs = scratch(t, "events"), scratch(t, "out"), scratch(t, "state"), []
+    e = t.events.select("event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    e.where("event_id % 2 = 0").coalesce(1).write.parquet(path)
+
+    def job():
+        runs.append(1)
+        if len(runs) == 2:
+            raise ConnectionError("refused")
+        monitor.run_available(monitor.source(t.spark, path).select("event_id", "value"), out, state)
+        if len(runs) == 1:
+            e.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(path)
+            raise TimeoutError("no answer")
+
+    monitor.run_retrying(job, wait=0.01)
+    return rounded(t.spark.read.parquet(out), 6)
+
+
+query("st11_retried_stream", _retried, "SELECT event_id, round(value, 6) AS value FROM events")
 query("st8_st9_k13_resumed_stream", _resumed, "SELECT event_id, round(value, 6) AS value FROM events")
 
 

@@ -152,7 +152,21 @@ query("d49_stable_pairs", _stable_pairs, """
     p AS (SELECT a.sector, a.ticker AS a, b.ticker AS b, year(a.m) AS y, abs(corr(a.e, b.e)) AS r, count(*) AS n FROM m a JOIN m b ON a.sector = b.sector AND a.m = b.m AND a.ticker < b.ticker GROUP BY 1, 2, 3, 4 HAVING count(*) >= 6)
     SELECT sector, a, b, count(*) AS years, round(max(r), 5) AS worst FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND max(r) <= 0.7""")
 
-# M5, M10, M11
+def _factor_movers(t):
+    """D50: the twenty names whose own moves, which no factor explains, add up to most over a period."""
+    x = _three_factors(t).where("d >= '2001-01-01' and residual is not null").groupBy("ticker").agg(F.sum(c("alpha") + c("residual")).alias("own"), F.sum("r").alias("total"))
+    return rounded(x.orderBy(F.abs("own").desc(), "ticker").limit(20), 5)
+
+
+query("d50_factor_movers", _factor_movers)
+
+# M5, M9, M10, M11
+def _tuned(t):
+    scored = models.tuned_walk_forward(_model_rows(t), "y", ["day", "gap", "volume_ratio", "r5", "r20"], "label", [1998, 2000, 2002])
+    return rounded(series.curve_areas(scored, ["y", "depth"], "score", "label"), 3)
+
+
+query("m9_tuned_walk_forward", _tuned)
 query("m5_unit_roots", lambda t: rounded(series.unit_roots(technicals.weekly_closes(t.bars10).select("ticker", "week", F.log("close").alias("x")), ["ticker"], "week", "x", 0), 4), """
     WITH k AS (SELECT ticker, CAST(date_trunc('week', d) AS DATE) AS week, ln(arg_max(close, d)) AS x FROM bars10 GROUP BY 1, 2),
     l AS (SELECT ticker, x - lag(x) OVER p AS dx, lag(x) OVER p AS x1 FROM k WINDOW p AS (PARTITION BY ticker ORDER BY week) QUALIFY x1 IS NOT NULL),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+log = logging.getLogger(__name__)
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -78,6 +82,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_retrying(job: Callable[[], None], tries: int = 5, wait: float = 1.0, longest: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run ``job``, which goes on where it stopped, until it ends well; returns how often it failed. After each error it waits, twice
+    as long as before up to ``longest`` seconds, as sources that refuse too many calls ask for; the last error is raised."""
+    for failed in range(tries):
+        try:
+            job()
+            return failed
+        except Exception:
+            log.warning("run %d of %d failed", failed + 1, tries, exc_info=True)
+            if failed + 1 == tries:
+                raise
+            sleep(min(wait * 2**failed, longest))
+    return tries
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
