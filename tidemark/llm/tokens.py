@@ -54,7 +54,7 @@ def encoder(path: str = TOKENIZER, rank_path: str = RANKS) -> Encoder:
 SEQUENCE, END = 1024, 50256
 #: A record of a shard: the first token's doc_id, the tokens that count, ids; then a line feed from the text sink.
 RECORD = np.dtype([("doc_id", "<i8"), ("length", "<u2"), ("ids", "<u2", (SEQUENCE,)), ("end", "u1")])
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 FEISTEL_ROUNDS = 6
 
 
@@ -75,40 +75,47 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_CUT = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("record", pa.binary())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sequences of a task's batches (doc_id, text), see sequences()."""
+    encode, part, row = encoder().encode, TaskContext.get().partitionId(), 0
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    ids, owners = np.zeros(0, "<u2"), np.zeros(0, "<i8")
+
+    def cut(last: bool) -> pa.RecordBatch:
+        nonlocal ids, owners, row
+        n = -(-len(ids) // SEQUENCE) if last else len(ids) // SEQUENCE
+        records = np.zeros(n, RECORD)
+        for k in range(n):
+            own = ids[k * SEQUENCE : (k + 1) * SEQUENCE]
+            records[k]["doc_id"], records[k]["length"], records[k]["ids"][: len(own)] = owners[k * SEQUENCE], len(own), own
+        ids, owners = ids[n * SEQUENCE :], owners[n * SEQUENCE :]
+        row += n
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.arange(row - n, row)), pa.array([squeeze(x.tobytes()[:-1]) for x in records], pa.binary())], schema=_CUT)
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            some = [(d.as_py(), encode(t.as_py() or "") + [END]) for d, t in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200])]
+            ids = np.concatenate([ids, *(np.asarray(x, "<u2") for _, x in some)])
+            owners = np.concatenate([owners, np.repeat([-1 if d is None else d for d, _ in some], [len(x) for _, x in some])])
+            yield cut(False)
+    if len(ids):
+        yield cut(True)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text")
+
+
 def sequences(docs: DataFrame) -> DataFrame:
     """part, row, record (compressed): the documents of each task, each closed by END, cut into sequences of SEQUENCE tokens.
 
     Only the last sequence of a task is shorter. part and row are the task's number and the place in it, the same in each
     attempt, as a task's files are.
     """
-    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("record", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = encoder().encode, TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        ids, owners = np.zeros(0, "<u2"), np.zeros(0, "<i8")
-
-        def cut(last: bool) -> pa.RecordBatch:
-            nonlocal ids, owners, row
-            n = -(-len(ids) // SEQUENCE) if last else len(ids) // SEQUENCE
-            records = np.zeros(n, RECORD)
-            for k in range(n):
-                own = ids[k * SEQUENCE : (k + 1) * SEQUENCE]
-                records[k]["doc_id"], records[k]["length"], records[k]["ids"][: len(own)] = owners[k * SEQUENCE], len(own), own
-            ids, owners = ids[n * SEQUENCE :], owners[n * SEQUENCE :]
-            row += n
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.arange(row - n, row)), pa.array([squeeze(x.tobytes()[:-1]) for x in records], pa.binary())], schema=schema)
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                some = [(d.as_py(), encode(t.as_py() or "") + [END]) for d, t in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200])]
-                ids = np.concatenate([ids, *(np.asarray(x, "<u2") for _, x in some)])
-                owners = np.concatenate([owners, np.repeat([-1 if d is None else d for d, _ in some], [len(x) for _, x in some])])
-                yield cut(False)
-        if len(ids):
-            yield cut(True)
-
-    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "part int, row long, record binary")
+    return _texts(docs).mapInArrow(_cut, "part int, row long, record binary")
 
 
 def numbering(docs: DataFrame) -> tuple[int, int]:
@@ -125,13 +132,13 @@ def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows
     the slots; equal ranges of slots are the shards. Row r of shard s is the sequence at position (rows of earlier shards)
     + r, RECORD.itemsize bytes each, so a reader seeks to any position by the files' lengths alone and resumes there.
     """
-    rows = sequences(docs)
+    texts = _texts(docs)
     size, most = numbering(docs)
-    n = rows.rdd.getNumPartitions() * most
+    n = texts.rdd.getNumPartitions() * most
     shards = max(1, size // (2 * SEQUENCE * shard_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):  # in one Python worker
             slots = feistel(batch.column("part").to_numpy().astype(np.int64) * most + batch.column("row").to_numpy(), n, key)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // -(-n // shards)), batch.column("record")], names=["slot", "shard", "record"])
 
@@ -142,7 +149,7 @@ def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows
                 some = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([expand(x.as_py()) for x in some.column(2)], pa.binary())], names=["slot", "shard", "record"])
 
-    placed = rows.mapInArrow(place, "slot long, shard long, record binary")
+    placed = texts.mapInArrow(place, "slot long, shard long, record binary")
     dealt = placed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(unpack, "slot long, shard long, record binary")  # records travel compressed
     dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
 
