@@ -162,7 +162,7 @@ def test_mix_query(spark, data):
 def test_chunks_of_rows_that_are_alike(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 7)
     docs = spark.createDataFrame([(1, "a b", "s")] * 100 + [(2, "c", "s")] * 3, "doc_id long, text string, source string")
-    rows = mixing.single_rows(docs).collect()
+    rows = mixing.single_rows(mixing.sized(docs)).collect()
     assert sorted((r.doc_id, r.copy) for r in rows) == [(1, k) for k in range(100)] + [(2, k) for k in range(3)]
 
 

@@ -69,14 +69,15 @@ def ranged_totals(df: DataFrame, order: list[str], value: str, by: str | None =
     return done.join(ends, ["_by", "_part"]).withColumn("before", F.col("before") + F.col("_earlier")).drop("_by", "_part", "_value", "_earlier")
 
 
-def single_rows(docs: DataFrame) -> DataFrame:
-    """source, doc_id, digest of the text, size in words, and copy: a number for each of several rows that are alike in all of these.
-
-    Such rows are counted and dealt out again in chunks, as they may be very many.
-    """
+def sized(docs: DataFrame) -> DataFrame:
+    """source, doc_id, digest of the text, size in words, and n: how many rows are alike in all of these."""
     rows = docs.select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("source", "doc_id", F.xxhash64("text").alias("digest"), word_count(F.col("text")).alias("size"))
-    rows = written(rows.groupBy("source", "doc_id", "digest", "size").agg(F.count("*").alias("n")), "sizes")
+    return rows.groupBy("source", "doc_id", "digest", "size").agg(F.count("*").alias("n"))
+
+
+def single_rows(rows: DataFrame) -> DataFrame:
+    """sized() with copy, a number for each of n rows that are alike. Where those are very many, they are dealt out in chunks."""
     few = rows.where(F.col("n") <= CHUNK).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     many = rows.where(F.col("n") > CHUNK).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).repartition("digest", "doc_id", "start")
     many = many.withColumn("copy", F.explode(F.sequence("start", F.least(F.col("start") + CHUNK, "n") - 1))).drop("start")
@@ -93,19 +94,18 @@ def mixed(docs: DataFrame, seed: int = 0, budget: Column | None = None, weights:
     the budget. Documents that aren't read have a row with 0 words, at the end. Sorting is by range, so no source or
     finish time is in one task; totals are kept by range. The same rows and seed give the same mix.
     """
-    rows = written(single_rows(docs), "rows")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = written(targets(sources, budget, weights, most), "sources")
-    rows = rows.join(sources.select(F.col("source").alias("_s"), "number", "source_size", "target", "budget"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sizes = written(sized(docs), "sizes")
+    sources = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), budget, weights, most)
+    rows = single_rows(sizes).join(sources.select(F.col("source").alias("_s"), "number", "source_size", "target", "budget"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "digest", "copy"))
     own = ["number", "shuffle", "doc_id", "digest", "copy"]
-    rows = ranged_totals(written(rows, "numbered"), own, "size", "number")
+    rows = ranged_totals(rows, own, "size", "number")
     quota = F.round("target").cast("long")
     start = lambda e: F.col("before") + e * F.col("source_size")
     reads = F.array(*(F.struct(F.lit(e).alias("reading"), start(e).alias("start"), F.least("size", quota - start(e)).alias("words")) for e in range(most)))
     rows = rows.withColumn("r", F.explode_outer(F.filter(reads, lambda r: r["words"] > 0))).select("*", "r.*").drop("r", "before").fillna(0, ["words"])
     finish = F.when(F.col("words") > 0, (F.col("start") + F.col("words")) / F.col("target")).otherwise(float("inf"))
-    queue = ranged_totals(written(rows.withColumn("finish", finish), "queue"), ["finish", *own], "words")
+    queue = ranged_totals(rows.withColumn("finish", finish), ["finish", *own], "words")
     return queue.withColumn("words", F.greatest(F.lit(0), F.least("words", F.col("budget") - F.col("before")))).withColumnRenamed("before", "position")
 
 
