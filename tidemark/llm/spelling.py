@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from bisect import bisect_left
@@ -27,6 +26,8 @@ FORM_FACTOR = 5
 SLICE, HELD = 1 << 20, 200_000
 #: A shard ends after so many words or letters. Shards of this many bytes in all are broadcast at once, and others after them.
 SHARD_WORDS, SHARD_LETTERS, BUNDLE_BYTES = 20_000, 1 << 20, 32 << 20
+#: Rows of a file of words with their forms or roots.
+FILE_WORDS = 500_000
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
@@ -167,13 +168,13 @@ def shards(words: DataFrame, n: int) -> DataFrame:
     return ranged.mapInArrow(run, "part int, shard int, bytes long, trie binary")
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """word, n_near, best_n and best: how many of ``words`` (word, n) are one edit away, and the most frequent of them, the smallest of equals.
+def neighbours(words: DataFrame, n: int) -> DataFrame:
+    """word, n_near, best_n and best: how many of the ``n`` rows of ``words`` (word, n) are one edit away, and the most frequent of them, the smallest of equals.
 
     Tries are broadcast in bundles of BUNDLE_BYTES (one trie at least), whatever the vocabulary's size: each bundle is a pass over all
     words, whose results are written and then added up. The driver holds one bundle at a time.
     """
-    spark, n = words.sparkSession, words.count()
+    spark = words.sparkSession
     tries = written(shards(words, n), "tries")
     bundles, size = [[]], 0
     for r in tries.select("part", "shard", "bytes").orderBy("part", "shard").toLocalIterator():
@@ -207,27 +208,29 @@ def neighbours(words: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.less")).alias("best_n"), F.col("b.best").alias("best"))
 
 
-def roots(forms: DataFrame, most: int) -> DataFrame:
+def roots(forms: DataFrame, most: int, files: int = 1) -> DataFrame:
     """word and root for each row of ``forms`` (word, form): forms are followed to the last, twice as far in each round.
 
-    Counts rise by FORM_FACTOR from link to link, up to ``most``, which bounds the rounds.
+    Counts rise by FORM_FACTOR from link to link, from LEAST_COUNT up to ``most``, which bounds the links and so the rounds.
     """
-    now = written(forms.select("word", F.col("form").alias("root")), "roots")
-    longest = max(1.0, math.log(max(most, 1) / LEAST_COUNT, FORM_FACTOR) + 1) if most >= LEAST_COUNT else 1.0
-    for _ in range(math.ceil(math.log2(longest)) + 1):
+    now = forms.select("word", F.col("form").alias("root"))
+    links = 1
+    while LEAST_COUNT * FORM_FACTOR**links < most:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        now = written(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        now = written(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")).coalesce(files), "roots")
+        links *= 2
     return now
 
 
 def variants(docs: DataFrame) -> DataFrame:
     """Per word of ``docs`` (doc_id, text): word, form, root, n, n_near, form_n. See op13_spelling_variants for odd rows."""
     words = written(counted_words(docs), "words")
-    near = words.join(neighbours(words), "word")
+    n, most = words.agg(F.count("*"), F.max("n")).first()
+    files = max(1, -(-n // FILE_WORDS))
+    near = words.join(neighbours(words, n), "word")
     is_form = F.col("best_n") >= FORM_FACTOR * F.col("n")
-    near = written(near.select("word", "n", "n_near", F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")), "forms")
-    most = words.agg(F.max("n").alias("n")).first()["n"] or 0
-    last = roots(near.where("form is not null"), most)
+    near = written(near.select("word", "n", "n_near", F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")).coalesce(files), "forms")
+    last = roots(near.where("form is not null"), most or 0, files)
     return near.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
