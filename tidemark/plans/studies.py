@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, factor, fundamentals, models, screens, series, technicals
+from ..operators import backtest, factor, fundamentals, models, resampling, screens, series, technicals
 from ..operators.windows import over
 from .fixtures import query, rounded
 from .research import _model_rows
@@ -167,6 +167,45 @@ def _tuned(t):
 
 
 query("m9_tuned_walk_forward", _tuned)
+
+_DAY_FEATURES = ["day", "gap", "volume_ratio", "r5", "r20"]
+
+
+def _rare_rows(t):
+    """Rows of the panel of all names; those that rise very much within five days are the rare ones."""
+    x = technicals.technical_features(t.bars).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1)
+    x = x.dropna(subset=["f5", *_DAY_FEATURES])
+    return x.select((c("ticker") * 100_000 + F.unix_date("d")).alias("id"), "ticker", "d", F.year("d").alias("y"), *_DAY_FEATURES, F.quarter("d").alias("quarter"), F.dayofweek("d").alias("weekday"), (c("f5") > 30).cast("double").alias("label"))
+
+
+def _resampled(t):
+    scored = models.resampled_walk_forward(_rare_rows(t), "y", "id", _DAY_FEATURES, ["quarter", "weekday"], "label", [1998, 2000, 2002])
+    return rounded(series.curve_areas(scored, ["y", "resampled"], "score", "label"), 3)
+
+
+query("m9_resampled_walk_forward", _resampled)
+
+
+def _buyers(t):
+    """Customers by their orders; one with an order that is partly done is rare."""
+    o = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.sum(c("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e5).alias("total"), F.max(F.when(c("o_orderstatus") == "P", 1).otherwise(0)).alias("label"))
+    return t.customer.join(o, "c_custkey").select("c_custkey", "label", c("n").cast("double").alias("n"), "total", (c("c_acctbal") / 1e3).alias("balance"), "c_mktsegment", "c_nationkey")
+
+
+query("m9_tomek_links", lambda t: resampling.tomek_links(_buyers(t), "c_custkey", "label", ["n", "total", "balance"], ["c_mktsegment", "c_nationkey"]), """
+    WITH o AS (SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e5 AS total, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS label FROM orders GROUP BY 1),
+    x AS (SELECT o.*, c_acctbal / 1e3 AS balance, c_mktsegment AS s, c_nationkey AS k FROM o JOIN customer ON c_custkey = id),
+    f AS (SELECT a.id, a.label, b.id AS near, b.label AS other, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.n - b.n) * (a.n - b.n) + (a.total - b.total) * (a.total - b.total) + (a.balance - b.balance) * (a.balance - b.balance) + CASE WHEN a.s <> b.s THEN 1 ELSE 0 END + CASE WHEN a.k <> b.k THEN 1 ELSE 0 END), b.id) AS r
+          FROM x a JOIN x b ON a.id <> b.id QUALIFY r = 1)
+    SELECT f.id AS rare, g.id AS other FROM f JOIN f g ON f.near = g.id AND g.near = f.id WHERE f.label = 1 AND g.label = 0""")
+
+
+def _between(t):
+    new = resampling.between_neighbours(_buyers(t), "c_custkey", "label", ["n", "total", "balance"], ["c_mktsegment", "c_nationkey"], 2.0)
+    return rounded(new, 6)
+
+
+query("m9_between_neighbours", _between)
 query("m5_unit_roots", lambda t: rounded(series.unit_roots(technicals.weekly_closes(t.bars10).select("ticker", "week", F.log("close").alias("x")), ["ticker"], "week", "x", 0), 4), """
     WITH k AS (SELECT ticker, CAST(date_trunc('week', d) AS DATE) AS week, ln(arg_max(close, d)) AS x FROM bars10 GROUP BY 1, 2),
     l AS (SELECT ticker, x - lag(x) OVER p AS dx, lag(x) OVER p AS x1 FROM k WINDOW p AS (PARTITION BY ticker ORDER BY week) QUALIFY x1 IS NOT NULL),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import documents as docs, vectors
@@ -17,11 +14,7 @@ c = F.col
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new path in the folder that the cluster shares; only a session on this machine alone may lack one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and t.spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{shared or f'file://{tempfile.gettempdir()}/tidemark'}/{name}-{uuid.uuid4().hex}"
+    return tables.scratch_path(t.spark, name)
 
 
 # Documents

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,6 +13,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; only a session on this machine alone may lack one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or f'file://{tempfile.gettempdir()}/tidemark').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows reads it as often as it likes, and so does a lost executor's successor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], encoding: str = "UTF-8", undisclosed: str = "*****") -> DataFrame:
     """A CSV with a header: ``columns`` maps its names to (name, type). What isn't of the type, as the mark of undisclosed
     figures, is null. Charsets beyond the few that Spark allows by default, such as MS932, need its setting for the JVM's."""
