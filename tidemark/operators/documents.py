@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import provenance
+from .markup import page_lists
 from .windows import over
 
 #: The splitter's frozen rules: characters of a chunk and of an overlap, separators from the best to the last.
@@ -123,8 +124,6 @@ def theme_evolution(counts: DataFrame, key: str, period: str, n: str) -> DataFra
     return x.withColumn("signals", F.concat_ws("+", *(F.when(v, F.lit(k)) for k, v in signals.items())))
 
 
-def page_items(pages: DataFrame, key: str, html: str, tag: str = "ul", row: str = "li") -> DataFrame:
-    """key, list, item, text: the rows of each list (or, by ``tag`` and ``row``, table) of a page in order, markup left out."""
-    inside = lambda c, name: F.regexp_extract_all(c, F.lit(f"(?s)<{name}>(.*?)</{name}>"), 1)
-    lists = pages.select(key, F.posexplode(inside(F.col(html), tag)).alias("list", "_l"))
-    return lists.select(key, "list", F.posexplode(inside(F.col("_l"), row)).alias("item", "_t")).select(key, "list", "item", F.trim(F.regexp_replace("_t", "<[^>]*>", "")).alias("text"))
+def page_items(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, list, item, text: the items of all lists of a page in order, however they are written or nested."""
+    return page_lists(pages, key, html).select(key, "list", "item", "text")

@@ -64,19 +64,6 @@ def positions(df: DataFrame, by: str, signal: str, q: int, name: str, killed: Co
     return x.withColumns({"rank": rank, "size": F.when(killed | (F.col("position") == "NONE"), 0.0).otherwise(stake)})
 
 
-def stable_pairs(rows: DataFrame, group: str, name: str, at: str, year: str, value: str, most: float, least: int, years: int) -> DataFrame:
-    """group, a, b, years, worst: pairs of a group whose values correlate by no more than ``most``, either way, in each of ``years``
-    years or more; a year counts with ``least`` common times.
-
-    Pairs are made at the level of times, by an equi-join on group and time, so a group's pairs spread over its times.
-    """
-    one = rows.where(F.col(value).isNotNull()).select(group, at, year, F.col(name).alias("a"), F.col(value).alias("_x"))
-    two = rows.where(F.col(value).isNotNull()).select(group, at, F.col(name).alias("b"), F.col(value).alias("_y"))
-    by_year = one.join(two, [group, at]).where("a < b").groupBy(group, "a", "b", year).agg(F.abs(F.corr("_x", "_y")).alias("_r"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    found = by_year.groupBy(group, "a", "b").agg(F.count("*").alias("years"), F.max("_r").alias("worst"))
-    return found.where((F.col("years") >= years) & (F.col("worst") <= most))
-
-
 def kill_switch(daily: DataFrame, at: str, ic: str, window: int, threshold: float) -> DataFrame:
     """rolling_ic over ``window`` dates (half of them at least) and killed where it is under the threshold; off as it rises again."""
     w = Window.orderBy(at).rowsBetween(1 - window, 0)  # a row for each date

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.maths import change, normalised, ratio
-from ..operators import backtest, factor, fundamentals, ownership, scoring, technicals
+from ..operators import backtest, factor, fundamentals, ownership, pairs, scoring, technicals
 from ..operators.asof import asof_join
 from ..operators.windows import latest_by, over, top_n
 from .fixtures import ROW, query, rounded
@@ -194,8 +194,7 @@ query("d47_m6_residuals", _residuals, "WITH x AS (SELECT ticker, d, year(d) AS y
 
 def _pairs(t):
     m = t.bars.groupBy("ticker", F.trunc("d", "month").alias("m")).agg(F.avg(F.log("close")).alias("x")).join(F.broadcast(t.master.select("ticker", "sector")), "ticker")
-    a, b = m.select("sector", "m", c("ticker").alias("a"), c("x").alias("xa")), m.select("sector", "m", c("ticker").alias("b"), c("x").alias("xb"))
-    return rounded(a.join(b, ["sector", "m"]).where("a < b").groupBy("sector", "a", "b").agg(F.corr("xa", "xb").alias("r"), F.count("*").alias("n")).where("n >= 24"), 5)
+    return rounded(pairs.pair_correlations(m, "sector", "ticker", "m", "x", 24), 5)
 
 
 query("d48_d49_pair_correlations", _pairs, "WITH m AS (SELECT ticker, date_trunc('month', d) AS m, avg(ln(close)) AS x, any_value(sector) AS sector FROM bars JOIN master USING (ticker) GROUP BY 1, 2) SELECT a.sector, a.ticker AS a, b.ticker AS b, round(corr(a.x, b.x), 5) AS r, count(*) AS n FROM m a JOIN m b ON a.sector = b.sector AND a.m = b.m AND a.ticker < b.ticker GROUP BY 1, 2, 3 HAVING count(*) >= 24")

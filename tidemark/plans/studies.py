@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, factor, fundamentals, models, resampling, screens, series, technicals
+from ..operators import backtest, factor, fundamentals, models, pairs, resampling, screens, series, technicals
 from ..operators.windows import over
 from .fixtures import query, rounded
 from .research import _model_rows
@@ -143,7 +143,7 @@ query("d48_residual_clusters", _residual_clusters)
 def _stable_pairs(t):
     x = t.bars.join(F.broadcast(t.master.select("ticker", "sector")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null")
     x = x.withColumn("e", c("r") - F.avg("r").over(over(["d"]))).groupBy("sector", "ticker", F.trunc("d", "month").alias("m")).agg(F.sum("e").alias("e")).withColumn("y", F.year("m"))
-    return rounded(factor.stable_pairs(x, "sector", "ticker", "m", "y", "e", 0.7, 6, 3), 5)
+    return rounded(pairs.low_pairs(x, "sector", "ticker", "m", "y", "e", 0.7, 6, 3).drop("mean"), 5)
 
 
 query("d49_stable_pairs", _stable_pairs, """
@@ -152,6 +152,17 @@ query("d49_stable_pairs", _stable_pairs, """
     p AS (SELECT a.sector, a.ticker AS a, b.ticker AS b, year(a.m) AS y, abs(corr(a.e, b.e)) AS r, count(*) AS n FROM m a JOIN m b ON a.sector = b.sector AND a.m = b.m AND a.ticker < b.ticker GROUP BY 1, 2, 3, 4 HAVING count(*) >= 6)
     SELECT sector, a, b, count(*) AS years, round(max(r), 5) AS worst FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND max(r) <= 0.7""")
 
+
+def _monthly_residuals(t):
+    x = _three_factors(t).where("residual is not null").groupBy("ticker", "y", F.trunc("d", "month").alias("m")).agg(F.sum("residual").alias("e"))
+    return x.join(F.broadcast(t.master.select("ticker", "sector")), "ticker")
+
+
+query("d49_low_residual_pairs", lambda t: rounded(pairs.low_pairs(_monthly_residuals(t), "sector", "ticker", "m", "y", "e", 0.5, 6, 3, absolute=False), 5))
+query("d48_ward_tree", lambda t: rounded(pairs.ward_tree(_monthly_residuals(t), ["sector"], "ticker", "m", "e", 12), 5))
+query("d48_ward_clusters", lambda t: pairs.ward_clusters(_monthly_residuals(t), ["sector"], "ticker", "m", "e", height=0.95, least=12))
+
+
 def _factor_movers(t):
     """D50: the twenty names whose own moves, which no factor explains, add up to most over a period."""
     x = _three_factors(t).where("d >= '2001-01-01' and residual is not null").groupBy("ticker").agg(F.sum(c("alpha") + c("residual")).alias("own"), F.sum("r").alias("total"))

@@ -49,7 +49,7 @@ query("v11_theme_evolution", lambda t: docs.theme_evolution(t.events.withColumn(
 query("v12_reconstruct", lambda t: docs.reconstruct(docs.fixed_chunks(t.documents, "doc_id", "text", 400, 0), "doc_id").select("doc_id", "n_chunks", F.sha2("text", 256).alias("digest")), "SELECT doc_id, greatest(ceil(length(text) / 400), 1)::BIGINT AS n_chunks, sha256(text) AS digest FROM documents WHERE length(text) > 0")
 query("v13_quality_gate", lambda t: rounded(t.documents.select("doc_id", docs.quality_ratio(c("text")).alias("ratio")), 5), r"SELECT doc_id, round(length(regexp_replace(text, '[^\p{L}\p{N}\p{P}\s]', '', 'g')) / nullif(length(text), 0), 5) AS ratio FROM documents")
 query("v15_mentions", lambda t: docs.mentions(t.documents, "text", t.nation.select(F.lower(F.substring("n_name", 1, 3)).alias("k"), "n_name"), "k", "n_name").groupBy("n_name").agg(F.count("*").alias("n")), "SELECT n_name, count(*) AS n FROM documents JOIN nation ON contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY 1")
-query("s13_page_items", lambda t: docs.page_items(t.pages, "page_id", "html", "ul"), "WITH l AS (SELECT page_id, x.l AS l, x.n AS n FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS ls FROM pages), LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS n) x) SELECT page_id, (n - 1)::INTEGER AS list, (y.i - 1)::INTEGER AS item, trim(regexp_replace(y.t, '<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, n, regexp_extract_all(l, '(?s)<li>(.*?)</li>', 1) AS ts FROM l), LATERAL (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i) y")
+query("s13_page_items", lambda t: docs.page_items(t.pages, "page_id", "html"), "WITH l AS (SELECT page_id, x.l AS l, x.n AS n FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS ls FROM pages), LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS n) x) SELECT page_id, (n - 1)::INTEGER AS list, (y.i - 1)::INTEGER AS item, trim(regexp_replace(y.t, '<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, n, regexp_extract_all(l, '(?s)<li>(.*?)</li>', 1) AS ts FROM l), LATERAL (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i) y")
 query("v14_html_counts", lambda t: t.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).alias("items"), F.element_at(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), 1), 1).alias("heading")), "SELECT page_id, len(regexp_extract_all(html, '<li>'))::INTEGER AS items, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)[1] AS heading FROM pages")
 
 
