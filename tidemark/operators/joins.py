@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -105,9 +105,57 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str, target: str, block
     return left.join(best.unionByName(exact), name, "left")
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, lo: str, hi: str, value: str) -> DataFrame:
-    """``value`` of the interval that holds ``at``; else of the nearest one before; else of the nearest one after."""
-    j = points.join(intervals, key, "left")
-    x = F.col(at)
-    rank = F.when((x >= F.col(lo)) & (x <= F.col(hi)), F.struct(F.lit(0).alias("k"), F.lit(0).alias("far"))).when(F.col(hi) < x, F.struct(F.lit(1).alias("k"), F.datediff(x, F.col(hi)).alias("far"))).when(F.col(lo) > x, F.struct(F.lit(2).alias("k"), F.datediff(F.col(lo), x).alias("far")))
-    return j.groupBy(*points.columns).agg(F.min_by(value, F.struct(rank.alias("r"), F.col(value).alias("v"))).alias(value), F.min(rank)["k"].alias("match_kind"))
+#: The first value of a type that times may have.
+_FIRST = {"date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01", "double": "-Infinity", "float": "-Infinity", "bigint": str(-(2**63)), "int": str(-(2**31))}
+
+
+def _interval_states(intervals: DataFrame, key: str, lo: str, hi: str, value: str) -> DataFrame:
+    """key, _t, _on and _past_: what holds at each time at which an interval starts or ends, and what holds after it until the next.
+
+    Each state has held (value and end of the interval that holds), gone (the last one that has ended) and next (the first one to start).
+    In the order of their starts, an interval has the times that none before it has, which begin after the latest end before
+    it; so those pieces don't overlap, and a running maximum finds them.
+    """
+    x = intervals.select(F.col(key).alias("_key"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.struct(F.col(value).alias("v")).alias("_v")).where(F.col("_lo") <= F.col("_hi"))
+    by_start = Window.partitionBy("_key").orderBy("_lo", "_v")
+    before = F.max("_hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_before", before)
+    later = F.col("_before") >= F.col("_lo")  # its piece begins after that end
+    piece = F.when(F.col("_before").isNull() | (F.col("_hi") > F.col("_before")), F.struct("_v", F.col("_hi").alias("end")))
+    kind = dict(x.dtypes)["_lo"]
+    none = lambda c: F.lit(None).cast(x.withColumn("_p", piece).schema["_p" if c == "held" else "_v"].dataType)
+    row = lambda t, on=None, past=None, gone=None, start=None: F.struct(t.alias("_t"), (none("held") if on is None else on).alias("on"), (none("held") if past is None else past).alias("past"), (F.lit(None).cast(x.select(F.struct("_lo", "_v").alias("s")).schema["s"].dataType) if gone is None else gone).alias("gone"), (none("next") if start is None else start).alias("start"))
+    happens = [
+        row(F.lit(_FIRST[kind]).cast(kind)),
+        row(F.col("_lo"), on=F.when(~F.coalesce(later, F.lit(False)), piece), start=F.col("_v")),
+        row(F.when(later, F.col("_before")).otherwise(F.col("_lo")), past=F.when(later, piece)),
+        row(F.col("_hi"), gone=F.struct("_lo", "_v")),
+    ]
+    at = x.select("_key", F.inline(F.array(*happens))).groupBy("_key", "_t").agg(F.max("on").alias("on"), F.max("past").alias("past"), F.min("gone").alias("gone"), F.min("start").alias("start"))
+    up, down = Window.partitionBy("_key").orderBy("_t"), Window.partitionBy("_key").orderBy(F.col("_t").desc())
+    earlier, so_far = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    latest = F.coalesce("past", "on")
+    following = last("start", down.rowsBetween(Window.unboundedPreceding, -1))
+    state = lambda held, gone: F.struct(held.alias("held"), gone["_v"].alias("gone"), following.alias("next"))
+    return at.select(F.col("_key").alias(key), "_t", state(F.coalesce("on", last(latest, earlier)), last("gone", earlier)).alias("_on"), state(last(latest, so_far), last("gone", so_far)).alias("_past"))
+
+
+def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, lo: str, hi: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``points`` with ``value`` of the interval that holds ``at``, else of the last one that ended before, else of the first one to start, and
+    match_kind: 0, 1, 2, or null for a key without intervals.
+
+    Of intervals that hold a point the one with the earliest start counts; of equal ends the one with the earlier start, and of
+    equal starts the smallest value. States between starts and ends come from sorts of the intervals alone, and a point gets its
+    state by one as-of join, so the work grows with points and intervals, not with their products; ``bucket`` deals out hot keys
+    as in asof_join(). Intervals that end before they start, or lack an end, don't count; null times match nothing.
+    """
+    states = _interval_states(intervals, key, lo, hi, value).withColumnRenamed("_t", "t").withColumnsRenamed({"_on": "on", "_past": "past"})
+    x = asof_join(points.select(F.col(key), F.struct(*points.columns).alias("_row"), F.col(at).alias("_at_")), states, [key], "_at_", "t", prefix="_s_", bucket=bucket)
+    state = lambda part: F.when(F.col("_s_t") == F.col("_at_"), F.col(f"_s_on.{part}")).otherwise(F.col(f"_s_past.{part}"))
+    held, gone, following = state("held"), state("gone"), state("next")
+    holds = F.coalesce(F.col("_at_") <= held["end"], F.lit(False))
+    found = F.when(holds, held["_v"]).otherwise(F.coalesce(gone, following))
+    kind = F.when(holds, 0).when(gone.isNotNull(), 1).when(following.isNotNull(), 2)
+    kept = [F.col(f"_row.{c}").alias(c) for c in points.columns if c not in (value, "match_kind")]
+    return x.select(*kept, found["v"].alias(value), kind.alias("match_kind"))
