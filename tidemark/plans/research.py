@@ -167,9 +167,9 @@ query("st8_st9_k13_resumed_stream", _resumed, "SELECT event_id, round(value, 6)
 # Learned models and iterative studies: no SQL
 def _index(t):
     """Ten neighbours of every twentieth vector by the index, and whether the exact search finds each, too."""
-    indexed, model = vectors.vector_index(t.embeddings, "embedding")
+    index = vectors.vector_index(t.embeddings, "vec_id", "embedding", scratch(t, "index"))
     q = t.embeddings.where("vec_id % 20 = 0")
-    near = vectors.probe(indexed, model, q, "embedding", "vec_id", max(2, -(-3 * len(model.clusterCenters()) // 4)), 10)
+    near = vectors.probe(index, q, "vec_id", "embedding", 10)
     exact = vectors.nearest(q, t.embeddings, "vec_id", "embedding", k=10).select("query", "neighbour", F.lit(True).alias("exact"))
     return rounded(near.join(exact, ["query", "neighbour"], "left").na.fill(False, ["exact"]), 5)
 

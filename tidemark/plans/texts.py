@@ -38,8 +38,7 @@ query("v8_theme_search", lambda t: docs.theme_hits(t.documents, "source", "text"
 
 
 def _vector_hits(t, most):
-    near = vectors.nearest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", most=most)
-    return near.groupBy(c("neighbour").alias("vec_id")).agg(F.min("distance").alias("distance"))
+    return vectors.closest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", most).withColumnRenamed("neighbour", "vec_id")
 
 
 _VECTOR = "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id % 20 = 0), h AS (SELECT vec_id, min(1 - list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)) / (sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_dot_product(list_transform(q, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE))))) AS distance FROM embeddings, q GROUP BY 1 HAVING distance <= {most}) "
