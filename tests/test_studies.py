@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import models, screens, series, technicals
+from tidemark.operators import factor, models, screens, series, technicals
 from tidemark.plans import studies
 from tidemark.plans.fixtures import Tables
 from tidemark.plans.research import _model_rows
@@ -92,20 +92,110 @@ def test_reconciled(spark, own, other, status):
 
 
 def test_lead_lag_against_plain_steps(spark):
-    """The last date's signals, worked out step by step from the returns."""
+    """Signals of the last date and of an early one, worked out step by step from the returns and the prior."""
     t = Tables(spark, FOLDER)
     x = technicals.weekly_closes(t.bars10).where("r is not null").groupBy("week").pivot("ticker", list(range(10))).agg(F.first(F.log1p("r"))).na.fill(0.0).orderBy("week").toPandas()
     r = x[[str(i) for i in range(10)]].to_numpy(float)
-    past, today = r[-61:-1], r[-1]
-    z = (past - past.mean(axis=0)) / past.std(axis=0)
-    c = z.T @ z / (len(z) - 1)
-    off = c[~np.eye(10, dtype=bool)].mean()
-    c = 0.1 * c + 0.9 * np.where(np.eye(10, dtype=bool), 1, off)
-    v = np.linalg.eigh(c)[1][:, -3:]
-    want = v[6:] @ (v[:6].T @ ((today[:6] - past[:, :6].mean(axis=0)) / past[:, :6].std(axis=0)))
+    early = (x["week"] < dt.date(1997, 1, 1)).to_numpy()
+    v1 = np.ones(10) / np.sqrt(10)
+    v2 = np.array([1 / np.sqrt(6)] * 6 + [-1 / np.sqrt(4)] * 4)
+    v2 = v2 - (v2 @ v1) * v1
+    v2 = v2 / np.linalg.norm(v2)
+    v3 = np.array([1, -1, 0, 1, -1, 0, 1, -1, 0, 1.0])
+    v3 = v3 - (v3 @ v1) * v1
+    v3 = v3 - (v3 @ v2) * v2
+    v3 = v3 / np.linalg.norm(v3)
+    v = np.column_stack([v1, v2, v3])
+    assert np.allclose(v.T @ v, np.eye(3)) and np.allclose(factor.prior_directions([1, -1, 0, 1, -1, 0], [1, -1, 0, 1]), v)
+    z = (r[early] - r[early].mean(axis=0)) / r[early].std(axis=0)
+    raw = v @ np.diag(np.diag(v.T @ (z.T @ z / (len(z) - 1)) @ v)) @ v.T
+    prior = raw / np.sqrt(np.outer(np.diag(raw), np.diag(raw)))
+    assert np.allclose(np.diag(prior), 1)
     got = plans.QUERIES["d39_m7_lead_lag"](spark, FOLDER).toPandas()
-    last = got[got["d"] == got["d"].max()].sort_values("name")
-    assert last["name"].tolist() == ["n6", "n7", "n8", "n9"] and np.allclose(last["signal"], want, atol=2e-6)
+    assert got["d"].min() == x["week"][max(early.sum(), 60)] and len(got) == 4 * (len(r) - max(early.sum(), 60))
+    for at in (len(r) - 1, int(max(early.sum(), 60))):
+        past, today = r[at - 60 : at], r[at]
+        z = (past - past.mean(axis=0)) / past.std(axis=0)
+        u = np.linalg.eigh(0.1 * (z.T @ z / 59) + 0.9 * prior)[1][:, -3:]
+        want = u[6:] @ (u[:6].T @ ((today[:6] - past[:, :6].mean(axis=0)) / past[:, :6].std(axis=0)))
+        own = got[got["d"] == x["week"][at]].sort_values("name")
+        assert own["name"].tolist() == ["n6", "n7", "n8", "n9"] and np.allclose(own["signal"], want, atol=2e-6)
+
+
+def test_directions_that_say_nothing_new_are_left_out():
+    assert factor.prior_directions([0, 0], [0, 0, 0]).shape == (5, 2) and factor.prior_directions([1, 1], [-1, -1]).shape == (4, 2) and factor.prior_directions([1, -1], []).shape == (2, 2)
+
+
+def areas_plain(rows):
+    """Every pair of a positive and a negative; precision step by step down the scores."""
+    pos, neg = ([s for s, y in rows if y == k] for k in (1, 0))
+    roc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)) if pos and neg else None
+    pr = sum(sum(y for s, y in rows if s == t) * sum(y for s, y in rows if s >= t) / sum(s >= t for s, _ in rows) for t in {s for s, _ in rows}) / len(pos) if pos else None
+    return roc, pr
+
+
+def test_areas_of_many_scores(spark):
+    r = np.random.default_rng(6)
+    rows = [("many", float(x), int(r.random() < 0.2 + x / 4)) for x in r.normal(size=900)] + [("ties", float(x), int(r.random() < 0.3)) for x in r.choice([0.5, 0.5, 0.5, 1.0, -1.0, 7.0], 600)] + [("one", 0.5, 1), ("same", 0.5, 0), ("same", 0.5, 1)]
+    df = spark.createDataFrame(rows + [("many", None, 1), ("many", 0.3, None)], "g string, s double, y int").repartition(5)
+    got = {x.g: x for x in series.curve_areas(df, ["g"], "s", "y").collect()}
+    for g in ("many", "ties", "one", "same"):
+        own = [(s, y) for h, s, y in rows if h == g]
+        roc, pr = areas_plain(own)
+        assert got[g].n == len(own) and got[g].roc == (roc and pytest.approx(roc)) and got[g].pr == pytest.approx(pr)
+    whole = series.curve_areas(df, [], "s", "y")
+    roc, pr = areas_plain([(s, y) for _, s, y in rows])
+    one = whole.first()
+    assert (one.n, one.roc, one.pr) == (len(rows), pytest.approx(roc), pytest.approx(pr))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_piece" in x for x in windows)
+    assert series.curve_areas(df.limit(0), ["g"], "s", "y").count() == 0
+
+
+def test_cross_correlations_of_what_is_left(spark):
+    """Orders by Akaike's criterion, the second series filtered by the first one's weights, all lags, against numpy."""
+    r = np.random.default_rng(11)
+    series_ = {}
+    for k in range(3):
+        x, y = np.zeros(260), r.normal(size=260)
+        e = r.normal(size=260)
+        for i in range(2, 260):
+            x[i] = 0.7 * x[i - 1] - 0.3 * (x[i - 2] if k else 0) + e[i]
+        if k < 2:
+            y[3:] += 0.8 * x[:-3]
+        series_[k] = (x, y)
+    rows = [(k, i, float(x[i]), float(y[i])) for k, (x, y) in series_.items() for i in range(260)] + [(0, 999, None, 1.0), (1, 998, 1.0, None)] + [(7, i, 1.0, float(i % 3)) for i in range(50)] + [(8, i, float(i), 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, i int, a double, b double").repartition(4)
+    lags = (-2, 0, 1, 3, 5)
+    for own in (False, True):
+        got = {(x.k, x.lag): x for x in series.cross_correlations(df, ["k"], "i", "a", "b", lags, 6, own).collect()}
+        for k, (x, y) in series_.items():
+            def model(s):
+                best = (np.inf, 0, None)
+                m = np.column_stack([np.ones(254), *(s[6 - p : 260 - p] for p in range(1, 7))])
+                for p in range(1, 7):
+                    beta = np.linalg.lstsq(m[:, : p + 1], s[6:], rcond=None)[0]
+                    left = ((s[6:] - m[:, : p + 1] @ beta) ** 2).sum()
+                    aic = 254 * np.log(left / 254) + 2 * (p + 1)
+                    if aic < best[0]:
+                        best = (aic, p, beta[1:])
+                return best[1:]
+
+            (p, wa), (q, wb) = model(x), model(y) if own else model(x)
+            left = lambda s, w: np.concatenate([np.full(len(w), np.nan), s[len(w) :] - sum(c * s[len(w) - j - 1 : len(s) - j - 1] for j, c in enumerate(w))])
+            ea, eb = left(x, wa), left(y, wb)
+            joint = 0
+            for lag in lags:
+                a, b = (ea[: 260 - lag], eb[lag:]) if lag >= 0 else (ea[-lag:], eb[:lag])
+                ok = ~np.isnan(a) & ~np.isnan(b)
+                c = np.corrcoef(a[ok], b[ok])[0, 1]
+                g = got[k, lag]
+                assert (g.n, g.order) == (ok.sum(), p) and abs(g.r - c) < 1e-8 and abs(g.bound - 1.96 / np.sqrt(ok.sum())) < 1e-9 and g.beyond == (abs(c) > g.bound)
+                joint += ok.sum() * c * c
+            assert abs(got[k, 0].joint - joint) < 1e-6 and (got[k, 0].p < 0.001) == (k < 2)
+            assert k == 2 or max(lags, key=lambda lag: abs(got[k, lag].r)) == 3
+        assert got[7, 0].r is None and got[7, 0].order == 0 and got[8, 0].r is None and got[8, 0].joint is None
 
 
 def test_prewhitened_innovations(spark):
@@ -116,9 +206,6 @@ def test_prewhitened_innovations(spark):
     got = models.prewhitened(spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, i int, v double"), ["k"], "i", "v", 2).orderBy("i").toPandas()["innovation"].to_numpy()
     a = np.column_stack([np.ones(118), x[1:-1], x[:-2]])
     assert np.isnan(got[:2]).all() and np.allclose(got[2:], x[2:] - a @ np.linalg.lstsq(a, x[2:], rcond=None)[0])
-    pair = spark.createDataFrame([(i, float(x[i]), float(x[i - 3]) if i >= 3 else None) for i in range(120)], "i int, a double, b double")
-    lags = models.cross_correlation(pair, "a", "b", "i", (0, 3)).first()
-    assert abs(lags["lag3"] - 1) < 1e-9 and abs(lags["lag0"] - np.corrcoef(x[3:], x[:-3])[0, 1]) < 1e-9
 
 
 def test_walk_forward_sees_no_later_rows(spark):

@@ -69,6 +69,6 @@ def kelly(win_rate: Column, win_loss: Column, fraction: float = 1.0) -> Column:
     return F.greatest(win_rate - ratio(1 - win_rate, win_loss), F.lit(0.0)) * fraction
 
 
-def correlation(a: str, b: str) -> Column:
+def correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson's correlation as an aggregate, null where either side doesn't vary: corr() fails there under ANSI rules."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

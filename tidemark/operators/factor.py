@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -121,18 +121,58 @@ def lag_correlation(df: DataFrame, keys: Sequence[str], at: str, a: str, b: str,
     return spearman(x, ["lag"], "_x", "_y", least, few=True).select("lag", "n", "ic")
 
 
-def lead_lag_signals(returns: DataFrame, at: str, leaders: Sequence[str], followers: Sequence[str], window: int = 60, shrink: float = 0.9, factors: int = 3) -> DataFrame:
-    """Follower signals by regularised principal components: each date's correlations of ``window`` earlier rows, shrunk to
-    the mean correlation, give loadings; followers' loadings times leaders' components of today's leader returns.
-
-    ``returns`` has a column for each of a few dozen names and a row for each date; dates are dealt out with their windows,
-    so each is one small matrix in a task.
+def prior_directions(leaders: Sequence[int], followers: Sequence[int]) -> np.ndarray:
+    """Three directions that names are expected to move in, each of length 1 and at right angles to those before: all together, leaders
+    against followers, and cyclical names (class 1) against defensive ones (-1; 0 is neither). A direction that the others already span is left out."""
+    k, n = len(leaders), len(leaders) + len(followers)
+    sides = np.concatenate([np.full(k, 1 / np.sqrt(max(k, 1))), np.full(n - k, -1 / np.sqrt(max(n - k, 1)))])
+    found: list[np.ndarray] = []
+    for v in (np.ones(n), sides, np.array([*leaders, *followers], float)):
+        for u in found:
+            v = v - (u @ v) * u
+        if np.linalg.norm(v) > 1e-9:
+            found.append(v / np.linalg.norm(v))
+    return np.column_stack(found)
+
+
+def prior_correlation(correlation: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The correlation matrix of names that move in ``directions`` alone, with the variances that these have in ``correlation``."""
+    variances = np.einsum("ik,ij,jk->k", directions, correlation, directions)
+    prior = directions * variances @ directions.T
+    scale = np.sqrt(np.where(np.diag(prior) > 0, np.diag(prior), 1e-8))
+    return prior / np.outer(scale, scale)
+
+
+def warm_up_correlation(returns: DataFrame, names: Sequence[str], warm: Column) -> np.ndarray:
+    """The correlations of a few dozen columns over the rows where ``warm`` holds and none is null: sums of products, one row for all dates."""
+    x = returns.where(warm).select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names))).dropna()
+    mean = x.agg(*(F.avg(f"_{i}").alias(f"m{i}") for i in range(len(names))))
+    x = x.crossJoin(F.broadcast(mean)).select(*((F.col(f"_{i}") - F.col(f"m{i}")).alias(f"_{i}") for i in range(len(names))))
+    n, products = x.agg(F.count("*"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in range(len(names)) for j in range(i, len(names))))).first()
+    if n < 2:
+        raise ValueError("the warm-up has fewer than two whole rows")
+    c = np.zeros((len(names), len(names)))
+    c[np.triu_indices(len(names))] = products
+    c = c + np.triu(c, 1).T
+    sd = np.sqrt(np.diag(c) / n)
+    sd[sd == 0] = 1
+    return c / np.outer(sd, sd) / (n - 1)
+
+
+def lead_lag_signals(returns: DataFrame, at: str, leaders: Mapping[str, int], followers: Mapping[str, int], warm: Column, window: int = 60, shrink: float = 0.9, factors: int = 3) -> DataFrame:
+    """Follower signals by regularised principal components: each date's correlations of ``window`` earlier rows, shrunk to a prior, give
+    loadings; followers' loadings times leaders' components of today's leader returns.
+
+    ``leaders`` and ``followers`` map columns to their classes: 1 cyclical, -1 defensive, 0 neither. The prior is
+    prior_correlation() of the rows where ``warm`` holds; give it an early period, whose own dates then get no signals. ``returns`` has a
+    column for each of a few dozen names and a row for each date; dates are dealt out with their windows, so each is one small matrix in a task.
     """
     names = [*leaders, *followers]
+    prior = prior_correlation(warm_up_correlation(returns, names, warm), prior_directions([*leaders.values()], [*followers.values()]))
     w = Window.orderBy(at).rowsBetween(-window, 0)  # a row for each date
-    rows = returns.select(at, F.array(*(F.col(c).cast("double") for c in names)).alias("_r"), F.row_number().over(Window.orderBy(at)).alias("_n"))
-    rows = rows.withColumn("_w", F.collect_list("_r").over(w)).where(F.col("_n") > window)
-    k = len(leaders)
+    rows = returns.select(at, (~F.coalesce(warm, F.lit(False))).alias("_out"), F.array(*(F.col(c).cast("double") for c in names)).alias("_r"), F.row_number().over(Window.orderBy(at)).alias("_n"))
+    rows = rows.withColumn("_w", F.collect_list("_r").over(w)).where((F.col("_n") > window) & F.col("_out"))
+    k, followed = len(leaders), [*followers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,12 +182,10 @@ def lead_lag_signals(returns: DataFrame, at: str, leaders: Sequence[str], follow
                 past, today = x[:-1], x[-1]
                 sd = past.std(axis=0)
                 z = (past - past.mean(axis=0)) / np.where(sd > 0, sd, 1)
-                c = z.T @ z / max(len(z) - 1, 1)
-                mean = (c.sum() - np.trace(c)) / (len(c) * (len(c) - 1))
-                c = (1 - shrink) * c + shrink * (np.full_like(c, mean) + (1 - mean) * np.eye(len(c)))
+                c = (1 - shrink) * (z.T @ z / max(len(z) - 1, 1)) + shrink * prior
                 vectors = np.linalg.eigh((c + c.T) / 2)[1][:, -factors:]
                 now = np.where(sd[:k] > 0, (today[:k] - past[:, :k].mean(axis=0)) / np.where(sd[:k] > 0, sd[:k], 1), 0)
-                out += [(d, n, float(s)) for n, s in zip(followers, vectors[k:] @ (vectors[:k].T @ now))]
+                out += [(d, n, float(s)) for n, s in zip(followed, vectors[k:] @ (vectors[:k].T @ now))]
             yield pd.DataFrame(out, columns=[at, "name", "signal"])
 
     return rows.select(at, "_w").repartition(at).mapInPandas(run, f"{at} date, name string, signal double")

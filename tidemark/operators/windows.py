@@ -53,7 +53,7 @@ def cross_rank(df: DataFrame, by: Names, value: str, out: str, least: int = 1) -
 PIECES = 200
 
 
-def _pieces(df: DataFrame, by: Names, value: str) -> DataFrame:
+def pieces(df: DataFrame, by: Names, value: str) -> DataFrame:
     """df with _piece, which grows with ``value``: how many of the group's approximate quantiles are less. Null without a value."""
     edges = df.groupBy(*by).agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], 10_000).alias("_edges"))
     x = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))  # a row for each group, of which there are few
@@ -72,7 +72,7 @@ def spread_rank(df: DataFrame, by: Names, value: str, out: str) -> DataFrame:
     """cross_rank() for few and large groups, null keys left out: a group is cut at its approximate quantiles, ranks are taken
     within pieces, and the rows of earlier pieces are added, so that no task sorts a whole group. Exact, as equal values
     are in one piece."""
-    x = _pieces(df, by, value)
+    x = pieces(df, by, value)
     rank = F.rank().over(over([*by, "_piece"], [value])) + (F.count(value).over(over([*by, "_piece", value])) - 1) / 2
     done = x.withColumn("_rank", rank).join(F.broadcast(_before(x, by)), [*by, "_piece"], "left")
     return done.withColumn(out, F.when(F.col(value).isNotNull(), (F.col("_rank") + F.col("_before")) / F.col("_all"))).drop("_piece", "_rank", "_here", "_before", "_all")
@@ -80,7 +80,7 @@ def spread_rank(df: DataFrame, by: Names, value: str, out: str) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, shares: Names) -> DataFrame:
     """One row with _q, the interpolated quantiles of a whole column: only the pieces that hold the wanted places are sorted."""
-    x = _pieces(df.select(value), [], value)
+    x = pieces(df.select(value), [], value)
     places = _before(x, [])
     at = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_all") - 1) * F.lit(float(s))).alias("at")) for i, s in enumerate(shares)))
     ends = places.select("_piece", "_here", "_before", F.explode(at).alias("q")).select("_piece", "_here", "_before", "q.i", (F.col("q.at") - F.floor("q.at")).alias("part"), F.explode(F.array(F.struct(F.floor("q.at").alias("place"), F.lit(False).alias("up")), F.struct(F.ceil("q.at").alias("place"), F.lit(True).alias("up")))).alias("e"))

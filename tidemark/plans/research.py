@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.maths import clip, ratio
-from ..operators import backtest, factor, models, screens, technicals, vectors
+from ..operators import backtest, factor, models, screens, series, technicals, vectors
 from ..operators.asof import asof_join
 from ..operators.windows import latest_by, over, top_n
 from ..sources import facts, tables
@@ -180,13 +180,27 @@ query("k10_vector_index", _index)
 def _lead_lag(t):
     x = technicals.weekly_closes(t.bars10).where("r is not null").groupBy("week").pivot("ticker", list(range(10))).agg(F.first(F.log1p("r"))).na.fill(0.0)
     x = x.select(c("week").alias("d"), *(c(str(i)).alias(f"n{i}") for i in range(10)))
-    return rounded(factor.lead_lag_signals(x, "d", [f"n{i}" for i in range(6)], [f"n{i}" for i in range(6, 10)], 60), 6)
+    classes = {f"n{i}": (1, -1, 0)[i % 3] for i in range(10)}
+    leaders, followers = ({n: k for n, k in classes.items() if (n < "n6") == side} for side in (True, False))
+    return rounded(factor.lead_lag_signals(x, "d", leaders, followers, c("d") < "1997-01-01", 60), 6)
 
 
 query("d39_m7_lead_lag", _lead_lag)
 query("d53_prewhitened", lambda t: rounded(models.prewhitened(technicals.weekly_closes(t.bars10).where("r is not null").select("ticker", "week", F.log1p("r").alias("r")), ["ticker"], "week", "r", 2).groupBy("ticker").agg(F.count("innovation").alias("n"), F.avg("innovation").alias("mean")), 5))
 
 
+
+
+def _market_leads(t):
+    """Weekly returns of the market against those of each name."""
+    m = technicals.weekly_closes(t.market.select(F.lit(0).alias("ticker"), "d", "close")).select("week", F.log1p("r").alias("m"))
+    x = technicals.weekly_closes(t.bars10).select("ticker", "week", F.log1p("r").alias("r"))
+    return x.join(F.broadcast(m), "week")  # a row for each week
+
+
+query("d53_cross_correlations", lambda t: rounded(series.cross_correlations(_market_leads(t), ["ticker"], "week", "m", "r", range(9)), 5))
+
+
 def _model_rows(t):
     x = technicals.technical_features(t.bars10).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).where("f5 is not null and vola20 is not null and r20 is not null")
     return x.select("ticker", "d", F.year("d").alias("y"), "day", "gap", "volume_ratio", "r5", "r20", (c("f5") > 0).cast("double").alias("label"))
