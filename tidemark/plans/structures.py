@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import markup
+from ..sources import workbooks
 from .fixtures import ROW, query
 
 c = F.col
@@ -46,3 +47,14 @@ query("s13_nested_lists", lambda t: markup.page_lists(_customer_pages(t), "page_
     WITH o AS (SELECT o_custkey AS page_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
     SELECT page_id, 0 AS list, NULL::INTEGER AS parent, 0 AS depth, (i - 1)::INTEGER AS item, 'Order ' || o_orderkey AS text FROM o
     UNION ALL SELECT page_id, i::INTEGER, 0, 1, (row_number() OVER (PARTITION BY page_id, i ORDER BY l_linenumber, l_quantity) - 1)::INTEGER, l_linenumber || ': ' || floor(l_quantity)::INTEGER FROM o JOIN lineitem ON l_orderkey = o_orderkey""")
+
+
+# S7: customers as workbooks, two rows over the titles, read by title and by place
+def _workbook_rows(t):
+    x = t.customer.select(c("c_name").alias("Name"), c("c_custkey").alias("Key"), F.when(c("c_custkey") % 3 > 0, c("c_acctbal")).alias("Balance & more"), F.date_add(F.lit("1900-01-01").cast("date"), (c("c_custkey") % 50_000).cast("int")).alias("Since"), (c("c_nationkey") > 12).alias("Far"))
+    books = workbooks.workbooks(x, ["Customers <all>", ""])
+    return workbooks.read_workbook(books, {"Key": ("c_custkey", "long"), 0: ("name", "string"), "Balance & more": ("balance", "double"), "Since": ("since", "date"), 4: ("far", "boolean")}, "LIST", skip=2).drop("file", "row")
+
+
+query("s7_workbook", _workbook_rows, """
+    SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance, DATE '1900-01-01' + (c_custkey % 50000)::INTEGER AS since, c_nationkey > 12 AS far FROM customer""")
