@@ -3,11 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import factor, models, screens, series, technicals
+from tidemark.operators import backtest, factor, models, screens, series, technicals
 from tidemark.plans import studies
 from tidemark.plans.fixtures import Tables
 from tidemark.plans.research import _model_rows
@@ -85,10 +86,31 @@ def test_class_weights(spark):
     assert got == {1: 2.0, 0: 12 / 2 / 9}
 
 
-@pytest.mark.parametrize("own, other, status", [("1234", "12.3", "OK"), ("1235", "12.4", "OK"), ("1239", "12.3", "OK"), ("1234", "12.5", "NG"), ("x", "1", "NON_NUMERIC"), ("", "1", "NON_NUMERIC"), (None, "1", "NON_NUMERIC"), ("5", None, "NODATA"), ("5", "-", "NODATA"), ("1200", "12", "OK"), ("-1234", "-12.3", "OK")])
-def test_reconciled(spark, own, other, status):
-    row = screens.reconciled(spark.createDataFrame([(own, other)], "a string, b string"), "a", "b", F.lit(0.01), F.lit(0.0)).first()
-    assert row.status == status and (row.diff == 0) == (status == "OK")
+@pytest.mark.parametrize("own, other, status, diff", [("1234", "12.3", "OK", 0), ("1235", "12.4", "OK", 0), ("1239", "12.3", "OK", 0), ("1234", "12.5", "OK", 0.1), ("1234", "13.5", "NG", 1.1), ("1234", "13.0", "OK", 0), ("1234", "14", "NG", 1), ("x", "1", None, None), ("", "1", None, None), (None, "1", None, None), ("5", None, "NODATA", None), ("5", "-", "NON_NUMERIC", None), ("1200", "12", "OK", 0), ("-1234", "-12.3", "OK", 0), ("1250", "12", "OK", 0), ("0", "0.001", "OK", 0.001)])
+def test_reconciled(spark, own, other, status, diff):
+    rows = screens.reconciled(spark.createDataFrame([(own, other)], "a string, b string"), "a", "b", F.lit(0.01), F.lit(0.0)).collect()
+    assert [(r.status, r.diff) for r in rows] == ([(status, diff if diff is None else pytest.approx(diff))] if status else [])
+
+
+def test_shown_places(spark):
+    values = {1.0: 0, 12.5: 1, 0.001: 3, 123456789.1234: 1, 1234567890123.5: 0, 1 / 3: 10, -2.25: 2, 0.0: 0, 100.10: 1}
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", screens.shown_places(F.col("x")).alias("n")).collect()
+    assert {r.x: r.n for r in got} == values
+
+
+def test_windows_of_weekdays(spark):
+    """Against pandas' own business days: weekends, events on them, keys without rows, null scores."""
+    r = np.random.default_rng(3)
+    days = pd.date_range("2024-01-01", "2024-03-31")
+    rows = [(k, d.date(), None if r.random() < 0.1 else float(r.integers(100))) for k in "ab" for d in days if r.random() < 0.6]
+    events = [(k, d.date(), i) for i, (k, d) in enumerate((k, d) for k in "abc" for d in pd.date_range("2024-01-20", "2024-02-12"))]
+    got = {(x.k, x.e): x for x in backtest.window_maxima(spark.createDataFrame(rows, "k string, d date, s double"), spark.createDataFrame(events, "k string, e date, s int"), "k", "d", "e", ["s"], [1, 3, 10]).collect()}
+    assert len(got) == len(events)
+    for k, e, i in events:
+        for n in (1, 3, 10):
+            lo, hi = (pd.Timestamp(e) - pd.tseries.offsets.BDay(m) for m in (n, 1))
+            inside = [s for key, d, s in rows if key == k and lo <= pd.Timestamp(d) <= hi and s is not None]
+            assert got[k, e][f"s_{n}"] == (max(inside) if inside else None) and got[k, e]["s"] == i
 
 
 def test_lead_lag_against_plain_steps(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -153,3 +154,69 @@ def scorecard(m: DataFrame) -> DataFrame:
     x = m.withColumns({"sample_points": sample, "expectancy_points": expectancy, "risk_points": risk, "robust_points": robust, "friction_points": friction})
     total = F.least(F.greatest(F.col("sample_points") + F.col("expectancy_points") + F.col("risk_points") + F.col("robust_points") + F.col("friction_points"), F.lit(0)), F.lit(100))
     return x.withColumn("total", total).withColumn("verdict", F.when(total >= 70, "Deploy").when(total >= 40, "Refine").otherwise("Abandon"))
+
+
+def weekday_place(day: str | Column) -> Column:
+    """A day's place among weekdays, Monday to Friday: even numbers, two apart, and the odd one after Friday's for a weekend."""
+    n = F.unix_date(F.col(day) if isinstance(day, str) else day) + 3  # day 0 is a Monday then
+    return (10 * F.floor(n / 7) + F.least(2 * F.pmod(n, F.lit(7)), F.lit(9))).cast("long")
+
+
+def weekday_before(day: str) -> Column:
+    """The last weekday before a day."""
+    n = F.pmod(F.unix_date(day) + 3, F.lit(7))
+    return F.date_sub(F.col(day), F.when(n == 0, 3).when(n == 6, 2).otherwise(1))
+
+
+def window_maxima(scores: DataFrame, events: DataFrame, key: str, at: str, event_at: str, columns: Sequence[str], windows: Sequence[int], business: bool = True) -> DataFrame:
+    """events with column_w for each of ``columns`` and ``windows``: the largest value of the event's key from w days before it to the last one before, null
+    without any. Days are weekdays, or all days if not ``business``.
+
+    An event stands among its key's rows at the day before it, and its values come from windows over a range of days there: one
+    shuffle by key, and no event meets rows outside of its windows.
+    """
+    place = weekday_place if business else (lambda d: 2 * F.unix_date(d).cast("long"))
+    before = lambda d: weekday_place(weekday_before(d)) if business else place(F.date_sub(d, 1))
+    rows = scores.select(F.col(key).alias("_key"), place(at).alias("_at"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
+    asked = events.select(F.col(key).alias("_key"), before(event_at).alias("_at"), F.struct(*events.columns).alias("_event"))
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    over_ = lambda n: over(["_key"], ["_at"]).rangeBetween(-2 * (n - 1), 0)
+    found = both.select("_event", *(F.max(f"_{i}").over(over_(n)).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in windows))
+    return found.where("_event is not null").select("_event.*", *(f"{c}_{n}" for c in columns for n in windows))
+
+
+def detection_rates(maxima: DataFrame, columns: Sequence[str], windows: Sequence[int], thresholds: Sequence[float]) -> DataFrame:
+    """window_days, threshold and for each column detected_, total_ and rate_ (of events with a value, those that reach the threshold), and delta, the
+    last column's rate less the first one's. Everything is counted in one aggregate."""
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    cells = [
+        F.struct(F.lit(n).alias("window_days"), F.lit(float(t)).alias("threshold"), *(x for c in columns for x in (count(F.col(f"{c}_{n}") >= t).alias(f"detected_{c}"), F.count(f"{c}_{n}").alias(f"total_{c}"))))
+        for n in windows for t in thresholds
+    ]
+    x = maxima.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
+    rates = {f"rate_{c}": ratio(F.col(f"detected_{c}"), F.col(f"total_{c}")) for c in columns}
+    return x.withColumns(rates).withColumn("delta", F.col(f"rate_{columns[-1]}") - F.col(f"rate_{columns[0]}"))
+
+
+def detection_lift(scores: DataFrame, events: DataFrame, key: str, at: str, event_at: str, columns: Sequence[str], windows: Sequence[int], thresholds: Sequence[float]) -> DataFrame:
+    """column, window, threshold, tpr, fpr, lift, n_events and n_others over a whole universe: on the days before events, how often the names of
+    events, and how often all other names, had a score of the threshold or more within the last ``window`` rows.
+
+    An event counts on its name's last row up to the weekday before it; the others are all rows on any of those days. Infinite
+    lift stands for no false alarm; a rate of no rows is 0. One shuffle by name for the maxima, then one aggregate for the grid.
+    """
+    w = over([key], [at])
+    held = scores.select(key, at, *(F.max(c).over(w.rowsBetween(1 - n, 0)).alias(f"{c}_{n}") for c in columns for n in windows))
+    wanted = events.select(key, weekday_before(event_at).alias("_day"))
+    hits = asof_join(wanted, scores.select(key, at), [key], "_day", at, prefix="_").select(key, F.col(f"_{at}").alias(at)).dropna().distinct()
+    days = hits.select(at).distinct()
+    rows = held.join(days, at, "left_semi").join(hits.withColumn("_hit", F.lit(True)), [key, at], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    cells = [
+        F.struct(F.lit(c).alias("score"), F.lit(n).alias("window_days"), F.lit(float(t)).alias("threshold"), count(F.col("_hit") & (F.col(f"{c}_{n}") >= t)).alias("_tp"), count(~F.col("_hit") & (F.col(f"{c}_{n}") >= t)).alias("_fp"))
+        for c in columns for n in windows for t in thresholds
+    ]
+    x = rows.agg(count(F.col("_hit")).alias("n_events"), count(~F.col("_hit")).alias("n_others"), F.array(*cells).alias("_cells")).select("n_events", "n_others", F.inline("_cells"))
+    rate = lambda a, n: F.coalesce(ratio(F.col(a), F.col(n)), F.lit(0.0))
+    x = x.withColumns({"tpr": rate("_tp", "n_events"), "fpr": rate("_fp", "n_others")}).drop("_tp", "_fp")
+    return x.withColumn("lift", F.when(F.col("fpr") > 0, F.try_divide("tpr", "fpr")).otherwise(float("inf")))

@@ -112,16 +112,30 @@ def month_alerts(values: DataFrame, key: str, month: str, value: str, bound: flo
     return x.withColumn("status", F.when(F.col("reference").isNull(), "NEW").when(F.abs(change(F.col(value), F.col("reference"))) > bound, "ALERT").otherwise("OK"))
 
 
-def reconciled(rows: DataFrame, own: str, other: str, scale: Column, offset: Column) -> DataFrame:
-    """rows with status: ``own`` (a text) times ``scale`` plus ``offset`` against ``other`` (a text) at the places that it shows.
+#: Fixed value: the difference up to which shown numbers agree.
+TOLERANCE = 0.5
 
-    NON_NUMERIC: the own value is no number. NODATA: there is no other number. OK: rounded, cut off or rounded up to the
-    other's places, it is the other. Else NG, with diff.
+
+def shown_places(x: Column) -> Column:
+    """Decimal places of a number that is shown with ten significant digits and no zeros at the end."""
+    whole = F.floor(F.abs(x))
+    free = F.when(whole == 0, 10).otherwise(F.greatest(F.lit(0), 10 - F.length(whole.cast("string"))))
+    unit = F.pow(F.lit(10.0), free)
+    digits = (F.rint(F.abs(x) * unit) / unit).try_cast("decimal(38,10)").cast("string")
+    return F.coalesce(F.length(F.regexp_extract(digits, r"\.([0-9]*[1-9])0*$", 1)), F.lit(0))
+
+
+def reconciled(rows: DataFrame, own: str, other: str, scale: Column, offset: Column, tolerance: float = TOLERANCE) -> DataFrame:
+    """rows with status and diff: ``own`` (a text) times ``scale`` plus ``offset`` against ``other`` (a text) at the places that it shows.
+
+    Rows whose own value is no number aren't compared and are left out. NODATA: there is no other value. NON_NUMERIC: it is no
+    number. Else diff is the least distance of the own value, rounded, cut off or rounded up to the other's places, from the other
+    (0 within 1e-9), to three places; OK up to ``tolerance``, beyond it NG.
     """
     mine = F.col(own).try_cast("double") * scale + offset
     theirs = F.col(other).try_cast("double")
-    unit = F.pow(F.lit(10.0), F.length(F.regexp_extract(other, r"\.([0-9]+)$", 1)))
-    near = lambda x: F.abs(x / unit - theirs) < 1e-9
-    shown = near(F.round(mine * unit)) | near(F.floor(mine * unit + 1e-9)) | near(F.ceil(mine * unit - 1e-9))
-    status = F.when(mine.isNull(), "NON_NUMERIC").when(theirs.isNull(), "NODATA").when(shown, "OK").otherwise("NG")
-    return rows.withColumns({"status": status, "diff": F.when(status == "OK", 0.0).otherwise(mine - theirs)})
+    unit = F.pow(F.lit(10.0), shown_places(theirs))
+    far = F.least(*(F.abs(theirs - f(mine * unit) / unit) for f in (F.rint, F.floor, F.ceil)))
+    far = F.when(far < 1e-9, 0.0).otherwise(far)
+    status = F.when(F.col(other).isNull(), "NODATA").when(theirs.isNull(), "NON_NUMERIC").when(far <= tolerance, "OK").otherwise("NG")
+    return rows.where(mine.isNotNull()).withColumns({"status": status, "diff": F.round(far, 3)})

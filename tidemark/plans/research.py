@@ -70,7 +70,13 @@ def _earnings(t):
 
 query("d27_earnings_features", _earnings, "WITH e AS (SELECT ticker, dated, max(sales) AS estimate FROM consensus WHERE source = 'A' GROUP BY 1, 2), x AS (SELECT f.*, (SELECT arg_max(close, d) FROM bars b WHERE b.ticker = f.ticker AND b.d < f.disclosed) AS p, (SELECT arg_max(estimate, dated) FROM e WHERE e.ticker = f.ticker AND e.dated <= f.disclosed) AS est FROM fin_cum f) SELECT ticker, fy, q, disclosed, round(p, 5) AS close_before, CASE WHEN est <> 0 THEN round(least(greatest((sales - est) / abs(est), -5), 5), 5) END AS deviation, round(p / nullif(sales, 0), 5) AS multiple FROM x")
 query("d71_ic_table", lambda t: rounded(factor.spearman(technicals.technical_features(t.bars10).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).select("f5", F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), c(n).alias("x")) for n in ("day", "gap", "volume_ratio"))))), ["factor"], "x", "f5").select("factor", "n", "ic"), 4), "WITH b AS (SELECT close / open - 1 AS day, open / lag(close) OVER w - 1 AS gap, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) AS vr, lead(close, 5) OVER w / close - 1 AS f FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 'day' AS factor, day AS x, f FROM b UNION ALL SELECT 'gap', gap, f FROM b UNION ALL SELECT 'volume_ratio', vr, f FROM b), r AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS p, rank() OVER (PARTITION BY factor ORDER BY f) + (count(*) OVER (PARTITION BY factor, f) - 1) / 2 AS q FROM u WHERE x IS NOT NULL AND f IS NOT NULL) SELECT factor, count(*) AS n, round(corr(p, q), 4) AS ic FROM r GROUP BY 1 HAVING count(*) >= 10")
-query("d74_detection_windows", lambda t: rounded(t.corp_events.crossJoin(F.broadcast(t.spark.createDataFrame([(10,), (30,)], "days int"))).join(t.bars.select("ticker", "d", "volume"), "ticker").where("d < event_d and d >= date_sub(event_d, days)").groupBy("days", "ticker", "event_d").agg(F.max("volume").alias("m")).groupBy("days").agg(F.avg((c("m") >= 45).cast("double")).alias("rate"), F.count("*").alias("events")), 5), "WITH x AS (SELECT days, e.ticker, event_d, max(volume) AS m FROM corp_events e JOIN bars b ON b.ticker = e.ticker, (VALUES (10), (30)) v(days) WHERE d < event_d AND d >= event_d - days::INTEGER GROUP BY 1, 2, 3) SELECT days, round(avg(CASE WHEN m >= 45 THEN 1.0 ELSE 0.0 END), 5) AS rate, count(*) AS events FROM x GROUP BY 1")
+def _windows(t):
+    """Calendar days, one score, one bound."""
+    maxima = backtest.window_maxima(t.bars.select("ticker", "d", "volume"), t.corp_events, "ticker", "d", "event_d", ["volume"], (10, 30), business=False)
+    return rounded(backtest.detection_rates(maxima, ["volume"], (10, 30), (45,)).select(c("window_days").alias("days"), c("rate_volume").alias("rate"), c("total_volume").alias("events")), 5)
+
+
+query("d74_detection_windows", _windows, "WITH x AS (SELECT days, e.ticker, event_d, max(volume) AS m FROM corp_events e JOIN bars b ON b.ticker = e.ticker, (VALUES (10), (30)) v(days) WHERE d < event_d AND d >= event_d - days::INTEGER GROUP BY 1, 2, 3) SELECT days, round(avg(CASE WHEN m >= 45 THEN 1.0 ELSE 0.0 END), 5) AS rate, count(*) AS events FROM x GROUP BY 1")
 query("d76_last_history", lambda t: rounded(top_n(t.bars.where("d <= date'1999-06-30'"), ["ticker"], [c("d").desc()], 5, "rn").select("ticker", "d", "rn", F.coalesce(F.when(c("volume") > 20, c("high")), c("close")).alias("high")), 5), "SELECT ticker, d, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS INTEGER) AS rn, round(coalesce(CASE WHEN volume > 20 THEN high END, close), 5) AS high FROM bars WHERE d <= DATE '1999-06-30' QUALIFY rn <= 5")
 query("d83_exchange_universe", lambda t: t.supplier.where(c("s_name").rlike("[0-9]")).join(t.customer.select(c("c_custkey").alias("s_suppkey")).where("s_suppkey % 4 = 0"), "s_suppkey", "left_anti").join(F.broadcast(t.nation), c("s_nationkey") == c("n_nationkey"), "left").select("s_suppkey", "n_name"), "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE regexp_matches(s_name, '[0-9]') AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
 query("d58_rank_forward", lambda t: rounded(factor.quantile_buckets(t.bars.withColumn("f1", F.log(F.lead("close").over(w()) / c("close"))), ["d"], "volume", 3, "bucket").groupBy("bucket").agg(F.avg("f1").alias("mean"), F.count("*").alias("n")), 4), "WITH x AS (SELECT *, ln(lead(close) OVER (PARTITION BY ticker ORDER BY d) / close) AS f FROM bars), e AS (SELECT d, quantile_cont(volume, [0, 0.3333333333333333, 0.6666666666666666, 1.0]) AS q0 FROM bars GROUP BY 1), y AS (SELECT f, volume, list_sort(list_distinct(q0)) AS q FROM x JOIN e USING (d)) SELECT CAST(1 + len(list_filter(list_slice(q, 2, len(q) - 1), lambda v: v < volume)) AS INTEGER) AS bucket, round(avg(f), 4) AS mean, count(*) AS n FROM y GROUP BY 1")

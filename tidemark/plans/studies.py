@@ -101,17 +101,51 @@ def _reconciled(t):
     cents = F.round(c("l_extendedprice") * 100).cast("long")
     digits = F.when(c("l_partkey") % 11 == 0, "n/a").otherwise(cents.cast("string"))
     tenths = F.floor(cents / 10)
-    other = F.when(c("l_partkey") % 7 == 0, None).when(c("l_partkey") % 5 == 0, F.concat((tenths + 3).cast("string"), F.lit(".0"))).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
+    far = F.concat((F.floor(tenths / 10) + c("l_partkey") % 3).cast("string"), F.lit(".0"))
+    other = F.when(c("l_partkey") % 7 == 0, None).when(c("l_partkey") % 13 == 0, "-").when(c("l_partkey") % 5 == 0, far).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
     x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", digits.alias("own"), other.alias("other"))
     return rounded(screens.reconciled(x, "own", "other", F.lit(0.01), F.lit(0.0)), 4)
 
 
 query("d62_display_match", _reconciled, """
-    WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100, 0) AS BIGINT) AS k FROM lineitem),
-    y AS (SELECT *, CASE WHEN l_partkey % 11 = 0 THEN 'n/a' ELSE CAST(k AS VARCHAR) END AS own,
-                 CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN (k // 10 + 3) || '.0' ELSE (k // 100) || '.' || (k // 10 % 10) END AS other FROM x)
-    SELECT l_orderkey, l_linenumber, l_partkey, own, other, CASE WHEN l_partkey % 11 = 0 THEN 'NON_NUMERIC' WHEN other IS NULL THEN 'NODATA' WHEN l_partkey % 5 = 0 THEN 'NG' ELSE 'OK' END AS status,
-           CASE WHEN l_partkey % 11 = 0 OR other IS NULL THEN NULL WHEN l_partkey % 5 = 0 THEN round(k / 100 - (k // 10 + 3), 4) ELSE 0.0 END AS diff FROM y""")
+    WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100, 0) AS BIGINT) AS k FROM lineitem WHERE l_partkey % 11 > 0),
+    y AS (SELECT *, CAST(k AS VARCHAR) AS own, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN '-' WHEN l_partkey % 5 = 0 THEN (k // 100 + l_partkey % 3) || '.0' ELSE (k // 100) || '.' || (k // 10 % 10) END AS other,
+                 CASE WHEN l_partkey % 5 = 0 THEN (k // 100 + l_partkey % 3)::DOUBLE ELSE (k // 10) / 10::DOUBLE END AS v FROM x),
+    z AS (SELECT *, CASE WHEN v = floor(v) THEN 1 ELSE 10 END AS unit, k * 0.01::DOUBLE AS m FROM y),
+    d AS (SELECT *, least(abs(v - round_even(m * unit, 0) / unit), abs(v - floor(m * unit) / unit), abs(v - ceil(m * unit) / unit)) AS far FROM z)
+    SELECT l_orderkey, l_linenumber, l_partkey, own, other, CASE WHEN other IS NULL THEN 'NODATA' WHEN other = '-' THEN 'NON_NUMERIC' WHEN far <= 0.5 THEN 'OK' ELSE 'NG' END AS status,
+           CASE WHEN other IS NULL OR other = '-' THEN NULL WHEN far < 1e-9 THEN 0.0 ELSE round(far, 3) END AS diff FROM d""")
+
+# D22 and D74: two scores before events, in windows of days
+_WINDOWS, _BOUNDS = (10, 15, 30, 60, 90), (0.5, 0.8, 0.95, 1.2)
+
+
+def _two_scores(t):
+    return t.bars.select("ticker", "d", (c("volume") / 50).alias("a"), (c("turnover") / 50_000).alias("b"))
+
+
+def _detection_deltas(t):
+    maxima = backtest.window_maxima(_two_scores(t), t.corp_events, "ticker", "d", "event_d", ["a", "b"], _WINDOWS)
+    return rounded(backtest.detection_rates(maxima, ["a", "b"], _WINDOWS, _BOUNDS), 5)
+
+
+query("d74_detection_deltas", _detection_deltas, f"""
+    WITH s AS (SELECT ticker, d, volume / 50 AS a, turnover / 50000 AS b FROM bars),
+    k AS (SELECT DISTINCT x::DATE AS day, sum(CASE WHEN isodow(x) <= 5 THEN 1 ELSE 0 END) OVER (ORDER BY x) AS n, isodow(x) <= 5 AS work FROM generate_series(DATE '1994-01-03', DATE '2003-01-01', INTERVAL 1 DAY) g(x)),
+    e AS (SELECT ticker, event_d, n - CASE WHEN work THEN 1 ELSE 0 END AS last FROM corp_events JOIN k ON day = event_d), wk AS (SELECT n, day FROM k WHERE work),
+    m AS (SELECT w.n AS window_days, e.ticker, e.event_d, max(a) AS a, max(b) AS b FROM e, (VALUES {', '.join(f'({n})' for n in _WINDOWS)}) w(n), wk p, wk q, s
+          WHERE p.n = e.last - w.n + 1 AND q.n = e.last AND s.ticker = e.ticker AND s.d BETWEEN p.day AND q.day GROUP BY 1, 2, 3),
+    g AS (SELECT window_days, t AS threshold, count(*) FILTER (a >= t) AS detected_a, count(a) AS total_a, count(*) FILTER (b >= t) AS detected_b, count(b) AS total_b FROM m, (VALUES {', '.join(f'({x}::DOUBLE)' for x in _BOUNDS)}) v(t) GROUP BY 1, 2)
+    SELECT *, round(detected_a / total_a, 5) AS rate_a, round(detected_b / total_b, 5) AS rate_b, round(detected_b / total_b - detected_a / total_a, 5) AS delta FROM g""")
+
+query("d22_detection_lift", lambda t: rounded(backtest.detection_lift(_two_scores(t), t.corp_events, "ticker", "d", "event_d", ["a", "b"], (10, 30, 90), _BOUNDS), 5), f"""
+    WITH s AS (SELECT ticker, d, volume / 50 AS a, turnover / 50000 AS b FROM bars),
+    h AS (SELECT DISTINCT x.ticker, s.d FROM (SELECT ticker, event_d - CASE isodow(event_d) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS day FROM corp_events) x ASOF JOIN s ON s.ticker = x.ticker AND x.day >= s.d),
+    m AS ({" UNION ALL ".join(f"SELECT ticker, d, '{x}' AS score, {n} AS window_days, max({x}) OVER (PARTITION BY ticker ORDER BY d ROWS {n - 1} PRECEDING) AS v FROM s" for x in "ab" for n in (10, 30, 90))}),
+    r AS (SELECT m.*, h.ticker IS NOT NULL AS hit FROM m LEFT JOIN h USING (ticker, d) WHERE d IN (SELECT d FROM h)),
+    g AS (SELECT score, window_days, t AS threshold, count(*) FILTER (hit) AS n_events, count(*) FILTER (NOT hit) AS n_others, count(*) FILTER (hit AND v >= t) AS tp, count(*) FILTER (NOT hit AND v >= t) AS fp FROM r, (VALUES {', '.join(f'({x}::DOUBLE)' for x in _BOUNDS)}) v(t) GROUP BY 1, 2, 3)
+    SELECT score, window_days, threshold, n_events, n_others, round(tp / n_events, 5) AS tpr, round(fp / n_others, 5) AS fpr, CASE WHEN fp > 0 THEN round((tp / n_events) / (fp / n_others), 5) ELSE 'Infinity'::DOUBLE END AS lift FROM g""")
+
 query("d82_positions", lambda t: rounded(factor.positions(t.bars.select("ticker", "d", (c("close") / c("open") - 1).alias("s")), "d", "s", 3, "ticker", F.month("d") == 2, 1e5), 6), """
     WITH x AS (SELECT ticker, d, close / open - 1 AS s FROM bars),
     p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY s DESC, ticker) <= 3 THEN 'LONG' WHEN row_number() OVER (PARTITION BY d ORDER BY s, ticker) <= 3 THEN 'SHORT' ELSE 'NONE' END AS position, CAST(row_number() OVER (PARTITION BY d ORDER BY abs(s) DESC, ticker) AS INTEGER) AS rank FROM x)
