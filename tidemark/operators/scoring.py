@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.maths import clip
-
 
 def bands(x: Column, *steps: tuple[str, float, float]) -> Column:
     """Points of the first step (">" or "<", bound, points) that x is beyond; 0 for none or null."""
@@ -16,11 +14,8 @@ def bands(x: Column, *steps: tuple[str, float, float]) -> Column:
     return F.coalesce(out.otherwise(0.0), F.lit(0.0))
 
 
-def peg_points(per: Column, growth: Column, ok: Column) -> Column:
-    peg = F.try_divide(per, growth * 100)
-    return F.when(ok & (growth > 0), bands(peg, ("<", 0.5, 2), ("<", 1, 1), (">", 10, -3), (">", 5, -2), (">", 2, -1))).otherwise(0.0)
-
-
+#: Points of a price that is so many times the earnings' growth.
+PEG_STEPS = (("<", 0.5, 2), ("<", 1, 1), (">", 10, -3), (">", 5, -2), (">", 2, -1))
 #: Expected progress of the year by quarter.
 EXPECTED = {"1Q": 0.25, "2Q": 0.5, "3Q": 0.75}
 
@@ -33,33 +28,39 @@ def earnings_score(x: DataFrame) -> DataFrame:
     booleans; market_cap. Guidance and performance are summed up and cut to +-3 each before they are added.
     """
     c = F.col
-    flag = lambda n: F.coalesce(c(n), F.lit(False))
-    is_fy, split, low = c("quarter") == "FY", flag("split"), flag("low_profit")
+    unless = lambda n, points: F.when(c(n), 0.0).otherwise(points)  # noqa: E731  a flag that isn't known doesn't hold
+    is_fy = c("quarter") == "FY"
     expected = F.coalesce(*(F.when(c("quarter") == q, e) for q, e in EXPECTED.items()))
     deviation = F.when(F.abs(c("consensus_net")) > F.coalesce(F.abs(c("consensus_ordinary")), F.lit(-1.0)), c("consensus_net")).otherwise(c("consensus_ordinary"))
-    eps = F.when(~split, c("eps_change"))
+    # values that bands compare again and again are columns first: Spark then compiles them, and the points of groups, as methods of their own
+    columns = x.columns
+    x = x.withColumns({"_pace": F.try_divide(c("progress"), expected), "_deviation": deviation, "_eps": F.when(c("split"), None).otherwise(c("eps_change")), "_peg": F.when(c("split") | ~(c("growth") > 0), None).otherwise(F.try_divide(c("per"), c("growth") * 100))})
+    x = x.withColumn("_peg_points", bands(c("_peg"), *PEG_STEPS))
+    eps = c("_eps")
     parts: dict[str, Column] = {
-        "progress": bands(F.try_divide(c("progress"), expected), (">", 1.2, 1), ("<", 0.8, -1)),
+        "progress": bands(c("_pace"), (">", 1.2, 1), ("<", 0.8, -1)),
         "revision": bands(c("revision"), (">", 0.001, 1), ("<", -0.001, -1)),
-        "consensus": bands(deviation, (">", 0.1, 3), (">", 0.05, 2), (">", 0, 1), ("<", -0.3, -5), ("<", -0.2, -4), ("<", -0.1, -3), ("<", -0.05, -2), ("<", 0, -1)),
-        "undisclosed": F.when(flag("undisclosed_next") & (c("market_cap") >= 3000), -1.0).otherwise(0.0),
-        "selloff": F.when(flag("selloff"), -2.0).otherwise(0.0),
-        "special_dividend": F.when(flag("special_dividend"), 1.0).otherwise(0.0),
-        "buyback": F.when(flag("buyback"), 2.0).otherwise(0.0),
-        "dividend": F.when(~split, bands(c("dividend_change"), ("<", -0.2, -3), ("<", -0.05, -2), (">", 0.05, 1))).otherwise(0.0),
-        "qoq": F.when(~low, bands(c("qoq"), (">", 0.5, 1), ("<", -0.5, -2))).otherwise(0.0),
-        "split": F.when(split, 1.0).otherwise(0.0),
+        "consensus": bands(c("_deviation"), (">", 0.1, 3), (">", 0.05, 2), (">", 0, 1), ("<", -0.3, -5), ("<", -0.2, -4), ("<", -0.1, -3), ("<", -0.05, -2), ("<", 0, -1)),
+        "undisclosed": F.when(c("undisclosed_next") & (c("market_cap") >= 3000), -1.0).otherwise(0.0),
+        "selloff": F.when(c("selloff"), -2.0).otherwise(0.0),
+        "special_dividend": F.when(c("special_dividend"), 1.0).otherwise(0.0),
+        "buyback": F.when(c("buyback"), 2.0).otherwise(0.0),
+        "dividend": unless("split", bands(c("dividend_change"), ("<", -0.2, -3), ("<", -0.05, -2), (">", 0.05, 1))),
+        "qoq": unless("low_profit", bands(c("qoq"), (">", 0.5, 1), ("<", -0.5, -2))),
+        "split": F.when(c("split"), 1.0).otherwise(0.0),
         "achievement": F.when(is_fy, bands(c("achievement"), ("<", 0.65, -2), ("<", 0.8, -1))).otherwise(0.0),
     }
-    agrees = eps.isNull() | (F.signum(eps) == F.signum(c("op_change")))
-    guidance = F.when(is_fy, bands(eps, (">", 0.1, 2), ("<", -0.1, -2)) + F.when(agrees, bands(c("op_change"), (">", 0.1, 1), ("<", -0.1, -1))).otherwise(0.0) + F.when(~low, bands(c("growth_gap"), (">", 0.2, 1), ("<", -0.2, -1))).otherwise(0.0) + peg_points(c("per"), c("growth"), ~split)).otherwise(0.0)
-    results = F.when(~low, bands(c("yoy"), (">", 0.3, 1), ("<", -0.3, -1))).otherwise(0.0) + F.when(flag("turnaround"), F.when(c("yoy").isNotNull(), 2.0).otherwise(1.0)).otherwise(0.0) + F.when(~is_fy, peg_points(c("per"), c("growth"), ~split)).otherwise(0.0)
-    parts |= {"guidance": clip(guidance, -3, 3), "performance": clip(results, -3, 3)}
+    against = eps * c("op_change") <= 0
+    guidance = F.when(is_fy, bands(eps, (">", 0.1, 2), ("<", -0.1, -2)) + F.when(against, 0.0).otherwise(bands(c("op_change"), (">", 0.1, 1), ("<", -0.1, -1))) + unless("low_profit", bands(c("growth_gap"), (">", 0.2, 1), ("<", -0.2, -1))) + c("_peg_points")).otherwise(0.0)
+    results = unless("low_profit", bands(c("yoy"), (">", 0.3, 1), ("<", -0.3, -1))) + F.when(c("turnaround"), F.when(c("yoy").isNotNull(), 2.0).otherwise(1.0)).otherwise(0.0) + F.when(is_fy, 0.0).otherwise(c("_peg_points"))
+    x = x.withColumns({"_guidance": guidance, "_results": results})
+    within = lambda n: F.when(c(n) > 3, 3.0).when(c(n) < -3, -3.0).otherwise(c(n))
+    parts |= {"guidance": within("_guidance"), "performance": within("_results")}
     total = None
     for p in parts.values():
         total = p if total is None else total + p
     reasons = F.array_compact(F.array(*(F.when(p != 0, F.concat(F.lit(f"{n} "), F.format_number(p, 0))) for n, p in parts.items())))
-    return x.withColumns({"score": total, "reasons": reasons})
+    return x.withColumns({"score": total, "reasons": reasons}).select(*columns, "score", "reasons")
 
 
 def score_class(score: Column) -> Column:
