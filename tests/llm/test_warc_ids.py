@@ -12,6 +12,10 @@ from tidemark.llm import common, warc
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 
+#: Bytes of the longest page.
+BIG = 200_000_000
+
+
 def against_sql(spark, tmp_path, rows, parts=1, **more):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(more)
     pages.repartition(parts).write.parquet(str(tmp_path / "pages.parquet"))
@@ -58,3 +62,40 @@ def test_one_id_with_two_payloads(spark, tmp_path):
     a, b, c = ("<p>" + x * 200 for x in "abc")
     rows = [(1, "u", a), (2, "u", a), (2, "v", b), (3, "u", c), (4, "u", a), (4, "u", c), (None, "u", a), (None, "w", b)]
     against_sql(spark, tmp_path, rows)
+
+
+def test_files_end_between_records(spark, tmp_path, monkeypatch):
+    """Records of many members each, in files of two: none is cut, and the limit counts records."""
+    monkeypatch.setattr(warc, "MEMBER", 100)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 2)
+    rows = [(i, "u", f"long page {i % 7} " * 200) for i in range(15)]
+    against_sql(spark, tmp_path, rows)
+    path = str(tmp_path / "out")
+    warc.write_archives(warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), path)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) == 8 and all(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") <= 2 for f in files)
+
+
+def test_pages_of_17_and_200_mb(spark, tmp_path):
+    """Nine pages of 17.5 MB and one of 200 MB, over several files, some of them repeats."""
+    con = duckdb.connect()
+    for part, ids in enumerate(("0, 1, 2, 3, 4", "5, 6, 7, 8", "9")):
+        con.sql(f"CREATE OR REPLACE TABLE x AS SELECT page_id, 'u' AS url, CASE WHEN page_id = 9 THEN repeat('0123456789abcdef', {BIG // 16}) ELSE repeat('page ' || page_id % 4 || ' 0123456789', 1030000) END AS html FROM (SELECT unnest([{ids}])::BIGINT AS page_id)")
+        (tmp_path / "pages.parquet").mkdir(exist_ok=True)
+        con.sql(f"COPY x TO '{tmp_path}/pages.parquet/{part}.parquet' (ROW_GROUP_SIZE 1)")
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["op2_warc_revisits"])
+    names = [x[0] for x in want.description]
+    got = QUERIES["op2_warc_revisits"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want.fetchall())) and max(r.payload_bytes for r in got) == BIG
+
+
+def test_a_cut_archive_is_an_error(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER", 150)
+    record = lambda i: warc._record(warc.DATE, str(i), "response", "u", 400, warc.hashlib.sha256(b"x" * 400).hexdigest(), None, b"x" * 400) + b"\0"
+    one, whole = record(1), record(1) + record(2)
+    assert [r["record_id"] for r in warc._records(memoryview(whole))] == ["1", "2"]
+    for at in range(1, len(whole)):
+        if at != len(one):
+            with pytest.raises(ValueError):
+                list(warc._records(memoryview(whole[:at])))

@@ -21,27 +21,31 @@ RECORDS_PER_FILE, ARCHIVE_BYTES = 4000, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a record that one gzip member holds. A member ends with the size of what it holds, whose last byte is zero up to
-#: 16 MB: the text sink, which can't write values without something between them, writes that byte.
+#: 16 MB: the text sink, which can't write values without something between them, writes that byte at a record's end.
 MEMBER = (1 << 24) - 1
 
 _SCAN = "path string, place int, record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 _ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (x.split() for x in _SCAN.split(", "))])
 
 
-def _record(date: str, record_id: str | None, record_type: str, url: str | None, payload_bytes: int, payload_digest: str, refers_to: str | None, payload: bytes) -> Iterator[bytes]:
-    """A record as gzip members without their last byte: WARC headers, and for a response an HTTP head and the payload."""
+def _record(date: str, record_id: str | None, record_type: str, url: str | None, payload_bytes: int, payload_digest: str, refers_to: str | None, payload: bytes) -> bytes:
+    """A record as gzip members without the very last byte: WARC headers, and for a response an HTTP head and the payload."""
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     revisit = record_type == "revisit"
     body = f"{http}\r\n".encode() + (b"" if revisit else payload)
     lines = [("WARC-Type", record_type), ("WARC-Record-ID", record_id and f"<urn:x-record:{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", url and re.sub(r"[\r\n]+", " ", url)), ("WARC-Payload-Digest", f"sha256:{payload_digest}"), ("X-Payload-Length", payload_bytes), ("WARC-Refers-To", refers_to and f"<urn:x-record:{refers_to}>"), ("WARC-Profile", PROFILE if revisit else None), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(body))]
     whole = b"WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in lines if value is not None).encode() + b"\r\n" + body + b"\r\n\r\n"
+    out = []
     for at in range(0, len(whole), MEMBER):
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-        yield (pack.compress(whole[at : at + MEMBER]) + pack.flush())[:-1]
+        out += [pack.compress(whole[at : at + MEMBER]), pack.flush()]
+    out[-1] = out[-1][:-1]
+    return b"".join(out)
 
 
 def _write(rows: DataFrame, members: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]], path: str, records: int) -> None:
-    """Write the gzip members of ``rows`` as archives of so many or fewer; the sink's separator is each member's last byte.
+    """Write the records of ``rows`` as archives of so many or fewer. A record is one value of the sink, whatever its gzip members, so that files
+    end between records; the sink's separator is its last byte.
 
     The sink names files .txt, as it knows nothing of what they hold.
     """
@@ -70,12 +74,15 @@ def write_archives(records: DataFrame, path: str, date: str = DATE) -> None:
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _record(date, **row)
+                yield _record(date, **row)
 
-    size = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
-    few = max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES * size["n"] // max(1, size["bytes"])))
     columns = ("record_id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
-    _write(batched(records.select(*columns)), members, path, few)
+    _write(batched(records.select(*columns)), members, path, _records_per_file(records))
+
+
+def _records_per_file(records: DataFrame) -> int:
+    size = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
+    return max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES * size["n"] // max(1, size["bytes"])))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -111,6 +118,8 @@ def _inflated(archive: memoryview) -> Iterator[bytes]:
             part = archive[at : at + step]
             out.append(unpack.decompress(part))
             at += len(part) - len(unpack.unused_data)
+        if not unpack.eof:
+            raise ValueError("the archive ends inside a gzip member")
         yield b"".join(out)
 
 
@@ -119,7 +128,8 @@ def _records(archive: memoryview) -> Iterator[dict]:
     held, bare = b"", lambda x: x and x.removeprefix("<urn:x-record:").removesuffix(">")
     for part in _inflated(memoryview(archive)):
         held = held + part if held else part
-        end = held.index(b"\r\n\r\n")
+        if (end := held.find(b"\r\n\r\n")) < 0:
+            continue
         head = dict(x.split(": ", 1) for x in held[:end].decode().split("\r\n")[1:])
         start, size = end + 4, int(head["Content-Length"])
         if len(held) < start + size + 4:  # a record of more than one member
@@ -129,6 +139,8 @@ def _records(archive: memoryview) -> Iterator[dict]:
         if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"record {head.get('WARC-Record-ID')} doesn't hold the payload of its digest")
         yield {"record_id": bare(head.get("WARC-Record-ID")), "record_type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": digest, "refers_to": bare(head.get("WARC-Refers-To")), "payload": payload}
+    if held:
+        raise ValueError("the archive ends inside a record")
 
 
 def resolve_revisits(headers: DataFrame, order: Column, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -166,10 +178,10 @@ def deduplicated(spark: SparkSession, path: str, out: str, date: str = DATE) ->
                 places = dict(places or ())
                 for place, row in enumerate(_records(content.as_buffer())):
                     found = {"record_type": "revisit", "refers_to": places[place]} if place in places else {"record_type": "response", "refers_to": None}
-                    yield from _record(date, **(row | found))
+                    yield _record(date, **(row | found))
 
     files = _files(spark, path).select("path", "content").join(written(decided, "revisits"), "path", "left").select("content", "places")
-    _write(batched(files), members, out, RECORDS_PER_FILE)
+    _write(batched(files), members, out, _records_per_file(headers))
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +190,8 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null html: an empty payload. Null urls stay out of the header. Null page_id: a record without an id, whose payload
     others may hold and which is never referred to while a page with an id has the same one. A repeated page_id: each row is
     a record, and those with the least id of their payload are all responses. An empty table: no rows. Other columns are
-    ignored, whatever their names.
+    ignored, whatever their names. A payload may be as long as a value of Spark's: its record is several gzip members, in one archive, and is
+    held whole by the task that writes or reads it. An archive that ends inside a record is an error.
     """
     raw, out = scratch(spark, "warc-raw"), scratch(spark, "warc")
     write_archives(page_records(table(spark, sf_dir, "pages")), raw)
