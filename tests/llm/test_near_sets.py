@@ -2,6 +2,8 @@
 
 import collections
 import itertools
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -106,3 +108,53 @@ def test_similar_sets_share_a_key():
         assert 5 * (n - gone) >= 4 * (n + new)
         assert set(near_sets.keys(np.sort(a)).tolist()) & set(near_sets.keys(np.sort(b)).tolist())
     assert near_sets.shingles(b"A b\tc") == [xxhash.xxh64_intdigest(b"a b c", 42)]
+
+
+def linked_plain(items, sides=None):
+    sets, label = [set(x.tolist()) for x in items], list(range(len(items)))
+    for i, j in itertools.combinations(range(len(items)), 2):
+        if (sides is None or sides[i] != sides[j]) and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_linked_against_all_pairs(seed):
+    r = np.random.default_rng(seed)
+    base = [np.unique(r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
+    items = [*base, np.zeros(0, np.uint64), np.array([7], np.uint64)]
+    for x in base:
+        for _ in range(r.integers(0, 4)):  # near the limit, on both sides of it
+            y = np.concatenate([r.permutation(x)[r.integers(0, max(1, len(x) // 8 + 2)) :], r.integers(0, 400, r.integers(0, len(x) // 8 + 2)).astype(np.uint64)])
+            items.append(np.unique(y))
+    order = r.permutation(len(items))
+    items = [items[k] for k in order]
+    assert near_sets.linked(items).tolist() == linked_plain(items)
+    sides = r.integers(0, 2, len(items))
+    assert near_sets.linked(items, sides).tolist() == linked_plain(items, sides)
+
+
+@pytest.mark.parametrize("kind", ["apart", "alike", "one hash in all"])
+def test_thirty_thousand_short_sets_in_one_cell(kind):
+    """Seconds and some 100 MB, whether they share a hash here and there, are near copies, or all have one in common."""
+    r = np.random.default_rng(1)
+    n = 30_000
+    if kind == "alike":
+        x = np.tile(np.arange(20, dtype=np.uint64), (n, 1))
+        x[:, 19] = 1000 + np.arange(n)
+    else:
+        x = r.integers(0, 1 << 60, (n, 10)).astype(np.uint64)
+        x[:, 0] = 5 if kind == "one hash in all" else r.integers(0, 3000, n)
+    items = [np.sort(y) for y in x]
+    began = time.time()
+    tracemalloc.start()
+    label = near_sets.linked(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - began < 40 and peak < 300e6
+    assert (label == (0 if kind == "alike" else np.arange(n))).all()
+
+
+def test_nodes_are_known_by_128_bits():
+    assert len(near_sets._digest(np.array([1, 2], np.uint64))) == 16

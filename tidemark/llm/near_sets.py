@@ -78,8 +78,9 @@ def keys(found: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _digest(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(found: np.ndarray) -> bytes:
+    """128 bits, so that different sets among any number of texts aren't taken for one."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _rows(docs: DataFrame, whole: bool) -> DataFrame:
@@ -90,13 +91,13 @@ def _rows(docs: DataFrame, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(text.as_py()) for text in batch.column(2)]
-            out = [*batch.columns[:2], pa.array([*map(_digest, found)], pa.int64()), pa.array([*map(len, found)], pa.int64())]
+            out = [*batch.columns[:2], pa.array([*map(_digest, found)], pa.binary()), pa.array([*map(len, found)], pa.int64())]
             if whole:
                 out.append(pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "block", "node", "n", "items"][: len(out)])
 
     texts = docs.select("doc_id", "block", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return batched(texts).mapInArrow(run, f"{kind}, node long, n long" + ", items array<long>" * whole)
+    return batched(texts).mapInArrow(run, f"{kind}, node binary, n long" + ", items array<long>" * whole)
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
@@ -107,36 +108,74 @@ def _keyed(sets: DataFrame) -> DataFrame:
             made = [keys(x.values.to_numpy().view(np.uint64)).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    return batched(sets.select("node", "items")).mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    return batched(sets.select("node", "items")).mapInArrow(run, "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def linked(items: list[np.ndarray], sides: np.ndarray | None = None) -> np.ndarray:
     """For each set of sorted hashes the least place of the sets that similarities of 4/5 or more connect it with.
 
-    ``sides``: only sets of different sides are compared. Pairs that are connected already aren't, nor those whose sizes
-    differ too much; what two sets share is counted on bits, one for each hash that more than one set has.
+    ``sides``: only sets of different sides are compared. Hashes are put in order of how many sets have them, rare ones first; sets of a
+    similarity of 4/5 share one of the first fifth and one more, so only what these have in common is looked at, among sets of a fitting size that
+    aren't connected yet. What two sets share is then counted on all their hashes.
     """
     n, label = np.array([len(x) for x in items]), np.arange(len(items))
-    _, back, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-    bit = np.cumsum(often > 1) - 1
-    words = int((often > 1).sum()) // 64 + 1
-    bits = np.zeros((len(items), words * 64), bool)
-    shared = often[back] > 1
-    bits[np.repeat(np.arange(len(items)), n)[shared], bit[back[shared]]] = True
-    bits = np.packbits(bits, axis=1).view(np.uint64)
-    order = np.argsort(n, kind="stable")
-    last = np.searchsorted(n[order], n * 5 // 4, side="right")
-    for at, i in enumerate(order.tolist()):
-        others = order[at + 1 : last[i]]
-        if sides is not None:
-            others = others[sides[others] != sides[i]]
-        while len(others := others[label[others] != label[i]]):
-            some, others = others[: max(1, 4_000_000 // words)], others[max(1, 4_000_000 // words) :]
-            both = np.bitwise_count(bits[i] & bits[some]).sum(axis=1, dtype=np.int64)
-            for k in some[SHARED * both >= SIZES * (n[i] + n[some])].tolist():
-                lo, hi = sorted((int(label[i]), int(label[k])))
-                if lo < hi:
-                    label[label == hi] = lo
+    flat = np.concatenate(items) if len(items) else np.zeros(0, np.uint64)
+    if not len(flat):
+        return label
+    _, back, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    at = np.repeat(np.arange(len(items)), n)
+    ids = rank[back]
+    by_set = np.lexsort((ids, at))
+    ids, start = ids[by_set], np.cumsum(n) - n
+    mine = [ids[a : a + k] for a, k in zip(start, n)]
+    head = [x[: len(x) - -(-4 * len(x) // 5) + 1] for x in mine]
+
+    order = np.argsort(n, kind="stable")  # sets by size; from here on a set's number is its place there
+    size, label_of = n[order], np.arange(len(items))
+    last = np.searchsorted(size, size * 5 // 4, side="right")
+    side = None if sides is None else np.asarray(sides)[order]
+    lists = [head[i] for i in order]
+    listed = np.concatenate(lists)
+    owner = np.repeat(np.arange(len(items)), [len(x) for x in lists])
+    sorted_ = np.lexsort((owner, listed))
+    listed, owner = listed[sorted_], owner[sorted_]
+    ends = np.flatnonzero(np.append(listed[1:] != listed[:-1], True)) + 1
+    begin = dict(zip(listed[ends - 1].tolist(), zip(np.append(0, ends[:-1]).tolist(), ends.tolist())))
+    mark = np.zeros(len(often), bool)
+    done: set[int] = set()  # hashes whose sets are all connected
+    for i in range(len(items)):
+        others = []
+        for h in lists[i].tolist():
+            lo, hi = begin[h]
+            if hi - lo < 2 or h in done:
+                continue
+            own = owner[lo:hi]
+            if (label_of[own] == label_of[i]).all():
+                done.add(h)
+                continue
+            others.append(own[np.searchsorted(own, i, side="right") : np.searchsorted(own, last[i])])
+        if not others:
+            continue
+        found = np.unique(np.concatenate(others))
+        found = found[label_of[found] != label_of[i]]
+        if side is not None:
+            found = found[side[found] != side[i]]
+        mark[mine[order[i]]] = True
+        for a in range(0, len(found), 256):
+            some = found[a : a + 256]
+            some = some[label_of[some] != label_of[i]]
+            if len(some):
+                both = np.add.reduceat(mark[np.concatenate([mine[order[k]] for k in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+                near = some[SHARED * both >= SIZES * (size[i] + size[some])]
+                if len(near):
+                    groups = np.unique(np.append(label_of[near], label_of[i]))
+                    label_of[np.isin(label_of, groups)] = groups[0]
+        mark[mine[order[i]]] = False
+    least = np.full(len(items), len(items))
+    np.minimum.at(least, label_of, order)
+    label[order] = least[label_of]
     return label
 
 
@@ -159,13 +198,13 @@ def _compared(cells: DataFrame, tasks: int) -> DataFrame:
         if len(held) < 2:
             return
         own, nodes, items = (list(x) for x in zip(*held))
-        nodes = np.array(nodes)
-        centre = centres(linked(items, None if cell[1] == cell[2] else np.array(own)), nodes)
+        high, low = np.frombuffer(b"".join(nodes), ">u8").reshape(-1, 2).T
+        centre = centres(linked(items, None if cell[1] == cell[2] else np.array(own)), low, high)
         at = np.flatnonzero(centre != np.arange(len(nodes)))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[centre[at]])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()) for x in (at, centre[at])], names=["u", "v"])
 
-    return batched(cells).repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
+    return batched(cells).repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "u binary, v binary")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
