@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 _NAME, _SPACE, _ATTRIBUTE, _EQUALS, _VALUE = (re.compile(p) for p in (r"[a-zA-Z][^\s/>]*", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
 #: Elements whose content is no markup.
 _RAW = {name: re.compile(f"</{name}", re.I) for name in ("script", "style", "textarea", "title")}
 #: Elements that words on both sides don't run through.
@@ -27,6 +28,13 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "text", page[at : start if start >= 0 else n], {}
             if start < 0:
                 return
+        if plain := _PLAIN.match(page, start):
+            at, tag = plain.end(), plain[2].lower()
+            yield ("close" if plain[1] else "open"), tag, {}
+            if not plain[1] and tag in _RAW:
+                end = _RAW[tag].search(page, at)
+                at = end.start() if end else n
+            continue
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = n if end < 0 else end + 3

@@ -85,11 +85,11 @@ query("d8_forward_returns", lambda t: rounded(backtest.forward_returns(touches(t
 
 
 def _ttest(t):
-    x = backtest.own_forward_returns(t.bars10, (5,)).withColumn("side", F.when(c("close") > c("open"), "UP").otherwise("DOWN"))
+    x = backtest.own_forward_returns(t.bars, (5,)).withColumn("side", F.when(c("close") > c("open"), "UP").otherwise("DOWN"))
     return rounded(backtest.signal_test(x, ["ticker", "side"], "f5"), 5)
 
 
-query("d9_signal_test", _ttest, """WITH x AS (SELECT ticker, CASE WHEN close > open THEN 'UP' ELSE 'DOWN' END AS side, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f FROM bars10),
+query("d9_signal_test", _ttest, """WITH x AS (SELECT ticker, CASE WHEN close > open THEN 'UP' ELSE 'DOWN' END AS side, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f FROM bars),
     g AS (SELECT ticker, side, count(f) AS n, avg(f) AS mean, avg(CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, stddev_samp(f) AS sd FROM x WHERE f IS NOT NULL GROUP BY 1, 2), z AS (SELECT *, mean / nullif(sd / sqrt(n), 0) AS t FROM g WHERE n >= 30), e AS (SELECT *, abs(t) / sqrt(2) AS a, 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) AS k FROM z)
     SELECT ticker, side, n, round(mean, 5) AS mean, round(win_rate, 5) AS win_rate, round(sd, 5) AS sd, round(t, 5) AS t, round(k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-a * a), 5) AS p FROM e""")
 query("d10_vwap_backtest", lambda t: rounded(backtest.signal_portfolio(touches(t), t.bars10, t.calendar, 10, 3, 20, 0.002).select("ticker", "d", "side", "net")), _TOUCH + ", ch AS (SELECT * FROM sig WHERE volume >= 20 QUALIFY row_number() OVER (PARTITION BY d, side ORDER BY abs(slope) DESC, ticker) <= 3) SELECT ch.ticker, ch.d, side, round(CASE WHEN side = 'SHORT' THEN -(x.close / e.open - 1) ELSE x.close / e.open - 1 END - 0.002, 6) AS net FROM ch JOIN calendar k ON k.d = ch.d JOIN calendar k1 ON k1.n = k.n + 1 JOIN calendar k2 ON k2.n = k.n + 10 JOIN bars10 e ON e.ticker = ch.ticker AND e.d = k1.d JOIN bars10 x ON x.ticker = ch.ticker AND x.d = k2.d")
@@ -160,7 +160,7 @@ def _performance(t):
 
 
 query("x9_d73_performance", _performance, "WITH k AS (SELECT ticker, CAST(date_trunc('week', d) AS DATE) AS week, arg_max(close, d) AS close FROM bars10 GROUP BY 1, 2), r AS (SELECT ticker, week, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY week)) / 10 AS r FROM k QUALIFY r IS NOT NULL), e AS (SELECT *, product(1 + r) OVER (PARTITION BY ticker ORDER BY week ROWS UNBOUNDED PRECEDING) AS eq FROM r), f AS (SELECT *, eq / max(eq) OVER (PARTITION BY ticker ORDER BY week ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e) SELECT ticker, count(r) AS n, round(arg_max(eq, week) - 1, 5) AS total, round(avg(r) / stddev_samp(r) * sqrt(252), 5) AS sharpe, round(min(dd), 5) AS max_drawdown, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate, round(sum(CASE WHEN r > 0 THEN r END) / nullif(-sum(CASE WHEN r < 0 THEN r END), 0), 5) AS profit_factor FROM f GROUP BY 1")
-query("d67_vector_backtest", lambda t: rounded(backtest.vector_backtest(t.bars10.withColumn("close", F.log("close") + 100).withColumn("s", F.when(c("volume") > 80, 1).when(c("volume") < 20, -1).otherwise(0)), "s", 1.0, 0.0005, 0.0005).select("ticker", "d", "position", "equity"), 4), "WITH x AS (SELECT ticker, d, ln(close) + 100 AS close, CASE WHEN volume > 80 THEN 1 WHEN volume < 20 THEN -1 ELSE 0 END AS s FROM bars10), y AS (SELECT *, coalesce(lag(s) OVER w, 0) AS position, coalesce(close / lag(close) OVER w - 1, 0) AS cr FROM x WINDOW w AS (PARTITION BY ticker ORDER BY d)), z AS (SELECT *, position * cr - abs(position - coalesce(lag(position) OVER (PARTITION BY ticker ORDER BY d), 0)) * 0.001 AS r FROM y) SELECT ticker, d, CAST(position AS INTEGER) AS position, round(product(1 + r) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING), 4) AS equity FROM z")
+query("d67_vector_backtest", lambda t: rounded(backtest.vector_backtest(t.bars.withColumn("close", F.log("close") + 100).withColumn("s", F.when(c("volume") > 80, 1).when(c("volume") < 20, -1).otherwise(0)), "s", 1.0, 0.0005, 0.0005).select("ticker", "d", "position", "equity"), 4), "WITH x AS (SELECT ticker, d, ln(close) + 100 AS close, CASE WHEN volume > 80 THEN 1 WHEN volume < 20 THEN -1 ELSE 0 END AS s FROM bars), y AS (SELECT *, coalesce(lag(s) OVER w, 0) AS position, coalesce(close / lag(close) OVER w - 1, 0) AS cr FROM x WINDOW w AS (PARTITION BY ticker ORDER BY d)), z AS (SELECT *, position * cr - abs(position - coalesce(lag(position) OVER (PARTITION BY ticker ORDER BY d), 0)) * 0.001 AS r FROM y) SELECT ticker, d, CAST(position AS INTEGER) AS position, round(product(1 + r) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING), 4) AS equity FROM z")
 
 
 def _card(t):
@@ -171,15 +171,15 @@ def _card(t):
 query("d60_scorecard", _card, """WITH x AS (SELECT ticker, count(*) % 300 AS n, avg(volume) / 60 AS e, min(close) % 60 AS dd, max(volume) % 4 AS pf, ticker + 1 AS y, ticker % 9 AS p FROM bars10 GROUP BY ticker),
     s AS (SELECT ticker, CASE WHEN n < 30 THEN 0 WHEN n < 100 THEN 8 + trunc((n - 30) / 70 * 7) WHEN n < 200 THEN 15 + trunc((n - 100) / 100 * 5) ELSE 20 END AS a, CASE WHEN e <= 0 THEN 0 WHEN e < 0.5 THEN 5 + trunc(e / 0.5 * 5) WHEN e < 1.5 THEN 10 + trunc((e - 0.5) * 8) ELSE 20 END AS b, CASE WHEN dd >= 50 THEN 0 ELSE (CASE WHEN dd < 20 THEN 12 ELSE trunc(12 * (50 - dd) / 30) END) + (CASE WHEN pf < 1 THEN 0 WHEN pf >= 3 THEN 8 ELSE trunc((pf - 1) / 2 * 8) END) END AS r, (CASE WHEN y < 5 THEN 0 WHEN y < 10 THEN 5 + trunc((y - 5) / 5 * 10) ELSE 15 END) + (CASE WHEN p <= 4 THEN 5 WHEN p <= 6 THEN 3 WHEN p = 7 THEN 1 ELSE 0 END) AS o, CASE WHEN ticker % 2 = 0 THEN 20 ELSE 0 END AS f FROM x)
     SELECT ticker, a::INTEGER AS sample_points, b::INTEGER AS expectancy_points, r::INTEGER AS risk_points, o::INTEGER AS robust_points, f AS friction_points, least(a + b + r + o + f, 100)::INTEGER AS total, CASE WHEN a + b + r + o + f >= 70 THEN 'Deploy' WHEN a + b + r + o + f >= 40 THEN 'Refine' ELSE 'Abandon' END AS verdict FROM s""")
-query("d66_acceptance", lambda t: backtest.accepted(t.bars10.groupBy("ticker").agg((F.avg("volume") / 50).alias("sharpe"), F.avg((c("close") > c("open")).cast("double")).alias("win_rate"), (F.min("low") / F.max("high") - 1).alias("max_drawdown")), 0.5, 0.35, 0.9995).select("ticker", "passed"), "SELECT ticker, avg(volume) / 50 >= 0.5 AND avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) >= 0.35 AND abs(min(low) / max(high) - 1) <= 0.9995 AS passed FROM bars10 GROUP BY 1")
-query("d72_buy_and_hold", lambda t: rounded(t.bars10.withColumn("rel", c("close") / F.first("close").over(over(["ticker"], ["d"], (Window.unboundedPreceding, 0)))).groupBy("d").agg(F.avg("rel").alias("equity"), F.count("*").alias("names")), 5), "SELECT d, round(avg(rel), 5) AS equity, count(*) AS names FROM (SELECT d, close / first_value(close) OVER (PARTITION BY ticker ORDER BY d) AS rel FROM bars10) GROUP BY 1")
+query("d66_acceptance", lambda t: backtest.accepted(t.bars.groupBy("ticker").agg((F.avg("volume") / 50).alias("sharpe"), F.avg((c("close") > c("open")).cast("double")).alias("win_rate"), (F.min("low") / F.max("high") - 1).alias("max_drawdown")), 0.5, 0.35, 0.9995).select("ticker", "passed"), "SELECT ticker, avg(volume) / 50 >= 0.5 AND avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) >= 0.35 AND abs(min(low) / max(high) - 1) <= 0.9995 AS passed FROM bars GROUP BY 1")
+query("d72_buy_and_hold", lambda t: rounded(t.bars.withColumn("rel", c("close") / F.first("close").over(over(["ticker"], ["d"], (Window.unboundedPreceding, 0)))).groupBy("d").agg(F.avg("rel").alias("equity"), F.count("*").alias("names")), 5), "SELECT d, round(avg(rel), 5) AS equity, count(*) AS names FROM (SELECT d, close / first_value(close) OVER (PARTITION BY ticker ORDER BY d) AS rel FROM bars) GROUP BY 1")
 query("d75_snapshot", lambda t: rounded(top_n(t.bars.where("d <= date'1999-06-30'"), ["ticker"], [c("d").desc()], 250, "rn").groupBy("ticker").agg(F.max(F.when(c("rn") == 1, c("close"))).alias("last"), F.max("high").alias("high52"), F.min("low").alias("low52"), F.avg(F.when(c("rn") <= 50, c("volume"))).alias("volume50"), F.count("*").alias("n")).where("n >= 10"), 5), "WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS rn FROM bars WHERE d <= DATE '1999-06-30' QUALIFY rn <= 250) SELECT ticker, round(max(CASE WHEN rn = 1 THEN close END), 5) AS last, round(max(high), 5) AS high52, round(min(low), 5) AS low52, round(avg(CASE WHEN rn <= 50 THEN volume END), 5) AS volume50, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 10")
 
 # Cross-sections and factors
-query("d54_quantile_table", lambda t: rounded(factor.quantile_buckets(backtest.own_forward_returns(t.bars10, (5,)), ["ticker"], "volume", 5, "bucket").groupBy("bucket", (c("close") > c("open")).alias("up")).agg(F.avg("f5").alias("mean"), F.count("f5").alias("n")), 5), "WITH x AS (SELECT *, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f5 FROM bars10), e AS (SELECT ticker, list_distinct(quantile_cont(volume, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS q0 FROM bars10 GROUP BY 1), y AS (SELECT x.*, list_sort(q0) AS q FROM x JOIN e USING (ticker)), z AS (SELECT *, CAST(1 + len(list_filter(list_slice(q, 2, len(q) - 1), lambda v: v < volume)) AS INTEGER) AS bucket FROM y) SELECT bucket, close > open AS up, round(avg(f5), 5) AS mean, count(f5) AS n FROM z GROUP BY 1, 2")
+query("d54_quantile_table", lambda t: rounded(factor.quantile_buckets(backtest.own_forward_returns(t.bars, (5,)), ["ticker"], "volume", 5, "bucket").groupBy("bucket", (c("close") > c("open")).alias("up")).agg(F.avg("f5").alias("mean"), F.count("f5").alias("n")), 5), "WITH x AS (SELECT *, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f5 FROM bars), e AS (SELECT ticker, list_distinct(quantile_cont(volume, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS q0 FROM bars GROUP BY 1), y AS (SELECT x.*, list_sort(q0) AS q FROM x JOIN e USING (ticker)), z AS (SELECT *, CAST(1 + len(list_filter(list_slice(q, 2, len(q) - 1), lambda v: v < volume)) AS INTEGER) AS bucket FROM y) SELECT bucket, close > open AS up, round(avg(f5), 5) AS mean, count(f5) AS n FROM z GROUP BY 1, 2")
 query("m1_spearman", lambda t: rounded(factor.spearman(backtest.own_forward_returns(t.bars, (5,)), ["ticker"], "volume", "f5").select("ticker", "n", "ic", "pearson"), 5), "WITH x AS (SELECT ticker, volume, lead(close, 5) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS f FROM bars QUALIFY f IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY volume) + (count(*) OVER (PARTITION BY ticker, volume) - 1) / 2 AS a, rank() OVER (PARTITION BY ticker ORDER BY f) + (count(*) OVER (PARTITION BY ticker, f) - 1) / 2 AS b FROM x) SELECT ticker, count(*) AS n, round(corr(a, b), 5) AS ic, round(corr(volume, f), 5) AS pearson FROM r GROUP BY 1 HAVING count(*) >= 10")
 query("m4_rank_sum", lambda t: rounded(factor.rank_sum_test(t.orders.withColumn("urgent", c("o_orderpriority") == "1-URGENT"), ["o_orderstatus"], "o_totalprice", "urgent"), 4), "WITH r AS (SELECT o_orderstatus, o_orderpriority = '1-URGENT' AS g, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2 AS r FROM orders), s AS (SELECT o_orderstatus, sum(r) FILTER (g) AS rs, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM r GROUP BY 1) SELECT o_orderstatus, n1, n2, round(rs - n1 * (n1 + 1) / 2, 4) AS u, round((rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 4) AS z FROM s")
-query("m11_lift", lambda t: rounded(factor.lift_at(t.bars10.withColumn("label", c("close") > c("open")).withColumn("s", c("volume") + c("ticker") / 100 + F.datediff("d", F.lit("1990-01-01").cast("date")) / 1e6), ["ticker"], "s", "label", (0.05, 0.2)), 5), "WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY volume + ticker / 100 + (d - DATE '1990-01-01') / 1e6 DESC) AS rk, count(*) OVER (PARTITION BY ticker) AS n, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY ticker) AS base, CASE WHEN close > open THEN 1.0 ELSE 0.0 END AS y FROM bars10) SELECT ticker, share, count(*) AS n, round(avg(y) / nullif(max(base), 0), 5) AS lift FROM x, (VALUES (0.05::DOUBLE), (0.2)) v(share) WHERE rk <= greatest(1, floor(n * share)) GROUP BY ALL")
+query("m11_lift", lambda t: rounded(factor.lift_at(t.bars.withColumn("label", c("close") > c("open")).withColumn("s", c("volume") + c("ticker") / 100 + F.datediff("d", F.lit("1990-01-01").cast("date")) / 1e6), ["ticker"], "s", "label", (0.05, 0.2)), 5), "WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY volume + ticker / 100 + (d - DATE '1990-01-01') / 1e6 DESC) AS rk, count(*) OVER (PARTITION BY ticker) AS n, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY ticker) AS base, CASE WHEN close > open THEN 1.0 ELSE 0.0 END AS y FROM bars) SELECT ticker, share, count(*) AS n, round(avg(y) / nullif(max(base), 0), 5) AS lift FROM x, (VALUES (0.05::DOUBLE), (0.2)) v(share) WHERE rk <= greatest(1, floor(n * share)) GROUP BY ALL")
 query("t5_long_short", lambda t: factor.long_short(t.bars.select("ticker", "d", "volume"), "d", "volume", 3, "ticker"), "SELECT ticker, d, volume, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY volume DESC, ticker) <= 3 THEN 'LONG' WHEN row_number() OVER (PARTITION BY d ORDER BY volume, ticker) <= 3 THEN 'SHORT' ELSE 'NONE' END AS position FROM bars")
 query("d21_a21_factors", lambda t: rounded(factor.equal_weight_factors(t.bars.join(F.broadcast(t.master.select("ticker", "sector", "size")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null"), "d", "r", ["sector", "size"]).select("ticker", "d", "mkt", "f_sector", "f_size"), 5), "WITH x AS (SELECT b.ticker, d, sector, size, ln(close / lag(close) OVER (PARTITION BY b.ticker ORDER BY d)) AS r FROM bars b JOIN master USING (ticker) QUALIFY r IS NOT NULL) SELECT ticker, d, round(avg(r) OVER (PARTITION BY d), 5) AS mkt, round(avg(r) OVER (PARTITION BY d, sector) - avg(r) OVER (PARTITION BY d), 5) AS f_sector, round(avg(r) OVER (PARTITION BY d, size) - avg(r) OVER (PARTITION BY d), 5) AS f_size FROM x")
 
@@ -225,7 +225,7 @@ query("d77_single_company_names", lambda t: rounded(ownership.single_company_nam
 query("d35_pairs", lambda t: t.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("leader")).join(t.customer, "c_nationkey").where("leader <> c_custkey").groupBy("leader").agg(F.count("*").alias("followers")), "SELECT leader, count(*) AS followers FROM (SELECT c_nationkey, min(c_custkey) AS leader FROM customer GROUP BY 1) JOIN customer USING (c_nationkey) WHERE leader <> c_custkey GROUP BY 1")
 
 # Scores
-query("d29_d30_d78_classes", lambda t: rounded(scoring.accuracy(backtest.own_forward_returns(t.bars10, (1,)).withColumn("s", (c("volume") % 7) - 3), "s", "f1"), 5), "WITH x AS (SELECT volume % 7 - 3 AS s, lead(close) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS r FROM bars10), y AS (SELECT *, CASE WHEN s >= 2 THEN 'UP' WHEN s <= -2 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted, CASE WHEN r > 0.02 THEN 'UP' WHEN r < -0.02 THEN 'DOWN' WHEN r IS NOT NULL THEN 'NEUTRAL' END AS actual FROM x) SELECT predicted, count(*) AS n, round(avg(CASE WHEN predicted = actual THEN 1.0 WHEN actual IS NOT NULL THEN 0.0 END), 5) AS hit_rate, round(avg(r), 5) AS mean, round(median(r), 5) AS median FROM y GROUP BY 1")
+query("d29_d30_d78_classes", lambda t: rounded(scoring.accuracy(backtest.own_forward_returns(t.bars, (1,)).withColumn("s", (c("volume") % 7) - 3), "s", "f1"), 5), "WITH x AS (SELECT volume % 7 - 3 AS s, lead(close) OVER (PARTITION BY ticker ORDER BY d) / close - 1 AS r FROM bars), y AS (SELECT *, CASE WHEN s >= 2 THEN 'UP' WHEN s <= -2 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted, CASE WHEN r > 0.02 THEN 'UP' WHEN r < -0.02 THEN 'DOWN' WHEN r IS NOT NULL THEN 'NEUTRAL' END AS actual FROM x) SELECT predicted, count(*) AS n, round(avg(CASE WHEN predicted = actual THEN 1.0 WHEN actual IS NOT NULL THEN 0.0 END), 5) AS hit_rate, round(avg(r), 5) AS mean, round(median(r), 5) AS median FROM y GROUP BY 1")
 query("d70_reaction", lambda t: rounded(asof_join(t.corp_events.withColumn("intraday", c("ticker") % 2 == 0), t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close").over(w())) - 1).alias("same"), (ratio(F.lead("close").over(w()), c("close")) - 1).alias("next")), ["ticker"], "event_d", "d").select("ticker", "event_d", F.when(c("intraday"), c("r_same")).otherwise(c("r_next")).alias("reaction"))), "WITH p AS (SELECT ticker, d, close / lag(close) OVER w - 1 AS same, lead(close) OVER w / close - 1 AS nxt FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)) SELECT e.ticker, e.event_d, round(CASE WHEN e.ticker % 2 = 0 THEN same ELSE nxt END, 6) AS reaction FROM corp_events e ASOF LEFT JOIN p ON p.ticker = e.ticker AND e.event_d >= p.d")
 query("d62_reconciliation", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(c("l_tax") == 0, "NODATA").when(F.least(*(F.abs(c("l_discount") * k - c("l_tax")) for k in (1, 10, 100))) < 0.005, "OK").otherwise("NG").alias("status")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0 THEN 'NODATA' WHEN least(abs(l_discount * 1 - l_tax), abs(l_discount * 10 - l_tax), abs(l_discount * 100 - l_tax)) < 0.005 THEN 'OK' ELSE 'NG' END AS status FROM lineitem")
 query("d79_exclusions", lambda t: t.customer.join(t.orders.where("o_orderstatus = 'P' and o_orderpriority not like '5%'").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority NOT LIKE '5%')")

@@ -22,7 +22,7 @@ def w():
 
 # Sources and sinks
 query("s3_parameters", lambda t: t.spark.sql("SELECT l_returnflag, count(*) AS n FROM {li} WHERE l_quantity >= :least AND array_contains(:modes, l_returnflag) GROUP BY 1", args={"least": 10, "modes": F.array(F.lit("A"), F.lit("N"))}, li=t.lineitem), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 10 AND l_returnflag IN ('A', 'N') GROUP BY 1")
-query("s15_unpivot", lambda t: rounded(t.bars10.unpivot(["ticker", "d"], ["open", "close"], "kind", "price")), "SELECT ticker, d, 'open' AS kind, round(open, 6) AS price FROM bars10 UNION ALL SELECT ticker, d, 'close', round(close, 6) FROM bars10")
+query("s15_unpivot", lambda t: rounded(t.bars.unpivot(["ticker", "d"], ["open", "close"], "kind", "price")), "SELECT ticker, d, 'open' AS kind, round(open, 6) AS price FROM bars UNION ALL SELECT ticker, d, 'close', round(close, 6) FROM bars")
 query("s16_literal_relation", lambda t: t.spark.sql("SELECT inline(array(named_struct('k', 1, 'v', 'a'), named_struct('k', 2, 'v', 'b')))").join(t.region, c("k") == c("r_regionkey")).select("k", "v", "r_name"), "SELECT k, v, r_name FROM (VALUES (1, 'a'), (2, 'b')) x(k, v) JOIN region ON k = r_regionkey")
 query("s17_first_source", lambda t: first_nonempty(t.orders.where("o_totalprice < 0"), t.orders.where("o_orderstatus = 'F'")).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 query("s18_fallback", lambda t: with_fallback(t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit("main").alias("origin")), t.customer.where("c_custkey % 2 = 0").select("c_custkey", F.lit("fallback").alias("origin")), ["c_custkey"]), "SELECT c_custkey, 'main' AS origin FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'fallback' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
@@ -73,8 +73,8 @@ def _intervals(t):
 
 
 query("j19_interval_lookup", _intervals, """WITH b AS (SELECT ticker, min(event_d) AS lo0, max(event_d) AS hi0 FROM corp_events GROUP BY 1), s AS (SELECT ticker, lo0 AS lo, lo0 + 300 AS hi, 'early' AS label FROM b UNION ALL SELECT ticker, hi0 - 300, hi0, 'late' FROM b WHERE hi0 - 300 > DATE '1996-01-01'),
-    j AS (SELECT p.ticker, p.d, label, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN 1 WHEN lo > d THEN 2 END AS k, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN d - hi WHEN lo > d THEN lo - d END AS far FROM (SELECT ticker, d FROM bars) p LEFT JOIN s USING (ticker))
-    SELECT ticker, d, first(label ORDER BY k, far, label) AS label, CAST(min(k) AS INTEGER) AS match_kind FROM j GROUP BY 1, 2""")
+    j AS (SELECT p.ticker, p.d, label, lo, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN 1 WHEN lo > d THEN 2 END AS k, CASE WHEN d BETWEEN lo AND hi THEN 0 WHEN hi < d THEN d - hi WHEN lo > d THEN lo - d END AS far FROM (SELECT ticker, d FROM bars) p LEFT JOIN s USING (ticker))
+    SELECT ticker, d, first(label ORDER BY k, far, lo, label) AS label, CAST(min(k) AS INTEGER) AS match_kind FROM j GROUP BY 1, 2""")
 query("j20_group_pairs", lambda t: group_pairs(t.supplier, ["s_nationkey"], "s_suppkey"), "SELECT a.s_nationkey, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 query("j21_sibling_pairs", lambda t: leader_pairs(t.supplier, ["s_nationkey"], "s_suppkey"), "WITH m AS (SELECT s_nationkey, min(s_suppkey) AS l FROM supplier GROUP BY 1), d AS (SELECT l AS leader, s_suppkey AS follower, s_nationkey FROM supplier JOIN m USING (s_nationkey) WHERE l <> s_suppkey) SELECT leader, follower, 'direct' AS kind FROM d UNION ALL SELECT a.follower, b.follower, 'sibling' FROM d a JOIN d b USING (s_nationkey) WHERE a.follower <> b.follower")
 query("j22_fuzzy", lambda t: rounded(fuzzy_match(t.nation.select("n_name"), t.nation.select(F.concat(c("n_name"), F.lit(" x")).alias("target")), "n_name", "target", F.substring("n_name", 1, 1), F.substring("target", 1, 1), 0.5)), "WITH s AS (SELECT a.n_name, b.n_name || ' x' AS target, regexp_replace(lower(a.n_name), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(b.n_name || ' x'), '[^a-z0-9]', '', 'g') AS q FROM nation a JOIN nation b ON a.n_name[1] = b.n_name[1]) SELECT n_name, arg_max(target, 1 - levenshtein(p, q) / greatest(length(p), length(q))) AS match, round(max(1 - levenshtein(p, q) / greatest(length(p), length(q))), 6) AS score FROM s WHERE 1 - levenshtein(p, q) / greatest(length(p), length(q)) >= 0.5 GROUP BY 1")
@@ -105,9 +105,9 @@ query("w15_rolling_median", lambda t: rounded(t.bars10.select("ticker", "d", rol
 query("w16_rolling_correlation", lambda t: rounded(t.bars10.select("ticker", "d", rolling(F.corr("close", "volume"), c("close"), w(), 30).alias("r")), 5), "SELECT ticker, d, CASE WHEN count(close) OVER w >= 30 THEN round(corr(close, volume) OVER w, 5) END AS r FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING)")
 query("w17_streak", lambda t: streak(t.bars.select("ticker", "d", "volume"), ["ticker"], ["d"], c("volume") > 25, "run"), "WITH x AS (SELECT ticker, d, volume, volume > 25 AS f, sum(CASE WHEN volume > 25 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY d) AS g FROM bars) SELECT ticker, d, volume, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, g ORDER BY d) AS BIGINT) AS run FROM x")
 query("w19_returns", lambda t: rounded(t.bars.select("ticker", "d", (ratio(c("close"), F.lag("close", 5).over(w())) - 1).alias("r5"), F.log(c("close") / F.lag("close").over(w())).alias("log_r"))), "SELECT ticker, d, round(close / nullif(lag(close, 5) OVER w, 0) - 1, 6) AS r5, round(ln(close / lag(close) OVER w), 6) AS log_r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)")
-query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars10.select("ticker").distinct())).join(t.bars10.select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", w(), 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars10) k LEFT JOIN bars10 b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
-query("w21_drawdown", lambda t: rounded(t.bars10.select("ticker", "d", "close").withColumn("dd", drawdown("close", ["ticker"], ["d"]))), "SELECT ticker, d, round(close, 6) AS close, round(close / max(close) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING) - 1, 6) AS dd FROM bars10")
-query("w22_trailing_hit_rate", lambda t: rounded(t.bars10.withColumn("win", (c("close") > c("open")).cast("double")).select("ticker", "d", F.when(F.count("win").over(w().rowsBetween(-20, -1)) == 20, F.avg("win").over(w().rowsBetween(-20, -1))).alias("rate"))), "SELECT ticker, d, CASE WHEN count(*) OVER w = 20 THEN round(avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS rate FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+query("w20_forward_fill", lambda t: rounded(t.calendar.crossJoin(F.broadcast(t.bars.select("ticker").distinct())).join(t.bars.select("ticker", "d", "close"), ["ticker", "d"], "left").select("ticker", "d", forward_fill("close", w(), 3).alias("filled"))), "WITH x AS (SELECT k.ticker, c.d, b.close FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM bars) k LEFT JOIN bars b ON b.ticker = k.ticker AND b.d = c.d) SELECT ticker, d, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM x")
+query("w21_drawdown", lambda t: rounded(t.bars.select("ticker", "d", "close").withColumn("dd", drawdown("close", ["ticker"], ["d"]))), "SELECT ticker, d, round(close, 6) AS close, round(close / max(close) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING) - 1, 6) AS dd FROM bars")
+query("w22_trailing_hit_rate", lambda t: rounded(t.bars.withColumn("win", (c("close") > c("open")).cast("double")).select("ticker", "d", F.when(F.count("win").over(w().rowsBetween(-20, -1)) == 20, F.avg("win").over(w().rowsBetween(-20, -1))).alias("rate"))), "SELECT ticker, d, CASE WHEN count(*) OVER w = 20 THEN round(avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS rate FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 query("w25_w26_counts", lambda t: t.bars.select("ticker", "d", (F.row_number().over(w()) - 1).alias("i"), F.count("*").over(over(["d"])).alias("names")), "SELECT ticker, d, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY d) AS names FROM bars")
 query("w31_competition_rank", lambda t: t.orders.select("o_custkey", "o_orderkey", F.rank().over(Window.partitionBy("o_custkey").orderBy(F.to_date("o_orderdate").desc())).alias("rank")), "SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC) AS INTEGER) AS rank FROM orders")
 

@@ -43,7 +43,7 @@ query("a19_unstack", lambda t: t.bars.groupBy(F.year("d").alias("y")).pivot("tic
 query("a25_counts_by_keys", lambda t: t.lineitem.groupBy(F.to_date("l_shipdate").alias("day"), "l_returnflag").agg(F.count("*").alias("n")), "SELECT l_shipdate::DATE AS day, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
 query("w2_nth_row", lambda t: rounded(t.bars.withColumn("k", F.row_number().over(over(["ticker"], [c("d").desc()]))).where("k = 3").select("ticker", "d", "close"), 6), "SELECT ticker, d, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) = 3")
 query("w10_case_order", lambda t: latest_by(t.orders, ["o_custkey"], [F.when(c("o_orderstatus") == "P", 0).when(c("o_orderstatus") == "O", 1).otherwise(2), c("o_orderdate").desc(), c("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) = 1")
-query("w18_shifted_max", lambda t: rounded(t.bars10.select("ticker", "d", F.max("close").over(w().rowsBetween(-60, -1)).alias("level")), 6), "SELECT ticker, d, round(max(close) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 6) AS level FROM bars10")
+query("w18_shifted_max", lambda t: rounded(t.bars.select("ticker", "d", F.max("close").over(w().rowsBetween(-60, -1)).alias("level")), 6), "SELECT ticker, d, round(max(close) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 6) AS level FROM bars")
 query("w23_w24_recent_members", lambda t: t.bars.select("ticker", "d", F.max((c("volume") > 40).cast("int")).over(w().rowsBetween(-20, -1)).alias("held")), "SELECT ticker, d, max(CASE WHEN volume > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS held FROM bars")
 query("w27_self_correlation", lambda t: rounded(factor.lag_correlation(t.bars10, ["ticker"], "d", "volume", "volume", (1, 5)), 5), "WITH l AS (SELECT volume AS x, lead(volume, 1) OVER w AS y1, lead(volume, 5) OVER w AS y5 FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 1 AS lag, x, y1 AS y FROM l UNION ALL SELECT 5, x, y5 FROM l), r AS (SELECT lag, rank() OVER (PARTITION BY lag ORDER BY x) + (count(*) OVER (PARTITION BY lag, x) - 1) / 2 AS a, rank() OVER (PARTITION BY lag ORDER BY y) + (count(*) OVER (PARTITION BY lag, y) - 1) / 2 AS b FROM u WHERE y IS NOT NULL) SELECT lag, count(*) AS n, round(corr(a, b), 5) AS ic FROM r GROUP BY 1")
 query("w28_market_lag", lambda t: rounded(t.market.select("d", (c("close") / F.lag("close").over(Window.orderBy("d")) - 1).alias("r")), 6), "SELECT d, round(close / lag(close) OVER (ORDER BY d) - 1, 6) AS r FROM market")

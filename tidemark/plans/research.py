@@ -55,7 +55,7 @@ def _companies(t):
 
 query("d55_net_cash", lambda t: rounded(screens.net_cash_screen(_companies(t), 0.3).select("ticker", "market_value", "net_cash_ratio", "per"), 5), "WITH x AS (SELECT ticker, abs(balance) + coalesce(CASE WHEN ticker % 3 = 0 THEN balance / 2 END, 0) + 0.7 * (ticker * 10.0) - coalesce(CASE WHEN ticker % 2 = 0 THEN 900.0 END, 0) AS net, (ticker + 20.0) * (100.0 - CASE WHEN ticker % 5 = 0 THEN 10.0 ELSE 0 END) AS mv, coalesce(nullif(CASE WHEN ticker % 4 > 0 THEN ticker - 8.0 END, 0), 50.0) AS pf FROM master) SELECT ticker, round(mv::DOUBLE, 5) AS market_value, round(net::DOUBLE / mv::DOUBLE, 5) AS net_cash_ratio, round(mv::DOUBLE / pf::DOUBLE, 5) AS per FROM x WHERE net::DOUBLE / mv::DOUBLE >= 0.3")
 query("d63_compare", lambda t: facts.compared(t.customer.where("c_custkey % 7 > 0").select("c_custkey", F.when(c("c_custkey") % 11 > 0, c("c_acctbal")).alias("v")), t.customer.where("c_custkey % 5 > 0").select("c_custkey", F.when(c("c_custkey") % 3 == 0, c("c_acctbal") * 1.05).otherwise(c("c_acctbal")).alias("v")), ["c_custkey"], "v"), "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN 'MISS' WHEN c_custkey % 11 = 0 THEN 'NULL' WHEN c_custkey % 3 = 0 AND c_acctbal <> 0 THEN 'DIFF' ELSE 'OK' END AS status FROM customer WHERE c_custkey % 7 > 0 OR c_custkey % 5 > 0")
-query("d68_month_alerts", lambda t: rounded(screens.month_alerts(t.bars10.groupBy("ticker", F.trunc("d", "month").alias("m")).agg(F.sum("volume").alias("v")).withColumn("v", F.when(F.month("m") % 5 > 0, c("v"))), "ticker", "m", "v", 0.3), 4), "WITH x AS (SELECT ticker, CAST(date_trunc('month', d) AS DATE) AS m, CASE WHEN month(date_trunc('month', d)) % 5 > 0 THEN sum(volume) END AS v FROM bars10 GROUP BY ticker, date_trunc('month', d)), y AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reference FROM x) SELECT ticker, m, round(v, 4) AS v, round(reference, 4) AS reference, CASE WHEN reference IS NULL THEN 'NEW' WHEN abs((v - reference) / abs(reference)) > 0.3 THEN 'ALERT' ELSE 'OK' END AS status FROM y")
+query("d68_month_alerts", lambda t: rounded(screens.month_alerts(t.bars.groupBy("ticker", F.trunc("d", "month").alias("m")).agg(F.sum("volume").alias("v")).withColumn("v", F.when(F.month("m") % 5 > 0, c("v"))), "ticker", "m", "v", 0.3), 4), "WITH x AS (SELECT ticker, CAST(date_trunc('month', d) AS DATE) AS m, CASE WHEN month(date_trunc('month', d)) % 5 > 0 THEN sum(volume) END AS v FROM bars GROUP BY ticker, date_trunc('month', d)), y AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reference FROM x) SELECT ticker, m, round(v, 4) AS v, round(reference, 4) AS reference, CASE WHEN reference IS NULL THEN 'NEW' WHEN abs((v - reference) / abs(reference)) > 0.3 THEN 'ALERT' ELSE 'OK' END AS status FROM y")
 query("d23_training_rows", lambda t: screens.training_rows(t.bars.select("ticker", "d"), t.corp_events, 20).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("label").alias("positive")), "WITH f AS (SELECT ticker, min(event_d) AS e FROM corp_events GROUP BY 1), x AS (SELECT b.ticker, b.d, e, row_number() OVER (PARTITION BY b.ticker ORDER BY b.d DESC) AS k FROM bars b LEFT JOIN f ON f.ticker = b.ticker WHERE e IS NULL OR b.d <= e) SELECT ticker, count(*) AS n, sum(CASE WHEN e IS NOT NULL AND k <= 20 THEN 1 ELSE 0 END)::BIGINT AS positive FROM x GROUP BY 1")
 query("d24_w30_year_features", lambda t: rounded(t.bars.withColumn("y", F.year(F.add_months("d", -5))).withColumn("rk", F.row_number().over(Window.partitionBy("ticker", "y").orderBy(c("d").desc()))).groupBy("ticker", "y").agg(*(F.max(F.when(c("rk") == k, c("close"))).alias(f"c{k}") for k in (1, 10, 40))), 5), "WITH x AS (SELECT ticker, year(d - INTERVAL 5 MONTH) AS y, close, row_number() OVER (PARTITION BY ticker, year(d - INTERVAL 5 MONTH) ORDER BY d DESC) AS rk FROM bars) SELECT ticker, y, " + ", ".join(f"round(max(close) FILTER (rk = {k}), 5) AS c{k}" for k in (1, 10, 40)) + " FROM x GROUP BY 1, 2")
 
@@ -69,7 +69,7 @@ def _earnings(t):
 
 
 query("d27_earnings_features", _earnings, "WITH e AS (SELECT ticker, dated, max(sales) AS estimate FROM consensus WHERE source = 'A' GROUP BY 1, 2), x AS (SELECT f.*, (SELECT arg_max(close, d) FROM bars b WHERE b.ticker = f.ticker AND b.d < f.disclosed) AS p, (SELECT arg_max(estimate, dated) FROM e WHERE e.ticker = f.ticker AND e.dated <= f.disclosed) AS est FROM fin_cum f) SELECT ticker, fy, q, disclosed, round(p, 5) AS close_before, CASE WHEN est <> 0 THEN round(least(greatest((sales - est) / abs(est), -5), 5), 5) END AS deviation, round(p / nullif(sales, 0), 5) AS multiple FROM x")
-query("d71_ic_table", lambda t: rounded(factor.spearman(technicals.technical_features(t.bars10).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).select("f5", F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), c(n).alias("x")) for n in ("day", "gap", "volume_ratio"))))), ["factor"], "x", "f5").select("factor", "n", "ic"), 4), "WITH b AS (SELECT close / open - 1 AS day, open / lag(close) OVER w - 1 AS gap, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) AS vr, lead(close, 5) OVER w / close - 1 AS f FROM bars10 WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 'day' AS factor, day AS x, f FROM b UNION ALL SELECT 'gap', gap, f FROM b UNION ALL SELECT 'volume_ratio', vr, f FROM b), r AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS p, rank() OVER (PARTITION BY factor ORDER BY f) + (count(*) OVER (PARTITION BY factor, f) - 1) / 2 AS q FROM u WHERE x IS NOT NULL AND f IS NOT NULL) SELECT factor, count(*) AS n, round(corr(p, q), 4) AS ic FROM r GROUP BY 1 HAVING count(*) >= 10")
+query("d71_ic_table", lambda t: rounded(factor.spearman(technicals.technical_features(t.bars).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).select("f5", F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), c(n).alias("x")) for n in ("day", "gap", "volume_ratio"))))), ["factor"], "x", "f5").select("factor", "n", "ic"), 4), "WITH b AS (SELECT close / open - 1 AS day, open / lag(close) OVER w - 1 AS gap, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) AS vr, lead(close, 5) OVER w / close - 1 AS f FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 'day' AS factor, day AS x, f FROM b UNION ALL SELECT 'gap', gap, f FROM b UNION ALL SELECT 'volume_ratio', vr, f FROM b), r AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS p, rank() OVER (PARTITION BY factor ORDER BY f) + (count(*) OVER (PARTITION BY factor, f) - 1) / 2 AS q FROM u WHERE x IS NOT NULL AND f IS NOT NULL) SELECT factor, count(*) AS n, round(corr(p, q), 4) AS ic FROM r GROUP BY 1 HAVING count(*) >= 10")
 def _windows(t):
     """Calendar days, one score, one bound."""
     maxima = backtest.window_maxima(t.bars.select("ticker", "d", "volume"), t.corp_events, "ticker", "d", "event_d", ["volume"], (10, 30), business=False)
