@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _NAME, _SPACE, _ATTRIBUTE, _EQUALS, _VALUE = (re.compile(p) for p in (r"[a-zA-Z][^\s/>]*", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
@@ -234,18 +234,20 @@ def adapted(cells: DataFrame, key: str, columns: dict[str, str], heads: int | No
 
     A grid column's label is the texts above its data, from top to bottom without repeats, one space between; ``heads`` rows are
     labels, or else those before the first row with a cell that isn't one. A name is the leftmost column whose label has its
-    pattern. Tables with none of the names give no rows; rows above the data are left out.
+    pattern. Tables with none of the names give no rows; rows above the data are left out. A table's
+    cells are shuffled once, and are together in one task.
     """
-    at = [key, "table"]
-    data = F.min(F.when(~F.col("head"), F.col("row"))) if heads is None else F.lit(heads)
-    begin = cells.groupBy(*at).agg(data.alias("_begin"))
-    x = cells.join(begin, at)
-    above = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda r: r["text"])
-    labels = x.where(F.col("row") < F.col("_begin")).groupBy(*at, "column").agg(F.array_join(F.array_distinct(above), " ").alias("_label"))
-    named = labels.select(*at, "column", F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.col("_label").rlike(p).alias("_is")) for n, p in columns.items()))).alias("_c")).where("_c._is")
-    named = named.groupBy(*at, F.col("_c._name").alias("_name")).agg(F.min("column").alias("column"))
-    found = x.where(F.col("row") >= F.col("_begin")).join(named, [*at, "column"])
-    return found.groupBy(*at, "row").agg(*(F.max(F.when(F.col("_name") == n, F.col("text"))).alias(n) for n in columns))
+    one, down = Window.partitionBy(key, "table"), Window.partitionBy(key, "table", "column").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    x = cells.withColumn("_begin", F.min(F.when(~F.col("head"), F.col("row"))).over(one) if heads is None else F.lit(heads))
+    above = F.collect_list(F.when(F.col("row") < F.col("_begin"), F.col("text"))).over(down)
+    x = x.withColumn("_label", F.array_join(F.array_distinct(above), " ")).where(F.col("row") >= F.col("_begin"))
+    at = {name: F.min(F.when(F.col("_label").rlike(pattern), F.col("column"))).over(one) for name, pattern in columns.items()}
+    x = x.withColumns({f"_at_{name}": c for name, c in at.items()})
+    mine = {name: F.col("column") == F.col(f"_at_{name}") for name in columns}
+    named = F.lit(False)
+    for held in mine.values():
+        named = named | F.coalesce(held, F.lit(False))
+    return x.where(named).groupBy(key, "table", "row").agg(*(F.max(F.when(held, F.col("text"))).alias(name) for name, held in mine.items()))
 
 
 def figure(text: str | Column) -> Column:

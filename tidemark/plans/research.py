@@ -93,12 +93,22 @@ def _filings(t):
 query("s11_s12_xml_facts", _filings, "SELECT c_custkey, 'NetSales' AS name, 'Now' AS context, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS value FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, 'Name', 'Now', c_name FROM customer WHERE c_custkey % 10 <> 0")
 
 
-def _paged(t):
-    t.spark.dataSource.register(facts.PagedSource)
-    return t.spark.read.format("paged").option("pages", 4).option("rows", 25).load()
+_ORDER = "o_orderkey long, o_custkey long, o_totalprice double"
 
 
-query("s14_paged_source", _paged, "SELECT (i // 25)::INTEGER AS page, (i % 25)::INTEGER AS row, i::DOUBLE AS value FROM range(100) r(i)")
+def _responses(t):
+    """What a service would say that has the orders in pages of a hundred keys: some pages at the second or third attempt, after errors and bodies cut short."""
+    x = t.orders.groupBy(F.floor(c("o_orderkey") / 100).alias("page")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_totalprice"))).alias("items"))
+    body = F.to_json(F.struct("page", (c("page") + 1).alias("next"), "items"))
+    slow = F.struct(F.lit(1).alias("attempt"), F.lit(429).alias("status"), F.lit('{"error": "slow down"}').alias("body"))
+    cut = F.struct(F.lit(2).alias("attempt"), F.lit(200).alias("status"), F.substring(body, F.lit(1), F.length(body) - 5).alias("body"))
+    good = F.struct(F.lit(3).alias("attempt"), F.lit(200).alias("status"), body.alias("body"))
+    tries = F.when(c("page") % 5 == 0, F.array(slow, cut, good)).when(c("page") % 3 == 0, F.array(slow, good)).otherwise(F.array(good))
+    return x.select("page", F.inline(tries))
+
+
+query("s14_paged_source", lambda t: facts.paged_items(_responses(t), _ORDER), """
+    SELECT o_orderkey // 100 AS page, (row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1)::INTEGER AS item, o_orderkey, o_custkey, o_totalprice FROM orders""")
 query("f16_file_names", lambda t: t.customer.select("c_custkey", *facts.name_parts(F.concat(F.lit("file:/a/b/"), c("c_custkey").cast("string"), F.lit("_20240105_"), c("c_mktsegment"), F.lit(".pdf")), ["code", "day", "kind"])), "SELECT c_custkey, c_custkey::VARCHAR AS code, '20240105' AS day, c_mktsegment AS kind FROM customer")
 
 

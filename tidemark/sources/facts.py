@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FACTS = "name string, context string, value string"
 
@@ -52,30 +51,18 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-class PagedSource(DataSource):
-    """A source that answers in pages: a partition for each page, each read once and again if a task fails.
+def paged_items(responses: DataFrame, schema: str, page: str = "page", attempt: str = "attempt", status: str = "status", body: str = "body") -> DataFrame:
+    """page, item and the fields of ``schema`` for the items of a service's pages, each asked for as often as it took.
 
-    Options: pages, rows (in a page). It stands for a remote service, which a subclass's reader would ask.
+    A page is what its last attempt with status 200 and a whole body says, {"items": [...]}; error answers and bodies that end early
+    count as nothing. Pages that no attempt has brought give no rows: see missing_pages().
     """
+    whole = f"items array<struct<{schema}>>, _broken string"
+    x = responses.where(F.col(status) == 200).withColumn("_b", F.from_json(body, whole, {"columnNameOfCorruptRecord": "_broken"})).where("_b._broken is null and _b.items is not null")
+    last = x.groupBy(page).agg(F.max_by("_b", attempt).alias("_b"))
+    return last.select(page, F.posexplode("_b.items").alias("item", "_i")).select(page, "item", "_i.*")
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
 
-    def schema(self) -> str:
-        return "page int, row int, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagedReader(int(self.options.get("pages", 1)), int(self.options.get("rows", 10)))
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, pages: int, rows: int):
-        self.pages, self.rows = pages, rows
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for r in range(self.rows):
-            yield partition.value, r, float(partition.value * self.rows + r)
+def missing_pages(responses: DataFrame, schema: str, page: str = "page", **names: str) -> DataFrame:
+    """Pages that were asked for and have no items."""
+    return responses.select(page).distinct().join(paged_items(responses, schema, page, **names).select(page).distinct(), page, "left_anti")
