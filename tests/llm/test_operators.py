@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import unicodedata
@@ -13,6 +15,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -55,9 +58,11 @@ def texts(data):
 
 
 # 1 and 4
+TOKENIZER = functools.cache(lambda: Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def tokenised(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return t.encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_agrees_with_the_tokenizer():
@@ -103,22 +108,60 @@ def feistel_brute(x, n, key):
             return x
 
 
-@pytest.mark.parametrize("shard_rows", [1, 4, 100])
-def test_training_order_is_the_permutation(spark, data, shard_rows):
-    """Sequences are read in the order of their slots, worked out one by one, whatever the shards."""
+def order_files(path):
+    return {f.parent.name: f.read_bytes() for f in pathlib.Path(path.removeprefix("file://")).rglob("part-*")}
+
+
+def stream(path):
+    """(doc_id, id) of every token of a table, in the order of its files' rows."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{path}') ORDER BY filename, file_row_number").fetchall()
+    return [(-1 if i is None else i, x) for i, t in rows for x in [*tokenised(t), tokens.END]]
+
+
+@pytest.mark.parametrize("shard_rows", [7, 100])
+def test_training_order_is_the_permutation(spark, tmp_path, data, shard_rows):
+    """Sequence k of the stream of all tokens is at the slot that the permutation gives it, in shard slot // rows at row slot % rows, and the files are the
+    same bytes however the table's files are split."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").arrow().read_all()
+    (tmp_path / "docs.parquet").mkdir()
+    for k in range(3):
+        pq.write_table(rows.slice(70 * k, 70), tmp_path / f"docs.parquet/{k}.parquet", row_group_size=9)
+    docs = spark.read.parquet(f"file://{tmp_path}/docs.parquet")
+    found = []
+    for size in ("128m", "30k", "200k"):
+        path = scratch(spark, "order")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            tokens.write_training_order(docs, path, key=99, shard_rows=shard_rows)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        found.append(order_files(path))
+    assert found[0] == found[1] == found[2]
+    whole = [(i, x) for k in range(3) for i, x in stream(tmp_path / f"docs.parquet/{k}.parquet")]
+    n = -(-len(whole) // tokens.SEQUENCE)
+    assert len(found[0]) == -(-n // shard_rows) and n > 20
+    for k in range(n):
+        own = whole[k * tokens.SEQUENCE : (k + 1) * tokens.SEQUENCE]
+        slot = feistel_brute(k, n, 99)
+        shard = np.frombuffer(found[0][f"shard={slot // shard_rows}"], tokens.RECORD)
+        record = shard[slot % shard_rows]
+        assert record["doc_id"] == own[0][0] and record["ids"][: record["length"]].tolist() == [x for _, x in own]
+    got = tokens.read_training_order(spark, path).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(n))
+    assert [r.doc_id for r in got] == [whole[k * tokens.SEQUENCE][0] for k in sorted(range(n), key=lambda k: feistel_brute(k, n, 99))]
+
+
+def test_training_order_of_shuffled_rows(spark, data):
+    """What isn't a scan of files is written first, and is then in an order that stays."""
     docs = table(spark, data, "documents").repartition(5, "doc_id")
     path = scratch(spark, "order")
-    tokens.write_training_order(docs, path, key=99, shard_rows=shard_rows)
-    rows = tokens.sequences(docs)
-    most = tokens.numbering(docs)[1]
-    n = rows.rdd.getNumPartitions() * most
-    slots = {}
-    for r in rows.collect():
-        record = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.record) + b"\n", tokens.RECORD)[0]
-        slots[feistel_brute(r.part * most + r.row, n, 99)] = (int(record["doc_id"]), record["ids"][: record["length"]].tobytes())
-    got = tokens.read_training_order(spark, path).orderBy("position").collect()
-    assert [r.position for r in got] == list(range(len(slots)))
-    assert [(r.doc_id, bytes(r.ids)) for r in got] == [slots[k] for k in sorted(slots)]
+    tokens.write_training_order(docs, path, shard_rows=7)
+    rows = tokens.read_training_order(spark, path).collect()
+    want = collections.Counter(x for t in texts(data).values() for x in [*tokenised(t), tokens.END])
+    assert collections.Counter(x for r in rows for x in np.frombuffer(r.ids, "<u2").tolist()) == want
+    assert sorted(r.position for r in rows) == list(range(-(-want.total() // tokens.SEQUENCE))) and sum(r.length < tokens.SEQUENCE for r in rows) <= 1
 
 
 def check_packing(rows, docs, window=1024):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,9 +12,10 @@ import pyarrow as pa
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import batched, running_totals, scratch, table
+from .common import batched, scratch, table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
@@ -28,8 +29,6 @@ class Encoder:
     """
 
     def __init__(self, path: str, rank_path: str):
-        import re
-
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -75,92 +74,148 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_CUT = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("record", pa.binary())])
+#: Tasks that shards are dealt to at most; beyond it a task writes several shards that follow one another.
+MOST_TASKS = 50_000
+_PIECE = pa.schema([("slot", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sequences of a task's batches (doc_id, text), see sequences()."""
-    encode, part, row = encoder().encode, TaskContext.get().partitionId(), 0
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    ids, owners = np.zeros(0, "<u2"), np.zeros(0, "<i8")
-
-    def cut(last: bool) -> pa.RecordBatch:
-        nonlocal ids, owners, row
-        n = -(-len(ids) // SEQUENCE) if last else len(ids) // SEQUENCE
-        records = np.zeros(n, RECORD)
-        for k in range(n):
-            own = ids[k * SEQUENCE : (k + 1) * SEQUENCE]
-            records[k]["doc_id"], records[k]["length"], records[k]["ids"][: len(own)] = owners[k * SEQUENCE], len(own), own
-        ids, owners = ids[n * SEQUENCE :], owners[n * SEQUENCE :]
-        row += n
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.arange(row - n, row)), pa.array([squeeze(x.tobytes()[:-1]) for x in records], pa.binary())], schema=_CUT)
-
-    for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            some = [(d.as_py(), encode(t.as_py() or "") + [END]) for d, t in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200])]
-            ids = np.concatenate([ids, *(np.asarray(x, "<u2") for _, x in some)])
-            owners = np.concatenate([owners, np.repeat([-1 if d is None else d for d, _ in some], [len(x) for _, x in some])])
-            yield cut(False)
-    if len(ids):
-        yield cut(True)
+def _from_files(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and the place in it where the part that a row comes from starts. What isn't a plain scan of files is written first, so that
+    rows have an order that stays."""
+    columns = lambda df: df.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    try:
+        found = columns(docs)
+    except AnalysisException:
+        found = None
+    if found is None or re.search(r"\b(Repartition|Join|Aggregate|Window|Sort|Union|Sample|Limit|Generate|Rebalance)", found._jdf.queryExecution().analyzed().toString()):
+        found = columns(written(docs.select("doc_id", "text"), "documents"))
+    return found
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return batched(docs).selectExpr("cast(doc_id as long) as doc_id", "text")
+    """doc_id, text, _file and _start of _from_files()."""
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_file", "_start")
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """part, row, record (compressed): the documents of each task, each closed by END, cut into sequences of SEQUENCE tokens.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list]]:
+    """(number of the run, its file and start, some of its (doc_id, ids)): a run is what a task reads from one part of a file, one after another."""
+    encode, number, now = encoder().encode, -1, ()
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            doc_ids, texts, files, starts = (c.to_pylist() for c in batch.slice(k, 200).columns)
+            at = 0
+            while at < len(texts):
+                here = (files[at], starts[at])
+                if here != now:
+                    number, now = number + 1, here
+                end = at
+                while end < len(texts) and (files[end], starts[end]) == here:
+                    end += 1
+                yield number, here, [(d, encode(t or "") + [END]) for d, t in zip(doc_ids[at:end], texts[at:end])]
+                at = end
 
-    Only the last sequence of a task is shorter. part and row are the task's number and the place in it, the same in each
-    attempt, as a task's files are.
-    """
-    return _texts(docs).mapInArrow(_cut, "part int, row long, record binary")
 
+def run_tokens(docs: DataFrame) -> DataFrame:
+    """part (the task's number), run, file, start and tokens of each run of ``docs`` (see _from_files()): a few rows a task."""
 
-def numbering(docs: DataFrame) -> tuple[int, int]:
-    """Bytes of all texts, and how many sequences a task can have at most."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
-    return size["bytes"], (size["bytes"] + size["docs"]) // SEQUENCE + 1  # a token has a byte at least
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found = TaskContext.get().partitionId(), {}
+        for number, here, some in _runs(batches):
+            found[number] = (*here, found.get(number, (*here, 0))[2] + sum(len(ids) for _, ids in some))
+        columns = [[part] * len(found), list(found), *([x[k] for x in found.values()] for k in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "run", "file", "start", "tokens"])
 
+    return _texts(docs).mapInArrow(count, "part int, run int, file string, start long, tokens long")
 
-def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> None:
-    """Write the sequences of ``docs`` in a keyed global order as shards under ``path``, SHARD_ROWS each or so.
 
-    A sequence's number is its task's, times more than any task can have, plus its place there. So numbers need no count of
-    the sequences, which nothing else would need, either, and texts are encoded once. The permutation of all numbers gives
-    the slots; equal ranges of slots are the shards. Row r of shard s is the sequence at position (rows of earlier shards)
-    + r, RECORD.itemsize bytes each, so a reader seeks to any position by the files' lengths alone and resumes there.
+def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> None:
+    """Write the documents of ``docs``, each closed by END, one after another in sequences of SEQUENCE tokens and these in a keyed global order, as shards of ``shard_rows`` under ``path``.
+
+    Texts are encoded twice. First each task counts the tokens of what it reads, a few numbers a task, and running sums over files and places
+    in them say where in the whole stream of tokens each run starts: so the stream, its sequences and their numbers 0 to n - 1
+    are the same however files are split. Then each task cuts its
+    part of the stream; a sequence that begins in one task and ends in another meets in its shard. The permutation of 0 to n - 1
+    gives each sequence its slot, and slot // shard_rows and slot % shard_rows are its shard and its row there, of
+    RECORD.itemsize bytes each. All shards but the last are full.
     """
-    texts = _texts(docs)
-    size, most = numbering(docs)
-    n = texts.rdd.getNumPartitions() * most
-    shards = max(1, size // (2 * SEQUENCE * shard_rows))
+    docs = _from_files(docs)
+    before = Window.orderBy("file", "start", "part", "run").rowsBetween(Window.unboundedPreceding, -1)  # a few rows a task
+    runs = written(run_tokens(docs), "runs").withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    found = runs.select("part", "run", "first", "tokens").orderBy("part", "run").collect()
+    tokens = sum(r["tokens"] for r in found)
+    n = -(-tokens // SEQUENCE)
+    parts, firsts = np.array([r["part"] for r in found], np.int32), np.array([r["first"] for r in found], np.int64)
+    shards = max(1, -(-n // shard_rows))
+    tasks = min(shards, MOST_TASKS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cut(batches):  # in one Python worker
-            slots = feistel(batch.column("part").to_numpy().astype(np.int64) * most + batch.column("row").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // -(-n // shards)), batch.column("record")], names=["slot", "shard", "record"])
+        own = firsts[np.searchsorted(parts, TaskContext.get().partitionId()) :]
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        now, at, ids, owners = -1, 0, np.zeros(0, "<u2"), np.zeros(0, "<i8")
+
+        def cut(last: bool) -> pa.RecordBatch:
+            """Pieces up to the next ends of sequences, and what is left of a run that ends."""
+            nonlocal ids, owners, at
+            ends = np.arange(SEQUENCE - at % SEQUENCE, len(ids) + 1, SEQUENCE)
+            if last and len(ids) and (not len(ends) or ends[-1] < len(ids)):
+                ends = np.append(ends, len(ids))
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+            slots = feistel((at + starts) // SEQUENCE, n, key)
+            out = [pa.array(slots), pa.array(((at + starts) % SEQUENCE).astype(np.int32)), pa.array(owners[starts]), pa.array([squeeze(ids[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary())]
+            done = int(ends[-1]) if len(ends) else 0
+            ids, owners, at = ids[done:], owners[done:], at + done
+            return pa.RecordBatch.from_arrays(out, schema=_PIECE)
+
+        for number, _, some in _runs(batches):
+            if number != now:
+                yield cut(True)
+                now, at = number, int(own[number])
+            ids = np.concatenate([ids, *(np.asarray(x, "<u2") for _, x in some)])
+            owners = np.concatenate([owners, np.repeat([-1 if d is None else d for d, _ in some], [len(x) for _, x in some])])
+            yield cut(False)
+        yield cut(True)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([expand(x.as_py()) for x in some.column(2)], pa.binary())], names=["slot", "shard", "record"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole records from pieces in order."""
+        expand, slot, record, size = zstandard.ZstdDecompressor().decompress, None, None, 0
+        done: tuple[list, list] = ([], [])
 
-    placed = texts.mapInArrow(place, "slot long, shard long, record binary")
-    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(unpack, "slot long, shard long, record binary")  # records travel compressed
-    dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
+        def close() -> None:
+            record["length"] = size
+            done[0].append(slot)
+            done[1].append(record.tobytes()[:-1])
+
+        for batch in batches:
+            for now, at, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != slot:
+                    if slot is not None:
+                        close()
+                    slot, record, size = now, np.zeros(1, RECORD)[0], 0
+                if at == 0:
+                    record["doc_id"] = doc_id
+                ids = np.frombuffer(expand(data), "<u2")
+                record["ids"][at : at + len(ids)] = ids
+                size += len(ids)
+                if len(done[0]) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], names=["slot", "record"])
+                    done = ([], [])
+        if slot is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], names=["slot", "record"])
+
+    pieces = _texts(docs).mapInArrow(place, "slot long, at int, doc_id long, ids binary")
+    shard = F.floor(F.col("slot") / shard_rows)
+    dealt = pieces.repartitionById(tasks, F.floor(shard / -(-shards // tasks)).cast("int")).sortWithinPartitions("slot", "at")  # compressed till here
+    records = dealt.mapInArrow(join, "slot long, record binary").withColumn("shard", shard)
+    records.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
 
 
 def read_training_order(spark: SparkSession, path: str) -> DataFrame:
     """position, doc_id, length, ids (bytes of the ids that count) from the shards under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    sizes = files.select(shard.alias("shard"), F.expr(f"length div {RECORD.itemsize}").alias("rows"))
-    width = math.isqrt(sizes.agg(F.coalesce(F.max("shard"), F.lit(0)).alias("n")).first()["n"]) + 1
-    starts = F.broadcast(running_totals(sizes, "shard", ["rows"], width).select("shard", F.col("before_rows").alias("start")))  # a row for each shard
+    full = files.where(shard == 0).select(F.expr(f"length div {RECORD.itemsize}").alias("rows")).first()
+    stride = full["rows"] if full else 0  # all shards but the last have as many rows
     schema = pa.schema([("position", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +226,7 @@ def read_training_order(spark: SparkSession, path: str) -> DataFrame:
                     some = records[k : k + 500]
                     yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(k, k + len(some))), pa.array(some["doc_id"].copy()), pa.array(some["length"].astype("i8")), pa.array([x["ids"][: x["length"]].tobytes() for x in some], pa.binary())], schema=schema)
 
-    return files.select(shard.alias("shard"), "content").join(starts, "shard").select("start", "content").mapInArrow(run, "position long, doc_id long, length long, ids binary")
+    return files.select((shard * stride).alias("start"), "content").mapInArrow(run, "position long, doc_id long, length long, ids binary")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
