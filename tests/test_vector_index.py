@@ -79,3 +79,23 @@ def test_closest_leaves_one_row_a_neighbour(spark, monkeypatch):
     want = {r.neighbour: r.d for r in vectors.nearest(q, rows, "vec_id", "embedding", most=0.9).groupBy("neighbour").agg(F.min("distance").alias("d")).collect()}
     got = {r.neighbour: r.distance for r in vectors.closest(q, rows, "vec_id", "embedding", 0.9).collect()}
     assert got == pytest.approx(want) and len(got) > 20
+
+
+def test_sparse_vectors_give_what_dense_ones_do(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(170):
+        places = sorted(r.choice(300, r.integers(0, 12), replace=False).tolist())
+        v = Vectors.sparse(300, places, r.integers(1, 4, len(places)).astype(float).tolist())
+        rows.append((i, v if i % 10 else Vectors.dense(v.toArray().tolist()), v.toArray().tolist()))
+    df = spark.createDataFrame([(i, v, d) for i, v, d in rows] + [(900, None, None)], ["id", "v", "d"]).repartition(3)
+    q = df.where("id % 7 = 0")
+    got = vectors.nearest_sparse(q, df, "id", "v", 5, slice_=9).orderBy("query", "distance", "neighbour").collect()
+    want = vectors.nearest(q, df, "id", "d", k=5).orderBy("query", "distance", "neighbour").collect()
+    far = {(w.query, w.neighbour): w.distance for w in want}
+    assert len(got) == len(want) == 5 * 25 and all(abs(far.get((g.query, g.neighbour), g.distance) - g.distance) < 1e-12 for g in got)
+    by_query = lambda rows: {k: sorted(round(x.distance, 12) for x in rows if x.query == k) for k in {x.query for x in rows}}
+    assert by_query(got) == by_query(want)

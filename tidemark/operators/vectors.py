@@ -64,6 +64,55 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _sparse_blocks(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """_blocks() of vectors of pyspark.ml: how many places each vector has, the places and the values, end to end. Nothing is made dense."""
+    columns = [f"{name}_{c}" for c in ("size", "keys", "lengths", "places", "values")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK).to_pylist()
+                places = [np.asarray(r["v"]["indices"] if r["v"]["indices"] is not None else np.arange(len(r["v"]["values"])), np.int32) for r in part]
+                values = [np.asarray(r["v"]["values"], float) for r in part]
+                values = [v / n if (n := np.sqrt(v @ v)) > 0 else v for v in values]
+                size = max((r["v"]["size"] or len(r["v"]["values"]) for r in part), default=0)
+                flat = (np.array([len(p) for p in places], np.int32), np.concatenate(places), np.concatenate(values))
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([[r["k"] for r in part]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in flat)], names=columns)
+
+    rows = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.unwrap_udt(vector).alias("v"))
+    return rows.mapInArrow(run, f"{columns[0]} int, {columns[1]} array<long>, {columns[2]} binary, {columns[3]} binary, {columns[4]} binary")
+
+
+def nearest_sparse(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, slice_: int = 256) -> DataFrame:
+    """nearest() for vectors of pyspark.ml with few values in many places: blocks travel as they are, and a task makes ``slice_`` vectors of
+    either side dense at a time."""
+
+    def dense(size: int, lengths: bytes, places: bytes, values: bytes) -> Iterator[np.ndarray]:
+        n, p, v = np.frombuffer(lengths, np.int32), np.frombuffer(places, np.int32), np.frombuffer(values)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for a in range(0, len(n), slice_):
+            b = min(a + slice_, len(n))
+            out = np.zeros((b - a, size))
+            out[np.repeat(np.arange(b - a), n[a:b]), p[ends[a] : ends[b]]] = v[ends[a] : ends[b]]
+            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                size = max(pair["q_size"], pair["r_size"])
+                sides = {s: [pair[f"{s}_{c}"] for c in ("lengths", "places", "values")] for s in "qr"}
+                at = 0
+                for q in dense(size, *sides["q"]):
+                    far = np.concatenate([1 - q @ r.T for r in dense(size, *sides["r"])], axis=1)
+                    edge = np.partition(far, k - 1, axis=1)[:, k - 1] if k < far.shape[1] else np.full(len(q), np.inf)
+                    i, j = np.nonzero(far <= edge[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(pair["q_keys"])[at + i]), pa.array(np.array(pair["r_keys"])[j]), pa.array(far[i, j])], names=["query", "neighbour", "distance"])
+                    at += len(q)
+
+    pairs = _sparse_blocks(queries, key, vector, "q").crossJoin(_sparse_blocks(rows, key, vector, "r"))
+    return _top(pairs.mapInArrow(run, "query long, neighbour long, distance double"), k)
+
+
 def closest(queries: DataFrame, rows: DataFrame, key: str, vector: str, most: float) -> DataFrame:
     """neighbour and distance of each row that is within ``most`` of some query: its least distance, which each pair of blocks reduces to one row a neighbour."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.maths import clip, ratio
@@ -138,7 +137,9 @@ def _clustered(t):
 
     name = f"bars_{uuid.uuid4().hex}"
     x = tables.write_clustered(t.bars.select("ticker", "volume"), name, scratch(t, "clustered"), 8, "ticker")
-    return x.groupBy("ticker").agg(F.sum("volume").alias("volume"))
+    out = x.groupBy("ticker").agg(F.sum("volume").alias("volume"))
+    t.spark.sql(f"DROP TABLE {name}")  # its files stay, and are read by their path
+    return out
 
 
 query("k9_clustered_table", _clustered, "SELECT ticker, sum(volume) AS volume FROM bars GROUP BY 1")
@@ -233,8 +234,8 @@ query("m10_boosted_walk_forward", lambda t: _walk(t, "boosted"))
 
 def _similar_texts(t):
     """The three nearest items of every twentieth one, by the angle of their tf-idf vectors of character n-grams."""
-    x = models.text_features(t.benchmark.select("item_id", "text"), "text").select("item_id", vector_to_array("tfidf").alias("v"))
-    near = vectors.nearest(x.where("item_id % 20 = 0"), x, "item_id", "v", k=4).where("query <> neighbour")
+    x = models.text_features(t.benchmark.select("item_id", "text"), "text").select("item_id", "tfidf")
+    near = vectors.nearest_sparse(x.where("item_id % 20 = 0"), x, "item_id", "tfidf", 4).where("query <> neighbour")
     return rounded(near.select("query", "neighbour", (1 - c("distance")).alias("similarity")), 5)
 
 
