@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,8 +98,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_file", "_start")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list]]:
-    """(number of the run, its file and start, some of its (doc_id, ids)): a run is what a task reads from one part of a file, one after another."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list, list]]:
+    """(number of the run, its file and start, some of its doc_ids and their ids, without END): a run is what a task reads from one part of a file, one after another."""
     encode, number, now = encoder().encode, -1, ()
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
@@ -111,7 +112,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list]
                 end = at
                 while end < len(texts) and (files[end], starts[end]) == here:
                     end += 1
-                yield number, here, [(d, encode(t or "") + [END]) for d, t in zip(doc_ids[at:end], texts[at:end])]
+                yield number, here, doc_ids[at:end], [encode(t or "") for t in texts[at:end]]
                 at = end
 
 
@@ -120,8 +121,8 @@ def run_tokens(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = TaskContext.get().partitionId(), {}
-        for number, here, some in _runs(batches):
-            found[number] = (*here, found.get(number, (*here, 0))[2] + sum(len(ids) for _, ids in some))
+        for number, here, _, ids in _runs(batches):
+            found[number] = (*here, found.get(number, (*here, 0))[2] + sum(map(len, ids)) + len(ids))
         columns = [[part] * len(found), list(found), *([x[k] for x in found.values()] for k in range(3))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "run", "file", "start", "tokens"])
 
@@ -151,51 +152,58 @@ def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = firsts[np.searchsorted(parts, TaskContext.get().partitionId()) :]
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        now, at, ids, owners = -1, 0, np.zeros(0, "<u2"), np.zeros(0, "<i8")
+        # what is held of the stream: from token ``at`` on ids, and where in it documents start
+        now, at, ids, doc_ids, doc_starts = -1, 0, np.zeros(0, "<u2"), np.zeros(0, "<i8"), np.zeros(0, np.int64)
 
         def cut(last: bool) -> pa.RecordBatch:
             """Pieces up to the next ends of sequences, and what is left of a run that ends."""
-            nonlocal ids, owners, at
+            nonlocal at, ids, doc_ids, doc_starts
             ends = np.arange(SEQUENCE - at % SEQUENCE, len(ids) + 1, SEQUENCE)
             if last and len(ids) and (not len(ends) or ends[-1] < len(ids)):
                 ends = np.append(ends, len(ids))
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-            slots = feistel((at + starts) // SEQUENCE, n, key)
-            out = [pa.array(slots), pa.array(((at + starts) % SEQUENCE).astype(np.int32)), pa.array(owners[starts]), pa.array([squeeze(ids[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary())]
-            done = int(ends[-1]) if len(ends) else 0
-            ids, owners, at = ids[done:], owners[done:], at + done
+            slots, owners = feistel((at + starts) // SEQUENCE, n, key), doc_ids[np.searchsorted(doc_starts, starts, side="right") - 1]
+            out = [pa.array(slots), pa.array(((at + starts) % SEQUENCE).astype(np.int32)), pa.array(owners), pa.array([squeeze(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())]
+            if len(ends):
+                done = int(ends[-1])
+                first = max(0, int(np.searchsorted(doc_starts, done, side="right")) - 1)
+                at, ids, doc_ids, doc_starts = at + done, ids[done:], doc_ids[first:], doc_starts[first:] - done
             return pa.RecordBatch.from_arrays(out, schema=_PIECE)
 
-        for number, _, some in _runs(batches):
+        for number, _, names, lists in _runs(batches):
             if number != now:
                 yield cut(True)
                 now, at = number, int(own[number])
-            ids = np.concatenate([ids, *(np.asarray(x, "<u2") for _, x in some)])
-            owners = np.concatenate([owners, np.repeat([-1 if d is None else d for d, _ in some], [len(x) for _, x in some])])
+                doc_ids, doc_starts = doc_ids[:0], doc_starts[:0]
+            ends = np.cumsum([len(ids), *(len(x) + 1 for x in lists)])
+            more = np.empty(ends[-1], "<u2")
+            more[: len(ids)] = ids
+            for a, x in zip(ends.tolist(), lists):
+                more[a : a + len(x)] = x
+            more[ends[1:] - 1] = END
+            ids, doc_ids, doc_starts = more, np.append(doc_ids, [-1 if d is None else d for d in names]).astype("<i8"), np.append(doc_starts, ends[:-1])
             yield cut(False)
         yield cut(True)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole records from pieces in order."""
-        expand, slot, record, size = zstandard.ZstdDecompressor().decompress, None, None, 0
+        expand, slot, owner, parts, full = zstandard.ZstdDecompressor().decompress, None, 0, [], 2 * SEQUENCE
         done: tuple[list, list] = ([], [])
 
         def close() -> None:
-            record["length"] = size
+            ids = b"".join(parts)
             done[0].append(slot)
-            done[1].append(record.tobytes()[:-1])
+            done[1].append(struct.pack("<qH", owner, len(ids) // 2) + ids.ljust(full, b"\0"))
 
         for batch in batches:
             for now, at, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != slot:
                     if slot is not None:
                         close()
-                    slot, record, size = now, np.zeros(1, RECORD)[0], 0
+                    slot, parts = now, []
                 if at == 0:
-                    record["doc_id"] = doc_id
-                ids = np.frombuffer(expand(data), "<u2")
-                record["ids"][at : at + len(ids)] = ids
-                size += len(ids)
+                    owner = doc_id
+                parts.append(expand(data))
                 if len(done[0]) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], names=["slot", "record"])
                     done = ([], [])
