@@ -118,10 +118,11 @@ def stream(path):
     return [(-1 if i is None else i, x) for i, t in rows for x in [*tokenised(t), tokens.END]]
 
 
-@pytest.mark.parametrize("shard_rows", [7, 100])
-def test_training_order_is_the_permutation(spark, tmp_path, data, shard_rows):
+@pytest.mark.parametrize("shard_rows, block", [(7, 128 * 1024), (100, 2500), (7, 300)])
+def test_training_order_is_the_permutation(spark, tmp_path, data, monkeypatch, shard_rows, block):
     """Sequence k of the stream of all tokens is at the slot that the permutation gives it, in shard slot // rows at row slot % rows, and the files are the
     same bytes however the table's files are split."""
+    monkeypatch.setattr(tokens, "BLOCK_TOKENS", block)
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").arrow().read_all()
     (tmp_path / "docs.parquet").mkdir()
     for k in range(3):
@@ -153,8 +154,9 @@ def test_training_order_is_the_permutation(spark, tmp_path, data, shard_rows):
     assert [r.doc_id for r in got] == [whole[k * tokens.SEQUENCE][0] for k in sorted(range(n), key=lambda k: feistel_brute(k, n, 99))]
 
 
-def test_training_order_of_shuffled_rows(spark, data):
-    """What isn't a scan of files is written first, and is then in an order that stays."""
+def test_training_order_of_shuffled_rows(spark, data, monkeypatch):
+    """What isn't a scan of files is in the order of its tasks. Blocks may be shorter than documents."""
+    monkeypatch.setattr(tokens, "BLOCK_TOKENS", 1500)
     docs = table(spark, data, "documents").repartition(5, "doc_id")
     path = scratch(spark, "order")
     tokens.write_training_order(docs, path, shard_rows=7)

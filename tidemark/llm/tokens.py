@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import batched, scratch, table, written
+from .common import batched, dropped, scratch, table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
@@ -77,113 +77,104 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 #: Tasks that shards are dealt to at most; beyond it a task writes several shards that follow one another.
 MOST_TASKS = 50_000
+#: Tokens that are kept together between encoding and cutting, and how hard they are compressed, there and on the way to their shards.
+BLOCK_TOKENS, BLOCK_LEVEL, PIECE_LEVEL = 128 * SEQUENCE, 9, 3
 _PIECE = pa.schema([("slot", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+_BLOCK = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("file", pa.string()), ("start", pa.int64()), ("before", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_starts", pa.binary()), ("ids", pa.binary())])
 
 
-def _from_files(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and the place in it where the part that a row comes from starts. What isn't a plain scan of files is written first, so that
-    rows have an order that stays."""
-    columns = lambda df: df.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the file and the place in it where the part that a row comes from starts; null for what isn't a plain scan of files."""
+    where = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
     try:
-        found = columns(docs)
+        plan = docs.select(*where)._jdf.queryExecution().analyzed().toString()
     except AnalysisException:
-        found = None
-    if found is None or re.search(r"\b(Repartition|Join|Aggregate|Window|Sort|Union|Sample|Limit|Generate|Rebalance)", found._jdf.queryExecution().analyzed().toString()):
-        found = columns(written(docs.select("doc_id", "text"), "documents"))
-    return found
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _file and _start of _from_files()."""
-    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_file", "_start")
+        plan = None
+    if plan is None or re.search(r"\b(Repartition|Join|Aggregate|Window|Sort|Union|Sample|Limit|Generate|Rebalance)", plan):
+        where = (F.lit(None).cast("string"), F.lit(None).cast("long"))
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", where[0].alias("file"), where[1].alias("start"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list, list]]:
-    """(number of the run, its file and start, some of its doc_ids and their ids, without END): a run is what a task reads from one part of a file, one after another."""
-    encode, number, now = encoder().encode, -1, ()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            doc_ids, texts, files, starts = (c.to_pylist() for c in batch.slice(k, 200).columns)
-            at = 0
-            while at < len(texts):
-                here = (files[at], starts[at])
-                if here != now:
-                    number, now = number + 1, here
-                end = at
-                while end < len(texts) and (files[end], starts[end]) == here:
-                    end += 1
-                yield number, here, doc_ids[at:end], [encode(t or "") for t in texts[at:end]]
-                at = end
+def token_blocks(docs: DataFrame) -> DataFrame:
+    """The ids of all documents, each closed by END, in blocks of BLOCK_TOKENS: part (the task's number), run, file and start, before (tokens of the run before the
+    block), tokens, doc_ids and doc_starts (of what is in the block, the first one from 0 on), ids (compressed).
 
+    A run is what a task reads from one part of a file, one after another; its last block may be shorter.
+    """
 
-def run_tokens(docs: DataFrame) -> DataFrame:
-    """part (the task's number), run, file, start and tokens of each run of ``docs`` (see _from_files()): a few rows a task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found = TaskContext.get().partitionId(), {}
-        for number, here, _, ids in _runs(batches):
-            found[number] = (*here, found.get(number, (*here, 0))[2] + sum(map(len, ids)) + len(ids))
-        columns = [[part] * len(found), list(found), *([x[k] for x in found.values()] for k in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "run", "file", "start", "tokens"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, part, run, here = encoder().encode, TaskContext.get().partitionId(), -1, ()
+        squeeze = zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress
+        before, ids, doc_ids, doc_starts = 0, np.zeros(0, "<u2"), np.zeros(0, "<i8"), np.zeros(0, "<i8")
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal before, ids, doc_ids, doc_starts
+            while len(ids) >= BLOCK_TOKENS or last and len(ids):
+                n = min(len(ids), BLOCK_TOKENS)
+                inside = int(np.searchsorted(doc_starts, n))
+                row = (part, run, *here, before, n, doc_ids[:inside].tobytes(), np.maximum(doc_starts[:inside], 0).astype("<i8").tobytes(), squeeze(ids[:n]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
+                first = int(np.searchsorted(doc_starts, n, side="right")) - 1  # the document that goes on
+                before, ids, doc_ids, doc_starts = before + n, ids[n:], doc_ids[first:], doc_starts[first:] - n
 
-    return _texts(docs).mapInArrow(count, "part int, run int, file string, start long, tokens long")
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                names, texts, files, starts = (c.to_pylist() for c in batch.slice(k, 200).columns)
+                at = 0
+                while at < len(texts):
+                    if (files[at], starts[at]) != here:
+                        yield from blocks(True)
+                        run, here, before, doc_ids, doc_starts = run + 1, (files[at], starts[at]), 0, doc_ids[:0], doc_starts[:0]
+                    end = at
+                    while end < len(texts) and (files[end], starts[end]) == here:
+                        end += 1
+                    lists = [ids_of(t or "") for t in texts[at:end]]
+                    ends = np.cumsum([len(ids), *(len(x) + 1 for x in lists)])
+                    more = np.empty(ends[-1], "<u2")
+                    more[: len(ids)] = ids
+                    for a, x in zip(ends.tolist(), lists):
+                        more[a : a + len(x)] = x
+                    more[ends[1:] - 1] = END
+                    ids, doc_ids, doc_starts = more, np.append(doc_ids, np.array([-1 if d is None else d for d in names[at:end]], "<i8")), np.append(doc_starts, ends[:-1])
+                    yield from blocks(False)
+                    at = end
+        yield from blocks(True)
+
+    return _texts(docs).mapInArrow(encode, "part int, run int, file string, start long, before long, tokens long, doc_ids binary, doc_starts binary, ids binary")
 
 
 def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows: int = SHARD_ROWS) -> None:
     """Write the documents of ``docs``, each closed by END, one after another in sequences of SEQUENCE tokens and these in a keyed global order, as shards of ``shard_rows`` under ``path``.
 
-    Texts are encoded twice. First each task counts the tokens of what it reads, a few numbers a task, and running sums over files and places
-    in them say where in the whole stream of tokens each run starts: so the stream, its sequences and their numbers 0 to n - 1
-    are the same however files are split. Then each task cuts its
-    part of the stream; a sequence that begins in one task and ends in another meets in its shard. The permutation of 0 to n - 1
+    Each task encodes what it reads and writes the ids, compressed, in blocks. Sums over files and places in them then say where in the
+    whole stream of tokens each run of a task starts, a few numbers a task: so the stream, its sequences and their numbers 0 to n - 1
+    are the same however files are split. (Rows that aren't a plain scan of files are in the order of their tasks.) Blocks are cut at the ends of
+    sequences, and a sequence that begins in one block and ends in another meets in its shard. The permutation of 0 to n - 1
     gives each sequence its slot, and slot // shard_rows and slot % shard_rows are its shard and its row there, of
-    RECORD.itemsize bytes each. All shards but the last are full.
+    RECORD.itemsize bytes each. All shards but the last are full. The blocks are deleted in the end.
     """
-    docs = _from_files(docs)
+    blocks = written(token_blocks(docs), "tokens")
     before = Window.orderBy("file", "start", "part", "run").rowsBetween(Window.unboundedPreceding, -1)  # a few rows a task
-    runs = written(run_tokens(docs), "runs").withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    found = runs.select("part", "run", "first", "tokens").orderBy("part", "run").collect()
-    tokens = sum(r["tokens"] for r in found)
-    n = -(-tokens // SEQUENCE)
-    parts, firsts = np.array([r["part"] for r in found], np.int32), np.array([r["first"] for r in found], np.int64)
+    runs = blocks.groupBy("file", "start", "part", "run").agg(F.sum("tokens").alias("tokens")).withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    found = runs.select("part", "run", "first", "tokens").collect()
+    n = -(-sum(r["tokens"] for r in found) // SEQUENCE)
+    firsts = {(r["part"], r["run"]): r["first"] for r in found}
     shards = max(1, -(-n // shard_rows))
     tasks = min(shards, MOST_TASKS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = firsts[np.searchsorted(parts, TaskContext.get().partitionId()) :]
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        # what is held of the stream: from token ``at`` on ids, and where in it documents start
-        now, at, ids, doc_ids, doc_starts = -1, 0, np.zeros(0, "<u2"), np.zeros(0, "<i8"), np.zeros(0, np.int64)
-
-        def cut(last: bool) -> pa.RecordBatch:
-            """Pieces up to the next ends of sequences, and what is left of a run that ends."""
-            nonlocal at, ids, doc_ids, doc_starts
-            ends = np.arange(SEQUENCE - at % SEQUENCE, len(ids) + 1, SEQUENCE)
-            if last and len(ids) and (not len(ends) or ends[-1] < len(ids)):
-                ends = np.append(ends, len(ids))
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-            slots, owners = feistel((at + starts) // SEQUENCE, n, key), doc_ids[np.searchsorted(doc_starts, starts, side="right") - 1]
-            out = [pa.array(slots), pa.array(((at + starts) % SEQUENCE).astype(np.int32)), pa.array(owners), pa.array([squeeze(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())]
-            if len(ends):
-                done = int(ends[-1])
-                first = max(0, int(np.searchsorted(doc_starts, done, side="right")) - 1)
-                at, ids, doc_ids, doc_starts = at + done, ids[done:], doc_ids[first:], doc_starts[first:] - done
-            return pa.RecordBatch.from_arrays(out, schema=_PIECE)
-
-        for number, _, names, lists in _runs(batches):
-            if number != now:
-                yield cut(True)
-                now, at = number, int(own[number])
-                doc_ids, doc_starts = doc_ids[:0], doc_starts[:0]
-            ends = np.cumsum([len(ids), *(len(x) + 1 for x in lists)])
-            more = np.empty(ends[-1], "<u2")
-            more[: len(ids)] = ids
-            for a, x in zip(ends.tolist(), lists):
-                more[a : a + len(x)] = x
-            more[ends[1:] - 1] = END
-            ids, doc_ids, doc_starts = more, np.append(doc_ids, [-1 if d is None else d for d in names]).astype("<i8"), np.append(doc_starts, ends[:-1])
-            yield cut(False)
-        yield cut(True)
+        squeeze, expand = zstandard.ZstdCompressor(level=PIECE_LEVEL).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part, run, before, size, *data in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_ids, doc_starts, ids = np.frombuffer(data[0], "<i8"), np.frombuffer(data[1], "<i8"), memoryview(expand(data[2]))
+                at = firsts[part, run] + before
+                ends = np.arange(SEQUENCE - at % SEQUENCE, size, SEQUENCE)
+                starts, ends = np.append(0, ends), np.append(ends, size)
+                out = [
+                    pa.array(feistel((at + starts) // SEQUENCE, n, key)), pa.array(((at + starts) % SEQUENCE).astype(np.int32)), pa.array(doc_ids[np.searchsorted(doc_starts, starts, side="right") - 1]),
+                    pa.array([squeeze(ids[2 * a : 2 * b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(out, schema=_PIECE)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole records from pieces in order."""
@@ -211,11 +202,12 @@ def write_training_order(docs: DataFrame, path: str, key: int = 2024, shard_rows
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], names=["slot", "record"])
 
-    pieces = _texts(docs).mapInArrow(place, "slot long, at int, doc_id long, ids binary")
+    pieces = batched(blocks.select("part", "run", "before", "tokens", "doc_ids", "doc_starts", "ids")).mapInArrow(place, "slot long, at int, doc_id long, ids binary")
     shard = F.floor(F.col("slot") / shard_rows)
     dealt = pieces.repartitionById(tasks, F.floor(shard / -(-shards // tasks)).cast("int")).sortWithinPartitions("slot", "at")  # compressed till here
     records = dealt.mapInArrow(join, "slot long, record binary").withColumn("shard", shard)
     records.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
+    dropped(blocks)
 
 
 def read_training_order(spark: SparkSession, path: str) -> DataFrame:
