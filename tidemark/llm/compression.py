@@ -129,6 +129,9 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def op8_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; repeated rows are scored each, an empty table gives no rows."""
+    """doc_id, held_out, score, predicted for each document. Null and empty texts get the curve's value at 0; texts of any length are
+    compressed whole, piece by piece. A null doc_id stays null, and its held_out is null; repeated rows are scored each, and equal
+    texts alike. Without labels of both classes all scores are the share of label 1, or a half. An empty table gives no rows; other
+    columns are ignored, whatever their names."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out().alias("held_out"), "score", "predicted")

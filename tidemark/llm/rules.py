@@ -196,6 +196,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts have no words and fail; repeated rows are judged each; an empty table gives no rows."""
+    """Null and empty texts have no words and fail. Texts of any length are counted whole. A null doc_id stays null, and such a row is judged by rules that it
+    taught nothing to; repeated rows are judged each, and equal ones alike. Without labels no rule is learned, and what passes
+    the base stays. An empty table gives no rows; other columns are ignored, whatever their names."""
     done = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
