@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: quality rules, quality classifier, near-duplicates, repeated passages, packing."""
+"""From raw documents to packed sequences: quality rules, quality classifier, near-duplicates, repeated passages, packing.
+
+All stages read whole texts of any length, take null texts for empty ones, give no rows for an empty table, and keep columns beside text as
+they are, whatever their names; of equal rows each is judged by itself, and equally. Where a stage does otherwise, it says so.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ FINGERPRINTS, BITS = 8, 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep. Rules are learned from labelled rows of the corpus."""
+    """Documents that the base rules and the learned decision list keep. Rules are learned from labelled rows of the corpus. Null and empty texts go."""
     learned = rules.learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = rules.counted(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row")
     return counts.where(~rules.base_failed() & rules.verdict(learned)).select("row.*")
@@ -27,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows without a doc_id stay.
+    """Of each group of near-duplicates the document with the smallest doc_id, with all rows that have this doc_id; rows without a doc_id stay.
 
     SimHash proposes, by the trie self-join: documents of which any of FINGERPRINTS is within BITS bits are in one block. In a
     block those are linked whose five-word shingles have a Jaccard similarity of 0.8 or more, so that no other text goes.
