@@ -232,13 +232,13 @@ query("m9_resampled_walk_forward", _resampled)
 
 
 def _buyers(t):
-    """Customers by their orders; one with an order that is partly done is rare."""
-    o = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.sum(c("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e5).alias("total"), F.max(F.when(c("o_orderstatus") == "P", 1).otherwise(0)).alias("label"))
+    """Customers by their orders; one with a large urgent order that is partly done is rare."""
+    o = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.sum(c("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e5).alias("total"), F.max(F.when((c("o_orderstatus") == "P") & (c("o_totalprice") > 400_000) & c("o_orderpriority").like("1%"), 1).otherwise(0)).alias("label"))
     return t.customer.join(o, "c_custkey").select("c_custkey", "label", c("n").cast("double").alias("n"), "total", (c("c_acctbal") / 1e3).alias("balance"), "c_mktsegment", "c_nationkey")
 
 
 query("m9_tomek_links", lambda t: resampling.tomek_links(_buyers(t), "c_custkey", "label", ["n", "total", "balance"], ["c_mktsegment", "c_nationkey"]), """
-    WITH o AS (SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e5 AS total, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS label FROM orders GROUP BY 1),
+    WITH o AS (SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e5 AS total, max(CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000 AND o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS label FROM orders GROUP BY 1),
     x AS (SELECT o.*, c_acctbal / 1e3 AS balance, c_mktsegment AS s, c_nationkey AS k FROM o JOIN customer ON c_custkey = id),
     f AS (SELECT a.id, a.label, b.id AS near, b.label AS other, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.n - b.n) * (a.n - b.n) + (a.total - b.total) * (a.total - b.total) + (a.balance - b.balance) * (a.balance - b.balance) + CASE WHEN a.s <> b.s THEN 1 ELSE 0 END + CASE WHEN a.k <> b.k THEN 1 ELSE 0 END), b.id) AS r
           FROM x a JOIN x b ON a.id <> b.id QUALIFY r = 1)
@@ -246,7 +246,7 @@ query("m9_tomek_links", lambda t: resampling.tomek_links(_buyers(t), "c_custkey"
 
 
 def _between(t):
-    new = resampling.between_neighbours(_buyers(t), "c_custkey", "label", ["n", "total", "balance"], ["c_mktsegment", "c_nationkey"], 2.0)
+    new = resampling.between_neighbours(_buyers(t), "c_custkey", "label", ["n", "total", "balance"], ["c_mktsegment", "c_nationkey"], 0.5)
     return rounded(new, 6)
 
 
