@@ -65,14 +65,18 @@ def nearest_two_sides(events: DataFrame, panel: DataFrame, key: str, event_at: s
 def leader_pairs(df: DataFrame, group: Names, item: str) -> DataFrame:
     """leader, follower, kind: each group's least item leads the others (direct); those are pairs of siblings.
 
-    Siblings that are a direct pair elsewhere are left out.
+    Siblings that are a direct pair elsewhere are left out. The pairs of a group are the square of its items; parts of it are
+    paired in tasks of their own, and they aren't shuffled unless both items are in several groups.
     """
     items = df.select(*group, F.col(item).alias("follower")).distinct()
     direct = items.withColumn("leader", F.min("follower").over(Window.partitionBy(*group))).where("leader <> follower")
-    others = direct.select(*group, "leader", F.col("follower").alias("_a")).join(direct.select(*group, F.col("follower").alias("_b")), list(group)).where("_a <> _b")
-    siblings = others.select(F.col("_a").alias("leader"), F.col("_b").alias("follower")).distinct()
+    many = items.groupBy("follower").agg((F.count("*") > 1).alias("_many"))
+    marked = direct.join(many, "follower").select(*group, F.struct("follower", "_many").alias("_i"))
+    both = lambda x: x.select(F.inline(F.array(F.struct(F.col("a.follower").alias("leader"), F.col("b.follower").alias("follower")), F.struct(F.col("b.follower").alias("leader"), F.col("a.follower").alias("follower")))))
+    once = both(group_pairs(marked, group, "_i").where("not (a._many and b._many)"))
     direct = direct.select("leader", "follower").distinct()
-    siblings = siblings.join(direct, ["leader", "follower"], "left_anti")
+    again = both(group_pairs(marked.where("_i._many"), group, "_i")).distinct()  # only two items of several groups each meet in another group
+    siblings = once.unionByName(again.join(direct, ["leader", "follower"], "left_anti"))
     return direct.withColumn("kind", F.lit("direct")).unionByName(siblings.withColumn("kind", F.lit("sibling")))
 
 
