@@ -53,21 +53,22 @@ def bursts(events: DataFrame, gap: str = "6 hours", delay: str | None = None) ->
 
 def running_totals(events: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """user_id, n and total so far after each batch, kept in state by user; a user without events for ``quiet_ms`` is forgotten
-    and starts anew, so that state is bounded by the users of that time."""
+    and starts anew, so that state is bounded by the users of that time. Without ``quiet_ms`` it is a plain aggregation, whose state is the same."""
+    if not quiet_ms:
+        return events.groupBy("user_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.nanvl(F.col("value").cast("double"), F.lit(0.0))), F.lit(0.0)).alias("total"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        if quiet_ms:
-            state.setTimeoutDuration(quiet_ms)
+        state.setTimeoutDuration(quiet_ms)
         n, total = state.get if state.exists else (0, 0.0)
         for f in frames:
             n, total = n + len(f), total + float(f["value"].sum())
         state.update((n, total))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout if quiet_ms else GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def matched_within(left: DataFrame, right: DataFrame, minutes: int, delay: str = "1 day") -> DataFrame:
