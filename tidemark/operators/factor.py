@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import correlation, normal_tail, ratio
-from .windows import cross_rank, exact_quantiles, over, spread_rank
+from ..sources.tables import stored
+from .windows import cross_rank, exact_quantiles, over, spread_rank, spread_ranks
 
 
 def quantile_buckets(df: DataFrame, by: Sequence[str], value: str, n: int, out: str) -> DataFrame:
@@ -25,8 +26,8 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], value: str, n: int, out:
 def trimmed(df: DataFrame, columns: Sequence[str], lo: float, hi: float) -> DataFrame:
     """Rows within the [lo, hi] quantiles of each column, one column after another: later bounds are those of what is left."""
     for c in columns:
-        q = exact_quantiles(df, c, (lo, hi))
-        df = df.crossJoin(F.broadcast(q)).where((F.col(c) >= F.col("_q")[0]) & (F.col(c) <= F.col("_q")[1])).drop("_q")
+        q = exact_quantiles(df, c, (lo, hi)).first()[0]  # two numbers, so that the next column's don't read this one's plan again
+        df = df.where((F.col(c) >= q[0]) & (F.col(c) <= q[1])) if q else df.where(F.lit(False))
     return df
 
 
@@ -34,9 +35,8 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 10,
     """n, ic (Spearman's rank correlation, ties averaged), Pearson's r and p (normal) by group; null under ``least`` pairs.
 
     few: there are only some groups, each too large for one task's sort."""
-    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = spread_rank if few else cross_rank
-    x = ranked(ranked(x, by, a, "_ra"), by, b, "_rb")
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    x = spread_ranks(stored(x, "pairs"), by, {a: "_ra", b: "_rb"}) if few else cross_rank(cross_rank(x, by, a, "_ra"), by, b, "_rb")
     g = x.groupBy(*by).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("ic"), correlation(a, b).alias("pearson")).where(F.col("n") >= least)
     return g.withColumn("p", normal_tail(F.col("ic") * F.sqrt(F.col("n") - 1)))
 
@@ -110,8 +110,13 @@ def factor_residuals(panel: DataFrame, factors: Sequence[str], r: str, group: Se
 
 def equal_weight_factors(panel: DataFrame, at: str, r: str, groups: Sequence[str]) -> DataFrame:
     """mkt and one factor for each group column: equal-weighted means of ``r`` by date, groups less the market."""
-    mkt = F.avg(r).over(over([at]))
-    return panel.withColumns({"mkt": mkt, **{f"f_{g}": F.avg(r).over(over([at, g])) - mkt for g in groups}})
+    cells = stored(panel.groupBy(F.col(at).alias("_at"), *groups).agg(F.sum(r).alias("_sum"), F.count(r).alias("_n")), "means")  # some rows for each date
+    mean = ratio(F.sum("_sum"), F.sum("_n"))
+    x = panel.join(F.broadcast(cells.groupBy("_at").agg(mean.alias("mkt"))), F.col(at).eqNullSafe(F.col("_at"))).drop("_at")
+    for g in groups:
+        means = cells.groupBy("_at", F.col(g).alias("_g")).agg(mean.alias("_mean"))
+        x = x.join(F.broadcast(means), F.col(at).eqNullSafe(F.col("_at")) & F.col(g).eqNullSafe(F.col("_g"))).withColumn(f"f_{g}", F.col("_mean") - F.col("mkt")).drop("_at", "_g", "_mean")
+    return x
 
 
 def lag_correlation(df: DataFrame, keys: Sequence[str], at: str, a: str, b: str, lags: Sequence[int], least: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.maths import change, first_nonzero, ratio
 from .asof import asof_join
 from .joins import window_join
-from .windows import over, top_n
+from .windows import over, spread_ranks, top_n
 
 
 def guidance_screen(years: DataFrame, prices: DataFrame, growth: float, sold_off: float, least_hits: int, least_rate: float) -> DataFrame:
@@ -96,8 +96,13 @@ def training_rows(panel: DataFrame, events: DataFrame, positive_days: int) -> Da
 
 def leak_audit(rows: DataFrame, keys: list[str], by: str, score: str, label: str) -> DataFrame:
     """By group: rows, how many repeat a key, and where positives stand by score (0 lowest, 1 highest)."""
-    ranked = rows.withColumn("_r", F.percent_rank().over(over([by], [score])))
-    return ranked.groupBy(by).agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct(*keys)).alias("repeated"), F.avg(F.when(F.col(label) == 1, F.col("_r"))).alias("mean_rank"))
+    x = rows.withColumn("_g", F.struct(by))  # a struct, as null is a group, too
+    x = spread_ranks(x.select("_g", *keys, score, label), ["_g"], {score: "_r"}, ties=False)
+    n, m, positive = F.count("*"), F.count(score), F.col(label) == 1
+    # the share is among rows with a score; those without one come before them
+    ranks = F.coalesce(F.sum(F.when(positive, F.col("_r"))), F.lit(0.0)) * (m - 1) + F.count(F.when(positive, F.col("_r"))) * (n - m)
+    mean = F.when(F.count_if(positive) > 0, F.when(n > 1, ranks / (F.count_if(positive) * (n - 1))).otherwise(0.0))
+    return x.groupBy("_g").agg(n.alias("rows"), (n - F.count_distinct(*keys)).alias("repeated"), mean.alias("mean_rank")).select(f"_g.{by}", "rows", "repeated", "mean_rank")
 
 
 def primary_documents(docs: DataFrame, event: str, at: str, title: Column, tie: str) -> DataFrame:

@@ -202,7 +202,7 @@ query("d52_lag_correlation", lambda t: rounded(factor.lag_correlation(t.bars10,
 
 
 def _kill(t):
-    daily = factor.spearman(t.bars.withColumn("f1", F.log(F.lead("close").over(w()) / c("close"))), ["d"], "volume", "f1", 5).select("d", "ic")
+    daily = factor.spearman(t.bars.withColumn("f1", F.log(F.lead("close").over(w()) / c("close"))).select("d", "volume", "f1").repartition(t.tasks, "d"), ["d"], "volume", "f1", 5).select("d", "ic")
     return rounded(factor.kill_switch(daily, "d", "ic", 20, 0.0).select("d", "rolling_ic", "killed", "switched"), 5)
 
 
