@@ -68,7 +68,7 @@ def _earnings(t):
 
 
 query("d27_earnings_features", _earnings, "WITH e AS (SELECT ticker, dated, max(sales) AS estimate FROM consensus WHERE source = 'A' GROUP BY 1, 2), x AS (SELECT f.*, (SELECT arg_max(close, d) FROM bars b WHERE b.ticker = f.ticker AND b.d < f.disclosed) AS p, (SELECT arg_max(estimate, dated) FROM e WHERE e.ticker = f.ticker AND e.dated <= f.disclosed) AS est FROM fin_cum f) SELECT ticker, fy, q, disclosed, round(p, 5) AS close_before, CASE WHEN est <> 0 THEN round(least(greatest((sales - est) / abs(est), -5), 5), 5) END AS deviation, round(p / nullif(sales, 0), 5) AS multiple FROM x")
-query("d71_ic_table", lambda t: rounded(factor.spearman(technicals.technical_features(t.bars).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).select("f5", F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), c(n).alias("x")) for n in ("day", "gap", "volume_ratio"))))), ["factor"], "x", "f5").select("factor", "n", "ic"), 4), "WITH b AS (SELECT close / open - 1 AS day, open / lag(close) OVER w - 1 AS gap, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) AS vr, lead(close, 5) OVER w / close - 1 AS f FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 'day' AS factor, day AS x, f FROM b UNION ALL SELECT 'gap', gap, f FROM b UNION ALL SELECT 'volume_ratio', vr, f FROM b), r AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS p, rank() OVER (PARTITION BY factor ORDER BY f) + (count(*) OVER (PARTITION BY factor, f) - 1) / 2 AS q FROM u WHERE x IS NOT NULL AND f IS NOT NULL) SELECT factor, count(*) AS n, round(corr(p, q), 4) AS ic FROM r GROUP BY 1 HAVING count(*) >= 10")
+query("d71_ic_table", lambda t: rounded(factor.spearman(technicals.technical_features(t.bars).withColumn("f5", F.lead("close", 5).over(w()) / c("close") - 1).select("f5", F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), c(n).alias("x")) for n in ("day", "gap", "volume_ratio"))))), ["factor"], "x", "f5", few=True).select("factor", "n", "ic"), 4), "WITH b AS (SELECT close / open - 1 AS day, open / lag(close) OVER w - 1 AS gap, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) AS vr, lead(close, 5) OVER w / close - 1 AS f FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)), u AS (SELECT 'day' AS factor, day AS x, f FROM b UNION ALL SELECT 'gap', gap, f FROM b UNION ALL SELECT 'volume_ratio', vr, f FROM b), r AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2 AS p, rank() OVER (PARTITION BY factor ORDER BY f) + (count(*) OVER (PARTITION BY factor, f) - 1) / 2 AS q FROM u WHERE x IS NOT NULL AND f IS NOT NULL) SELECT factor, count(*) AS n, round(corr(p, q), 4) AS ic FROM r GROUP BY 1 HAVING count(*) >= 10")
 def _windows(t):
     """Calendar days, one score, one bound."""
     maxima = backtest.window_maxima(t.bars.select("ticker", "d", "volume"), t.corp_events, "ticker", "d", "event_d", ["volume"], (10, 30), business=False)
