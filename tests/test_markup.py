@@ -124,3 +124,32 @@ def test_hostile_pages_take_linear_time(page):
     found = markup.boxes(page)
     n = sum(len(list(markup.grid(b))) for b in found if b.kind == "table")
     assert time.time() - began < 5 and n < 1_000_000
+
+
+@pytest.mark.parametrize("heads", [None, 0, 1, 2])
+def test_tables_are_adapted_where_their_pages_are(spark, heads):
+    """As adapted() of the cells has it, without a shuffle, on tables with spans, ragged rows and nesting."""
+    r = random.Random(5)
+    texts = ["A", "B", "A B", "", "7 &amp; 8", "x<br>y", "<table><tr><th>A<tr><td>1<td>2</table>", "<ul><li>B</ul>"]
+    pages = ["<table></table>", "", None, "no", "<table><tr><th>A</table>", "<table><tr><tr><td>A"]
+    for _ in range(80):
+        rows = "".join("<tr>" + "".join(f"<{r.choice(['td', 'th', 'th'])}{r.choice(['', '', ' rowspan=2', ' colspan=2', ' rowspan=0'])}>{r.choice(texts)}" for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 5)))
+        pages.append(f"<!-- <table> --><table>{rows}</table>{r.choice(['', '<', '<script><tr></script>'])}<table>{rows}")
+    columns = {"a": "A", "b": "(?i)b$", "none": "^nothing", "bare": "^$"}
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
+    got = markup.adapted_tables(df, "id", "html", columns, heads)
+    want = markup.adapted(markup.page_tables(df, "id", "html"), "id", columns, heads)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 50
+
+
+def test_quick_pages_are_read_as_slow_ones(monkeypatch):
+    """Pages of well-formed tags are split at once; the tags that are read one by one give the same lists and tables."""
+    r = random.Random(6)
+    bits = ["<table>", "</table>", "<TR>", "<td>", "</td>", "<td rowspan=2>", '<td colspan="3" >', "<th rowspan='2'>", "<td a=b/>", "<br/>", "<p>", "<ul>", "<li>", '<ol class="a > b">', "<b>", "x", "&lt;", " y ", "<!-- <td> -->", "<td rowspan=2 rowspan=3>", "<tbody>", '<td ROWSPAN="&#50;">', "<td a='\"' b=\"'\">", "<td a b c=1 >", "\n"]
+    odd = ["<", '<td a="', "<!-- ", "<script>", "<td a=<b>", "</title>", "<td a=\"x<y\">", "<td a=b\"c>", "<!-->", "<textarea>", "<td class='" + "x" * 400 + "'>"]
+    pages = ["".join(r.choice(odd if r.random() < 0.02 else bits) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    read = lambda p: [(b.kind, b.number, b.parent, b.depth, b.id, b.css, [*markup.grid(b)]) for b in markup.boxes(p)]
+    quick = [read(p) for p in pages]
+    monkeypatch.setattr(markup, "_steps", lambda page: [x if kind == "text" else markup._step(x, kind == "open", a) for kind, x, a in markup.events(page)])
+    assert quick == [read(p) for p in pages] and sum(map(len, quick)) > 3000

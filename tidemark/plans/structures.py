@@ -14,7 +14,7 @@ c = F.col
 # S13 and V14: pages that hold the given tables' rows
 def _order_pages(t):
     """A page for each order: a table with labels over two columns, a cell over all lines, and a table in each line."""
-    x = t.lineitem.groupBy(c("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"))).alias("lines"))  # a few lines an order
+    x = t.lineitem.repartition(t.tasks, "l_orderkey").groupBy(c("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"))).alias("lines"))  # a few lines an order
     cell = lambda x: F.concat(F.lit("<td align=right>"), x, F.lit("</td>"))
     line = lambda l, i: F.concat(
         F.lit("<TR>"), F.when(i == 0, F.concat(F.lit("<td rowspan='"), F.size("lines").cast("string"), F.lit("'><b>"), c("page_id").cast("string"), F.lit("</b>"))).otherwise(""),
@@ -25,8 +25,7 @@ def _order_pages(t):
 
 
 def _table_rows(t):
-    cells = markup.page_tables(_order_pages(t), "page_id", "html")
-    x = markup.adapted(cells, "page_id", {"order_no": "^Order$", "line": "^Line$", "price": "in all Price$", "quantity": "Quantity$"})
+    x = markup.adapted_tables(_order_pages(t), "page_id", "html", {"order_no": "^Order$", "line": "^Line$", "price": "in all Price$", "quantity": "Quantity$"})
     return x.select("page_id", "table", "row", *(markup.figure(n).alias(n) for n in ("order_no", "line", "price", "quantity")))
 
 
