@@ -1,8 +1,11 @@
 """Steps whose work must not grow faster than their input, and the odd rows that they meet."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.operators import calendar, factor, joins, screens, windows
+from tidemark.plans import fixtures, studies
 from tidemark.streaming import monitor
 
 
@@ -68,3 +71,22 @@ def test_ranks_of_nulls_and_ties(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", None), ("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
     got = windows.cross_rank(df, ["g"], "v", "r")
     assert sorted((r.g, str(r.v), None if r.r is None else round(r.r, 9)) for r in got.collect()) == [("a", "1.0", round(1 / 3, 9)), ("a", "2.0", round(2.5 / 3, 9)), ("a", "2.0", round(2.5 / 3, 9)), ("a", "None", None), ("b", "None", None)]
+
+
+def test_residuals_are_dealt_by_rows(spark, data, monkeypatch):
+    """Returns are stored once; a task of the join has a bounded part of them, whatever the session's partitions."""
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    t = fixtures.Tables(spark, data)
+    got = studies._three_factors(t)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert t.tasks == 12 and plan.count(", 12)") >= 2 and "l_extendedprice" not in plan
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 10**9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, studies._three_factors(fixtures.Tables(spark, data)).collect()))
+
+
+@pytest.mark.parametrize("name", ["d48_residual_clusters", "d48_ward_tree", "d48_ward_clusters", "d49_low_residual_pairs"])
+def test_residuals_are_summed_once(spark, name, monkeypatch):
+    made = []
+    monkeypatch.setattr(studies, "_three_factors", lambda t, f=studies._three_factors: made.append(1) or f(t))
+    files = {f.rsplit("/", 2)[-2].rsplit("-", 5)[0] for f in plans.QUERIES[name](spark, "/root/testdata/sf0.01").inputFiles()}
+    assert made == [1] and files and not any("lineitem" in f for f in files)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, factor, fundamentals, models, pairs, resampling, screens, series, technicals
 from ..operators.windows import over
+from ..sources.tables import stored
 from .fixtures import query, rounded
 from .research import _model_rows
 
@@ -155,20 +156,26 @@ query("d82_positions", lambda t: rounded(factor.positions(t.bars.select("ticker"
 # D47 to D49: three factors, what they leave, and how that moves together
 def _factor_panel(t):
     x = t.bars.join(F.broadcast(t.master.select("ticker", "sector", "area", "size")), "ticker").withColumn("r", F.log(c("close") / F.lag("close").over(w()))).where("r is not null")
+    x = stored(x.select("ticker", "d", "r", "area", "size"), "returns")  # for the means, and for what they are joined to
     return factor.equal_weight_factors(x, "d", "r", ["area", "size"]).withColumn("y", F.year("d"))
 
 
 def _three_factors(t):
-    x = _factor_panel(t).select("ticker", "d", "y", "r", "mkt", "f_area", "f_size")
+    x = _factor_panel(t).select("ticker", "d", "y", "r", "mkt", "f_area", "f_size").repartition(t.tasks, "ticker", "y")  # sums and residuals follow it
     return rounded(factor.factor_residuals(x, ["mkt", "f_area", "f_size"], "r", ["ticker", "y"]), 6)
 
 
 query("d47_three_factors", _three_factors)
 
 
+def _months(t):
+    """Sums by month, a small table that what follows reads several times."""
+    x = _three_factors(t).where("residual is not null").groupBy("ticker", "y", F.trunc("d", "month").alias("m")).agg(F.sum("residual").alias("e"))
+    return stored(x, "months")
+
+
 def _residual_clusters(t):
-    x = _three_factors(t).where("residual is not null").groupBy("ticker", F.trunc("d", "month").alias("m")).agg(F.sum("residual").alias("e"))
-    return models.correlation_clusters(x, "ticker", "m", "e", 6, 4).select("ticker", "cluster")
+    return models.correlation_clusters(_months(t), "ticker", "m", "e", 6, 4).select("ticker", "cluster")
 
 
 query("d48_residual_clusters", _residual_clusters)
@@ -188,8 +195,7 @@ query("d49_stable_pairs", _stable_pairs, """
 
 
 def _monthly_residuals(t):
-    x = _three_factors(t).where("residual is not null").groupBy("ticker", "y", F.trunc("d", "month").alias("m")).agg(F.sum("residual").alias("e"))
-    return x.join(F.broadcast(t.master.select("ticker", "sector")), "ticker")
+    return _months(t).join(F.broadcast(t.master.select("ticker", "sector")), "ticker")
 
 
 query("d49_low_residual_pairs", lambda t: rounded(pairs.low_pairs(_monthly_residuals(t), "sector", "ticker", "m", "y", "e", 0.5, 6, 3, absolute=False), 5))
