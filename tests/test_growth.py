@@ -1,10 +1,11 @@
 """Steps whose work must not grow faster than their input, and the odd rows that they meet."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import calendar, factor, joins, screens, windows
+from tidemark.operators import calendar, factor, joins, pairs, screens, windows
 from tidemark.plans import fixtures, studies
 from tidemark.streaming import monitor
 
@@ -90,3 +91,15 @@ def test_residuals_are_summed_once(spark, name, monkeypatch):
     monkeypatch.setattr(studies, "_three_factors", lambda t, f=studies._three_factors: made.append(1) or f(t))
     files = {f.rsplit("/", 2)[-2].rsplit("-", 5)[0] for f in plans.QUERIES[name](spark, "/root/testdata/sf0.01").inputFiles()}
     assert made == [1] and files and not any("lineitem" in f for f in files)
+
+
+def test_pairs_leave_a_task_as_columns():
+    """Names of any kind, the smaller first, a block with itself once."""
+    for a, b in (([5, 1, 3], [4, 2]), (["x", "b", "m"], ["c", "y"])):
+        a, b = np.array(a, dtype=object if a[0] == "x" else None), np.array(b, dtype=object if a[0] == "x" else None)
+        hit = np.array([[True, False], [True, True], [False, True]])
+        got = pairs._found(a, b, hit, False, n=np.arange(6).reshape(3, 2))
+        assert [*map(tuple, got.to_numpy())] == [(*sorted((a[i], b[j])), 2 * i + j) for i, j in ((0, 0), (1, 0), (1, 1), (2, 1))]
+        own = pairs._found(a, a, np.ones((3, 3), bool), True)
+        assert sorted(map(tuple, own.to_numpy())) == sorted((x, y) for x in a for y in a if x < y)
+    assert pairs._found(a, b, hit & False, False).empty

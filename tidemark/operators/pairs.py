@@ -77,22 +77,33 @@ def _block_pairs(rows: DataFrame, group: Sequence[str], name: str, at: str, valu
             x = np.full((len(r["_names"]), len(times)), np.nan)
             x[:, np.searchsorted(times, r["_times"])] = np.frombuffer(r["_x"]).reshape(len(r["_names"]), -1)
             wide.append(x)
-        return pd.DataFrame([(*key[: len(group)], *x) for x in work(a["_names"], wide[0], b["_names"], wide[1], periods, key[-1] == key[-2])], columns=columns)
+        found = work(a["_names"], wide[0], b["_names"], wide[1], periods, key[-1] == key[-2])
+        if isinstance(found, pd.DataFrame):
+            return found.assign(**dict(zip(group, key)))[columns]
+        return pd.DataFrame([(*key[: len(group)], *x) for x in found], columns=columns)
 
     columns = [*group, *(x.split()[0].strip("`") for x in out.split(", "))]
     return sent.groupBy(*group, "_i", "_j").applyInPandas(run, f"{keys}, {out}")
 
 
+def _found(a: np.ndarray, b: np.ndarray, hit: np.ndarray, same: bool, **columns: np.ndarray) -> pd.DataFrame:
+    """a, b and ``columns`` of each pair that is hit, the smaller name first; a block with itself has each pair once. No row is made by itself."""
+    if same:
+        hit = hit & (a[:, None] < b[None, :])
+    i, j = np.nonzero(hit)
+    x, y = a[i], b[j]
+    first = (x < y).astype(bool)
+    return pd.DataFrame({"a": np.where(first, x, y), "b": np.where(first, y, x)} | {k: v[i, j] for k, v in columns.items()})
+
+
 def pair_correlations(rows: DataFrame, group: str, name: str, at: str, value: str, least: int) -> DataFrame:
     """group, a, b, r, n: the correlation of each two names of a group with ``least`` common times; r is null where one stands still."""
     kind = dict(rows.dtypes)[name]
 
     def work(a, x, b, y, periods, same):
         r, n = _products(x, y)
-        for i, j in zip(*np.nonzero(n >= least)):
-            if not same or a[i] < b[j]:
-                one, two = sorted((a[i], b[j]))
-                yield one, two, None if np.isnan(r[i, j]) else float(r[i, j]), int(n[i, j])
+        out = _found(a, b, n >= least, same, r=r, n=n.astype(int))
+        return out.assign(r=out["r"].astype(object).where(out["r"].notna(), None))
 
     return _block_pairs(rows, [group], name, at, value, None, work, f"a {kind}, b {kind}, r double, n long")
 
@@ -116,10 +127,7 @@ def low_pairs(rows: DataFrame, group: str, name: str, at: str, year: str, value:
             count += counts
             total += r
             worst = np.where(counts, np.maximum(worst, r), worst)
-        for i, j in zip(*np.nonzero((count >= max(years, 1)) & (worst <= most))):
-            if not same or a[i] < b[j]:
-                one, two = sorted((a[i], b[j]))
-                yield one, two, int(count[i, j]), float(worst[i, j]), float(total[i, j] / count[i, j])
+        return _found(a, b, (count >= max(years, 1)) & (worst <= most), same, years=count.astype(int), worst=worst, mean=total / np.maximum(count, 1))
 
     return _block_pairs(rows, [group], name, at, value, year, work, f"a {kind}, b {kind}, years long, worst double, mean double")
 
