@@ -103,3 +103,22 @@ def test_pairs_leave_a_task_as_columns():
         own = pairs._found(a, a, np.ones((3, 3), bool), True)
         assert sorted(map(tuple, own.to_numpy())) == sorted((x, y) for x in a for y in a if x < y)
     assert pairs._found(a, b, hit & False, False).empty
+
+
+def test_pairs_are_dealt_into_tasks_by_their_number(spark, monkeypatch):
+    """However few bytes a group's items are; items without a group have no leader."""
+    monkeypatch.setattr(joins, "PART", 4)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100)
+    rows = [("a", i) for i in range(70)] + [("b", i) for i in range(65, 75)] + [(None, 80), (None, 81), ("c", None), ("c", 90), ("c", 91)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    groups = {"a": range(70), "b": range(65, 75), "c": range(90, 92)}
+    want = {(g, x, y) for g, m in groups.items() for x in m for y in m if x < y}
+    got = joins.group_pairs(df, ["g"], "i")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    direct = {(m[0], y) for m in groups.values() for y in m[1:]}
+    siblings = {(x, y) for m in groups.values() for x in m[1:] for y in m[1:] if x != y} - direct
+    led = joins.leader_pairs(df, ["g"], "i")
+    assert sorted(map(tuple, led.collect())) == sorted([(*p, "direct") for p in direct] + [(*p, "sibling") for p in siblings])
+    for x in (got, led.where("kind = 'sibling'")):
+        made = [r.n for r in x.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(made) > 20 and max(made) < 1000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .asof import asof_join
 
 Names = Sequence[str]
-#: Items of a part of a group whose pairs are made.
-PART = 1000
+#: Items of a part of a group whose pairs are made, and pairs of a task, about.
+PART, TASK_PAIRS = 256, 1 << 24
 
 
 def prioritised(primary: DataFrame, fallback: DataFrame, keys: Names, only_fallback: Names = ()) -> DataFrame:
@@ -36,15 +37,28 @@ def window_join(events: DataFrame, panel: DataFrame, keys: Names, event_at: str,
     return spread.join(other, [*keys, "_day"]).drop("_day")
 
 
+def _met(items: DataFrame, group: Names, item: str, *kinds: str) -> DataFrame:
+    """x, an item, and _y, items of its group that are alike in ``kinds`` (x_ and y_ before their names): each two items of a group meet once, in either order.
+
+    A group's pairs are cut into cells of PART items by PART times as many or fewer, which are dealt into tasks by the number of pairs, not by bytes.
+    """
+    n = items.groupBy(*group).agg(F.count("*").alias("_n"))
+    pairs = n.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    x = items.join(n, list(group)).withColumns({"_rows": F.ceil(F.col("_n") / PART), "_columns": F.ceil(F.col("_n") / PART / PART)})
+    x = x.withColumn("_part", F.pmod(F.xxhash64(item), "_rows"))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    keys = [*group, "_row", "_column"]
+    a = x.select(*group, F.col("_part").alias("_row"), each("_columns").alias("_column"), F.col(item).alias("x"), *(F.col(k).alias(f"x_{k}") for k in kinds))
+    b = x.groupBy(*group, *kinds, "_rows", "_columns", "_part").agg(F.collect_list(item).alias("_y"))
+    b = b.select(*group, each("_rows").alias("_row"), F.pmod("_part", "_columns").alias("_column"), "_y", *(F.col(k).alias(f"y_{k}") for k in kinds))
+    return a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys)
+
+
 def group_pairs(df: DataFrame, group: Names, item: str) -> DataFrame:
-    """a < b for each two items of a group. Groups are cut into parts of PART items or so; a task has the pairs of two parts."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / PART))
-    items = df.select(*group, item).distinct()
-    items = items.join(items.groupBy(*group).agg(F.count("*").alias("_n")), list(group))
-    cells = items.select(*group, item, F.pmod(F.xxhash64(item), parts).alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_other"))
-    cells = cells.select(*group, item, "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
-    a, b = (cells.select(*group, "_lo", "_hi", F.col("_own").alias(f"_{x}"), F.col(item).alias(x)) for x in "ab")
-    return a.join(b, [*group, "_lo", "_hi"]).where("a < b and (_lo = _hi or _a <> _b)").select(*group, "a", "b")
+    """a < b for each two items of a group; a task has a bounded number of pairs or so, whatever the groups' sizes."""
+    met = _met(df.select(*group, item).distinct(), group, item)
+    return met.select(*group, F.col("x").alias("a"), F.explode("_y").alias("b")).where("a < b")
 
 
 def nearest_two_sides(events: DataFrame, panel: DataFrame, key: str, event_at: str, at: str, k: int) -> DataFrame:
@@ -65,17 +79,18 @@ def nearest_two_sides(events: DataFrame, panel: DataFrame, key: str, event_at: s
 def leader_pairs(df: DataFrame, group: Names, item: str) -> DataFrame:
     """leader, follower, kind: each group's least item leads the others (direct); those are pairs of siblings.
 
-    Siblings that are a direct pair elsewhere are left out. The pairs of a group are the square of its items; parts of it are
-    paired in tasks of their own, and they aren't shuffled unless both items are in several groups.
+    Siblings that are a direct pair elsewhere are left out, and so are items without a group. The pairs of a group are the square of its items;
+    parts of it are paired in tasks of their own, and they aren't shuffled unless both items are in several groups.
     """
-    items = df.select(*group, F.col(item).alias("follower")).distinct()
+    items = df.select(*group, F.col(item).alias("follower")).dropna(subset=list(group)).distinct()
     direct = items.withColumn("leader", F.min("follower").over(Window.partitionBy(*group))).where("leader <> follower")
-    many = items.groupBy("follower").agg((F.count("*") > 1).alias("_many"))
-    marked = direct.join(many, "follower").select(*group, F.struct("follower", "_many").alias("_i"))
-    both = lambda x: x.select(F.inline(F.array(F.struct(F.col("a.follower").alias("leader"), F.col("b.follower").alias("follower")), F.struct(F.col("b.follower").alias("leader"), F.col("a.follower").alias("follower")))))
-    once = both(group_pairs(marked, group, "_i").where("not (a._many and b._many)"))
+    many = items.groupBy("follower").agg((F.count("*") > 1).alias("many"))
+    marked = direct.join(many, "follower").select(*group, "follower", "many")
+    met = _met(marked, group, "follower", "many").where("not (x_many and y_many)")
+    once = met.select(F.col("x").alias("leader"), F.explode("_y").alias("follower")).where("leader <> follower")
     direct = direct.select("leader", "follower").distinct()
-    again = both(group_pairs(marked.where("_i._many"), group, "_i")).distinct()  # only two items of several groups each meet in another group
+    again = group_pairs(marked.where("many"), group, "follower").select(F.inline(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("follower")), F.struct(F.col("b").alias("leader"), F.col("a").alias("follower")))))
+    again = again.distinct()  # only two items of several groups each meet in another group
     siblings = once.unionByName(again.join(direct, ["leader", "follower"], "left_anti"))
     return direct.withColumn("kind", F.lit("direct")).unionByName(siblings.withColumn("kind", F.lit("sibling")))
 
